@@ -3,8 +3,9 @@
 Normally a key is small and a plain window over it is the best plan: one shuffle, one sort. `split_hot` looks for
 keys above a row limit first. If there are any, it cuts their time line into chunks of about that size (equal depth,
 from approximate quantiles) and adds a `chunk` column. All helpers here see that column: they then run the window
-within (key, chunk) and add what earlier chunks of the key carry over, which is one row per chunk.
-Results do not depend on where the cuts are.
+within (key, chunk) and add what earlier chunks of the key carry over, which is one row per chunk. That small carry
+table is checkpointed, so stacked calls do not run each other again and again, and it is broadcast when its row count
+allows. Results do not depend on where the cuts are.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from waymark.config import DEFAULTS
 from waymark.functions.columns import micros
+from waymark.session import checkpointed
 
 CHUNK = "chunk"
 ORDER = ("timestamp", "seq")
@@ -93,6 +95,8 @@ def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ORDER, *,
     merged = {n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in prior}
     merged |= {n: F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in total}
     merged |= {n: F.greatest(F.col(n), F.col(f"_c_{n}")) for n in peak}
+    carry = checkpointed(carry)
+    carry = _small(carry, carry.count())
     names = inside.columns
     return inside.join(carry, part, "left").select(*[merged[n].alias(n) if n in merged else F.col(n) for n in names])
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only, so they can also be applied to a session somebody else built.
 RUNTIME = {
@@ -35,3 +37,17 @@ def local_session(cores: int | str = "*", partitions: int = 8, **extra: str) ->
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     return configure(builder.getOrCreate())
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder in `spark.checkpoint.dir`, which survives lost executors."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="waymark-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
