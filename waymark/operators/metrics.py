@@ -36,10 +36,8 @@ def _ranked(scored: DataFrame, score: str, label: str, groups: Sequence[str]) ->
         F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum(1 - F.col(label).cast("bigint")).alias("neg"))
     # squeeze any score into (0, 1), falling, so that equal ranges of it are chunks of the ranking
     falling = F.lit(0.5) - F.col("score") / (2 * (1 + F.abs("score")))
-    chunked = spread(counts.withColumn("_fall", falling), groups, "_fall")
-    keys = list(groups) or ["_all"]
-    chunked = chunked if groups else chunked.withColumn("_all", F.lit(0))
-    run = ordered(chunked, keys, ["_fall"], total={"tp": F.col("pos"), "fp": F.col("neg")})
+    counts = counts.withColumns({"_fall": falling, "_down": -F.col("score"), "_all": F.lit(0)})
+    run = ordered(spread(counts, "_fall"), [*groups, "_all"], ["_down"], total={"tp": F.col("pos"), "fp": F.col("neg")})
     return run.drop(CHUNK)
 
 
@@ -47,17 +45,17 @@ def ranking_metrics(scored: DataFrame, score: str = "score", label: str = "label
                     groups: Sequence[str] = ()) -> DataFrame:
     """Average precision (step definition, ties together), ROC-AUC (ties count half), Brier score and base rate."""
     ranked = _ranked(scored, score, label, groups)
-    before = F.col("fp") - F.col("neg")
+    before, pos = F.col("fp") - F.col("neg"), F.col("pos").cast("double")
     # negatives ranked below a positive, ties half: total minus those above
     parts = ranked.groupBy(*groups).agg(
         F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-        F.sum(ratio(F.col("pos") * F.col("tp"), F.col("tp") + F.col("fp"))).alias("_ap"),
-        F.sum(F.col("pos") * before * 2 + F.col("pos") * F.col("neg")).alias("_above2"),
+        F.sum(pos * ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("_ap"),
+        F.sum(pos * before * 2 + pos * F.col("neg")).alias("_above2"),
         F.sum(F.col("pos") * F.pow(F.col("score") - 1, 2) + F.col("neg") * F.pow("score", F.lit(2))).alias("_sq"))
     return parts.select(
         *groups, (F.col("P") + F.col("N")).alias("n"), ratio(F.col("P"), F.col("P") + F.col("N")).alias("positive_rate"),
         ratio(F.col("_ap"), F.col("P")).alias("average_precision"),
-        (1 - ratio(F.col("_above2"), F.col("P") * F.col("N") * 2)).alias("roc_auc"),
+        (1 - ratio(F.col("_above2"), F.col("P").cast("double") * F.col("N") * 2)).alias("roc_auc"),
         ratio(F.col("_sq"), F.col("P") + F.col("N")).alias("brier"))
 
 

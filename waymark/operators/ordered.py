@@ -108,6 +108,6 @@ def group_max(df: DataFrame, keys: Sequence[str], column: str, name: str) -> Dat
     return df.join(df.groupBy(*keys).agg(F.max(column).alias(name)), list(keys))
 
 
-def spread(df: DataFrame, keys: Sequence[str], value: str, n: int = 256) -> DataFrame:
-    """Chunk every key by equal ranges of a number in [0, 1], for global rankings over many distinct values."""
+def spread(df: DataFrame, value: str, n: int = 256) -> DataFrame:
+    """Chunk by equal ranges of a number in [0, 1], for global rankings over many distinct values."""
     return df.withColumn(CHUNK, F.least(F.floor(F.col(value) * n), F.lit(n - 1)).cast("int"))
