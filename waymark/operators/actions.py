@@ -245,8 +245,8 @@ def _numbered_tickets(done: DataFrame) -> DataFrame:
     numbered = tickets.withColumn("_i", F.row_number().over(inside)).join(F.broadcast(earlier), "_day").select(
         "request_id", (F.col("_i") + F.col("_before")).alias("_ticket"))
     out = done.join(numbered, "request_id", "left")
-    return out.withColumn("ticket_ref", F.concat(F.lit("TKT-"), "alert_id", F.lit("-"),
-                                                 F.format_string("%03d", "_ticket"))).drop("_ticket")
+    name = F.concat(F.lit("TKT-"), "alert_id", F.lit("-"), F.format_string("%03d", "_ticket"))
+    return out.withColumn("ticket_ref", F.when(F.col("_ticket").isNotNull(), name)).drop("_ticket")
 
 
 def apply_workflow(alert_rows: DataFrame, executed: DataFrame) -> DataFrame:

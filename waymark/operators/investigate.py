@@ -15,6 +15,7 @@ from waymark.functions.decision import theme_frictions
 from waymark.operators.anomaly import gateway_units
 from waymark.operators.joins import sparse_left_join
 from waymark.operators.ranges import range_sums
+from waymark.session import checkpointed
 
 COMPARED = ["payment_failures", "coupon_failures", "otp_resends", "size_chart_opens", "pincode_checks",
             "max_eta_days", "max_extra_fees", "rage_clicks", "js_errors", "dwell_checkout_s"]
@@ -22,28 +23,30 @@ COMPARED = ["payment_failures", "coupon_failures", "otp_resends", "size_chart_op
 
 # --- funnel ---------------------------------------------------------------------------------------------
 
-def _reached(sessions: DataFrame, step: str) -> DataFrame:
-    here = F.coalesce((F.col("exit_step") == step) & ~F.col("converted"), F.lit(False))
-    shopping = sessions.filter("session_kind = 'shopping'")
-    furthest = position(vocab.SHOPPING_STEPS, F.col("furthest_step"))
-    return shopping.filter(furthest >= vocab.SHOPPING_STEPS.index(step)).withColumn("left_here", here)
-
-
 def drop_off_by_segment(sessions: DataFrame, step: str = "payment", segment: str = "device",
                         limit: int = 8) -> DataFrame:
     """segment, reached, left, exit_rate, overall_exit_rate: worst segments first."""
     if step not in vocab.SHOPPING_STEPS or segment not in sessions.columns:
         raise ValueError(f"unknown step or segment: {step}, {segment}")
-    reached = _reached(sessions, step)
-    rates = reached.groupBy(F.col(segment).alias("segment")).agg(
-        F.count(F.lit(1)).alias("reached"), F.count_if("left_here").alias("left"))
-    total = rates.agg(F.round(ratio(F.sum("left"), F.sum("reached")), 4).alias("r")).scalar()
-    return (
-        rates.filter("segment IS NOT NULL")
-        .select("segment", "reached", "left", F.round(ratio(F.col("left"), F.col("reached")), 4).alias("exit_rate"),
-                total.alias("overall_exit_rate"))
-        .orderBy(F.desc("exit_rate"), "segment").limit(limit)
-    )
+    rows = drop_offs(sessions, segment).filter(F.col("step") == step).drop("step")
+    return rows.orderBy(F.desc("exit_rate"), "segment").limit(limit)
+
+
+def drop_offs(sessions: DataFrame, segment: str) -> DataFrame:
+    """The same for all steps at once, from counts per (furthest step, exit step, outcome, segment)."""
+    names = F.array(*[F.lit(s) for s in vocab.SHOPPING_STEPS])
+    small = sessions.filter("session_kind = 'shopping'").groupBy(
+        "furthest_step", "exit_step", "converted", F.col(segment).alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+    reach = F.sequence(F.lit(0), position(vocab.SHOPPING_STEPS, F.col("furthest_step")))
+    rows = small.select("*", F.explode(F.transform(reach, lambda i: F.get(names, i))).alias("step"))
+    here = (F.col("exit_step") == F.col("step")) & ~F.col("converted")
+    rates = rows.groupBy("step", "segment").agg(
+        F.sum("n").alias("reached"), F.sum(F.when(here, F.col("n")).otherwise(0)).alias("left"))
+    overall = rates.groupBy("step").agg(
+        F.round(ratio(F.sum("left"), F.sum("reached")), 4).alias("overall_exit_rate"))  # at most six rows
+    return rates.filter("segment IS NOT NULL").join(F.broadcast(overall), "step").select(
+        "step", "segment", "reached", "left", F.round(ratio(F.col("left"), F.col("reached")), 4).alias("exit_rate"),
+        "overall_exit_rate")
 
 
 def converters_vs_abandoners(features: DataFrame, sessions: DataFrame,
@@ -236,6 +239,7 @@ def findings(packets: DataFrame, payments: DataFrame, orders: DataFrame, texts:
     }).select("packet_id", "packet_type", "friction_type", "session_id", "user_id", "order_id", "segment_type",
               F.coalesce("exit_step", F.lit("payment")).alias("_step"), "_gateway", "_courier", "_city", "_around",
               "_product")
+    p = checkpointed(p)  # read by every query below, so it is stored once
     known = p.select("packet_id", "friction_type")
     found: list[DataFrame] = []
 
@@ -292,9 +296,9 @@ def findings(packets: DataFrame, payments: DataFrame, orders: DataFrame, texts:
                           F.lit(" sizes out of stock"))))
 
     glitch = p.filter((F.col("packet_type") == "session") & (f == "technical_glitch"))
-    worst = reduce(DataFrame.unionByName, [
-        drop_off_by_segment(sessions, step, "device", 1).withColumn("_step", F.lit(step))
-        for step in vocab.SHOPPING_STEPS])
+    worst = drop_offs(sessions, "device").groupBy("step").agg(
+        F.max("exit_rate").alias("exit_rate"), F.max("overall_exit_rate").alias("overall_exit_rate")
+    ).withColumnRenamed("step", "_step")
     rates = glitch.join(F.broadcast(worst), "_step", "left")  # one row per funnel step
     add(rates, _finding("drop_off_by_segment", F.col("exit_rate") >= 1.5 * F.greatest(
         F.col("overall_exit_rate"), F.lit(1e-3)), "aggregate",

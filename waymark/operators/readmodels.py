@@ -149,14 +149,17 @@ DIMENSIONS = {"device": 3, "city": 3, "product": 3, "gateway": 3, "courier": 3}
 LISTS = {"flag": ("rule_flags", 4), "theme": ("themes", 3), "signal": ("signals", 4)}
 
 
+def _tagged(kind: str, column: str) -> Column:
+    return F.transform(column, lambda v: F.struct(F.lit(kind).alias("dimension"), v.alias("value")))
+
+
 def top_values(packets: DataFrame) -> DataFrame:
     """friction_type, dimension, value, sessions: most frequent values of every dimension, flag, theme and signal.
 
     Counting is one pass over (friction, dimension, value); the ranking sees counts only.
     """
     pairs = [F.array(F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value"))) for c in DIMENSIONS]
-    pairs += [F.transform(col, lambda v, k=kind: F.struct(F.lit(k).alias("dimension"), v.alias("value")))
-              for kind, (col, _) in LISTS.items()]
+    pairs += [_tagged(kind, col) for kind, (col, _) in LISTS.items()]
     counted = (
         risky_sessions(packets).select("friction_type", F.explode(F.concat(*pairs)).alias("x"))
         .filter("x.value IS NOT NULL AND NOT (x.dimension = 'theme' AND x.value = 'other')")

@@ -168,13 +168,14 @@ def rage_clicks(clicks: DataFrame, window_ms: int = 2000, needed: int = 4) -> Da
     key = ["session_id", "element"]
     per_ms = clicks.groupBy(*key, at.alias("ms")).agg(F.count(F.lit(1)).alias("n"))
     # the window is short, so a time slice plus the rows just before it is all a slice needs
-    slices = per_ms.select("*", F.explode(F.array_distinct(F.array(
-        F.floor(F.col("ms") / 600_000), F.floor((F.col("ms") + window_ms) / 600_000)))).alias("slice"))
+    width = max(600_000, 4 * window_ms)
+    own, next_ = F.floor(F.col("ms") / width), F.floor((F.col("ms") + window_ms) / width)
+    slices = per_ms.select("*", F.explode(F.array_distinct(F.array(own, next_))).alias("slice"))
     w = Window.partitionBy(*key, "slice").orderBy("ms")
     trailing = F.sum("n").over(w.rangeBetween(-(window_ms - 1), 0))
     first = F.min("ms").over(w.rangeBetween(-(window_ms - 1), 0))
     hits = slices.withColumn("clicks", trailing).withColumn("first_ms", first)
-    hits = hits.filter(F.col("slice") == F.floor(F.col("ms") / 600_000))
+    hits = hits.filter(F.col("slice") == own)
     # the count passes `needed` at this millisecond
     return (
         hits.filter((F.col("clicks") >= needed) & (F.col("clicks") - F.col("n") < needed))

@@ -15,7 +15,7 @@ from waymark.functions.columns import meta, micros
 from waymark.functions.rules import evaluate_rules, rule_frictions
 from waymark.operators import (actions, anomaly, clean, decide, drafts, features, fusion, investigate, joins, metrics,
                                readmodels, sessions)
-from waymark.session import configure
+from waymark.session import checkpointed, configure
 from waymark.sources import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,21 +37,44 @@ def query(fn: Query) -> Query:
 
 # --- shared inputs ------------------------------------------------------------------------------------------
 
+_SHARED: dict[tuple, object] = {}
+
+
+def shared(fn):
+    """Build a frame once per session and folder. Frames stay lazy unless the builder itself stores them."""
+    def get(spark: SparkSession, folder: str, *args):
+        key = (fn.__name__, spark.sparkContext.applicationId, id(spark), folder, *args)
+        if key not in _SHARED:
+            _SHARED[key] = fn(spark, folder, *args)
+        return _SHARED[key]
+
+    return get
+
+
+def forget() -> None:
+    """Drop shared frames, so that the next query builds everything itself."""
+    _SHARED.clear()
+
+
 def cleaned(spark: SparkSession, folder: str) -> DataFrame:
     # event_id is a key of the source table, so there are no copies to look for
     return clean.clean_events(adapters.clickstream(spark, folder), distinct=True)
 
 
+@shared
 def segmented(spark: SparkSession, folder: str, gap: int = SESSION_GAP) -> DataFrame:
     # the adapter puts the user into the tracker id
     return sessions.sessionize(cleaned(spark, folder), gap, tracker_per_user=True)
 
 
+@shared
 def session_rows(spark: SparkSession, folder: str, gap: int = SESSION_GAP) -> DataFrame:
-    # the clickstream has no city; the device stands in where a segment is needed
-    return sessions.session_table(segmented(spark, folder, gap)).withColumn("city", F.concat(F.lit("city_"), "device"))
+    # the clickstream has no city; the last digit of the user stands in where one is needed
+    return sessions.session_table(segmented(spark, folder, gap)).withColumn(
+        "city", F.concat(F.lit("city_"), F.substring("user_id", -1, 1)))
 
 
+@shared
 def fixed_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Detector outputs with made-up probabilities that an oracle can compute too; the rules are real."""
     f = evaluate_rules(features.session_features(segmented(spark, folder)))
@@ -67,6 +90,7 @@ def fixed_scores(spark: SparkSession, folder: str) -> DataFrame:
         F.create_map().cast(f"map<string,{decide.SIGNALS}>").alias("friction_signals"))
 
 
+@shared
 def themed_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as texts about orders, with a theme given by the document number."""
     themes = F.array(*[F.lit(t) for t in vocab.THEME_FRICTIONS])
@@ -99,21 +123,24 @@ def payment_units(spark: SparkSession, folder: str) -> DataFrame:
         "session_id", F.lit(False).alias("converted"), F.col("amount").alias("value"))
 
 
-def stream_packets(spark: SparkSession, folder: str, themed: bool = True):
-    """(packets, members, sessions) of anomalies found in the clickstream itself."""
+@shared
+def stream_packets(spark: SparkSession, folder: str):
+    """(packets, members, sessions) of anomalies found in the clickstream itself, stored like the batch job does."""
     ev, table = segmented(spark, folder), session_rows(spark, folder)
     units = anomaly.gateway_units(stream_payments(ev), table)
     packets, members = anomaly.temporal_anomalies(units, anomaly.GATEWAY, [1440], 10 * 1440, SENSITIVE)
-    return packets, members, table
+    return checkpointed(packets), checkpointed(members), table
 
 
+@shared
 def packets_of_sessions(spark: SparkSession, folder: str) -> DataFrame:
     packets, members, table = stream_packets(spark, folder)
-    return fusion.session_packets(
+    return checkpointed(fusion.session_packets(
         fixed_scores(spark, folder), table, fusion.session_themes(themed_texts(spark, folder), table),
-        fusion.session_context(packets, members), adapters.orders(spark, folder))
+        fusion.session_context(packets, members), adapters.orders(spark, folder)))
 
 
+@shared
 def decisions_of_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return decide.decide(packets_of_sessions(spark, folder))
 
@@ -212,6 +239,7 @@ def rage_clicks(spark, folder):
 
 # --- features -------------------------------------------------------------------------------------------------
 
+@shared
 def _features(spark, folder):
     return features.session_features(segmented(spark, folder, SEQUENCE_GAP))
 
@@ -742,6 +770,7 @@ def heatmap(spark, folder):
     return readmodels.heatmap(session_rows(spark, folder))
 
 
+@shared
 def _dashboard(spark, folder):
     decisions = decisions_of_sessions(spark, folder)
     return readmodels.packet_table(decisions), actions.alerts(decisions)
