@@ -13,10 +13,11 @@ from waymark.config import Settings
 from waymark.functions import decision as d
 from waymark.functions.columns import meta, micros
 from waymark.functions.rules import evaluate_rules, rule_frictions
-from waymark.operators import (actions, anomaly, clean, decide, drafts, features, fusion, investigate, joins, metrics,
+from waymark.operators import (actions, anomaly, clean, decide, drafts, features, fusion, investigate, joins, metrics, models,
                                readmodels, sessions)
 from waymark.session import checkpointed, configure
 from waymark.sources import adapters
+from waymark.streaming import ingest, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -938,3 +939,91 @@ def draft_validation(spark, folder):
         F.array().cast("array<string>").alias("allowed_frictions"), F.lit("fallback").alias("fallback"))
     out = drafts.validate(rows)
     return out.select("draft_id", "ok", F.size("failures").cast("bigint").alias("failures"), "source")
+
+
+# --- models (no SQL counterpart: learned values) -------------------------------------------------------------
+
+def _risk_training(spark, folder):
+    ev = segmented(spark, folder, SEQUENCE_GAP)
+    full = features.session_features(ev)
+    base = features.baseline_values(features.dwell_baselines(full))
+    prefixes = features.add_dwell_z(features.prefix_features(ev), base)
+    return joins.risk_frame(prefixes, sessions.session_table(ev, primary_product=False)), features.add_dwell_z(full, base)
+
+
+@query
+def risk_model(spark, folder):
+    """Ranking quality of the risk model on its test split."""
+    frame, _ = _risk_training(spark, folder)
+    frame = checkpointed(frame)
+    model = models.RiskModel.fit(frame, rounds=10)
+    test = model.score(frame.filter(metrics.is_test(F.col("session_id"))))
+    early = F.when(F.col("current_step_idx").between(2, 3), "cart_checkout").otherwise("other")
+    return metrics.ranking_metrics(test.withColumn("stage", early), "risk", "label", ["stage"])
+
+
+@query
+def friction_ovr(spark, folder):
+    """Independent probabilities per friction; rule flags serve as labels on this data."""
+    _, full = _risk_training(spark, folder)
+    joined_ = full.withColumns({c: F.lit(0.0) for c in vocab.JOIN_COLUMNS})
+    flagged = checkpointed(evaluate_rules(joined_).withColumn("frictions", rule_frictions(F.col("rule_flags"))))
+    kinds = ["payment_failure", "technical_glitch", "login_otp_issue"]
+    labels = flagged.select("session_id", *[F.array_contains("frictions", f).cast("int").alias(f) for f in kinds])
+    model = models.FrictionModel.fit(flagged, labels, rounds=5, depth=3, frictions=kinds)
+    scored = model.score(flagged).filter(metrics.is_test(F.col("session_id")))
+    pred = scored.select("session_id", *[(F.col("friction_probs")[f] >= 0.6).alias(f) for f in kinds])
+    return metrics.prf_per_class(metrics.long_form(labels, pred, kinds))
+
+
+@query
+def theme_classifier(spark, folder):
+    """Language of documents as the theme, from hashed text."""
+    docs = adapters.texts(spark, folder)
+    train = docs.filter(~metrics.is_test(F.col("text_id").cast("string")))
+    model = models.ThemeModel.fit(train, max_iter=20)
+    scored = model.classify(docs.filter(metrics.is_test(F.col("text_id").cast("string"))))
+    return metrics.text_quality(scored.select(F.col("theme_label").alias("label"), "predicted", F.col("theme_prob").alias("prob"), "language"), by=["language"])
+
+
+@query
+def theme_embeddings(spark, folder):
+    e = adapters.table(spark, folder, "embeddings").withColumn("theme_label", F.col("label").cast("string"))
+    model = models.ThemeModel.fit(e.filter("vec_id % 5 <> 0"), embedding="embedding", max_iter=50)
+    scored = model.classify(e.filter("vec_id % 5 = 0"), embedding="embedding")
+    return metrics.text_quality(scored.select(F.col("theme_label").alias("label"), "predicted", F.col("theme_prob").alias("prob")))
+
+
+@query
+def attribution(spark, folder):
+    """Features that drove the risk of every session, counted."""
+    frame, full = _risk_training(spark, folder)
+    model = models.RiskModel.fit(checkpointed(frame), rounds=10)
+    saved = f"{spark.sparkContext.getCheckpointDir()}/risk"
+    model.save(saved)
+    signals = models.attributed(full, f"{saved}/trees", model.features)
+    return signals.select(F.explode("top_signals").alias("s")).groupBy("s.feature").agg(F.count(F.lit(1)).alias("sessions"))
+
+
+# --- streams -----------------------------------------------------------------------------------------------------
+
+@query
+def stream_rates(spark, folder):
+    """The streaming failure rate on the stored clickstream; a batch frame runs through the same function."""
+    rates = ingest.failure_rates(cleaned(spark, folder), "1 day")
+    return rates.select(micros("window.start").alias("start_us"), "gateway", "attempts", "failed")
+
+
+@query
+def stream_sessions(spark, folder):
+    """Idle sessions of the clickstream with a one-day pause."""
+    idle = ingest.idle_sessions(cleaned(spark, folder), 1440)
+    return idle.select("session_id", micros("w.start").alias("start_us"), "events", "converted")
+
+
+@query
+def live_packets(spark, folder):
+    """Live scoring of every session as if all had just been touched."""
+    zero = {s: (0.0, 1.0) for s in vocab.STEPS}
+    packets = live.live_packets(segmented(spark, folder), zero)
+    return packets.select("packet_id", joined("rule_flags").alias("flags"), F.round("cart_value", 2).alias("cart_value"), "exit_step")

@@ -555,3 +555,12 @@ q("draft_grounding", """d AS (SELECT doc_id, list_filter(regexp_extract_all(text
 u AS (SELECT doc_id, unnest(tk) AS z FROM d), v AS (SELECT *, CAST(replace(rtrim(z, '%'), ',', '') AS DOUBLE) AS x FROM u),
 g AS (SELECT doc_id, z, len(list_filter([0.82, 0.2, 4.1, 41500.0, 2024.0]::DOUBLE[], lambda n: abs(x - n) <= 0.5 OR abs(x - n) <= 0.01 * abs(n) OR ((z LIKE '%\\%' ESCAPE '\\' OR x > 1) AND abs(x / 100 - n) <= 0.005))) > 0 AS ok FROM v)""",
   "SELECT d.doc_id, any_value(len(tk)) AS numbers, count(g.z) FILTER (NOT ok) AS ungrounded FROM d LEFT JOIN g USING (doc_id) GROUP BY 1")
+
+# --- streams ---------------------------------------------------------------------------------------------------------
+q("stream_rates", f"ev AS ({EVENTS_SQL})", """SELECT epoch_us(date_trunc('day', timestamp)) AS start_us, gateway, count(*) FILTER (event = 'payment_attempt') AS attempts, count(*) FILTER (event = 'payment_failed') AS failed
+FROM ev WHERE event IN ('payment_attempt', 'payment_failed') GROUP BY 1, 2""")
+q("stream_sessions", f"""ev AS ({EVENTS_SQL}), c AS (SELECT *, epoch_us(timestamp) AS us FROM ev WHERE event <> 'not_in_vocabulary'),
+p AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY session_id ORDER BY us) < 86400000000 THEN 0 ELSE 1 END AS nw FROM c),
+g AS (SELECT *, sum(nw) OVER (PARTITION BY session_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS i FROM p)""",
+  "SELECT session_id, min(us) AS start_us, count(*) AS events, bool_or(event = 'order_placed') AS converted FROM g GROUP BY session_id, i")
+q("live_packets", f"{T720},{FEATURES}", f"""SELECT 'pk_live_' || session_id AS packet_id, {FLAGS} AS flags, round(t.cart_value, 2) AS cart_value, exit_step FROM f JOIN t USING (session_id) WHERE {FLAGS} <> ''""")
