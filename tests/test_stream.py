@@ -50,7 +50,7 @@ def test_idle_sessions_close_and_rates_are_windowed(spark, tmp_path):
     inbox = tmp_path / "in"
     drop(inbox, "a.json", [event(0, "payment_attempt", "checkout_payment", metadata={"gateway": "B"}), event(10, "payment_failed", "checkout_payment", metadata={"gateway": "B"}),
                            event(400, "page_view", "home", session="s_2"), event(410, "order_placed", "checkout_payment", session="s_2")])
-    drop(inbox, "b.json", [event(9000, "page_view", "home", session="s_3")])
+    drop(inbox, "b.json", [event(9000, "payment_attempt", "checkout_payment", session="s_3", metadata={"gateway": "B"})])
 
     def stream():
         return ingest.parsed(ingest.read_lines(spark, str(inbox), maxFilesPerTrigger="1"))

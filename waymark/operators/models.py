@@ -238,7 +238,7 @@ def attributed(df: DataFrame, folder: str, features: Sequence[str], name: str =
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(flat_trees(spark, folder))
     names = list(features)
-    schema = df.select("session_id").schema.add(name, "array<struct<feature:string,value:double>>")
+    schema = f"session_id string, {name} array<struct<feature:string,value:double>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -200,7 +200,7 @@ def sessionize(spark, folder):
 
 @query
 def session_table(spark, folder):
-    t = session_rows(spark, folder)
+    t = _bare_sessions(spark, folder)
     text = ["device", "gateway", "payment_method", "courier", "order_id"]
     return t.select(
         "session_id", "user_id", micros("start").alias("start_us"), micros("end").alias("end_us"), "n_events",
@@ -210,7 +210,7 @@ def session_table(spark, folder):
 
 @query
 def returning_flag(spark, folder):
-    return sessions.with_returning(session_rows(spark, folder)).select("session_id", "is_returning")
+    return sessions.with_returning(_bare_sessions(spark, folder)).select("session_id", "is_returning")
 
 
 @query
@@ -682,13 +682,13 @@ def anomaly_samples(spark, folder):
 @query
 def message_cap(spark, folder):
     """The daily cap over all sessions of all users, as if each had led to a message."""
-    rows = session_rows(spark, folder).select(F.col("session_id").alias("packet_id"), "user_id", F.col("start").alias("created_at"))
+    rows = _bare_sessions(spark, folder).select(F.col("session_id").alias("packet_id"), "user_id", F.col("start").alias("created_at"))
     return actions.message_cap(rows).select("packet_id", "accepted")
 
 
 @query
 def recent_messages(spark, folder):
-    rows = session_rows(spark, folder).select(F.col("session_id").alias("packet_id"), "user_id", F.col("start").alias("created_at"))
+    rows = _bare_sessions(spark, folder).select(F.col("session_id").alias("packet_id"), "user_id", F.col("start").alias("created_at"))
     return actions.recent_messages(rows)
 
 
@@ -761,14 +761,18 @@ def audit_counts(spark, folder):
 
 # --- read models ------------------------------------------------------------------------------------------------
 
+def _bare_sessions(spark, folder):
+    return sessions.session_table(segmented(spark, folder), primary_product=False)
+
+
 @query
 def funnel(spark, folder):
-    return readmodels.funnel(session_rows(spark, folder))
+    return readmodels.funnel(_bare_sessions(spark, folder))
 
 
 @query
 def heatmap(spark, folder):
-    return readmodels.heatmap(session_rows(spark, folder))
+    return readmodels.heatmap(_bare_sessions(spark, folder))
 
 
 @shared
