@@ -215,7 +215,7 @@ def _blocks(events: DataFrame) -> DataFrame:
 
 
 def _last_blocks(blocks: DataFrame, max_prefixes: int) -> DataFrame:
-    """The reference point of a prefix is the end of a block; only the last few of a session are kept."""
+    """A prefix ends where a block ends; only the last few of a session are kept."""
     out = group_max(blocks, SESSION, "block", "_last_block")
     return (
         out.filter(F.col("block") > F.col("_last_block") - max_prefixes)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark import vocab
 from waymark.config import DEFAULTS, Settings
-from waymark.functions.columns import any_of, meta, micros, number, position, truthy
+from waymark.functions.columns import meta, micros, number, position, truthy
 from waymark.operators.ordered import CHUNK, ORDER, ordered, split_hot
 
 SESSION = ("user_id", "session_id")
@@ -184,5 +184,5 @@ def rage_clicks(clicks: DataFrame, window_ms: int = 2000, needed: int = 4) -> Da
     )
 
 
-__all__ = ["SESSION", "any_of", "journeys", "primary_products", "rage_clicks", "session_table", "sessionize",
+__all__ = ["SESSION", "journeys", "primary_products", "rage_clicks", "session_table", "sessionize",
            "timeline", "with_returning"]
