@@ -46,19 +46,38 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+class Hasher:
+    """64-bit hashes of any ranges data[start:end]: differences of one running polynomial sum."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        power = np.full(n + 1, BASE, np.uint64)
+        power[0] = 1
+        np.cumprod(power, out=power)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=self.sums[1:])
+        power[1:] = INVERSE
+        np.cumprod(power, out=power)
+        self.back = power
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
+
+
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for every pair: differences of one running polynomial sum."""
-    n = len(data)
-    power = np.empty(n + 1, np.uint64)
-    power[0] = 1
-    power[1:] = BASE
-    np.cumprod(power, out=power)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    back = np.full(n + 1, INVERSE, np.uint64)
-    back[0] = 1
-    np.cumprod(back, out=back)
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    return Hasher(data)(starts, ends)
+
+
+def word_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes with A-Z lower-cased, start and end of every word). Words are runs of ASCII letters and digits and of anything
+    beyond ASCII."""
+    lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    inside = (lower >= 128) | ((lower >= 48) & (lower <= 57)) | ((lower >= 97) & (lower <= 122))
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    starts = np.flatnonzero(inside & (np.append(True, ~inside[:-1])[:len(data)] | first[:-1]))
+    ends = np.flatnonzero(inside & (np.append(~inside[1:], True)[:len(data)] | first[1:])) + 1
+    return lower, starts, ends
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

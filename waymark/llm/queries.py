@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, chat, sharding, simhash, url_filter
+from waymark.llm import bpe, chat, decontaminate, embed_dedup, quality, sharding, simhash, toxicity, url_filter
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed values of the query: host, path, verdict.
@@ -29,10 +29,30 @@ def ranks() -> dict[bytes, int]:
     return bpe.read_ranks(public_tokenizers.path(VOCABULARY))
 
 
+def op1_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    listed = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(spark, folder, "documents"), 40)
 
 
+def trusted(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "labels").where("quality = 1")
+
+
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return quality.classify(docs, trusted(spark, folder)).select("doc_id", "lang", "perplexity", "threshold", "keep")
+
+
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -50,6 +70,14 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, folder, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    apart = toxicity.held_out("doc_id")
+    model = toxicity.train(docs, table(spark, folder, "labels").where(~apart))
+    return toxicity.score(docs, model).select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                                              "spans")
+
+
 def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(EXTRA_TURNS, "conv_id bigint, turn bigint, role string, text string")
@@ -65,10 +93,14 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_decontamination": op2_decontamination,
     "op4_sharding": op4_sharding,
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_bpe": op7_bpe,
     "op8_url_filter": op8_url_filter,
+    "op9_toxicity": op9_toxicity,
     "op10_chat": op10_chat,
 }
 
