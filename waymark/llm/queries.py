@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, chat, decontaminate, embed_dedup, quality, sharding, simhash, toxicity, url_filter
+from waymark.llm import bpe, chat, decontaminate, embed_dedup, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed values of the query: host, path, verdict.
@@ -40,6 +40,12 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(spark, folder, "documents"), 40)
 
@@ -95,6 +101,7 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
