@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -137,3 +139,13 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     found = current.groupBy("a").agg(F.min("b").alias("component"))
     return (nodes.select("node").join(found, nodes["node"] == found["a"], "left")
             .select("node", F.coalesce("component", "node").alias("component")))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below `spark.checkpoint.dir`, which all executors share; local masters without that setting get one of their own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="waymark-")
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"

@@ -212,7 +212,7 @@ def sort_shards(rows: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "key bigint, h bigint, cnt bigint, ranges array<int>")
 
 
-def removed(docs: DataFrame, length: int) -> DataFrame:
+def removed(docs: DataFrame, length: int, as_text: bool) -> DataFrame:
     """docs (with _marks) plus n_bytes, n_removed, spans and kept."""
 
     def fill(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -237,13 +237,15 @@ def removed(docs: DataFrame, length: int) -> DataFrame:
             ends = [0, *(x for p in pairs for x in p), len(raw)]
             kept.append(b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)))
         return [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()),
-                pa.array(spans, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))), pa.array(kept, pa.binary())]
+                pa.array(spans, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))),
+                pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
 
-    return with_arrow_columns(docs, "n_bytes bigint, n_removed bigint, spans array<struct<low:bigint,high:bigint>>, kept binary", fill)
+    kind = "string" if as_text else "binary"
+    return with_arrow_columns(docs, f"n_bytes bigint, n_removed bigint, spans array<struct<low:bigint,high:bigint>>, kept {kind}", fill)
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """docs with n_bytes, n_removed, spans (byte ranges, maximal) and kept (binary): every byte is removed that a string of `length`
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """docs with n_bytes, n_removed, spans (byte ranges, maximal) and kept (binary, or text without cut characters): every byte is removed that a string of `length`
     bytes covers which starts anywhere else too, in the same document or another. Matches never cross documents.
 
     1. Texts are cut into runs of windows at anchors, which depend on the text only. Runs whose anchor occurs once can't
@@ -274,7 +276,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     back = live.withColumn("cnt", cnt).join(marks, ["key", "h", "cnt"], "left").where("ranges is null or size(ranges) > 0")
     per_text = back.groupBy("_id", "_t").agg(F.collect_list(F.struct("pos", "ranges")).alias("_marks"))
     joined = packed.alias("d").join(per_text.alias("l"), match, "left").select("d._id", "d._t", "d.text", "d._rest", "l._marks")
-    done = removed(joined, length)
+    done = removed(joined, length, as_text)
     made = ["n_bytes", "n_removed", "spans", "kept"]
     columns = []
     for c in docs.columns:
