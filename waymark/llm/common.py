@@ -30,7 +30,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about `limit` bytes; a longer text is a range of its own."""
     low, n = 0, len(offsets) - 1
     while low < n:

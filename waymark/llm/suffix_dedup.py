@@ -15,8 +15,8 @@ from waymark.session import checkpointed
 
 LENGTH = 200
 GRAM = 24  # bytes of an anchor
-PIECE = 4 << 20  # bytes of text that are cut, and of distinct text that is sorted, at a time
-HOT_BYTES = 4 << 20  # distinct text of one anchor beyond which its windows are dealt out by further anchors
+PIECE = 1 << 20  # bytes of text that are cut, and of distinct text that is sorted, at a time
+HOT_BYTES = 2 << 20  # distinct text of one anchor beyond which its windows are dealt out by further anchors
 FURTHER = 8
 PLACE = np.uint64((1 << 28) - 1)
 
