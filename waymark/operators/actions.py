@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +21,7 @@ from waymark.operators.ordered import ordered, split_hot
 from waymark.operators.ranges import range_sums
 
 DAY = 86_400_000_000
+PAGE = 200  # rows a list request may ask for
 CONTEXT_TYPE = ("struct<packet_id:string,segment_type:string,segment:string,metric:string,friction_hint:string,"
                 "multiplier:double,observed_rate:double,baseline_rate:double,affected_sessions:bigint,"
                 "window_start:timestamp,window_end:timestamp>")
@@ -35,6 +39,12 @@ def _complete(decisions: DataFrame) -> DataFrame:
     return decisions.withColumns(missing) if missing else decisions
 
 
+def _page_size(limit: int) -> int:
+    if limit > PAGE:
+        raise ValueError(f"a page has at most {PAGE} rows; ask for more with offset")
+    return limit
+
+
 def happened_at() -> Column:
     """Event time of a packet: start of the session or end of the anomaly."""
     return F.when(d.is_aggregate(), F.col("window_end")).otherwise(F.col("start"))
@@ -86,7 +96,7 @@ def alert_list(rows: DataFrame, team: str | None = None, status: str | None = No
             rows = rows.filter(F.col(column) == value)
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     page = rows.orderBy("alert_type", F.desc("impact"), F.desc("created_at"), "packet_id")
-    return page.offset(offset).limit(min(limit, 200)).withColumn("total", total)
+    return page.offset(offset).limit(_page_size(limit)).withColumn("total", total)
 
 
 def at_risk_list(decisions: DataFrame, source: str | None = None, gate: str | None = None,
@@ -97,7 +107,7 @@ def at_risk_list(decisions: DataFrame, source: str | None = None, gate: str | No
     for column, value in (("source", source), ("gate", gate)):
         if value:
             rows = rows.filter(F.col(column) == value)
-    return rows.orderBy(F.desc("source"), F.desc("start"), "packet_id").limit(min(limit, 200))
+    return rows.orderBy(F.desc("source"), F.desc("start"), "packet_id").limit(_page_size(limit))
 
 
 # --- recovery ------------------------------------------------------------------------------------------------
@@ -109,13 +119,17 @@ def recovery_candidates(decisions: DataFrame, s: Settings = DEFAULTS) -> DataFra
         (F.col("packet_type") == "session") & (F.col("gate") != "low") & worth & F.col("customer_action").isNotNull())
 
 
-def recovery_plan(decisions: DataFrame, s: Settings = DEFAULTS, products: DataFrame | None = None) -> DataFrame:
+def recovery_plan(decisions: DataFrame, s: Settings = DEFAULTS, products: DataFrame | None = None,
+                  earlier: DataFrame | None = None, now: Column | None = None) -> DataFrame:
     """Status of each possible message: holdout, then consent, then the daily cap, then sent or waiting.
 
+    Messages are planned at the session's start, or at `now` on the live path, where `earlier` holds the messages that earlier
+    batches have sent or keep waiting (user_id, created_at); they count for the cap too.
+
     Only messages that reach the cap and pass it count for later ones, so the cap is a fold over the user's messages
     in time order. A pause of a day empties the cap, so each stretch without such a pause is a fold of its own.
     """
-    rows = _complete(recovery_candidates(decisions, s)).withColumn("created_at", F.col("start"))
+    rows = _complete(recovery_candidates(decisions, s)).withColumn("created_at", F.col("start") if now is None else now)
     rows = rows.withColumns({
         "holdout": d.in_holdout(F.col("session_id"), s),
         "_consent": d.has_consent(F.col("user_id"), s),
@@ -123,7 +137,7 @@ def recovery_plan(decisions: DataFrame, s: Settings = DEFAULTS, products: DataFr
     })
     first = F.when(F.col("holdout"), "holdout").when(~F.col("_consent"), "suppressed_consent")
     rows = rows.withColumn("_early", first)
-    capped = message_cap(rows.filter("_early IS NULL").select("packet_id", "user_id", "created_at"), s)
+    capped = message_cap(rows.filter("_early IS NULL").select("packet_id", "user_id", "created_at"), s, earlier)
     rows = rows.join(capped.select("packet_id", "accepted"), "packet_id", "left")
     passed = F.coalesce("accepted", F.lit(False))
     status = F.coalesce("_early", F.when(~passed, "suppressed_cap").when(F.col("auto"), "sent")
@@ -141,26 +155,51 @@ def recovery_plan(decisions: DataFrame, s: Settings = DEFAULTS, products: DataFr
         worth.alias("value"), "created_at")
 
 
-def message_cap(messages: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Add `accepted`: fewer than the allowed number of accepted messages of the user in the 24 hours before."""
-    rows = messages.withColumn("_at", micros("created_at"))
+def message_cap(messages: DataFrame, s: Settings = DEFAULTS, earlier: DataFrame | None = None) -> DataFrame:
+    """Add `accepted`: fewer than the allowed number of accepted messages of the user in the 24 hours before.
+
+    `earlier` (user_id, created_at) are messages accepted before, which count and are not judged again. A stretch with no more
+    messages than a day allows is accepted as a whole; only longer ones are walked, on column arrays.
+    """
+    allowed = s.messages_per_day
+    rows = messages.select("packet_id", "user_id", "created_at").withColumn("_given", F.lit(False))
+    if earlier is not None:
+        rows = rows.unionByName(earlier.select(
+            F.lit(None).cast(rows.schema["packet_id"].dataType).alias("packet_id"), "user_id", "created_at", F.lit(True).alias("_given")))
+    rows = rows.withColumn("_at", micros("created_at"))
     rows = split_hot(rows, ["user_id"], "created_at", s.hot_rows, s.max_chunks)
     rows = ordered(rows, ["user_id"], ["_at", "packet_id"], prior={"_before": F.col("_at")})
     pause = F.coalesce(F.col("_at") - F.col("_before") >= DAY, F.lit(True))
     rows = ordered(rows.withColumn("_new", pause.cast("int")), ["user_id"], ["_at", "packet_id"],
                    total={"_stretch": F.col("_new")})
-    allowed = s.messages_per_day
-
-    def step(state: dict, row: dict) -> tuple:
-        recent = [t for t in state["sent"] if row["_at"] - t < DAY]
-        ok = len(recent) < allowed
-        state["sent"] = [*recent, row["_at"]] if ok else recent
-        return (ok,)
-
-    narrow = rows.select("user_id", "_stretch", "_at", "packet_id")
-    out = fold(narrow, ["user_id", "_stretch"], ["_at", "packet_id"],
-               T.StructType([T.StructField("accepted", T.BooleanType())]), lambda: {"sent": []}, step)
-    return out.select("packet_id", "user_id", "accepted")
+    crowded = rows.groupBy("user_id", "_stretch").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > allowed)
+    marked = rows.select("user_id", "_stretch", "_at", "packet_id", "_given").join(crowded, ["user_id", "_stretch"], "left")
+    easy = marked.filter("_n IS NULL AND NOT _given").select("packet_id", "user_id", F.lit(True).alias("accepted"))
+    kind = rows.schema["packet_id"].dataType.simpleString()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, sent = None, deque()
+        for batch in batches:
+            users, stretches, times, ids, given = (batch.column(c).to_pylist() for c in (
+                "user_id", "_stretch", "_at", "packet_id", "_given"))
+            accepted = []
+            for user, stretch, at, fixed in zip(users, stretches, times, given):
+                if (user, stretch) != current:
+                    current, sent = (user, stretch), deque()
+                while sent and at - sent[0] >= DAY:
+                    sent.popleft()
+                ok = fixed or len(sent) < allowed
+                if ok:
+                    sent.append(at)
+                accepted.append(ok)
+            out = pa.RecordBatch.from_arrays([batch.column("packet_id"), batch.column("user_id"), pa.array(accepted, pa.bool_())],
+                                             names=["packet_id", "user_id", "accepted"])
+            yield out.filter(pa.array([not g for g in given], pa.bool_()))
+
+    hard = (marked.filter("_n IS NOT NULL").repartition("user_id", "_stretch")
+            .sortWithinPartitions("user_id", "_stretch", "_at", "packet_id")
+            .mapInArrow(walk, f"packet_id {kind}, user_id string, accepted boolean"))
+    return easy.unionByName(hard)
 
 
 def recent_messages(messages: DataFrame, hours: int = 24, s: Settings = DEFAULTS) -> DataFrame:

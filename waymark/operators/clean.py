@@ -48,7 +48,7 @@ def valid_vocabulary(events: DataFrame) -> DataFrame:
 def normalise_ids(events: DataFrame) -> DataFrame:
     """Missing ids are SQL nulls, not 'nan' or empty texts."""
     def tidy(c: str) -> Column:
-        return F.when(~F.lower(F.trim(c)).isin("", "nan", "none", "null"), F.col(c)).alias(c)
+        return F.when(~F.col(c).isin("", "nan"), F.col(c)).alias(c)
 
     return events.withColumns({c: tidy(c) for c in ("product_id", "order_id")})
 
@@ -57,15 +57,13 @@ def with_step(events: DataFrame) -> DataFrame:
     return events.withColumn("step", lookup(vocab.PAGE_STEP, F.col("page")))
 
 
-def clean_events(raw: DataFrame, distinct: bool = False) -> DataFrame:
+def clean_events(raw: DataFrame) -> DataFrame:
     """Raw events to clean ones: no copies, known names only, tidy ids, safe metadata, funnel step.
 
     The vocabulary filter runs before the dedup: it gives the same rows and shuffles fewer.
-    `distinct=True` skips the dedup for inputs that are known to hold no copies.
     """
     ev = valid_vocabulary(raw).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    ev = ev if distinct else dedup(ev)
-    ev = parse_metadata(normalise_ids(ev))
+    ev = parse_metadata(normalise_ids(dedup(ev)))
     return with_step(ev.withColumn("metadata", safe_metadata(F.col("metadata"))))
 
 

@@ -59,9 +59,12 @@ def token_value(token: Column) -> Column:
 
 
 def evidence_numbers(evidence: Column) -> Column:
-    """Numbers of a JSON text: values and numbers inside texts, but not in keys."""
+    """Numbers of a JSON text: numeric values as JSON writes them (sign and exponent too) and numbers inside texts, but not in keys."""
     values = F.regexp_replace(evidence, r'"(?:[^"\\]|\\.)*"\s*:', " ")
-    return F.transform(number_tokens(values), token_value)
+    text = r'"(?:[^"\\]|\\.)*"'
+    inside = F.flatten(F.transform(F.regexp_extract_all(values, F.lit(f"({text})"), F.lit(1)), number_tokens))
+    plain = F.regexp_extract_all(F.regexp_replace(values, text, " "), F.lit(r"(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"), F.lit(1))
+    return F.concat(F.transform(plain, lambda t: t.try_cast("double")), F.transform(inside, token_value))
 
 
 def evidence_keys(evidence: Column) -> Column:

@@ -164,19 +164,20 @@ def courier_health(probes: DataFrame, orders: DataFrame, days: int = 2, s: Setti
     late = F.col("delay_days") >= 2
     facts = orders.select(scopes.alias("scope"), F.col("placed_at").alias("at"), F.lit(1).cast("bigint").alias("n"),
                           F.coalesce(late, F.lit(False)).cast("bigint").alias("delayed"),
-                          F.coalesce("delay_days", F.lit(0)).cast("bigint").alias("days"))
+                          F.coalesce("delay_days", F.lit(0)).cast("bigint").alias("days"),
+                          F.col("delay_days").isNotNull().cast("bigint").alias("known"))
     base = facts.groupBy("scope").agg(ratio(F.sum("delayed"), F.sum("n")).alias("baseline"))
     span = F.make_dt_interval(F.lit(days))
     asked = probes.withColumns({"scope": name(F.col("city")), "lo": F.col("around") - span,
                                 "hi": F.col("around") + span})
-    sums = range_sums(asked, facts, "scope", ["n", "delayed", "days"], s)
+    sums = range_sums(asked, facts, "scope", ["n", "delayed", "days", "known"], s)
     rate = F.coalesce(ratio(F.col("delayed"), F.col("n")), F.lit(0.0))
     return asked.join(sums, "probe_id", "left").join(base, "scope", "left").select(
         "probe_id", "courier", "city", F.coalesce("n", F.lit(0)).alias("orders_in_window"),
         F.round(rate, 4).alias("delayed_share"),
         F.round(F.coalesce("baseline", F.lit(0.0)), 4).alias("baseline_delayed_share"),
         F.round(ratio(rate, F.col("baseline")), 2).alias("multiplier"),
-        F.round(F.coalesce(ratio(F.col("days"), F.col("n")), F.lit(0.0)), 2).alias("mean_delay_days"))
+        F.round(F.coalesce(ratio(F.col("days"), F.col("known")), F.lit(0.0)), 2).alias("mean_delay_days"))
 
 
 def delivery_eta(quotes: DataFrame, by: Sequence[str] = ("city", "courier")) -> DataFrame:

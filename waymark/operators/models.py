@@ -49,7 +49,7 @@ class RiskModel:
     features: list[str] = field(default_factory=lambda: list(RISK_FEATURES))
 
     @classmethod
-    def fit(cls, frame: DataFrame, s: Settings = DEFAULTS, features: Sequence[str] = RISK_FEATURES, rounds: int = 100,
+    def fit(cls, frame: DataFrame, s: Settings = DEFAULTS, features: Sequence[str] = RISK_FEATURES, rounds: int = 300,
             depth: int = 5) -> "RiskModel":
         """frame: session_id, label and the feature columns (see `joins.risk_frame`)."""
         train = _assembled(frame.filter(~is_test(F.col("session_id"), s)), features)
@@ -85,7 +85,7 @@ class FrictionModel:
 
     @classmethod
     def fit(cls, frame: DataFrame, labels: DataFrame, s: Settings = DEFAULTS,
-            features: Sequence[str] = FRICTION_FEATURES, rounds: int = 60, depth: int = 5,
+            features: Sequence[str] = FRICTION_FEATURES, rounds: int = 200, depth: int = 5,
             frictions: Sequence[str] = vocab.FRICTIONS) -> "FrictionModel":
         """frame: session_id and features; labels: session_id and one 0/1 column per friction."""
         joined = frame.join(labels.select("session_id", *frictions), "session_id", "left").na.fill(0, list(frictions))
@@ -142,7 +142,7 @@ class ThemeModel:
 
     @classmethod
     def fit(cls, texts: DataFrame, label: str = "theme_label", embedding: str | None = None, c: float = 4.0,
-            max_iter: int = 100) -> "ThemeModel":
+            max_iter: int = 3000) -> "ThemeModel":
         vectors = None
         if embedding:
             data = texts.withColumn("_x", array_to_vector(F.col(embedding).cast("array<double>")))

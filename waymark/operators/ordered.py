@@ -21,7 +21,7 @@ from waymark.session import checkpointed
 
 CHUNK = "chunk"
 ORDER = ("timestamp", "seq")
-BROADCAST_ROWS = 200_000  # hot keys carry a few numbers each, so this many rows are some MB
+BROADCAST_ROWS = 200_000  # rows or cuts of a few numbers each: some MB
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -37,9 +37,11 @@ def split_hot(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", limit:
     if df.isStreaming or CHUNK in df.columns:
         return df
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    n_hot = sizes.count()
+    n_hot, largest = sizes.agg(F.count(F.lit(1)), F.max("_n")).first()
     if n_hot == 0:
         return df
+    # a grid fine enough for the largest key, so that chunks keep their size however long it is
+    max_chunks = max(max_chunks, -(-largest // limit))
     grid = [i / max_chunks for i in range(1, max_chunks)]
     # keep every k-th quantile so that a key gets about n / limit chunks
     step = F.greatest(F.lit(1), F.floor(max_chunks / F.ceil(F.col("_n") / limit)).cast("int"))
@@ -51,7 +53,7 @@ def split_hot(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", limit:
     )
     before = F.size(F.filter("_cuts", lambda cut: cut < micros(ts)))
     return (
-        df.join(_small(cuts, n_hot), list(keys), "left")
+        df.join(_small(cuts, n_hot * max_chunks), list(keys), "left")
         .withColumn(CHUNK, F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(before))
         .drop("_cuts")
     )

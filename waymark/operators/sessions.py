@@ -13,12 +13,10 @@ from waymark.operators.ordered import CHUNK, ORDER, ordered, split_hot
 SESSION = ("user_id", "session_id")
 
 
-def sessionize(events: DataFrame, gap_minutes: int | None = None, settings: Settings = DEFAULTS,
-               tracker_per_user: bool = False) -> DataFrame:
+def sessionize(events: DataFrame, gap_minutes: int | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """Split every user's events where they pause for more than the gap or the tracker's session id changes.
 
-    The k-th segment (k > 1) of a tracker id is named `<id>_k`. `tracker_per_user=True` states that no tracker id is
-    shared between users, which saves a look at the data.
+    The k-th segment (k > 1) of a tracker id is named `<id>_k`, also when several users share the tracker id.
     """
     gap = (settings.session_gap_minutes if gap_minutes is None else gap_minutes) * 60_000_000
     ev = split_hot(events, ["user_id"], limit=settings.hot_rows, max_chunks=settings.max_chunks)
@@ -31,8 +29,7 @@ def sessionize(events: DataFrame, gap_minutes: int | None = None, settings: Sett
     ev = ev.withColumn("_new", starts.cast("int"))
     # a segment never changes its tracker id, so the k of a row is the number of starts of its tracker id so far
     ev = ordered(ev, SESSION, total={"_k": F.col("_new")})
-    if not tracker_per_user:
-        ev = _continue_shared_trackers(ev, events)
+    ev = _continue_shared_trackers(ev, events)
     k = F.col("_k")
     name = F.when(k > 1, F.concat_ws("_", "session_id", k.cast("string"))).otherwise(F.col("session_id"))
     return ev.withColumn("session_id", name).drop("_before", "_tracker", "_new", "_k")
@@ -83,7 +80,7 @@ def primary_products(events: DataFrame) -> DataFrame:
     )
 
 
-def session_table(events: DataFrame, primary_product: bool = True) -> DataFrame:
+def session_table(events: DataFrame) -> DataFrame:
     """One row per session: context, funnel position, outcome and join keys."""
     name, page = F.col("event"), F.col("page")
     at = F.struct(*ORDER)
@@ -127,7 +124,7 @@ def session_table(events: DataFrame, primary_product: bool = True) -> DataFrame:
         F.coalesce("_cart", F.lit(0.0)).alias("cart_value"),
         (F.col("reached_cart") & ~F.col("converted")).alias("abandoned"),
     )
-    return out.join(primary_products(events), list(SESSION), "left") if primary_product else out
+    return out.join(primary_products(events), list(SESSION), "left")
 
 
 def with_returning(sessions: DataFrame) -> DataFrame:

@@ -58,14 +58,12 @@ def forget() -> None:
 
 
 def cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    # event_id is a key of the source table, so there are no copies to look for
-    return clean.clean_events(adapters.clickstream(spark, folder), distinct=True)
+    return clean.clean_events(adapters.clickstream(spark, folder))
 
 
 @shared
 def segmented(spark: SparkSession, folder: str, gap: int = SESSION_GAP) -> DataFrame:
-    # the adapter puts the user into the tracker id
-    return sessions.sessionize(cleaned(spark, folder), gap, tracker_per_user=True)
+    return sessions.sessionize(cleaned(spark, folder), gap)
 
 
 @shared
@@ -437,7 +435,7 @@ def anomaly_members(spark, folder):
 def intraday_anomalies(spark, folder):
     """Windows of three widths over clickstream payments, merged and measured."""
     ev = segmented(spark, folder)
-    units = anomaly.gateway_units(stream_payments(ev), sessions.session_table(ev, primary_product=False))
+    units = anomaly.gateway_units(stream_payments(ev), sessions.session_table(ev))
     packets, _ = anomaly.temporal_anomalies(units, anomaly.GATEWAY, [360, 720, 1440], 10 * 1440, SENSITIVE)
     return packets.select("packet_id", "observed", "baseline", "z_score", "affected_sessions", "revenue_at_risk", "trend")
 
@@ -543,7 +541,7 @@ def second_pass(spark, folder):
     found = packets.select("packet_id", F.array(F.struct(
         F.lit("gateway_health").alias("tool"), F.lit("").alias("summary"), F.lit("payment_failure").alias("supports"),
         F.lit("aggregate").alias("evidence_kind"))).alias("findings"))
-    out = decide.decide_with_findings(packets, found, limit=100)
+    out = decide.decide_with_findings(packets, found)
     return out.groupBy("investigated", "gate", "friction_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -559,7 +557,7 @@ def drop_off_by_segment(spark, folder):
 @query
 def converters_vs_abandoners(spark, folder):
     ev = segmented(spark, folder, SEQUENCE_GAP)
-    return investigate.converters_vs_abandoners(features.session_features(ev), sessions.session_table(ev, primary_product=False)).select(
+    return investigate.converters_vs_abandoners(features.session_features(ev), sessions.session_table(ev)).select(
         "feature", "converters", "abandoners", F.coalesce("ratio", F.lit(-1.0)).alias("ratio"))
 
 
@@ -762,7 +760,7 @@ def audit_counts(spark, folder):
 # --- read models ------------------------------------------------------------------------------------------------
 
 def _bare_sessions(spark, folder):
-    return sessions.session_table(segmented(spark, folder), primary_product=False)
+    return sessions.session_table(segmented(spark, folder))
 
 
 @query
@@ -952,7 +950,7 @@ def _risk_training(spark, folder):
     full = features.session_features(ev)
     base = features.baseline_values(features.dwell_baselines(full))
     prefixes = features.add_dwell_z(features.prefix_features(ev), base)
-    return joins.risk_frame(prefixes, sessions.session_table(ev, primary_product=False)), features.add_dwell_z(full, base)
+    return joins.risk_frame(prefixes, sessions.session_table(ev)), features.add_dwell_z(full, base)
 
 
 @query

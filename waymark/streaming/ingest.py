@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from waymark.operators.clean import EVENT_COLUMNS, validated
 
+LATENESS = "10 minutes"  # how far behind the latest event a windowed stream still counts an event
 LIVE = ("struct<session_id:string,user_id:string,timestamp:timestamp,event:string,page:string,product_id:string,"
         "order_id:string,metadata:map<string,string>>")
 
@@ -28,16 +32,31 @@ def read_lines(spark: SparkSession, folder: str, **options: str) -> DataFrame:
     return spark.readStream.format("text").options(**options).load(folder)
 
 
-def store(batch: DataFrame, batch_id: int, folder: str) -> None:
-    """Accepted events and refused ones of one micro-batch. Writing a batch again replaces it."""
+def high_water(spark: SparkSession, folder: str, batch_id: int) -> datetime | None:
+    """The latest event time of the batches before, which the last of them has written down."""
+    try:
+        return spark.read.parquet(f"{folder}/progress/batch={batch_id - 1}").agg(F.max("high")).first()[0]
+    except AnalysisException:
+        return None
+
+
+def store(batch: DataFrame, batch_id: int, folder: str, lateness: str = LATENESS) -> None:
+    """Accepted events, and refused and late ones, of one micro-batch. Writing a batch again replaces it."""
     rows = validated(parsed(batch)).withColumns({
         "seq": F.monotonically_increasing_id() + F.lit(batch_id) * F.lit(1 << 50), "event_date": F.to_date("timestamp")})
     rows.persist()
     try:
         good = rows.filter("reject_reason IS NULL").drop("reject_reason", "raw")
         good.write.mode("overwrite").partitionBy("event_date").parquet(f"{folder}/live_events/batch={batch_id}")
-        rows.filter("reject_reason IS NOT NULL").select("raw", "reject_reason").write.mode("overwrite").parquet(
+        high = high_water(batch.sparkSession, folder, batch_id)
+        late = F.lit(False) if high is None else F.col("timestamp") < F.lit(high) - F.expr(f"INTERVAL {lateness}")
+        # a late event is accepted, its session is scored again; windowed streams drop it, so it is recorded for them
+        refused = rows.withColumn("reject_reason", F.coalesce("reject_reason", F.when(late, "late")))
+        refused.filter("reject_reason IS NOT NULL").select("raw", "reject_reason").write.mode("overwrite").parquet(
             f"{folder}/quarantine/batch={batch_id}")
+        newest = rows.filter("reject_reason IS NULL").agg(F.max("timestamp").alias("high"))
+        newest.select(F.greatest("high", F.lit(high).cast("timestamp")).alias("high")).write.mode("overwrite").parquet(
+            f"{folder}/progress/batch={batch_id}")
     finally:
         rows.unpersist()
 
@@ -49,7 +68,7 @@ def ingest(lines: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def failure_rates(events: DataFrame, width: str = "15 minutes", lateness: str = "10 minutes") -> DataFrame:
+def failure_rates(events: DataFrame, width: str = "15 minutes", lateness: str = LATENESS) -> DataFrame:
     """Failure rate of payment sessions' events per gateway and tumbling window, on a stream (or a table)."""
     pay = events.filter(F.col("event").isin("payment_attempt", "payment_failed"))
     pay = pay.withColumn("gateway", F.col("metadata")["gateway"]).filter("gateway IS NOT NULL")
@@ -58,7 +77,7 @@ def failure_rates(events: DataFrame, width: str = "15 minutes", lateness: str =
         F.count_if(F.col("event") == "payment_failed").alias("failed"))
 
 
-def idle_sessions(events: DataFrame, idle_minutes: float = 2.0, lateness: str = "10 minutes") -> DataFrame:
+def idle_sessions(events: DataFrame, idle_minutes: float = 2.0, lateness: str = LATENESS) -> DataFrame:
     """Sessions that have been quiet for the idle time: a session window that the watermark has closed."""
     gap = f"{int(idle_minutes * 60)} seconds"
     return events.withWatermark("timestamp", lateness).groupBy(

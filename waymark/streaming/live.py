@@ -8,52 +8,103 @@ in overwrite mode: a repeated batch replaces itself, and the newest row per key
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from waymark import vocab
 from waymark.config import DEFAULTS, Settings
+from waymark.functions.columns import meta
 from waymark.functions.rules import evaluate_rules
 from waymark.operators import actions, decide, features, fusion, sessions
 from waymark.operators.clean import with_step
+from waymark.operators.ordered import ORDER, group_max, ordered
+from waymark.operators.sessions import SESSION
+from waymark.session import checkpointed
 from waymark.sources.tables import read
 from waymark.streaming.ingest import store
 
-Scorer = Callable[[DataFrame], DataFrame]
+Scorer = Callable[[DataFrame, DataFrame], DataFrame]  # full features, features of the risk view -> scored sessions
+Investigator = Callable[[DataFrame], DataFrame]  # decided packets -> packet_id, findings
+QUOTES = "delivery_info_view"
 
 
-def rules_only(scored: DataFrame) -> DataFrame:
+def rules_only(full: DataFrame, risk_view: DataFrame) -> DataFrame:
     """Scores without learned models: rules decide alone."""
-    return scored.withColumns({
+    return full.withColumns({
         "risk_score": F.lit(0.0), "friction_probs": F.create_map().cast("map<string,double>"),
         "top_signals": F.array().cast(decide.SIGNALS), "friction_signals": F.create_map().cast(f"map<string,{decide.SIGNALS}>")})
 
 
+def risk_events(events: DataFrame) -> DataFrame:
+    """What a risk model may see of a session: the live view, or the first event if that is empty."""
+    body = F.col("event") != "exit"
+    seen = ordered(events, SESSION, total={"_outcomes": F.when(body & F.col("event").isin(*vocab.OUTCOME_EVENTS), 1).otherwise(0),
+                                           "_place": F.lit(1)})
+    seen = seen.withColumn("_shown", F.when(body & (F.col("_outcomes") == 0), 1).otherwise(0))
+    seen = group_max(seen, SESSION, "_shown", "_any")
+    return seen.filter((F.col("_shown") == 1) | ((F.col("_any") == 0) & (F.col("_place") == 1))).drop(
+        "_outcomes", "_place", "_shown", "_any")
+
+
+def live_context(events: DataFrame, full: DataFrame) -> DataFrame:
+    """Context of live sessions. It differs from the batch table: device, place and source count only when the first event is a
+    page view, the courier is that of the last quote even if that has none, and the session's kind and cart come from the
+    features."""
+    at = F.struct(*ORDER)
+    own = events.groupBy(*SESSION).agg(
+        F.min_by("event", at).alias("_first"),
+        F.max_by(F.struct(meta("courier").alias("courier")), F.when(F.col("event") == QUOTES, at)).alias("_quote"))
+    kind = full.select(*SESSION, F.when(F.col("is_post_purchase") > 0, "post_purchase").otherwise("shopping").alias("_kind"),
+                       F.col("cart_value").cast("double").alias("_cart"))
+    table = sessions.session_table(events).join(own, list(SESSION)).join(kind, list(SESSION))
+    opened = F.col("_first") == "page_view"
+    context = {c: F.when(opened, F.col(c)) for c in ("device", "app_version", "city", "city_tier")}
+    context["source"] = F.coalesce(F.when(opened, F.col("source")), F.lit("live"))
+    return table.withColumns(context | {
+        "courier": F.col("_quote.courier"), "session_kind": F.col("_kind"), "cart_value": F.coalesce("_cart", F.lit(0.0)),
+        "furthest_step": F.col("exit_step"), "abandoned": F.lit(False)}).drop("_first", "_quote", "_kind", "_cart")
+
+
 def live_packets(events: DataFrame, baselines: dict[str, tuple[float, float]], scorer: Scorer = rules_only,
                  s: Settings = DEFAULTS) -> DataFrame:
-    """Packets of the sessions at risk, from all events the sessions have so far."""
+    """Packets of the sessions at risk, from all events the sessions have so far.
+
+    The causes are scored on everything, the risk on what precedes the first outcome or exit.
+    """
     ev = with_step(events)
     full = features.add_dwell_z(features.session_features(ev), baselines)
-    scored = scorer(evaluate_rules(full))
-    context = sessions.session_table(ev).withColumns({
-        "furthest_step": F.col("exit_step"), "abandoned": F.lit(False), "source": F.coalesce("source", F.lit("live"))})
+    view = features.add_dwell_z(features.session_features(risk_events(ev)), baselines)
+    scored = scorer(evaluate_rules(full), view)
+    context = live_context(ev, full)
     themes = context.select("session_id").limit(0).withColumn("themes", F.array().cast("array<string>"))
     keep = ["session_id", "risk_score", "rule_flags", "top_signals", "friction_probs", "friction_signals"]
     packets = fusion.session_packets(scored.select(*keep), context, themes, None, None, s)
     return packets.withColumns({"packet_id": F.concat(F.lit("pk_live_"), "session_id"), "order_value": F.lit(None).cast("double")})
 
 
-def touched_events(spark: SparkSession, folder: str, batch_id: int, lookback_days: int = 1) -> DataFrame:
-    """All events of the sessions this batch touched. Only days near the batch are read."""
-    stored = read(spark, folder, "live_events")
-    new = stored.filter(F.col("batch") == batch_id)
-    since = new.agg(F.date_sub(F.min("event_date"), lookback_days)).first()[0]
-    keys = new.select("user_id", "session_id").distinct()
+def touched_events(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
+    """All events of the sessions this batch touched, however old. The days to read are found on the key columns alone."""
+    stored = read(spark, folder, "live_events").filter(F.col("batch") <= batch_id)
+    keys = stored.filter(F.col("batch") == batch_id).select("user_id", "session_id").distinct()
+    since = stored.join(keys, ["user_id", "session_id"], "left_semi").agg(F.min("event_date")).first()[0]
     if since is None:
-        return new
-    return stored.filter((F.col("event_date") >= F.lit(since)) & (F.col("batch") <= batch_id)).join(
-        keys, ["user_id", "session_id"], "left_semi")
+        return stored.limit(0)
+    return stored.filter(F.col("event_date") >= F.lit(since)).join(keys, ["user_id", "session_id"], "left_semi")
+
+
+def messages_before(spark: SparkSession, folder: str, batch_id: int, now: datetime) -> DataFrame:
+    """user_id, created_at of messages of the 24 hours before `now` that were sent or wait for approval."""
+    since = F.lit(now) - F.make_dt_interval(hours=F.lit(24))
+    found = spark.createDataFrame([], "user_id string, created_at timestamp")
+    for name, before in (("nudges", batch_id), ("recoveries", 1 << 62)):
+        rows = read(spark, folder, name)
+        if rows is not None:
+            active = rows.filter((F.col("batch") < before) & F.col("status").isin("sent", "approved", "pending_approval"))
+            found = found.unionByName(active.filter(F.col("created_at") > since).select("user_id", "created_at"))
+    return found
 
 
 def latest(spark: SparkSession, folder: str, name: str, key: str, before: int) -> DataFrame | None:
@@ -71,17 +122,29 @@ def feed(decisions: DataFrame) -> DataFrame:
     return decisions.filter("gate <> 'low'").select(
         F.lit("at_risk").alias("type"), "session_id", F.current_timestamp().alias("ts"), F.round("risk_score", 3).alias("risk_score"),
         "friction_type", "confidence", "gate", "owner_team", "priority", "rule_flags", F.concat(F.lit("al_"), "packet_id").alias("alert_id"),
-        F.col("customer_action.id").alias("customer_action"), "nudge", F.lit(False).alias("investigated"), "cart_value", "device",
+        F.col("customer_action.id").alias("customer_action"), "nudge", F.coalesce("investigated", F.lit(False)).alias("investigated"), "cart_value", "device",
         F.col("exit_step").alias("step"))
 
 
 def score_batch(spark: SparkSession, batch_id: int, folder: str, baselines: dict[str, tuple[float, float]],
-                scorer: Scorer = rules_only, s: Settings = DEFAULTS) -> None:
-    """Score the touched sessions and write packets, alerts, nudges and feed records."""
+                scorer: Scorer = rules_only, s: Settings = DEFAULTS, investigator: Investigator | None = None,
+                now: datetime | None = None) -> None:
+    """Score the touched sessions and write packets, alerts, nudges and feed records.
+
+    Medium packets are investigated, if there is an investigator, and decided again. The daily cap on messages counts what
+    earlier batches and the finaliser have sent; `now` is the time of sending (by default the clock's).
+    """
+    now = now or datetime.now(timezone.utc)
     packets = live_packets(touched_events(spark, folder, batch_id), baselines, scorer, s)
-    decided = decide.decide(packets, s, moment="in_session").persist()
+    if investigator is None:
+        decided = decide.decide(packets, s, moment="in_session").withColumn("investigated", F.lit(False))
+    else:
+        packets = checkpointed(packets)
+        decided = decide.decide_with_findings(packets, investigator(decide.decide(packets, s, moment="in_session")), s, moment="in_session")
+    decided = decided.persist()
     try:
-        planned = actions.recovery_plan(decided, s).filter("status = 'sent'").select("session_id", "action_id", "channel", "message")
+        planned = actions.recovery_plan(decided, s, earlier=messages_before(spark, folder, batch_id, now), now=F.lit(now)).filter(
+            "status = 'sent'").select("session_id", "user_id", "action_id", "channel", "message", "status", "created_at")
         done = latest(spark, folder, "nudges", "session_id", batch_id)
         if done is not None:  # once per session
             planned = planned.join(done.select("session_id"), "session_id", "left_anti")
@@ -101,25 +164,27 @@ def score_batch(spark: SparkSession, batch_id: int, folder: str, baselines: dict
 
 
 def run(lines: DataFrame, folder: str, checkpoint: str, baselines: dict[str, tuple[float, float]],
-        scorer: Scorer = rules_only, s: Settings = DEFAULTS) -> StreamingQuery:
+        scorer: Scorer = rules_only, s: Settings = DEFAULTS, investigator: Investigator | None = None) -> StreamingQuery:
     """Ingest and score every micro-batch."""
     def each(batch: DataFrame, batch_id: int) -> None:
         store(batch, batch_id, folder)
-        score_batch(batch.sparkSession, batch_id, folder, baselines, scorer, s)
+        score_batch(batch.sparkSession, batch_id, folder, baselines, scorer, s, investigator)
 
     return lines.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
 
 
-def finalise(idle: DataFrame, folder: str, batch_id: int, s: Settings = DEFAULTS) -> DataFrame | None:
-    """Post-session recovery of idle sessions, once each; converted sessions need none."""
+def finalise(idle: DataFrame, folder: str, batch_id: int, s: Settings = DEFAULTS, now: datetime | None = None) -> DataFrame | None:
+    """Post-session recovery of idle sessions, once each; converted sessions need none. Messages of the live path count for the cap."""
     spark = idle.sparkSession
+    now = now or datetime.now(timezone.utc)
     packets = latest(spark, folder, "packets", "packet_id", 1 << 62)
     if packets is None:
         return None
     over = idle.filter("NOT converted").select("session_id").distinct()
     keep = [c for c in packets.columns if c not in ("moment", "customer_action", "team_action", "nudge")]
     rows = decide.with_actions(packets.select(*keep).join(over, "session_id", "left_semi"), "post_session")
-    planned = actions.recovery_plan(rows, s)
+    earlier = messages_before(spark, folder, 1 << 62, now)
+    planned = actions.recovery_plan(rows, s, earlier=earlier, now=F.lit(now))
     done = latest(spark, folder, "recoveries", "session_id", batch_id)
     if done is not None:
         planned = planned.join(done.select("session_id"), "session_id", "left_anti")
