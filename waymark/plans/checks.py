@@ -1028,4 +1028,12 @@ def live_packets(spark, folder):
     """Live scoring of every session as if all had just been touched."""
     zero = {s: (0.0, 1.0) for s in vocab.STEPS}
     packets = live.live_packets(segmented(spark, folder), zero)
-    return packets.select("packet_id", joined("rule_flags").alias("flags"), F.round("cart_value", 2).alias("cart_value"), "exit_step")
+    return packets.select("packet_id", joined("rule_flags").alias("flags"), F.round("cart_value", 2).alias("cart_value"), "exit_step",
+                          "furthest_step", "device", "source", "session_kind", "courier", "gateway", "payment_method", "converted")
+
+
+@query
+def live_risk_view(spark, folder):
+    """What a live risk model sees of every session: the events before the first outcome or exit, or the first event."""
+    seen = live.risk_events(segmented(spark, folder))
+    return seen.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum"))

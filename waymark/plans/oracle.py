@@ -347,7 +347,7 @@ UNION ALL SELECT packet_id, 'in_session', coalesce(live_action, '-'), team_actio
 q("decision_summary", DECIDED, """SELECT 'gate' AS section, gate AS value, count(*) AS packets FROM d3 GROUP BY 2 UNION ALL SELECT 'priority', priority, count(*) FROM d3 GROUP BY 2
 UNION ALL SELECT 'owner_team', owner_team, count(*) FROM d3 GROUP BY 2""")
 q("second_pass", f"""{DECIDED},
-ch AS (SELECT packet_id FROM d3 WHERE gate = 'medium' ORDER BY risk_score DESC, packet_id LIMIT 100),
+ch AS (SELECT packet_id FROM d3 WHERE gate = 'medium' ORDER BY risk_score DESC, packet_id LIMIT 400),
 e1 AS (SELECT d3.*, ch.packet_id IS NOT NULL AS investigated FROM d3 LEFT JOIN ch USING (packet_id)),
 e2 AS (SELECT *, round(0.3 * rule_supports::INT + 0.3 * model_supports::INT + 0.2 * text_supports::INT + 0.2 * (aggregate_supports OR (investigated AND friction_type = 'payment_failure'))::INT, 4) AS c2 FROM e1)""",
   "SELECT investigated, CASE WHEN c2 >= 0.8 THEN 'high' WHEN c2 >= 0.5 THEN 'medium' ELSE 'low' END AS gate, friction_type, count(*) AS n FROM e2 GROUP BY ALL")
@@ -563,4 +563,16 @@ q("stream_sessions", f"""ev AS ({EVENTS_SQL}), c AS (SELECT *, epoch_us(timestam
 p AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY session_id ORDER BY us) < 86400000000 THEN 0 ELSE 1 END AS nw FROM c),
 g AS (SELECT *, sum(nw) OVER (PARTITION BY session_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS i FROM p)""",
   "SELECT session_id, min(us) AS start_us, count(*) AS events, bool_or(event = 'order_placed') AS converted FROM g GROUP BY session_id, i")
-q("live_packets", f"{T720},{FEATURES}", f"""SELECT 'pk_live_' || session_id AS packet_id, {FLAGS} AS flags, round(t.cart_value, 2) AS cart_value, exit_step FROM f JOIN t USING (session_id) WHERE {FLAGS} <> ''""")
+q("live_packets", f"""{T720},{FEATURES}, lc AS (SELECT session_id, arg_min(event, idx) AS e0, arg_min(device, CASE WHEN device IS NOT NULL OR idx = 1 THEN idx END) AS d0,
+  max(CASE WHEN event = 'delivery_info_view' THEN idx END) AS qi FROM s GROUP BY session_id),
+lq AS (SELECT s.session_id, s.courier AS quoted FROM s JOIN lc ON s.session_id = lc.session_id AND s.idx = lc.qi)""",
+  f"""SELECT 'pk_live_' || f.session_id AS packet_id, {FLAGS} AS flags, round(f.cart_value, 2) AS cart_value, exit_step, exit_step AS furthest_step,
+CASE WHEN e0 = 'page_view' THEN f.device END AS device, 'live' AS source,
+CASE WHEN f.pp AND f.add_to_carts = 0 AND f.checkout_starts = 0 THEN 'post_purchase' ELSE 'shopping' END AS session_kind,
+quoted AS courier, t.gateway, t.payment_method, t.converted
+FROM f JOIN t ON f.session_id = t.session_id JOIN lc ON lc.session_id = f.session_id LEFT JOIN lq ON lq.session_id = f.session_id WHERE {FLAGS} <> ''""")
+_OUTCOMES = ", ".join(f"'{e}'" for e in vocab.OUTCOME_EVENTS)
+q("live_risk_view", f"""{S720}, o AS (SELECT session_id, min(idx) FILTER (event IN ({_OUTCOMES}) AND event <> 'exit') AS oi FROM s GROUP BY session_id),
+v AS (SELECT s.session_id, s.seq, s.idx, s.event <> 'exit' AND (oi IS NULL OR s.idx < oi) AS shown FROM s JOIN o ON s.session_id = o.session_id),
+w AS (SELECT *, bool_or(shown) OVER (PARTITION BY session_id) AS filled FROM v)""",
+  "SELECT session_id, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM w WHERE shown OR (NOT filled AND idx = 1) GROUP BY session_id")
