@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
-from datetime import timedelta
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
 
 from conftest import T0, rows
 from waymark import vocab
-from waymark.operators import features
+from waymark.config import Settings
+from waymark.operators import actions, drafts, features
 from waymark.operators.clean import with_step
 from waymark.streaming import ingest, live
 
@@ -63,3 +66,92 @@ def test_idle_sessions_close_and_rates_are_windowed(spark, tmp_path):
         got.append(rows(spark.read.parquet(path)))
     assert sorted((r["session_id"], r["events"], r["converted"]) for r in got[0]) == [("s_1", 2, False), ("s_2", 2, True)]
     assert [(r["gateway"], r["attempts"], r["failed"]) for r in got[1]] == [("B", 1, 1)]
+
+
+def always_high(full, risk_view):
+    """Scores that make every session a certain payment failure; the number of events the risk model saw is kept."""
+    seen = risk_view.select("session_id", F.col("n_events").cast("double").alias("risk_score"))
+    return live.rules_only(full, risk_view).drop("risk_score").join(seen, "session_id").withColumns({
+        "rule_flags": F.array(F.lit("payment_retry_x2"), F.lit("exit_after_payment_failure")),
+        "friction_probs": F.create_map(F.lit("payment_failure"), F.lit(1.0)),
+        "risk_score": F.least(F.col("risk_score") / 100, F.lit(1.0))})
+
+
+def test_a_session_is_scored_from_all_its_events_however_old(spark, tmp_path):
+    out = str(tmp_path / "out")
+    days = [event(k * 86_400, "payment_failed", "checkout_payment") for k in range(4)]
+    for i, e in enumerate(days):
+        ingest.store(spark.createDataFrame([(json.dumps(e),)], "value string"), i, out)
+    assert live.touched_events(spark, out, 3).count() == 4
+    assert live.touched_events(spark, out, 1).count() == 2
+
+
+def test_late_events_are_scored_and_recorded(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for i, t in enumerate((7200, 0, 7100, 100)):
+        ingest.store(spark.createDataFrame([(json.dumps(event(t, "search", "search")),)], "value string"), i, out)
+    late = rows(spark.read.parquet(f"{out}/quarantine"), "batch")
+    assert [(r["batch"], r["reject_reason"]) for r in late] == [(1, "late"), (3, "late")]
+    assert spark.read.parquet(f"{out}/live_events").count() == 4
+
+
+def test_live_context_follows_the_first_view_and_the_last_quote(spark, tmp_path):
+    out = str(tmp_path / "out")
+    mine = [event(0, "search", "search", metadata={"device": "android_app"}), event(5, "delivery_info_view", "checkout_delivery", metadata={"courier": "c1"}),
+            event(9, "delivery_info_view", "checkout_delivery"), event(10, "checkout_start", "cart", metadata={"cart_value": "70"}),
+            event(20, "exit", "cart", metadata={"cart_value": "999"})]
+    other = [event(0, "page_view", "home", session="s_2", metadata={"device": "desktop", "source": "ads"}), event(1, "exit", "home", session="s_2")]
+    ingest.store(spark.createDataFrame([(json.dumps(e),) for e in mine + other], "value string"), 0, out)
+    ev = with_step(spark.read.parquet(f"{out}/live_events"))
+    found = {r["session_id"]: r for r in rows(live.live_context(ev, features.session_features(ev)))}
+    a, b = found["s_1"], found["s_2"]
+    assert (a["device"], a["source"], a["courier"], a["cart_value"], a["abandoned"]) == (None, "live", None, 70.0, False)
+    assert (b["device"], b["source"]) == ("desktop", "ads")
+    assert {r["session_id"]: r["count"] for r in rows(live.risk_events(ev).groupBy("session_id").count())} == {"s_1": 4, "s_2": 1}
+
+
+def test_the_daily_cap_counts_messages_of_earlier_batches(spark, frame):
+    at = datetime(2026, 9, 20, 12, 0, 0)
+    fresh = spark.createDataFrame([("p3", "u_1", at), ("p4", "u_2", at)], "packet_id string, user_id string, created_at timestamp")
+    sent = [("u_1", at - timedelta(hours=23)), ("u_1", at - timedelta(hours=2)), ("u_2", at - timedelta(hours=25)), ("u_2", at - timedelta(hours=1))]
+    earlier = spark.createDataFrame(sent, "user_id string, created_at timestamp")
+    got = {r["packet_id"]: r["accepted"] for r in rows(actions.message_cap(fresh, earlier=earlier))}
+    assert got == {"p3": False, "p4": True}
+    assert {r["packet_id"] for r in rows(actions.message_cap(fresh)) if r["accepted"]} == {"p3", "p4"}
+
+
+def test_messages_of_live_and_closed_sessions_are_the_history_of_the_cap(spark, tmp_path):
+    out, now = str(tmp_path / "out"), datetime(2026, 9, 20, 12, 0, 0)
+    schema = "session_id string, user_id string, status string, created_at timestamp"
+    spark.createDataFrame([("s_1", "u_1", "sent", now - timedelta(hours=1)), ("s_2", "u_1", "sent", now - timedelta(hours=30))], schema).write.parquet(f"{out}/nudges/batch=0")
+    spark.createDataFrame([("s_3", "u_2", "pending_approval", now), ("s_4", "u_2", "holdout", now)], schema).write.parquet(f"{out}/recoveries/batch=5")
+    assert sorted(r["user_id"] for r in rows(live.messages_before(spark, out, 3, now))) == ["u_1", "u_2"]
+    assert [r["user_id"] for r in rows(live.messages_before(spark, out, 0, now))] == ["u_2"]
+
+
+def test_medium_packets_are_investigated_and_decided_again(spark, tmp_path):
+    out = str(tmp_path / "out")
+    events = [event(0, "page_view", "home"), event(5, "payment_attempt", "checkout_payment", metadata={"gateway": "A", "method": "UPI"}), event(6, "payment_failed", "checkout_payment"),
+              event(7, "exit", "checkout_payment")]
+    ingest.store(spark.createDataFrame([(json.dumps(e),) for e in events], "value string"), 0, out)
+
+    def look(decided):
+        return decided.filter("gate = 'medium'").select("packet_id", F.array(F.struct(
+            F.lit("gateway_health").alias("tool"), F.lit("").alias("summary"), F.lit("payment_failure").alias("supports"),
+            F.lit("aggregate").alias("evidence_kind"))).alias("findings"))
+
+    live.score_batch(spark, 0, out, FLAT, always_high, Settings(gate_medium=0.25), look, datetime(2026, 9, 20, 12, 0, 0))
+    plain = str(tmp_path / "plain")
+    ingest.store(spark.createDataFrame([(json.dumps(e),) for e in events], "value string"), 0, plain)
+    live.score_batch(spark, 0, plain, FLAT, always_high, Settings(gate_medium=0.25), now=datetime(2026, 9, 20, 12, 0, 0))
+    with_look, without = (rows(spark.read.parquet(f"{f}/packets"))[0] for f in (out, plain))
+    assert (without["investigated"], without["gate"]) == (False, "medium")
+    assert with_look["investigated"] and with_look["confidence"] > without["confidence"]
+    assert with_look["risk_score"] == 0.03  # the risk model does not see the exit
+    assert rows(spark.read.parquet(f"{out}/feed"))[0]["investigated"] is True
+
+
+def test_numbers_of_the_evidence_are_read_as_json_writes_them(spark):
+    got = spark.sql("""SELECT '{"a": -0.5, "b1": 1.0E-4, "c": "up 12% of 1,500", "d": [3, true, null], "e5": {"f": "x2"}}' AS e""").select(
+        drafts.evidence_numbers(F.col("e")).alias("n")).first().n
+    assert sorted(got) == [-0.5, 1.0e-4, 3.0, 12.0, 1500.0]
