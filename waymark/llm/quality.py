@@ -100,7 +100,7 @@ class Lookup:
     """Values by key in an open-addressed table that numpy probes for many keys at once."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.bits = max(4, int(2 * len(keys)).bit_length())
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
         at, todo = self.slot(keys), np.arange(len(keys))
         while len(todo):
