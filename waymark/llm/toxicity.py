@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import Hasher, slices, text_buffer, with_arrow_columns, word_ranges
 
-FIT_ROWS = 4000
+FIT_ROWS = 3000
 PREFIXES = (4, 5, 6, 7)
 SLOTS = 1 << 18
 SEED_EVIDENCE = 12.0
@@ -48,6 +48,13 @@ def slots(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_scores(slot: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    score = np.full(len(slot), bias)
+    for column in slot.T:
+        score += weights[column]
+    return score
+
+
 def forward_backward(score: np.ndarray, bounds: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log ratios toxic : other of the forward and the backward messages of every word; sequences run from bounds[i] to bounds[i + 1].
 
@@ -119,15 +126,20 @@ def fit(hashes: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, rounds: int =
     pair = pair[pair + 1 < len(tag)]
     total = max(1, int(tag.sum()))
     for _ in range(rounds if len(tag) else 0):
-        score = weights[slot].sum(1) + bias
+        score = word_scores(slot, weights, bias)
         ahead, back = forward_backward(score, bounds, transitions)
         miss = (tag - 1 / (1 + np.exp(-np.clip(ahead + back, -60, 60)))) / total
-        slope = np.bincount(slot.ravel(), np.repeat(miss, slot.shape[1]), SLOTS) - decay * weights
+        slope = sum(np.bincount(column, miss, SLOTS) for column in slot.T) - decay * weights
         slope[0] = 0
         x, r = score[pair + 1] + back[pair + 1], ahead[pair]
-        log = np.stack([np.full(len(pair), transitions[0, 0]), transitions[0, 1] + x, transitions[1, 0] + r, transitions[1, 1] + r + x], 1)
-        log = np.exp(log - log.max(1, keepdims=True))
-        expected = (log / log.sum(1, keepdims=True)).sum(0).reshape(2, 2)
+        expected = np.zeros(4)
+        for part in range(0, len(pair), 1 << 16):
+            some_x, some_r = x[part:part + (1 << 16)], r[part:part + (1 << 16)]
+            log = np.stack([np.full(len(some_x), transitions[0, 0]), transitions[0, 1] + some_x, transitions[1, 0] + some_r,
+                            transitions[1, 1] + some_r + some_x], 1)
+            log = np.exp(log - log.max(1, keepdims=True))
+            expected += (log / log.sum(1, keepdims=True)).sum(0)
+        expected = expected.reshape(2, 2)
         seen = np.bincount(tag[pair].astype(int) * 2 + tag[pair + 1], minlength=4).reshape(2, 2)
         turn = (seen - expected) / total - decay * transitions
         memory, more = memory + slope * slope, more + turn * turn
@@ -143,7 +155,7 @@ def fit(hashes: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, rounds: int =
 
 def summary(hashes: np.ndarray, bounds: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """(marginal of every word; per document 1, expected number of toxic words on a log scale, greatest marginal)."""
-    p = marginals(model.weights[:-1][slots(hashes)].sum(1) + model.weights[-1], bounds, model.transitions)
+    p = marginals(word_scores(slots(hashes), model.weights[:-1], model.weights[-1]), bounds, model.transitions)
     total = np.append(0, np.cumsum(p))
     sums = total[bounds[1:]] - total[bounds[:-1]]
     top = np.zeros(len(bounds) - 1)
@@ -189,7 +201,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         parts.append(hashes)
         lengths.append(np.diff(bounds))
     toxic = sample.column(1).to_numpy().astype(bool)
-    return fit(np.concatenate(parts), np.cumsum(np.concatenate(lengths)), toxic)
+    del sample
+    hashes = np.concatenate(parts)
+    parts.clear()
+    return fit(hashes, np.cumsum(np.concatenate(lengths)), toxic)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", at_least: float = 0.5) -> DataFrame:
