@@ -12,6 +12,7 @@ from waymark.functions.rules import rule_frictions
 from waymark.operators.decide import SIGNALS
 from waymark.operators.joins import sparse_left_join
 
+# fixed values: the context fields of a packet
 CONTEXT = ["device", "app_version", "city", "city_tier", "source", "gateway", "payment_method", "courier",
            "primary_product_id", "order_id", "exit_step", "furthest_step", "converted", "abandoned"]
 

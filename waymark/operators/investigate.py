@@ -17,8 +17,6 @@ from waymark.operators.joins import sparse_left_join
 from waymark.operators.ranges import range_sums
 from waymark.session import checkpointed
 
-COMPARED = ["payment_failures", "coupon_failures", "otp_resends", "size_chart_opens", "pincode_checks",
-            "max_eta_days", "max_extra_fees", "rage_clicks", "js_errors", "dwell_checkout_s"]
 
 
 # --- funnel ---------------------------------------------------------------------------------------------
@@ -50,7 +48,7 @@ def drop_offs(sessions: DataFrame, segment: str) -> DataFrame:
 
 
 def converters_vs_abandoners(features: DataFrame, sessions: DataFrame,
-                             columns: Sequence[str] = COMPARED) -> DataFrame:
+                             columns: Sequence[str] = vocab.COMPARED_FEATURES) -> DataFrame:
     """feature, converters, abandoners, ratio among sessions that reached the cart, largest ratio first."""
     outcome = sessions.select("user_id", "session_id", "converted", "reached_cart").filter("reached_cart")
     joined = features.select("user_id", "session_id", *columns).join(outcome, ["user_id", "session_id"])
@@ -112,12 +110,9 @@ def recent_catalog_changes(products: DataFrame, days: int = 3, before: str | Non
                    .select("product_id", "name", "catalog_updated_at")
 
 
-PRODUCT_DETAILS = ["product_id", "name", "category", "subcategory", "price", "rating", "n_reviews", "has_size_chart",
-                   "sizes", "missing_attributes", "spec_completeness", "image_count", "return_window_days", "in_stock"]
-
 
 def product_details(products: DataFrame, product_id: str) -> DataFrame:
-    return products.filter(F.col("product_id") == product_id).select(*PRODUCT_DETAILS)
+    return products.filter(F.col("product_id") == product_id).select(*vocab.PRODUCT_DETAILS)
 
 
 def stock_check(products: DataFrame) -> DataFrame:

@@ -111,5 +111,10 @@ def group_max(df: DataFrame, keys: Sequence[str], column: str, name: str) -> Dat
 
 
 def spread(df: DataFrame, value: str, n: int = 256) -> DataFrame:
-    """Chunk by equal ranges of a number in [0, 1], for global rankings over many distinct values."""
-    return df.withColumn(CHUNK, F.least(F.floor(F.col(value) * n), F.lit(n - 1)).cast("int"))
+    """Chunk by a number, about as many rows in every chunk, for global rankings over many distinct values.
+
+    The cuts are approximate quantiles of all rows, so values that lie close together are divided too.
+    """
+    cuts = df.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 10_000)).first()[0] or []
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>")
+    return df.withColumn(CHUNK, F.size(F.filter(bounds, lambda c: c < F.col(value))))

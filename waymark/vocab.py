@@ -87,6 +87,7 @@ CONTEXT_COLUMNS = [
 ]
 Z_COLUMNS = [f"dwell_z_{s}" for s in STEPS] + ["max_dwell_z"]
 FEATURE_COLUMNS = BEHAVIOUR_COLUMNS + CONTEXT_COLUMNS + Z_COLUMNS
+CODED_CONTEXT = ["device_code", "source_code", "hour"]  # numbers that stand for names or times, not shown to people
 JOIN_COLUMNS = [
     "n_payment_records", "failed_debited_payments", "n_gateways", "n_tickets", "n_reviews", "min_review_rating",
     "order_delay_days", "order_is_delayed", "order_refund_pending", "order_return_requested",
@@ -413,3 +414,9 @@ OFFER_TERMS = [
 BANNED_PHRASES = [
     "guarantee", "promise", "100%", "lawsuit", "legal action", "your fault", "stupid", "idiot", "damn", "shut up",
 ]
+
+# --- fixed values: columns an investigation reports ------------------------------------------------
+COMPARED_FEATURES = ["payment_failures", "coupon_failures", "otp_resends", "size_chart_opens", "pincode_checks",
+                     "max_eta_days", "max_extra_fees", "rage_clicks", "js_errors", "dwell_checkout_s"]
+PRODUCT_DETAILS = ["product_id", "name", "category", "subcategory", "price", "rating", "n_reviews", "has_size_chart",
+                   "sizes", "missing_attributes", "spec_completeness", "image_count", "return_window_days", "in_stock"]
