@@ -260,7 +260,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     packed = docs.select(F.col(key).alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_t"), F.coalesce(text, F.lit("")).alias("text"),
                          F.struct(*[F.col(c) for c in other], F.col(text).isNull().alias("_null")).alias("_rest"))
     found = segments(packed, length)
-    twice = found.groupBy("key").agg(F.count("*").alias("n")).where("n >= 2").select("key")
+    # stored, so that both sides of the join are plain exchanges and a crowded key's rows can be split between tasks
+    twice = checkpointed(found.groupBy("key").agg(F.count("*").alias("n")).where("n >= 2").select("key"))
     live = checkpointed(found.join(twice, "key"))
     cnt = F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF)).alias("cnt")
     equal = live.groupBy("key", "h", cnt).agg(F.count("*").alias("n"), F.min(F.struct("_id", "_t", "pos")).alias("rep"))
