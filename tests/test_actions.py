@@ -135,6 +135,12 @@ def test_models_learn_and_explain(spark, tmp_path):
     assert rows(again.score(frame).select("risk")) == rows(model.score(frame).select("risk"))
     out = rows(models.attributed(frame, str(tmp_path / "risk/trees"), ["a", "b", "c"]).join(frame, "session_id").filter("a > 0.6"))
     assert all(r["top_signals"][0]["feature"] == "a" for r in out)
+    # one pass over several models gives what a pass per model gives, for the models a row wants
+    wanted = frame.withColumn("_top", F.when(F.col("b") > 0.5, F.array(F.lit("x"), F.lit("y"))).when(F.col("b") > 0.2, F.array(F.lit("y"))))
+    folders = {f: str(tmp_path / "risk/trees") for f in ("x", "y", "z")}
+    each = {r["session_id"]: r["signals"] for r in rows(models.attributed_each(wanted, folders, ["a", "b", "c"], "_top"))}
+    alone = {r["session_id"]: r["top_signals"] for r in rows(models.attributed(frame, folders["x"], ["a", "b", "c"]))}
+    assert all(each[r["session_id"]] == {f: alone[r["session_id"]] for f in r["_top"] or []} for r in rows(wanted))
     # contributions add up to the difference between the score and the roots
     trees = models.flat_trees(spark, str(tmp_path / "risk/trees"))
     x = np.array([[.2, .3, .4], [.9, .1, .5]])

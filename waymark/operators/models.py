@@ -251,6 +251,34 @@ def attributed(df: DataFrame, folder: str, features: Sequence[str], name: str =
     return df.select("session_id", *names).mapInPandas(run, schema)
 
 
+def attributed_each(df: DataFrame, folders: dict[str, str], features: Sequence[str], wanted: str, k: int = 5) -> DataFrame:
+    """session_id, signals: for the models named in the row's `wanted` list, the k features that pushed its score up the most.
+
+    All ensembles travel to the tasks once; a batch is walked once per model, by the rows that want it.
+    """
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast({f: flat_trees(spark, folder) for f, folder in folders.items()})
+    names = list(features)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = batch[names].to_numpy(float)
+            lists = [list(w) if w is not None else [] for w in batch[wanted]]
+            found: list[dict] = [{} for _ in lists]
+            for f, trees in shared.value.items():
+                rows = np.array([i for i, w in enumerate(lists) if f in w], dtype=int)
+                if not len(rows):
+                    continue
+                c = contributions(trees, x[rows])
+                best = np.argsort(-c, axis=1, kind="stable")[:, :k]
+                for i, row, order in zip(rows.tolist(), c, best):
+                    found[i][f] = [{"feature": names[j], "value": round(float(row[j]), 4)} for j in order if row[j] > 0]
+            yield pd.DataFrame({"session_id": batch["session_id"], "signals": found})
+
+    return df.select("session_id", *names, wanted).mapInPandas(
+        run, "session_id string, signals map<string,array<struct<feature:string,value:double>>>")
+
+
 # --- scoring all sessions ---------------------------------------------------------------------------------------
 
 def score_sessions(features: DataFrame, prefixes: DataFrame, sessions: DataFrame, risk: RiskModel,
@@ -276,11 +304,6 @@ def with_signals(scores: DataFrame, features: DataFrame, prefixes: DataFrame, ri
         prefixes.filter("is_final").select("session_id", *risk.features), "session_id", "left").na.fill(0.0)
     out = scores.join(attributed(last, f"{risk_folder}/trees", risk.features), "session_id", "left")
     out = out.withColumn("_top", top_frictions(F.col("friction_probs")))
-    parts: DataFrame | None = None
-    for f in friction.models:  # one pass per model over the rows that need it
-        rows = features.select("session_id", *friction.features).join(
-            out.filter(F.array_contains("_top", f)).select("session_id"), "session_id", "left_semi")
-        part = attributed(rows, f"{friction_folder}/{f}", friction.features, "signals").withColumn("friction", F.lit(f))
-        parts = part if parts is None else parts.unionByName(part)
-    lists = parts.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("friction", "signals"))).alias("friction_signals"))
-    return out.join(lists, "session_id", "left").drop("_top")
+    rows = features.select("session_id", *friction.features).join(out.select("session_id", "_top"), "session_id")
+    lists = attributed_each(rows, {f: f"{friction_folder}/{f}" for f in friction.models}, friction.features, "_top")
+    return out.join(lists.withColumnRenamed("signals", "friction_signals"), "session_id", "left").drop("_top")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -1001,7 +1002,7 @@ def attribution(spark, folder):
     """Features that drove the risk of every session, counted."""
     frame, full = _risk_training(spark, folder)
     model = models.RiskModel.fit(checkpointed(frame), rounds=10)
-    saved = f"{spark.sparkContext.getCheckpointDir()}/risk"
+    saved = f"{spark.sparkContext.getCheckpointDir()}/risk-{uuid.uuid4().hex}"
     model.save(saved)
     signals = models.attributed(full, f"{saved}/trees", model.features)
     return signals.select(F.explode("top_signals").alias("s")).groupBy("s.feature").agg(F.count(F.lit(1)).alias("sessions"))

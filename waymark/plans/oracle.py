@@ -6,6 +6,7 @@ from waymark import vocab
 from waymark.sources.adapters import EVENTS_SQL, ORDERS_SQL, PAYMENTS_SQL
 
 ORACLE: dict[str, str] = {}
+REPLY_LIMIT = 700  # characters of a reply draft
 
 
 def _case(expr: str, values: dict, quote: bool = True) -> str:
@@ -556,6 +557,19 @@ u AS (SELECT doc_id, unnest(tk) AS z FROM d), v AS (SELECT *, CAST(replace(rtrim
 g AS (SELECT doc_id, z, len(list_filter([0.82, 0.2, 4.1, 41500.0, 2024.0]::DOUBLE[], lambda n: abs(x - n) <= 0.5 OR abs(x - n) <= 0.01 * abs(n) OR ((z LIKE '%\\%' ESCAPE '\\' OR x > 1) AND abs(x / 100 - n) <= 0.005))) > 0 AS ok FROM v)""",
   "SELECT d.doc_id, any_value(len(tk)) AS numbers, count(g.z) FILTER (NOT ok) AS ungrounded FROM d LEFT JOIN g USING (doc_id) GROUP BY 1")
 
+# replies about payment_failure with the action retry_payment_link; refund is allowed, the evidence holds 0.82 and 0.2
+_FRICTIONS = " + ".join(f"CAST(contains(low, '{f}') OR " + " OR ".join(f"contains(low, '{p}')" for p in ps) + " AS INT)"
+                        for f, ps in vocab.FRICTION_PHRASES.items() if f != "payment_failure")
+_ACTIONS = " + ".join(f"CAST(contains(low, '{a}') AS INT)" for a in sorted({r[2] for r in vocab.PLAYBOOK} - {"retry_payment_link"}))
+q("draft_validation", f"""a AS (SELECT conv_id || '-' || turn AS draft_id, text, lower(text) AS low FROM conversations WHERE role = 'assistant'),
+tk AS (SELECT draft_id, unnest(list_filter(regexp_extract_all(text, '[A-Za-z_]\\d|\\d[\\d,]*(?:\\.\\d+)?%?'), lambda z: NOT regexp_matches(z, '^[A-Za-z_]'))) AS z FROM a),
+v AS (SELECT *, CAST(replace(rtrim(z, '%'), ',', '') AS DOUBLE) AS x FROM tk),
+g AS (SELECT draft_id, count(*) AS loose FROM v WHERE len(list_filter([0.82, 0.2]::DOUBLE[], lambda n: abs(x - n) <= 0.5 OR abs(x - n) <= 0.01 * abs(n)
+  OR ((z LIKE '%\\%' ESCAPE '\\' OR x > 1) AND abs(x / 100 - n) <= 0.005))) = 0 GROUP BY 1),
+c AS (SELECT draft_id, CASE WHEN length(text) BETWEEN 1 AND {REPLY_LIMIT} THEN coalesce(loose, 0) + {_FRICTIONS} + {_ACTIONS}
+  + len(list_filter([{_OFFERS}, {_BANNED}, {_PRIVATE}], lambda w: w IS NOT NULL)) ELSE 1 END AS n FROM a LEFT JOIN g USING (draft_id))""",
+  "SELECT draft_id, n = 0 AS ok, CAST(n AS BIGINT) AS failures, CASE WHEN n = 0 THEN 'draft' ELSE 'fallback' END AS source FROM c")
+
 # --- streams ---------------------------------------------------------------------------------------------------------
 q("stream_rates", f"ev AS ({EVENTS_SQL})", """SELECT epoch_us(date_trunc('day', timestamp)) AS start_us, gateway, count(*) FILTER (event = 'payment_attempt') AS attempts, count(*) FILTER (event = 'payment_failed') AS failed
 FROM ev WHERE event IN ('payment_attempt', 'payment_failed') GROUP BY 1, 2""")
