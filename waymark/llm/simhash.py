@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import components, with_arrow_columns
@@ -223,23 +223,41 @@ def _bits(f: list[np.ndarray], low: int, width: int) -> np.ndarray:
 
 
 def part_anchors(classes: DataFrame, threshold: int, probe: bool) -> DataFrame:
-    """(anchor, node, own): for each of the eight parts the anchor of its 23 bits, or all anchors within the radius plus the
+    """(anchor, node, own, comp): for each of the eight parts the anchor of its 23 bits, or all anchors within the radius plus the
     threshold. own packs the part's bits and 41 bits that follow it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column(0)
+            node, comp = batch.column(0), batch.column(4)
             f = [batch.column(k).to_numpy().view(np.uint64).astype(np.uint64) for k in range(1, 4)]
             for part in range(TOGETHER // PART):
                 bits = _bits(f, part * PART, LENGTH).astype(np.int64)
                 own = (bits | (_bits(f, (part + 1) * PART, CHECKED) << np.uint64(LENGTH)).view(np.int64))
                 found = nearby(bits, threshold) if probe else [(np.arange(len(bits)), decode(bits))]
                 for row, anchor in found:
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor << 3 | part), node.take(pa.array(row)), pa.array(own[row])],
-                                                     names=["anchor", "node", "own"])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor << 3 | part), node.take(pa.array(row)), pa.array(own[row]), comp.take(pa.array(row))],
+                                                     names=["anchor", "node", "own", "comp"])
 
     kind = dict(classes.dtypes)["node"]
-    return classes.select("node", "f0", "f1", "f2").mapInArrow(run, f"anchor bigint, node {kind}, own bigint")
+    return classes.select("node", "f0", "f1", "f2", "comp").mapInArrow(run, f"anchor bigint, node {kind}, own bigint, comp {kind}")
+
+
+def _apart(a: list[Column], b: list[Column]) -> Column:
+    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a[1:], b[1:], strict=True)), F.bit_count(a[0].bitwiseXOR(b[0])))
+
+
+def first_links(classes: DataFrame, limit: int) -> DataFrame:
+    """(a, b): verified links of each class to the least and the greatest one with the same 24 bits somewhere; at most 66 per class."""
+    own = [f"f{k}" for k in range(SEEDS)]
+    keys = [F.shiftrightunsigned(F.col(f), low).bitwiseAND(F.lit((1 << PART) - 1)).bitwiseOR(F.lit((k * 11 + low // 4) << PART))
+            for k, f in enumerate(own) for low in range(0, 41, 4)]
+    rows = classes.select("node", *own, F.explode(F.array(*keys)).alias("k"))
+    whole = F.struct("node", *own)
+    ends = checkpointed(rows.groupBy("k").agg(F.min(whole).alias("m"), F.max(whole).alias("g")).where("m.node < g.node"))
+    met = rows.join(ends, "k")
+    parts = [met.where((F.col(f"{e}.node") != F.col("node")) & (_apart([F.col(f) for f in own], [F.col(f"{e}.{f}") for f in own]) <= limit))
+             .select(F.least(f"{e}.node", "node").alias("a"), F.greatest(f"{e}.node", "node").alias("b")) for e in ("m", "g")]
+    return parts[0].unionByName(parts[1]).distinct()
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, limit: int = LIMIT) -> DataFrame:
@@ -253,14 +271,17 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     marked = checkpointed(sketches(docs, key, text, width))
     classes = checkpointed(marked.groupBy("f0", "f1", "f2").agg(F.min(key).alias("node")).where("node is not null"))
-    home = part_anchors(classes, 2, False).select("anchor", F.col("node").alias("a"), F.col("own").alias("x"))
-    probe = part_anchors(classes, 2, True).select("anchor", F.col("node").alias("b"), F.col("own").alias("y"))
+    # large groups of near copies are joined by few links first; the search then skips pairs inside a group
+    early = checkpointed(first_links(classes, limit))
+    grouped = checkpointed(classes.join(components(classes.select("node"), early), "node").withColumnRenamed("component", "comp"))
+    home = part_anchors(grouped, 2, False).select("anchor", F.col("node").alias("a"), F.col("own").alias("x"), F.col("comp").alias("p"))
+    probe = part_anchors(grouped, 2, True).select("anchor", F.col("node").alias("b"), F.col("own").alias("y"), F.col("comp").alias("q"))
     differ = F.col("x").bitwiseXOR(F.col("y"))
     near = (F.bit_count(differ.bitwiseAND(F.lit((1 << LENGTH) - 1))) <= 2) & (F.bit_count(F.shiftrightunsigned(differ, LENGTH)) <= CHECK_LIMIT)
-    candidates = home.join(probe, "anchor").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    candidates = home.join(probe, "anchor").where((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & near).select("a", "b").distinct()
     for side in ("a", "b"):
         candidates = candidates.join(classes.select(F.col("node").alias(side), *[F.col(f"f{k}").alias(f"{side}{k}") for k in range(SEEDS)]), side)
-    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, SEEDS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    found = components(classes.select("node"), candidates.where(apart <= limit).select("a", "b"))
+    apart = _apart([F.col(f"a{k}") for k in range(SEEDS)], [F.col(f"b{k}") for k in range(SEEDS)])
+    found = components(classes.select("node"), candidates.where(apart <= limit).select("a", "b").unionByName(early))
     ids = found.join(classes, "node").select("f0", "f1", "f2", F.col("component").alias("component_id"))
     return marked.join(ids, ["f0", "f1", "f2"], "left").select(key, F.coalesce("component_id", key).alias("component_id"))
