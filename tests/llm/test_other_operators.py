@@ -159,6 +159,30 @@ def test_edited_copies_share_a_group_and_others_do_not(docs, rng):
     assert found[1000] == found[1001] == 1000 and found[1002] == 1002 and found[None] is None
 
 
+def test_links_of_documents_are_those_of_shingle_similarity(docs, rng):
+    def shingles(text):
+        words = text.encode().lower().split()
+        return {b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+    rows = []
+    for g in range(60):
+        words = sentence(rng, rng.choice([40, 200])).split()
+        rows.append((10 * g, " ".join(words)))
+        for c in range(1, 5):  # one stretch is replaced, so similarities lie on both sides of 0.8
+            new = max(1, round(len(words) * (0.04, 0.09, 0.13, 0.2)[c - 1]))
+            rows.append((10 * g + c, " ".join(words[:-new] + sentence(rng, new).split())))
+    rows += [(900, "a b c d e"), (901, "a b c d e " * 3), (902, "e d c b a"), (903, sentence(rng, 5000)), (903, "another text of one id")]
+    rows += [(910 + i, "the same heading of every page of this site " + sentence(rng, 6)) for i in range(20)]
+    union = Union({i for i, _ in rows})
+    sets = [(i, shingles(t)) for i, t in rows]
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if len(a & b) * 5 >= len(a | b) * 4:
+                union.join(i, j)
+    found = [(r.doc_id, r.component_id) for r in simhash.similar_documents(docs(rows)).collect()]
+    assert sorted(found) == sorted((i, union.find(i)) for i, _ in rows)
+
+
 # --- shards ---------------------------------------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import components, with_arrow_columns
+from waymark.llm.common import BASE, components, mix, with_arrow_columns
 from waymark.session import checkpointed
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the perfect binary code of length 23, radius 3
@@ -190,98 +190,136 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return marked.join(ids, "fingerprint").select(key, "fingerprint", "component_id")
 
 
-SEEDS, PART, TOGETHER, CHECKED = 3, 24, 192, 41
-LIMIT = 36  # of 192 bits; equal shingle sets of 0.8 differ in about 29
-CHECK_LIMIT = 14  # of the 41 bits a row carries beside its part
+SEEDS = 3
+LIMIT = 60  # of 192 bits; shingle sets of similarity 0.8 differ in 29 with a deviation of 5
+BANDS, ROWS = 32, 5  # two sets of similarity s agree in one of the bands with probability 1 - (1 - s^5)^32: 0.999997 at 0.8
+SHINGLES_A_BATCH = 1 << 20
+
+
+@lru_cache(1)
+def factors() -> np.ndarray:
+    """Odd factors, one for each of the permutations of the shingle hashes."""
+    return np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """XXH64 of the distinct shingles in ascending order. A text of fewer words is one shingle; one without words has none."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined, k = b" ".join(words), min(width, len(words))
+    ends = list(itertools.accumulate(len(w) + 1 for w in words))
+    hashed = (xxhash.xxh64_intdigest(joined[a:b - 1], 42) for a, b in zip([0, *ends[:-1]], ends[k - 1:], strict=False))
+    return np.unique(np.fromiter(hashed, np.uint64, len(words) - k + 1))
+
+
+def set_digest(hashed: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashed.astype("<u8").tobytes(), 7)
+
+
+def set_bits(hashed: np.ndarray) -> np.ndarray:
+    """Three 64-bit fingerprints of the set: a bit is set if it is in over half the hashes, which each seed mixes anew."""
+    total = np.zeros((SEEDS, 64), np.int64)
+    for low in range(0, len(hashed), 1 << 14):
+        for k in range(SEEDS):
+            part = mix(hashed[low:low + (1 << 14)] + np.array([k], np.uint64) * BASE)
+            total[k] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
+    return np.packbits(total * 2 > len(hashed), axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def set_bands(hashed: np.ndarray) -> np.ndarray:
+    """A hash for each band, of the least values of the set under the band's permutations; no bands for an empty set."""
+    if not len(hashed):
+        return np.empty(0, np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for low in range(0, len(hashed), 2048):
+        np.minimum(least, (hashed[low:low + 2048, None] * factors()).min(0), out=least)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        out = mix(out * BASE + column)
+    return out
 
 
 def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, f0, f1, f2): fingerprints of three seeds."""
+    """(key, node, f0, f1, f2, bands): digest, fingerprints and bands of each document's set of shingles."""
 
     def fill(batch: pa.RecordBatch) -> list[pa.Array]:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
-        out = np.empty((SEEDS, len(column)), np.uint64)
+        node, prints, bands = np.empty(len(column), np.uint64), np.empty((SEEDS, len(column)), np.uint64), []
         for i in range(len(column)):
-            words = (column[i].as_py() or b"").lower().split()
-            for k in range(SEEDS):
-                out[k, i] = fingerprint_words(words, width, 42 + k)
-        return [pa.array(row.view(np.int64)) for row in out]
-
-    return with_arrow_columns(docs.select(key, text), "f0 bigint, f1 bigint, f2 bigint", fill).select(key, "f0", "f1", "f2")
-
-
-def _bits(f: list[np.ndarray], low: int, width: int) -> np.ndarray:
-    """Bits low ... low + width - 1 of the three fingerprints in a row, which continue with the first."""
-    out = np.zeros(len(f[0]), np.uint64)
-    done = 0
-    while done < width:
-        at = (low + done) % TOGETHER
-        take = min(width - done, 64 - at % 64)
-        out |= ((f[at // 64] >> np.uint64(at % 64)) & np.uint64((1 << take) - 1)) << np.uint64(done)
-        done += take
-    return out
+            hashed = shingle_hashes(column[i].as_py(), width)
+            node[i], prints[:, i] = set_digest(hashed), set_bits(hashed)
+            bands.append(set_bands(hashed).view(np.int64))
+        return [pa.array(node.view(np.int64)), *[pa.array(row.view(np.int64)) for row in prints], pa.array(bands, pa.list_(pa.int64()))]
 
+    added = "node bigint, f0 bigint, f1 bigint, f2 bigint, bands array<bigint>"
+    return with_arrow_columns(docs.select(key, text), added, fill).select(key, "node", "f0", "f1", "f2", "bands")
 
-def part_anchors(classes: DataFrame, threshold: int, probe: bool) -> DataFrame:
-    """(anchor, node, own, comp): for each of the eight parts the anchor of its 23 bits, or all anchors within the radius plus the
-    threshold. own packs the part's bits and 41 bits that follow it."""
+
+def shingle_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """(node, shingles) for every row: the digest of its set and the set's hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, comp = batch.column(0), batch.column(4)
-            f = [batch.column(k).to_numpy().view(np.uint64).astype(np.uint64) for k in range(1, 4)]
-            for part in range(TOGETHER // PART):
-                bits = _bits(f, part * PART, LENGTH).astype(np.int64)
-                own = (bits | (_bits(f, (part + 1) * PART, CHECKED) << np.uint64(LENGTH)).view(np.int64))
-                found = nearby(bits, threshold) if probe else [(np.arange(len(bits)), decode(bits))]
-                for row, anchor in found:
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor << 3 | part), node.take(pa.array(row)), pa.array(own[row]), comp.take(pa.array(row))],
-                                                     names=["anchor", "node", "own", "comp"])
-
-    kind = dict(classes.dtypes)["node"]
-    return classes.select("node", "f0", "f1", "f2", "comp").mapInArrow(run, f"anchor bigint, node {kind}, own bigint, comp {kind}")
+            column, nodes, sets, size = batch.column(0).cast(pa.large_binary()), [], [], 0
+            for i in range(len(column)):
+                hashed = shingle_hashes(column[i].as_py(), width)
+                nodes.append(set_digest(hashed))
+                sets.append(hashed.view(np.int64))
+                size += len(hashed)
+                if size >= SHINGLES_A_BATCH or i + 1 == len(column):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))],
+                                                     names=["node", "shingles"])
+                    nodes, sets, size = [], [], 0
 
+    return docs.select(text).mapInArrow(run, "node bigint, shingles array<bigint>")
 
-def _apart(a: list[Column], b: list[Column]) -> Column:
-    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a[1:], b[1:], strict=True)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
-
-def first_links(classes: DataFrame, limit: int) -> DataFrame:
-    """(a, b): verified links of each class to the least and the greatest one with the same 24 bits somewhere; at most 66 per class."""
-    own = [f"f{k}" for k in range(SEEDS)]
-    keys = [F.shiftrightunsigned(F.col(f), low).bitwiseAND(F.lit((1 << PART) - 1)).bitwiseOR(F.lit((k * 11 + low // 4) << PART))
-            for k, f in enumerate(own) for low in range(0, 41, 4)]
-    rows = classes.select("node", *own, F.explode(F.array(*keys)).alias("k"))
-    whole = F.struct("node", *own)
-    ends = checkpointed(rows.groupBy("k").agg(F.min(whole).alias("m"), F.max(whole).alias("g")).where("m.node < g.node"))
-    met = rows.join(ends, "k")
-    parts = [met.where((F.col(f"{e}.node") != F.col("node")) & (_apart([F.col(f) for f in own], [F.col(f"{e}.{f}") for f in own]) <= limit))
-             .select(F.least(f"{e}.node", "node").alias("a"), F.greatest(f"{e}.node", "node").alias("b")) for e in ("m", "g")]
-    return parts[0].unionByName(parts[1]).distinct()
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of 0.8 or more: 9 x common >= 4 x both sizes."""
+    for side, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(name)), side)
+    return pairs.where(F.size(F.array_intersect("x", "y")) * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b")
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, limit: int = LIMIT) -> DataFrame:
-    """(key, component_id): documents whose shingles of `width` words have a similarity of about 0.8 or more are linked.
+    """(key, component_id): documents are linked if their sets of shingles of `width` words have a similarity of 0.8 or more.
 
-    A threshold of 2 bits finds few copies with edits, so here a document has three fingerprints, 192 bits, and two documents
-    link if at most `limit` bits differ. Candidates meet at anchors as above, part by part: in each of eight parts of 23 bits
-    they may differ in 2, and pairs at a similarity of 0.8 do so in one of the parts in 19 of 20 cases, more similar ones nearly
-    always. Copies (equal fingerprints) are one class. Null and empty texts are alike; a null key stays a row of its own and is
-    the component of a class without other keys; an empty table gives no rows.
+    Documents with one set of shingles are one class. Two classes are candidates if they agree in one of the bands, and at most
+    `limit` of their 192 fingerprint bits differ; at 0.8 less than one pair in 100,000 is missed. Every link is verified by the
+    exact similarity. Each class is first compared with the least and greatest of its band, and what is joined by then
+    is not compared again. Null and empty texts are alike; a null key stays a row of its own and is the component of a class
+    without other keys; an empty table gives no rows.
     """
+    own = [f"f{k}" for k in range(SEEDS)]
     marked = checkpointed(sketches(docs, key, text, width))
-    classes = checkpointed(marked.groupBy("f0", "f1", "f2").agg(F.min(key).alias("node")).where("node is not null"))
-    # large groups of near copies are joined by few links first; the search then skips pairs inside a group
-    early = checkpointed(first_links(classes, limit))
-    grouped = checkpointed(classes.join(components(classes.select("node"), early), "node").withColumnRenamed("component", "comp"))
-    home = part_anchors(grouped, 2, False).select("anchor", F.col("node").alias("a"), F.col("own").alias("x"), F.col("comp").alias("p"))
-    probe = part_anchors(grouped, 2, True).select("anchor", F.col("node").alias("b"), F.col("own").alias("y"), F.col("comp").alias("q"))
-    differ = F.col("x").bitwiseXOR(F.col("y"))
-    near = (F.bit_count(differ.bitwiseAND(F.lit((1 << LENGTH) - 1))) <= 2) & (F.bit_count(F.shiftrightunsigned(differ, LENGTH)) <= CHECK_LIMIT)
-    candidates = home.join(probe, "anchor").where((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & near).select("a", "b").distinct()
-    for side in ("a", "b"):
-        candidates = candidates.join(classes.select(F.col("node").alias(side), *[F.col(f"f{k}").alias(f"{side}{k}") for k in range(SEEDS)]), side)
-    apart = _apart([F.col(f"a{k}") for k in range(SEEDS)], [F.col(f"b{k}") for k in range(SEEDS)])
-    found = components(classes.select("node"), candidates.where(apart <= limit).select("a", "b").unionByName(early))
-    ids = found.join(classes, "node").select("f0", "f1", "f2", F.col("component").alias("component_id"))
-    return marked.join(ids, ["f0", "f1", "f2"], "left").select(key, F.coalesce("component_id", key).alias("component_id"))
+    classes = checkpointed(marked.groupBy("node").agg(F.min(key).alias("least"), *[F.first(c).alias(c) for c in (*own, "bands")])
+                           .where("least is not null"))
+    rows = classes.select("node", *own, F.explode("bands").alias("band"))
+    whole = F.struct("node", *own)
+    ends = rows.groupBy("band").agg(F.min(whole).alias("m"), F.max(whole).alias("g")).where("m.node < g.node")
+    met = checkpointed(rows.join(ends, "band"))
+    some = classes.join(met.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("_least"))
+    texts = docs.join(some.distinct(), F.col(key) == F.col("_least"), "left_semi")
+    sets = checkpointed(shingle_sets(texts, text, width).dropDuplicates(["node"]))
+
+    def apart(a: list[str], b: list[str]) -> Column:
+        return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b, strict=True)), F.lit(0))
+
+    near = [met.where((F.col(f"{e}.node") != F.col("node")) & (apart(own, [f"{e}.{f}" for f in own]) <= limit))
+            .select(F.least(f"{e}.node", "node").alias("a"), F.greatest(f"{e}.node", "node").alias("b")) for e in ("m", "g")]
+    early = checkpointed(verified(near[0].unionByName(near[1]).distinct(), sets))
+    joined = components(classes.select("node"), early)
+    grouped = met.select("band", "node", *own).join(joined, "node")
+    mixed = grouped.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    grouped = checkpointed(grouped.join(mixed, "band", "left_semi"))
+    one, two = (grouped.select("band", F.col("node").alias(n), F.col("component").alias(f"{n}_in"), *[F.col(f).alias(f"{n}{f}") for f in own])
+                for n in ("a", "b"))
+    pairs = one.join(two, "band").where((F.col("a") < F.col("b")) & (F.col("a_in") != F.col("b_in"))
+                                        & (apart([f"a{f}" for f in own], [f"b{f}" for f in own]) <= limit))
+    late = verified(pairs.select("a", "b").distinct(), sets)
+    found = components(classes.select("node"), late.unionByName(early))
+    named = checkpointed(found.join(classes.select("node", "least"), "node"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    ids = named.join(least, "component").select("node", "component_id")
+    return marked.select(key, "node").join(ids, "node", "left").select(key, F.coalesce("component_id", key).alias("component_id"))
