@@ -64,6 +64,19 @@ def test_decontamination_matches_brute_force(spark, docs, rng, monkeypatch):
     assert {r.n_hit for r in decontaminate.contamination(docs(rows), item_df.where("false")).collect()} == {0}
 
 
+@pytest.mark.parametrize("limit", [10**6, 12])
+def test_decontamination_keeps_rows_of_equal_and_null_keys_apart(spark, docs, rng, monkeypatch, limit):
+    items = [(i, sentence(rng, 14)) for i in range(6)]
+    item_df = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [(i % 3 if i % 4 else None, f"{sentence(rng, i)} {items[i % 6][1]} {items[i % 5][1]}") for i in range(24)]
+    rows += [(1, "clean"), (1, "clean"), (None, None), (None, "clean too"), rows[5], rows[4]]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(decontaminate, "ITEM_WORDS", limit)
+    found = decontaminate.contamination(docs(rows), item_df).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in found], key=str) == brute_contamination(rows, items, 10)
+    assert all(sum(s.high - s.low for s in r.spans) == r.n_hit for r in found)
+
+
 def test_proximity_finds_displaced_words(spark, docs):
     items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id bigint, text string")
     frame = docs([(1, "alpha x beta gamma delta"), (2, "delta gamma beta alpha and so on"), (3, "alpha beta"), (4, "alpha. beta, gamma; delta")])

@@ -24,11 +24,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(docs, bounds, terms, starts, postings): one row per block of documents, the whole token stream inverted.
+    """(block, docs, bounds, terms, starts, postings): one row per block of documents, the whole token stream inverted.
 
     A term is the 64-bit hash of a word. Its postings are its positions in the block's stream of words, ascending; `bounds`
     says which positions belong to which document. A block holds about 2 MB of text, so rows stay small; a longer text is a
-    block of its own. Nothing is shuffled: a phrase lies in one document, so in one block.
+    block of its own. Nothing is shuffled: a phrase lies in one document, so in one block. `block` numbers the blocks; with its
+    place in the block it tells documents apart whose keys are equal or null, so store the index before it is searched.
     """
     kind = dict(docs.dtypes)[key]
 
@@ -47,7 +48,8 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                      pa.array([np.append(starts, len(ranked)).astype("<u4").tobytes()], pa.binary()),
                      pa.array([order.astype("<u4").tobytes()], pa.binary())], names=["docs", "bounds", "terms", "starts", "postings"])
 
-    return docs.select(key, text).mapInArrow(run, f"docs array<{kind}>, bounds binary, terms binary, starts binary, postings binary")
+    made = docs.select(key, text).mapInArrow(run, f"docs array<{kind}>, bounds binary, terms binary, starts binary, postings binary")
+    return made.select(F.monotonically_increasing_id().alias("block"), "*")
 
 
 class Block:
@@ -187,13 +189,14 @@ def matches(index: DataFrame, items: DataFrame, item: str = "item_id", text: str
                         change = np.flatnonzero(own[1:] != own[:-1])
                         spans.append([{"low": a, "high": b} for a, b in change.reshape(-1, 2).tolist()])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(block.docs, batch.schema.field("docs").type.value_type), pa.array(np.diff(block.bounds)), pa.array(number),
+                        [pa.array(np.full(len(block.docs), row["block"])), pa.array(np.arange(len(block.docs))),
+                         pa.array(block.docs, batch.schema.field("docs").type.value_type), pa.array(np.diff(block.bounds)), pa.array(number),
                          pa.array([sorted(of_doc.get(d, ())) for d in range(len(block.docs))], pa.list_(pa.string() if item_kind == "string" else pa.int64())),
                          pa.array(spans, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))],
-                        names=["doc", "n_words", "n_hit", "items", "spans"])
+                        names=["block", "place", "doc", "n_words", "n_hit", "items", "spans"])
 
         made = "string" if item_kind == "string" else "bigint"
-        return index.mapInArrow(run, f"doc {kind}, n_words bigint, n_hit bigint, items array<{made}>, spans array<struct<low:bigint,high:bigint>>")
+        return index.mapInArrow(run, f"block bigint, place bigint, doc {kind}, n_words bigint, n_hit bigint, items array<{made}>, spans array<struct<low:bigint,high:bigint>>")
 
     for r in items.select(item, text).where(F.col(text).isNotNull()).toLocalIterator():
         group.append((r[0], r[1]))
@@ -203,17 +206,17 @@ def matches(index: DataFrame, items: DataFrame, item: str = "item_id", text: str
             group, size = [], 0
     parts.append(search(group))
     if len(parts) == 1:
-        return parts[0]
+        return parts[0].drop("block", "place")
     return merged(parts)
 
 
 def merged(parts: list[DataFrame]) -> DataFrame:
-    """Results of several groups of items as one: spans are united per document. Documents need unique keys here."""
+    """Results of several groups of items as one: spans are united per document, by its block and place."""
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    together = every.groupBy("doc").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    together = every.groupBy("block", "place").agg(
+        F.first("doc").alias("doc"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("_all"))
     united = F.expr("""aggregate(_all, cast(array() as array<struct<low:bigint,high:bigint>>), (acc, s) ->
         CASE WHEN size(acc) > 0 AND element_at(acc, -1).high >= s.low
