@@ -149,3 +149,9 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="waymark-")
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df written to a path below `shared_folder` and read again: its lineage ends there, and lost executors don't matter."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

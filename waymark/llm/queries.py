@@ -8,9 +8,12 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, chat, decontaminate, embed_dedup, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
+from waymark.llm import alignment, bpe, chat, decontaminate, embed_dedup, pii, quality, sharding, simhash, spelling, suffix_dedup, toxicity, url_filter
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+#: Fixed value: every 31st word of a document loses a letter before spelling variants are grouped.
+TYPO_EVERY = 31
 #: Fixed values of the query: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
              ("com", "/de/", "block")]
@@ -22,6 +25,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@lru_cache(1)
+def tokenizers() -> alignment.Tokenizers:
+    import public_tokenizers
+
+    return alignment.Tokenizers.read(*map(public_tokenizers.path, ALIGNED))
+
+
 @lru_cache(1)
 def ranks() -> dict[bytes, int]:
     import public_tokenizers
@@ -98,6 +108,21 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
         F.length("formatted").cast("bigint").alias("formatted_chars"), "valid")
 
 
+def op11_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.extract(table(spark, folder, "documents"))
+    numbers = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.documents.select("doc_id", *numbers, F.sha2(pii.described(F.col("base")), 256).alias("base_sha256"),
+                                  pii.described(F.concat("base", "added")).alias("spans"), F.size("added").cast("bigint").alias("n_added"))
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), tokenizers(), keep_groups=False).documents.drop("groups")
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"), typo_every=TYPO_EVERY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_decontamination": op2_decontamination,
@@ -109,6 +134,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
     "op10_chat": op10_chat,
+    "op11_pii": op11_pii,
+    "op12_alignment": op12_alignment,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE: dict[str, str] = {
