@@ -38,6 +38,61 @@ def test_message_cap_equals_a_plain_walk(spark, settings):
     assert got == brute_cap(messages) and not all(got.values())
 
 
+def test_message_cap_of_one_crowded_user_needs_no_walk(spark):
+    """A million messages of one user in many chunks, against a plain walk; earlier messages count and are not judged."""
+    n = 1_000_000
+    messages = spark.range(n).select(
+        F.format_string("p%07d", "id").alias("packet_id"), F.lit("u").alias("user_id"),
+        F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 7_000_000 + F.pmod(F.xxhash64("id"), F.lit(40_000_000))).alias("created_at"))
+    earlier = spark.createDataFrame([("u", datetime(2023, 11, 20, 5)), ("u", datetime(2023, 11, 20, 6)), ("u", datetime(2023, 11, 20, 7))],
+                                    "user_id string, created_at timestamp")
+    out = actions.message_cap(messages, Settings(hot_rows=60_000, max_chunks=40), earlier)
+    got = {r.packet_id for r in out.filter("accepted").collect()}
+    walk = [(r.at, r.packet_id) for r in messages.select(F.unix_micros("created_at").alias("at"), "packet_id").collect()]
+    walk += [(r.at, None) for r in earlier.select(F.unix_micros("created_at").alias("at")).collect()]
+    sent, expected = [], set()
+    for at, pid in sorted(walk, key=lambda m: (m[0], m[1] or "")):
+        if pid is None or sum(at - t < 86_400_000_000 for t in sent[-2:]) < 2:
+            sent.append(at)
+            expected |= {pid} - {None}
+    assert got == expected and out.count() == n
+
+
+def plain_workflow(status, assigned, team, requests):
+    for rid, action, assignee in requests:
+        before = status
+        if action not in vocab.TRANSITIONS:
+            yield rid, before, before, f"unknown action {action or 'null'}", assigned
+            continue
+        allowed, target = vocab.TRANSITIONS[action]
+        if before not in allowed:
+            yield rid, before, before, f"cannot {action} an alert that is {before}", assigned
+            continue
+        if action == "assign":
+            assigned = assignee or f"{team}_queue"
+        status = target or before
+        yield rid, before, status, None, assigned
+
+
+@pytest.mark.parametrize("settings", [Settings(), Settings(hot_rows=40, max_chunks=30)])
+def test_workflow_equals_a_plain_walk(spark, settings):
+    rng = random.Random(9)
+    starts = [("open", None), ("needs_review", "kim"), ("assigned", None), ("resolved", None), ("archived", None)]
+    alerts = [(f"al_{i}", f"pk_{i}", "ops", *starts[i]) for i in range(5)]
+    choice = [*["assign", "create_ticket"] * 6, "approve", "dismiss", "resolve", "unheard_of", None]
+    requests = [(k, f"al_{rng.choice([0, 0, 0, 1, 2, 3, 4])}", rng.choice(choice), rng.choice([None, "", "lee"]), NOW + timedelta(seconds=rng.randint(0, 400)))
+                for k in range(400)]
+    df = spark.createDataFrame(requests, "request_id bigint, alert_id string, action string, assignee string, requested_at timestamp").selectExpr(
+        "*", "'ann' actor", "cast(null as string) note")
+    out = rows(actions.workflow(spark.createDataFrame(alerts, "alert_id string, packet_id string, owner_team string, status string, assigned_to string"), df, settings))
+    got = {r["request_id"]: (r["from_status"], r["to_status"], r["rejected"], r["assignee_after"]) for r in out}
+    expected = {}
+    for alert, _, team, status, assigned in alerts:
+        mine = sorted((at, k, action, who) for k, a, action, who, at in requests if a == alert)
+        expected |= {rid: tuple(rest) for rid, *rest in plain_workflow(status, assigned, team, [(k, action, who) for _, k, action, who in mine])}
+    assert got == expected and sum(v[2] is None for v in got.values()) > 20
+
+
 def test_workflow_states_and_tickets(spark):
     alerts = spark.createDataFrame([("al_1", "pk_1", "product", "open", None, None)],
                                    "alert_id string, packet_id string, owner_team string, status string, assigned_to string, updated_at timestamp")

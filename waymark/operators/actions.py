@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from waymark import vocab
 from waymark.config import DEFAULTS, Settings
 from waymark.functions import decision as d
 from waymark.functions import wording
-from waymark.functions.columns import micros, ratio
-from waymark.operators.folds import fold
-from waymark.operators.ordered import ordered, split_hot
+from waymark.functions.columns import any_of, micros, ratio
+from waymark.operators.folds import budgeted, composed_before, machine
+from waymark.operators.ordered import CHUNK, ordered, split_hot
 from waymark.operators.ranges import range_sums
 
 DAY = 86_400_000_000
@@ -156,50 +152,17 @@ def recovery_plan(decisions: DataFrame, s: Settings = DEFAULTS, products: DataFr
 
 
 def message_cap(messages: DataFrame, s: Settings = DEFAULTS, earlier: DataFrame | None = None) -> DataFrame:
-    """Add `accepted`: fewer than the allowed number of accepted messages of the user in the 24 hours before.
+    """packet_id, user_id, accepted: fewer than the allowed number of accepted messages of the user in the 24 hours before.
 
-    `earlier` (user_id, created_at) are messages accepted before, which count and are not judged again. A stretch with no more
-    messages than a day allows is accepted as a whole; only longer ones are walked, on column arrays.
+    `earlier` (user_id, created_at) are messages accepted before, which count and are not judged again. A user with very many
+    messages is worked on in chunks of time by many tasks (see folds.budgeted).
     """
-    allowed = s.messages_per_day
     rows = messages.select("packet_id", "user_id", "created_at").withColumn("_given", F.lit(False))
     if earlier is not None:
         rows = rows.unionByName(earlier.select(
             F.lit(None).cast(rows.schema["packet_id"].dataType).alias("packet_id"), "user_id", "created_at", F.lit(True).alias("_given")))
     rows = rows.withColumn("_at", micros("created_at"))
-    rows = split_hot(rows, ["user_id"], "created_at", s.hot_rows, s.max_chunks)
-    rows = ordered(rows, ["user_id"], ["_at", "packet_id"], prior={"_before": F.col("_at")})
-    pause = F.coalesce(F.col("_at") - F.col("_before") >= DAY, F.lit(True))
-    rows = ordered(rows.withColumn("_new", pause.cast("int")), ["user_id"], ["_at", "packet_id"],
-                   total={"_stretch": F.col("_new")})
-    crowded = rows.groupBy("user_id", "_stretch").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > allowed)
-    marked = rows.select("user_id", "_stretch", "_at", "packet_id", "_given").join(crowded, ["user_id", "_stretch"], "left")
-    easy = marked.filter("_n IS NULL AND NOT _given").select("packet_id", "user_id", F.lit(True).alias("accepted"))
-    kind = rows.schema["packet_id"].dataType.simpleString()
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, sent = None, deque()
-        for batch in batches:
-            users, stretches, times, ids, given = (batch.column(c).to_pylist() for c in (
-                "user_id", "_stretch", "_at", "packet_id", "_given"))
-            accepted = []
-            for user, stretch, at, fixed in zip(users, stretches, times, given):
-                if (user, stretch) != current:
-                    current, sent = (user, stretch), deque()
-                while sent and at - sent[0] >= DAY:
-                    sent.popleft()
-                ok = fixed or len(sent) < allowed
-                if ok:
-                    sent.append(at)
-                accepted.append(ok)
-            out = pa.RecordBatch.from_arrays([batch.column("packet_id"), batch.column("user_id"), pa.array(accepted, pa.bool_())],
-                                             names=["packet_id", "user_id", "accepted"])
-            yield out.filter(pa.array([not g for g in given], pa.bool_()))
-
-    hard = (marked.filter("_n IS NOT NULL").repartition("user_id", "_stretch")
-            .sortWithinPartitions("user_id", "_stretch", "_at", "packet_id")
-            .mapInArrow(walk, f"packet_id {kind}, user_id string, accepted boolean"))
-    return easy.unionByName(hard)
+    return budgeted(rows, "user_id", "packet_id", "created_at", "_given", s.messages_per_day, DAY, s.hot_rows, s.max_chunks)
 
 
 def recent_messages(messages: DataFrame, hours: int = 24, s: Settings = DEFAULTS) -> DataFrame:
@@ -238,38 +201,33 @@ def recovery_by_friction(recoveries: DataFrame) -> DataFrame:
 
 # --- workflow ------------------------------------------------------------------------------------------------
 
-_RESULT = T.StructType([
-    T.StructField("from_status", T.StringType()), T.StructField("to_status", T.StringType()),
-    T.StructField("rejected", T.StringType()), T.StructField("assignee_after", T.StringType())])
-
-
-def workflow(alert_rows: DataFrame, requests: DataFrame) -> DataFrame:
+def workflow(alert_rows: DataFrame, requests: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Every request with the state it met and left, and why it was refused if it was.
 
-    requests: request_id, alert_id, action, actor, assignee, note, requested_at.
+    requests: request_id, alert_id, action, actor, assignee, note, requested_at. A request is a map over the states; the state a
+    request meets is the composition of all earlier maps, applied to the alert's own state (see folds.composed_before), so an
+    alert with very many requests is cut into chunks. A status that is no state of the machine never changes.
     """
+    order, states = ("requested_at", "request_id"), [*vocab.OPEN_STATES, *vocab.CLOSED_STATES]
     state = alert_rows.select("alert_id", "packet_id", "owner_team", "status", "assigned_to")
-    joined = requests.join(state, "alert_id")
-
-    def start() -> dict:
-        return {"status": None}
-
-    def step(st: dict, row: dict) -> tuple:
-        if st["status"] is None:
-            st["status"], st["assigned"] = row["status"], row["assigned_to"]
-        before = st["status"]
-        if row["action"] not in vocab.TRANSITIONS:
-            return before, before, f"unknown action {row['action']}", st["assigned"]
-        allowed, target = vocab.TRANSITIONS[row["action"]]
-        if before not in allowed:
-            return before, before, f"cannot {row['action']} an alert that is {before}", st["assigned"]
-        if row["action"] == "assign":
-            st["assigned"] = row["assignee"] or f"{row['owner_team']}_queue"
-        st["status"] = target or before
-        return before, st["status"], None, st["assigned"]
-
-    done = fold(joined, ["alert_id"], ["requested_at", "request_id"], _RESULT, start, step)
-    return _numbered_tickets(done).drop("status", "assigned_to", "owner_team")
+    rows = split_hot(requests.join(state, "alert_id"), ["alert_id"], "requested_at", settings.hot_rows, settings.max_chunks)
+    rows = composed_before(rows.withColumn("_map", machine(states, vocab.TRANSITIONS, F.col("action"))), ["alert_id"], order, "_map", "_before")
+    named = F.array(*[F.lit(s) for s in states])
+    at = F.array_position(named, F.col("status")).cast("int") - 1
+    met = F.when(at >= 0, F.get("_before", at))
+    before = F.coalesce(F.get(named, met), F.col("status"))
+    known = any_of(F.col("action"), list(vocab.TRANSITIONS))
+    may = F.lit(False)
+    for name, (allowed, _) in vocab.TRANSITIONS.items():
+        may = F.when(F.col("action") == name, any_of(before, allowed)).otherwise(may)
+    rejected = F.when(~known, F.concat(F.lit("unknown action "), F.coalesce("action", F.lit("null")))).when(
+        ~may, F.concat(F.lit("cannot "), "action", F.lit(" an alert that is "), F.coalesce(before, F.lit("null"))))
+    rows = rows.withColumns({"from_status": before, "to_status": F.coalesce(F.get(named, F.get("_map", met)), F.col("status")), "rejected": rejected})
+    given = F.coalesce(F.nullif("assignee", F.lit("")), F.concat("owner_team", F.lit("_queue")))
+    took = F.when((F.col("action") == "assign") & F.col("rejected").isNull(), given)
+    rows = ordered(rows.withColumn("_took", took), ["alert_id"], order, prior={"_assigned": F.col("_took")})
+    rows = rows.withColumn("assignee_after", F.coalesce("_took", "_assigned", "assigned_to"))
+    return _numbered_tickets(rows.drop("_map", "_before", "_took", "_assigned", CHUNK)).drop("status", "assigned_to", "owner_team")
 
 
 def _numbered_tickets(done: DataFrame) -> DataFrame:

@@ -384,6 +384,7 @@ METRIC_LABELS = {
 
 # --- fixed values: workflow states (action -> states it may start from, state it leads to) -------
 OPEN_STATES = ["open", "needs_review", "approved", "assigned"]
+CLOSED_STATES = ["dismissed", "resolved"]
 TRANSITIONS = {
     "approve": (["open", "needs_review", "assigned"], "approved"),
     "assign": (["open", "needs_review", "approved"], "assigned"),
