@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame
 from waymark.llm.common import ragged, range_hashes, slices, text_buffer, with_arrow_columns
 
 WORDS_A_QUERY = 40_000
+SQUARES_A_QUERY = 4_000_000  # sum of the squared lengths of a query's words: the rows that the recursion can make
+PIECE = 48  # a word of over twice as many bytes is contracted in pieces of this size
+SHIFTS = 4  # attempts to mend a border between pieces before the two become one
 ROWS_A_QUERY = 1_000_000
 TEXT_A_ROUND = 16 << 20
 KEPT_WORDS = 1_500_000  # a task's memory of encoded words; results do not depend on it
@@ -123,19 +126,39 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts[:n])
 
 
+def distinct_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct byte strings data[start:end], and for every range the number of its string. Hashes only group the ranges:
+    ranges of one hash are compared by their bytes, and where they differ all are told apart by their bytes alone."""
+    raw = data.tobytes()
+    _, where, inverse = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    sizes, first = ends - starts, where[inverse]
+    if np.array_equal(sizes, sizes[first]) and np.array_equal(data[ragged(starts, sizes)], data[ragged(starts[first], sizes)]):
+        return [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], inverse
+    numbers: dict[bytes, int] = {}
+    inverse = np.fromiter((numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)),
+                          np.int64, len(starts))
+    return list(numbers), inverse
+
+
 class Coder:
     """The vocabulary and merge table in a DuckDB of this process."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
+        self.tokens = {rank: token for token, rank in ranks.items()}
         self.alphabet = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [(left, right, merged) for token, merged in ranks.items() for k in range(1, len(token))
                  if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None]
         table = np.array(pairs, np.int32).reshape(-1, 3)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        # without a folder for spilling: batches are bounded, and nothing may be left on an executor's disk
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self._load("merges", {"l": table[:, 0], "r": table[:, 1], "m": table[:, 2]})
         self._load("vocabulary", {"id": np.array(list(ranks.values()), np.int32), "bytes": [t.decode("latin-1") for t in ranks]})
-        self.keys, self.at, self.counts, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.at, self.counts, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
     def _load(self, name: str, columns: dict) -> None:
         given = pa.table({k: pa.array(v) for k, v in columns.items()})
@@ -143,46 +166,91 @@ class Coder:
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words one after another, and how many each word has. A word of the vocabulary is its own id."""
-        whole = np.fromiter((self.ranks.get(w, -1) for w in words), np.int32, len(words))
-        todo = np.flatnonzero(whole < 0)
-        counts = np.ones(len(words), np.int64)
-        made: list[tuple[np.ndarray, np.ndarray]] = []
-        for low in range(0, len(todo), WORDS_A_QUERY):
-            some = todo[low:low + WORDS_A_QUERY]
-            texts = [words[i] for i in some.tolist()]
+    def contract(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word, by the recursive query; a word of the vocabulary is its own id."""
+        made: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
+        todo = []
+        for i, word in enumerate(words):
+            whole = self.ranks.get(word)
+            if whole is None:
+                todo.append(i)
+            else:
+                made[i] = np.array([whole], np.int32)
+        squares = np.cumsum([len(words[i]) ** 2 for i in todo])
+        low = 0
+        while low < len(todo):
+            limit = (int(squares[low - 1]) if low else 0) + SQUARES_A_QUERY
+            high = min(low + WORDS_A_QUERY, max(low + 1, int(np.searchsorted(squares, limit, "right"))))
+            texts = [words[i] for i in todo[low:high]]
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             data = self.alphabet[np.frombuffer(b"".join(texts), np.uint8)]
-            w = np.repeat(np.arange(len(some), dtype=np.int32), lengths)
-            p = ragged(np.zeros(len(some), np.int64), lengths).astype(np.int32)
+            w = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+            p = ragged(np.zeros(len(texts), np.int64), lengths).astype(np.int32)
             end = np.append(w[1:] != w[:-1], True)
             self._load("start", {"w": w, "p": p, "t": data, "u": np.where(end, -1, np.append(data[1:], -1)).astype(np.int32),
                                  "n": np.where(end, -1, p + 1).astype(np.int32)})
             done = self.db.sql(MERGE).to_arrow_table()
-            counts[some] = np.bincount(done.column("w").to_numpy(), minlength=len(some))
-            made.append((some, done.column("t").to_numpy()))
-        flat = np.empty(int(counts.sum()), np.int32)
-        at = np.cumsum(counts) - counts
-        flat[at[whole >= 0]] = whole[whole >= 0]
-        for some, ids in made:
-            flat[ragged(at[some], counts[some])] = ids
-        return flat, counts
-
-    def learn(self, words: dict[int, bytes]) -> None:
-        """Encode words by their hashes and keep them for later batches; beyond KEPT_WORDS only the new ones stay."""
-        flat, counts = self.encode_words(list(words.values()))
-        keys, at = np.fromiter(words, np.uint64, len(words)), np.cumsum(counts) - counts
-        if len(self.keys) and len(self.keys) + len(keys) <= KEPT_WORDS:
-            keys, at = np.concatenate([self.keys, keys]), np.concatenate([self.at, at + len(self.flat)])
-            flat, counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
-        order = np.argsort(keys)
-        self.keys, self.at, self.counts, self.flat = keys[order], at[order], counts[order], flat
-
-    def known(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(hashes), bool)
-        return self.keys[np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)] == hashes
+            counts = np.bincount(done.column("w").to_numpy(), minlength=len(texts))
+            for i, ids in zip(todo[low:high], np.split(done.column("t").to_numpy(), np.cumsum(counts)[:-1]), strict=True):
+                made[i] = ids
+            low = high
+        return made
+
+    def spelt(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+
+    def contract_long(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of long words. Pieces are contracted apart; a row of tokens is the word's encoding if every two neighbours,
+        contracted alone, stay as they are. Where two pieces do not fit so, their halves form a piece of their own; if that does
+        not help in a few rounds, the two become one piece, so in the end the whole word would be."""
+        pieces = [[w[i:i + PIECE] for i in range(0, len(w), PIECE)] for w in words]
+        flat = iter(self.contract([p for some in pieces for p in some]))
+        parts = [[next(flat) for _ in some] for some in pieces]
+        fits: dict[tuple[int, int], bool] = {}
+        rounds = 0
+        while True:
+            borders = {(int(x[-1]), int(y[0])) for some in parts for x, y in zip(some, some[1:], strict=False)} - fits.keys()
+            asked = sorted(borders)
+            alone = self.contract([self.tokens[x] + self.tokens[y] for x, y in asked])
+            fits |= {pair: ids.tolist() == list(pair) for pair, ids in zip(asked, alone, strict=True)}
+            torn: list[tuple[int, int, bytes]] = []
+            for n, some in enumerate(parts):
+                k = 0
+                while k + 1 < len(some):
+                    x, y = some[k], some[k + 1]
+                    if fits[int(x[-1]), int(y[0])]:
+                        k += 1
+                        continue
+                    left, right = (len(x) // 2, -(-len(y) // 2)) if rounds < SHIFTS else (0, len(y))
+                    torn.append((n, k, self.spelt(x[left:]) + self.spelt(y[:right])))
+                    some[k], some[k + 1] = x[:left], y[right:]
+                    k += 2
+            if not torn:
+                return [np.concatenate(some) for some in parts]
+            for (n, k, _), ids in zip(reversed(torn), reversed(self.contract([text for _, _, text in torn])), strict=True):
+                parts[n].insert(k + 1, ids)
+            parts = [[x for x in some if len(x)] for some in parts]
+            rounds += 1
+
+    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
+        short = [i for i, w in enumerate(words) if len(w) <= 2 * PIECE]
+        long = [i for i, w in enumerate(words) if len(w) > 2 * PIECE]
+        made: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
+        for some, ids in ((short, self.contract([words[i] for i in short])), (long, self.contract_long([words[i] for i in long]))):
+            for i, x in zip(some, ids, strict=True):
+                made[i] = x
+        return made
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encode words and keep them for later batches; beyond KEPT_WORDS only the new ones stay."""
+        if len(self.index) + len(words) > KEPT_WORDS:
+            self.forget()
+        made = self.encode_words(words)
+        counts = np.fromiter(map(len, made), np.int64, len(made))
+        at = np.cumsum(counts) - counts + len(self.flat)
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
+        self.at, self.counts = np.concatenate([self.at, at]), np.concatenate([self.counts, counts])
+        self.flat = np.concatenate([self.flat, *made])
 
     def encode(self, column: pa.Array) -> pa.ListArray:
         data, offsets = text_buffer(column)
@@ -190,25 +258,20 @@ class Coder:
         for low, high in slices(offsets, TEXT_A_ROUND):
             part = data[offsets[low]:offsets[high]]
             bound = offsets[low:high + 1] - offsets[low]
-            pieces, words, seen = [], {}, np.empty(0, np.uint64)
+            pieces, seen = [], {}
             for first, last in slices(bound):
                 some = part[bound[first]:bound[last]]
                 starts = pretokens(some, bound[first:last + 1] - bound[first])
-                ends = np.append(starts[1:], len(some))
-                found, where, inverse = np.unique(range_hashes(some, starts, ends), return_index=True, return_inverse=True)
-                fresh = ~np.isin(found, seen, assume_unique=True)
-                seen = np.concatenate([seen, found[fresh]])
-                raw, where = some.tobytes(), where[fresh]
-                words.update(zip(found[fresh].tolist(), (raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)),
-                                 strict=True))
-                pieces.append((found, inverse, np.searchsorted(starts, bound[first:last + 1] - bound[first])))
-            new = seen[~self.known(seen)]
-            if len(new) and len(self.keys) + len(new) > KEPT_WORDS:
-                self.keys, new = self.keys[:0], seen
-            if len(new):
-                self.learn({h: words[h] for h in new.tolist()})
-            for found, inverse, cut in pieces:
-                token = np.searchsorted(self.keys, found)[inverse]
+                words, inverse = distinct_ranges(some, starts, np.append(starts[1:], len(some)))
+                seen.update(dict.fromkeys(words))
+                pieces.append((words, inverse, np.searchsorted(starts, bound[first:last + 1] - bound[first])))
+            new = [w for w in seen if w not in self.index]
+            if len(self.index) + len(new) > KEPT_WORDS:
+                new = list(seen)
+            if new:
+                self.learn(new)
+            for words, inverse, cut in pieces:
+                token = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))[inverse]
                 number = self.counts[token]
                 ids.append(self.flat[ragged(self.at[token], number)])
                 lengths.append(np.diff(np.append(0, np.cumsum(number))[cut]))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from waymark.session import checkpointed
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
+LONG = 256
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
@@ -67,7 +69,12 @@ class Hasher:
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Hasher(data)(starts, ends)
+    """64-bit hashes of ranges. Different long texts exist with equal polynomial sums modulo 2^64 whatever the base (the orders of
+    two letters by Thue and Morse, from 1,024 letters on), so ranges of LONG bytes or more are hashed with XXH64."""
+    out = Hasher(data)(starts, ends)
+    for i in np.flatnonzero(ends - starts >= LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i]:ends[i]].tobytes(), 1)
+    return out
 
 
 def word_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
