@@ -282,13 +282,85 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.where(F.size(F.array_intersect("x", "y")) * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b")
 
 
+BLOCK = 512  # classes of a band that are compared with as many others at a time
+
+
+def compared_in_blocks(members: DataFrame, limit: int) -> DataFrame:
+    """(a, b): links between classes of one band that are not yet joined, enough to join all that are linked.
+
+    members: band, node, component, f0 .. f2, shingles. A band's largest component is never compared with itself, so its
+    classes only meet the rest. Classes are dealt to blocks; a pair of blocks is one group of rows, compared where it lies, and
+    what leaves it is at most one link for each class: a link that joins nothing new is not needed.
+    """
+    part = members.groupBy("band", "component").agg(F.count("*").alias("n"))
+    sizes = part.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+    blocks = sizes.select("band", F.col("main.component").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("n_main"),
+                          F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("n_rest"))
+    placed = members.join(blocks, "band").withColumn("in_main", F.col("component") == F.col("main"))
+    own = F.when(F.col("in_main"), F.pmod(F.xxhash64("node"), F.col("n_main"))).otherwise(F.pmod(F.xxhash64("node"), F.col("n_rest"))).cast("int")
+    rest = F.sequence(F.lit(0), F.col("n_rest") - 1)
+    # a block of the rest meets every block of the rest once, and every block of the main component; blocks of the latter are below 0
+    with_rest = F.transform(rest, lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    with_main = F.transform(F.sequence(F.lit(1), F.col("n_main")), lambda k: F.struct((-k).alias("i"), F.col("own").alias("j")))
+    from_main = F.transform(rest, lambda k: F.struct((-F.col("own") - 1).alias("i"), k.alias("j")))
+    meets = F.when(F.col("in_main"), from_main).otherwise(F.concat(with_rest, with_main))
+    names = [f"f{k}" for k in range(SEEDS)]
+    rows = placed.withColumn("own", own).select("band", F.explode(meets).alias("at"), "own", "in_main", "node", "component", *names, "shingles")
+    dealt = rows.select("band", "at.i", "at.j", F.when(F.col("in_main"), -F.col("own") - 1).otherwise(F.col("own")).alias("own"), "node", "component",
+                        *names, "shingles").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group = None, []
+        for batch in batches:
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            prints = np.stack([batch.column(6 + k).to_numpy(zero_copy_only=False) for k in range(SEEDS)], 1)
+            sets = batch.column(6 + SEEDS)
+            flat, offsets = sets.flatten().to_numpy(), sets.offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            for k in range(batch.num_rows):
+                key = (columns[0][k], columns[1][k], columns[2][k])
+                if key != at:
+                    yield links_of_group(group, at, limit)
+                    at, group = key, []
+                group.append((columns[3][k], columns[4][k], columns[5][k], prints[k], flat[offsets[k]:offsets[k + 1]]))
+        yield links_of_group(group, at, limit)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def links_of_group(group: list[tuple], at: tuple | None, limit: int) -> pa.RecordBatch:
+    """Links among the classes of two blocks, or of one, that join components not joined before."""
+    found: list[tuple[int, int]] = []
+    if len(group) > 1:
+        own, node, component = (np.array([row[k] for row in group]) for k in range(3))
+        prints, size = np.stack([row[3] for row in group]).view(np.uint64), np.array([len(row[4]) for row in group])
+        component = np.unique(component, return_inverse=True)[1]
+        across = at[1] != at[2]
+        for k in range(len(group) - 1):
+            other = np.arange(k + 1, len(group))
+            if across:
+                other = other[own[other] != own[k]]
+            other = other[component[other] != component[k]]
+            # sets of a similarity of 0.8 have sizes within 0.8 of each other
+            other = other[(size[other] * 5 >= size[k] * 4) & (size[k] * 5 >= size[other] * 4)]
+            near = other[np.bitwise_count(prints[other] ^ prints[k]).sum(1, dtype=np.int64) <= limit]
+            for j in near.tolist():
+                if component[j] == component[k]:
+                    continue
+                common = len(np.intersect1d(group[k][4], group[j][4], assume_unique=True))
+                if common * 9 >= (size[k] + size[j]) * 4:
+                    found.append((min(node[k], node[j]), max(node[k], node[j])))
+                    component[component == component[j]] = component[k]
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, limit: int = LIMIT) -> DataFrame:
     """(key, component_id): documents are linked if their sets of shingles of `width` words have a similarity of 0.8 or more.
 
     Documents with one set of shingles are one class. Two classes are candidates if they agree in one of the bands, and at most
     `limit` of their 192 fingerprint bits differ; at 0.8 less than one pair in 100,000 is missed. Every link is verified by the
     exact similarity. Each class is first compared with the least and greatest of its band, and what is joined by then
-    is not compared again. Null and empty texts are alike; a null key stays a row of its own and is the component of a class
+    is not compared again; the rest meets block by block inside tasks, so that pairs are no rows. Null and empty texts are alike; a null key stays a row of its own and is the component of a class
     without other keys; an empty table gives no rows.
     """
     own = [f"f{k}" for k in range(SEEDS)]
@@ -312,12 +384,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     joined = components(classes.select("node"), early)
     grouped = met.select("band", "node", *own).join(joined, "node")
     mixed = grouped.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    grouped = checkpointed(grouped.join(mixed, "band", "left_semi"))
-    one, two = (grouped.select("band", F.col("node").alias(n), F.col("component").alias(f"{n}_in"), *[F.col(f).alias(f"{n}{f}") for f in own])
-                for n in ("a", "b"))
-    pairs = one.join(two, "band").where((F.col("a") < F.col("b")) & (F.col("a_in") != F.col("b_in"))
-                                        & (apart([f"a{f}" for f in own], [f"b{f}" for f in own]) <= limit))
-    late = verified(pairs.select("a", "b").distinct(), sets)
+    late = checkpointed(compared_in_blocks(grouped.join(mixed, "band", "left_semi").join(sets, "node"), limit).distinct())
     found = components(classes.select("node"), late.unionByName(early))
     named = checkpointed(found.join(classes.select("node", "least"), "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
