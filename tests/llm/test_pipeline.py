@@ -74,4 +74,4 @@ def test_rows_of_one_id_or_without_one_stand_for_themselves(spark, docs, rng, tm
 
 
 def test_one_query_per_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
