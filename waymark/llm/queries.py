@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import alignment, bpe, chat, decontaminate, embed_dedup, pii, quality, sharding, simhash, spelling, suffix_dedup, toxicity, url_filter
@@ -108,9 +108,13 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
         F.length("formatted").cast("bigint").alias("formatted_chars"), "valid")
 
 
+def _of_kind(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def op11_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.extract(table(spark, folder, "documents"))
-    numbers = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    numbers = [_of_kind("base", k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
     return found.documents.select("doc_id", *numbers, F.sha2(pii.described(F.col("base")), 256).alias("base_sha256"),
                                   pii.described(F.concat("base", "added")).alias("spans"), F.size("added").cast("bigint").alias("n_added"))
 
