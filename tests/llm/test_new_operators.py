@@ -170,6 +170,20 @@ def test_alignment_equals_a_plain_walk(spark, rng, parts, tmp_path):
     assert alignment.align(table(spark, []), tokenizers()).documents.count() == 0
 
 
+def test_both_ways_to_encode_side_a_agree(rng):
+    """The ranked encoding and the file's own tokenizer, over characters of all planes and odd spaces."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_str(tokenizers().a.decode())
+    own.encode_special_tokens = True
+    encoders = alignment.Encoders(tokenizers())
+    assert encoders.encode_first.__name__ == "encode_ordinary"
+    points = [c for c in range(0, 0x110000, 37) if not 0xD800 <= c < 0xE000] + list(range(0x2000, 0x2070)) + list(range(0x80, 0x250))
+    for c in map(chr, points):
+        text = f" x{c}y 1{c}2 {c} !{c}? {c}{c}  {c}'s <|endoftext|>"
+        assert encoders.encode_first(text) == own.encode(text, add_special_tokens=False).ids
+
+
 def test_runs_merge_in_levels_and_blocks(rng):
     """Many runs of several frames, against a plain count; A ids cross frame borders."""
     import numpy as np
@@ -257,7 +271,8 @@ def test_roots_follow_forms_to_the_last(spark):
 
 
 def test_queries_follow_their_contracts(spark, docs, rng, tmp_path):
-    rows = PERSONAL + planted() + aligned_rows(rng) + variant_rows(rng)
+    people = [(1_000 + i, t) for i, t in planted()]
+    rows = PERSONAL + people + aligned_rows(rng) + variant_rows(rng)
     docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
     got = QUERIES["op11_pii"](spark, str(tmp_path)).collect()
     plain = []
@@ -265,7 +280,7 @@ def test_queries_follow_their_contracts(spark, docs, rng, tmp_path):
         spans = base_spans(t)
         plain.append((i, *(sum(k == kind for k, _, _ in spans) for kind in pii.KINDS), hashlib.sha256(listed(spans).encode()).hexdigest()))
     assert sorted_rows((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == sorted_rows(plain)
-    by_id = {i: base_spans(t) for i, t in planted()}
+    by_id = {i: base_spans(t) for i, t in people}
     for r in got:
         if r.doc_id in by_id:
             assert set(listed(by_id[r.doc_id]).split(",")) - {""} <= set(r.spans.split(","))
