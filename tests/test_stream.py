@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -12,7 +14,8 @@ from waymark import vocab
 from waymark.config import Settings
 from waymark.operators import actions, drafts, features
 from waymark.operators.clean import with_step
-from waymark.streaming import ingest, live
+from waymark.sources.current import CurrentTable
+from waymark.streaming import ingest, live, state
 
 FLAT = {s: (0.0, 1.0) for s in vocab.STEPS}
 
@@ -31,7 +34,7 @@ def test_stream_equals_batch_and_survives_a_restart(spark, tmp_path):
     inbox, out = tmp_path / "in", str(tmp_path / "out")
     first = [event(0, "page_view", "home", metadata={"device": "android_app"}), event(60, "payment_attempt", "checkout_payment", metadata={"method": "UPI"}),
              event(70, "payment_failed", "checkout_payment"), event(1, "page_view", "home", metadata={"Email": "x"}), event(2, "nope", "home"),
-             event(3, "page_view", "home", surprise=1)]
+             event(3, "page_view", "home", surprise=1), event(5, "search", "search", session="s_2")]
     drop(inbox, "a.json", first)
     start = lambda: live.run(ingest.read_lines(spark, str(inbox)), out, str(tmp_path / "ck"), FLAT).awaitTermination()
     start()
@@ -40,13 +43,41 @@ def test_stream_equals_batch_and_survives_a_restart(spark, tmp_path):
     # one failure at the end is a packet already; a second one, and an earlier event that arrives late, in a list; the query is started again
     inbox.joinpath("b.json").write_text(json.dumps([event(80, "payment_failed", "checkout_payment"), event(30, "search", "search")]))
     start()
-    packet = rows(live.latest(spark, out, "packets", "packet_id", 1 << 62))[0]
+    packet = {r["session_id"]: r for r in rows(live.packets_table(spark, out).read())}["s_1"]
     assert packet["rule_flags"] == ["payment_retry_x2", "exit_after_payment_failure"]
     assert (packet["friction_type"], packet["gate"], packet["packet_id"]) == ("payment_failure", "low", "pk_live_s_1")
     stored = spark.read.parquet(f"{out}/live_events")
-    assert stored.count() == 5
-    f = rows(features.session_features(with_step(stored)))[0]
+    assert stored.count() == 6
+    f = rows(features.session_features(with_step(stored)).filter("session_id = 's_1'"))[0]
     assert (f["searches"], f["payment_failures"], f["duration_s"], f["dwell_browse_s"]) == (1, 2, 80, 60)
+    drop(inbox, "c.json", [event(90, "exit", "checkout_payment")])
+    start()
+    # three batches give what one batch job over the stored events gives
+    stored = spark.read.parquet(f"{out}/live_events")
+    batch = rows(live.live_packets(stored, FLAT).select("packet_id", "rule_flags", "cart_value", "exit_step", "start"), "packet_id")
+    streamed = rows(live.packets_table(spark, out).read().select("packet_id", "rule_flags", "cart_value", "exit_step", "start"), "packet_id")
+    assert batch == streamed and streamed
+
+
+def test_batches_read_their_own_sessions_only(spark, tmp_path):
+    """What a batch hands to scoring is the history of its sessions, from the state; quiet sessions follow when their time is over."""
+    inbox, seen = tmp_path / "in", []
+    brief = Settings(idle_minutes=0.005)
+
+    def go(name, events):
+        drop(inbox, name, events)
+        stream = state.with_history(ingest.validated(ingest.parsed(ingest.read_lines(spark, str(inbox)))), brief)
+        query = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).foreachBatch(
+            lambda b, _: seen.append(sorted((r["kind"], r["session_id"], r["event"] or "", r["seq"], r["fresh"]) for r in b.collect())))
+        state.started(query, spark, wait_for_timers=False).awaitTermination()
+        time.sleep(0.5)
+
+    go("a.json", [event(5, "search", "search"), event(0, "page_view", "home"), event(0, "page_view", "home", session="s_2")])
+    go("b.json", [event(3, "search", "search", session="s_3"), event(4, "nope", "home", session="s_3")])
+    go("c.json", [event(2, "cart_view", "cart")])
+    assert seen[0] == [("event", "s_1", "page_view", 0, True), ("event", "s_1", "search", 1, True), ("event", "s_2", "page_view", 0, True)]
+    assert seen[1] == [("event", "s_3", "search", 0, True), ("idle", "s_1", "", None, False), ("idle", "s_2", "", None, False), ("refused", "s_3", "nope", None, True)]
+    assert [r for r in seen[2] if r[0] == "event"] == [("event", "s_1", "cart_view", 2, True), ("event", "s_1", "page_view", 0, False), ("event", "s_1", "search", 1, False)]
 
 
 def test_idle_sessions_close_and_rates_are_windowed(spark, tmp_path):
@@ -77,15 +108,6 @@ def always_high(full, risk_view):
         "risk_score": F.least(F.col("risk_score") / 100, F.lit(1.0))})
 
 
-def test_a_session_is_scored_from_all_its_events_however_old(spark, tmp_path):
-    out = str(tmp_path / "out")
-    days = [event(k * 86_400, "payment_failed", "checkout_payment") for k in range(4)]
-    for i, e in enumerate(days):
-        ingest.store(spark.createDataFrame([(json.dumps(e),)], "value string"), i, out)
-    assert live.touched_events(spark, out, 3).count() == 4
-    assert live.touched_events(spark, out, 1).count() == 2
-
-
 def test_late_events_are_scored_and_recorded(spark, tmp_path):
     out = str(tmp_path / "out")
     for i, t in enumerate((7200, 0, 7100, 100)):
@@ -120,31 +142,89 @@ def test_the_daily_cap_counts_messages_of_earlier_batches(spark, frame):
     assert {r["packet_id"] for r in rows(actions.message_cap(fresh)) if r["accepted"]} == {"p3", "p4"}
 
 
-def test_messages_of_live_and_closed_sessions_are_the_history_of_the_cap(spark, tmp_path):
-    out, now = str(tmp_path / "out"), datetime(2026, 9, 20, 12, 0, 0)
-    schema = "session_id string, user_id string, status string, created_at timestamp"
-    spark.createDataFrame([("s_1", "u_1", "sent", now - timedelta(hours=1)), ("s_2", "u_1", "sent", now - timedelta(hours=30))], schema).write.parquet(f"{out}/nudges/batch=0")
-    spark.createDataFrame([("s_3", "u_2", "pending_approval", now), ("s_4", "u_2", "holdout", now)], schema).write.parquet(f"{out}/recoveries/batch=5")
-    assert sorted(r["user_id"] for r in rows(live.messages_before(spark, out, 3, now))) == ["u_1", "u_2"]
-    assert [r["user_id"] for r in rows(live.messages_before(spark, out, 0, now))] == ["u_2"]
+NOON = datetime(2026, 9, 20, 12, 0, 0)
 
 
-def test_medium_packets_are_investigated_and_decided_again(spark, tmp_path):
+def stored_events(spark, folder, events):
+    ingest.store(spark.createDataFrame([(json.dumps(e),) for e in events], "value string"), 0, folder)
+    return spark.read.parquet(f"{folder}/live_events").drop("event_date", "batch")
+
+
+CHECKOUT = [event(0, "page_view", "home"), event(5, "payment_attempt", "checkout_payment", metadata={"gateway": "A", "method": "UPI"}),
+            event(6, "payment_failed", "checkout_payment"), event(7, "exit", "checkout_payment")]
+
+
+def test_a_session_is_told_once_and_the_cap_counts_all_messages(spark, tmp_path):
+    out = str(tmp_path / "out")
+    sure = Settings(gate_high=0.3, gate_medium=0.2, holdout_share=0.0, consent_share=1.0)
+    events = stored_events(spark, out, [{**e, "session_id": f"s_{k}"} for k in range(4) for e in CHECKOUT])
+    some = events.filter("session_id IN ('s_0', 's_1')")
+    for batch_id in (0, 1, 1):  # a session scored again, and a batch repeated
+        live.score_batch(some, batch_id, out, FLAT, NOON, always_high, sure)
+    log = lambda: sorted((r["session_id"], r["stage"], r["status"]) for r in rows(live.messages_table(spark, out).read()))
+    assert log() == [("s_0", "in_session", "sent"), ("s_1", "in_session", "sent")]
+    live.score_batch(events, 2, out, FLAT, NOON, always_high, sure)  # the user's day is full
+    assert log() == [("s_0", "in_session", "sent"), ("s_1", "in_session", "sent")]
+    idle = events.select("user_id", "session_id").filter("session_id IN ('s_0', 's_2')")
+    for batch_id in (2, 3):
+        live.finalise(idle, out, batch_id, NOON, sure)
+    assert log()[0:] == sorted([("s_0", "in_session", "sent"), ("s_1", "in_session", "sent"), ("s_0", "post_session", "suppressed_cap"), ("s_2", "post_session", "suppressed_cap")])
+    live.finalise(events.select("user_id", "session_id").filter("session_id = 's_3'"), out, 4, NOON + timedelta(days=2), sure)
+    assert ("s_3", "post_session", "sent") in log() or ("s_3", "post_session", "pending_approval") in log()
+
+
+def test_closed_alerts_survive_later_batches(spark, tmp_path):
     out = str(tmp_path / "out")
-    events = [event(0, "page_view", "home"), event(5, "payment_attempt", "checkout_payment", metadata={"gateway": "A", "method": "UPI"}), event(6, "payment_failed", "checkout_payment"),
-              event(7, "exit", "checkout_payment")]
-    ingest.store(spark.createDataFrame([(json.dumps(e),) for e in events], "value string"), 0, out)
+    events = stored_events(spark, out, [{**e, "session_id": f"s_{k}"} for k in range(3) for e in CHECKOUT])
+    s = Settings(gate_medium=0.25)
+    live.score_batch(events, 0, out, FLAT, NOON, always_high, s)
+    requests = spark.createDataFrame([("r1", "al_pk_live_s_1", "dismiss", NOON)], "request_id string, alert_id string, action string, requested_at timestamp").selectExpr(
+        "*", "'ann' actor", "cast(null as string) assignee", "cast(null as string) note")
+    assert [r["to_status"] for r in rows(live.close_alerts(spark, out, requests))] == ["dismissed"]
+    for batch_id in range(1, 12):
+        live.alerts_table(spark, out).upsert(live.alerts_table(spark, out).read(live.STEP * batch_id).filter("status <> 'dismissed'"), live.STEP * batch_id)
+    live.score_batch(events, 12, out, FLAT, NOON, always_high, s)
+    assert {r["packet_id"]: r["status"] for r in rows(live.alerts_table(spark, out).read())} == {
+        "pk_live_s_0": "needs_review", "pk_live_s_1": "dismissed", "pk_live_s_2": "needs_review"}
+    assert len(live.alerts_table(spark, out).versions("delta")) <= 16 and len(live.alerts_table(spark, out).versions("base")) <= 2
+    assert rows(spark.read.parquet(f"{out}/workflow_executions"))[0]["to_status"] == "dismissed"
+
+
+def test_current_tables_merge_compact_and_repeat(spark, tmp_path):
+    rng = random.Random(4)
+    table = CurrentTable(spark, str(tmp_path / "t"), ["k"], buckets=4, deltas=3)
+    assert table.read() is None and table.next_version() == 0
+    plain, past = {}, []
+    for version in range(11):
+        change = {rng.randrange(30): rng.randrange(1000) for _ in range(6)}
+        frame_ = spark.createDataFrame(list(change.items()), "k int, v int")
+        table.upsert(frame_, version)
+        past.append(dict(plain))
+        plain |= change
+        if version in (4, 6):  # a batch that is repeated finds what was there before it
+            assert {r["k"]: r["v"] for r in rows(table.read(before=version))} == past[version]
+            table.upsert(frame_, version)
+        assert {r["k"]: r["v"] for r in rows(table.read())} == plain
+    some = spark.createDataFrame([(k,) for k in (1, 2, 99)], "k int")
+    assert {r["k"]: r["v"] for r in rows(table.read(touched=some))} == {k: v for k, v in plain.items() if k in (1, 2)}
+    assert len(table.versions("delta")) <= 6 and len(table.versions("base")) <= 2
+    aged = CurrentTable(spark, str(tmp_path / "a"), ["k"], deltas=2, retain="at", retain_hours=24)
+    for version in range(4):
+        aged.upsert(spark.createDataFrame([(version, NOON + timedelta(hours=20 * version))], "k int, at timestamp"), version)
+    assert sorted(r["k"] for r in rows(aged.read())) == [2, 3]
 
+
+def test_medium_packets_are_investigated_and_decided_again(spark, tmp_path):
     def look(decided):
         return decided.filter("gate = 'medium'").select("packet_id", F.array(F.struct(
             F.lit("gateway_health").alias("tool"), F.lit("").alias("summary"), F.lit("payment_failure").alias("supports"),
             F.lit("aggregate").alias("evidence_kind"))).alias("findings"))
 
-    live.score_batch(spark, 0, out, FLAT, always_high, Settings(gate_medium=0.25), look, datetime(2026, 9, 20, 12, 0, 0))
-    plain = str(tmp_path / "plain")
-    ingest.store(spark.createDataFrame([(json.dumps(e),) for e in events], "value string"), 0, plain)
-    live.score_batch(spark, 0, plain, FLAT, always_high, Settings(gate_medium=0.25), now=datetime(2026, 9, 20, 12, 0, 0))
-    with_look, without = (rows(spark.read.parquet(f"{f}/packets"))[0] for f in (out, plain))
+    out, plain = str(tmp_path / "out"), str(tmp_path / "plain")
+    events = stored_events(spark, out, CHECKOUT)
+    live.score_batch(events, 0, out, FLAT, NOON, always_high, Settings(gate_medium=0.25), look)
+    live.score_batch(events, 0, plain, FLAT, NOON, always_high, Settings(gate_medium=0.25))
+    with_look, without = (rows(live.packets_table(spark, f).read())[0] for f in (out, plain))
     assert (without["investigated"], without["gate"]) == (False, "medium")
     assert with_look["investigated"] and with_look["confidence"] > without["confidence"]
     assert with_look["risk_score"] == 0.03  # the risk model does not see the exit

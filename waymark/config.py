@@ -37,6 +37,7 @@ class Settings:
     # investigation and live sessions
     investigate_limit: int = 400
     idle_minutes: float = 2.0
+    state_hours: float = 48.0  # how long a live session's events and messages stay in the state
     # recovery
     messages_per_day: int = 2
     holdout_share: float = 0.10

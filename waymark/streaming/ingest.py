@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from waymark.operators.clean import EVENT_COLUMNS, validated
+from waymark.sources.current import CurrentTable
 
 LATENESS = "10 minutes"  # how far behind the latest event a windowed stream still counts an event
 LIVE = ("struct<session_id:string,user_id:string,timestamp:timestamp,event:string,page:string,product_id:string,"
@@ -32,31 +32,41 @@ def read_lines(spark: SparkSession, folder: str, **options: str) -> DataFrame:
     return spark.readStream.format("text").options(**options).load(folder)
 
 
+def progress(spark: SparkSession, folder: str) -> CurrentTable:
+    """One row: the latest event time of all batches so far."""
+    return CurrentTable(spark, f"{folder}/progress", ["stream"], buckets=1)
+
+
 def high_water(spark: SparkSession, folder: str, batch_id: int) -> datetime | None:
-    """The latest event time of the batches before, which the last of them has written down."""
-    try:
-        return spark.read.parquet(f"{folder}/progress/batch={batch_id - 1}").agg(F.max("high")).first()[0]
-    except AnalysisException:
-        return None
+    """The latest event time of the batches before this one."""
+    rows = progress(spark, folder).read(before=batch_id)
+    return None if rows is None else rows.agg(F.max("high")).first()[0]
+
+
+def store_rows(rows: DataFrame, batch_id: int, folder: str, lateness: str = LATENESS) -> datetime | None:
+    """Accepted events, and refused and late ones, of one micro-batch; returns the latest event time so far.
+
+    rows: event columns, seq, raw, reject_reason. Writing a batch again replaces it. A late event is accepted and its session is
+    scored again; windowed streams drop it, so it is recorded for them too.
+    """
+    spark = rows.sparkSession
+    good = rows.filter("reject_reason IS NULL").drop("reject_reason", "raw").withColumn("event_date", F.to_date("timestamp"))
+    good.write.mode("overwrite").partitionBy("event_date").parquet(f"{folder}/live_events/batch={batch_id}")
+    high = high_water(spark, folder, batch_id)
+    late = F.lit(False) if high is None else F.col("timestamp") < F.lit(high) - F.expr(f"INTERVAL {lateness}")
+    refused = rows.withColumn("reject_reason", F.coalesce("reject_reason", F.when(late, "late")))
+    refused.filter("reject_reason IS NOT NULL").select("raw", "reject_reason").write.mode("overwrite").parquet(f"{folder}/quarantine/batch={batch_id}")
+    newest = good.agg(F.max("timestamp").alias("high")).select(
+        F.lit("events").alias("stream"), F.greatest("high", F.lit(high).cast("timestamp")).alias("high"))
+    progress(spark, folder).upsert(newest, batch_id)
+    return high_water(spark, folder, batch_id + 1)
 
 
 def store(batch: DataFrame, batch_id: int, folder: str, lateness: str = LATENESS) -> None:
-    """Accepted events, and refused and late ones, of one micro-batch. Writing a batch again replaces it."""
-    rows = validated(parsed(batch)).withColumns({
-        "seq": F.monotonically_increasing_id() + F.lit(batch_id) * F.lit(1 << 50), "event_date": F.to_date("timestamp")})
-    rows.persist()
+    """Parse, validate and store the JSON lines of one micro-batch."""
+    rows = validated(parsed(batch)).withColumn("seq", F.monotonically_increasing_id() + F.lit(batch_id) * F.lit(1 << 50)).persist()
     try:
-        good = rows.filter("reject_reason IS NULL").drop("reject_reason", "raw")
-        good.write.mode("overwrite").partitionBy("event_date").parquet(f"{folder}/live_events/batch={batch_id}")
-        high = high_water(batch.sparkSession, folder, batch_id)
-        late = F.lit(False) if high is None else F.col("timestamp") < F.lit(high) - F.expr(f"INTERVAL {lateness}")
-        # a late event is accepted, its session is scored again; windowed streams drop it, so it is recorded for them
-        refused = rows.withColumn("reject_reason", F.coalesce("reject_reason", F.when(late, "late")))
-        refused.filter("reject_reason IS NOT NULL").select("raw", "reject_reason").write.mode("overwrite").parquet(
-            f"{folder}/quarantine/batch={batch_id}")
-        newest = rows.filter("reject_reason IS NULL").agg(F.max("timestamp").alias("high"))
-        newest.select(F.greatest("high", F.lit(high).cast("timestamp")).alias("high")).write.mode("overwrite").parquet(
-            f"{folder}/progress/batch={batch_id}")
+        store_rows(rows, batch_id, folder, lateness)
     finally:
         rows.unpersist()
 

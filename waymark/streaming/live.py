@@ -1,14 +1,16 @@
 """Live scoring: after every micro-batch the touched sessions are scored again with the batch functions.
 
-The state of a session is its events in the `live_events` table, so late events are simply sorted in, and a restart
-continues from the files and the stream's checkpoint. Every result table gets one partition per micro-batch, written
-in overwrite mode: a repeated batch replaces itself, and the newest row per key is the current state.
+A session's events are kept in the stream's keyed state (see state.py) and come with each batch that touches the session, so late
+events are simply sorted in and no batch reads the event history. Packets, alerts and messages are current tables (see
+sources/current.py): a batch opens the buckets of its own sessions and users, and a repeated batch replaces what it wrote. Quiet
+sessions arrive in the same batches, so one writer decides about all messages, in the order of the batches. The time of sending
+is the latest event time so far, which a repeated batch finds again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +21,13 @@ from waymark.config import DEFAULTS, Settings
 from waymark.functions.columns import meta
 from waymark.functions.rules import evaluate_rules
 from waymark.operators import actions, decide, features, fusion, sessions
-from waymark.operators.clean import with_step
+from waymark.operators.clean import validated, with_step
 from waymark.operators.ordered import ORDER, group_max, ordered
 from waymark.operators.sessions import SESSION
 from waymark.session import checkpointed
-from waymark.sources.tables import read
-from waymark.streaming.ingest import store
+from waymark.sources.current import CurrentTable
+from waymark.streaming import state
+from waymark.streaming.ingest import parsed, store_rows
 
 Scorer = Callable[[DataFrame, DataFrame], DataFrame]  # full features, features of the risk view -> scored sessions
 Investigator = Callable[[DataFrame], DataFrame]  # decided packets -> packet_id, findings
@@ -85,36 +88,36 @@ def live_packets(events: DataFrame, baselines: dict[str, tuple[float, float]], s
     return packets.withColumns({"packet_id": F.concat(F.lit("pk_live_"), "session_id"), "order_value": F.lit(None).cast("double")})
 
 
-def touched_events(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
-    """All events of the sessions this batch touched, however old. The days to read are found on the key columns alone."""
-    stored = read(spark, folder, "live_events").filter(F.col("batch") <= batch_id)
-    keys = stored.filter(F.col("batch") == batch_id).select("user_id", "session_id").distinct()
-    since = stored.join(keys, ["user_id", "session_id"], "left_semi").agg(F.min("event_date")).first()[0]
-    if since is None:
-        return stored.limit(0)
-    return stored.filter(F.col("event_date") >= F.lit(since)).join(keys, ["user_id", "session_id"], "left_semi")
+def messages_table(spark: SparkSession, folder: str, s: Settings = DEFAULTS) -> CurrentTable:
+    """Planned messages of live and closed sessions; those older than the sessions' time-out are dropped by the compaction."""
+    return CurrentTable(spark, f"{folder}/messages", ["user_id", "session_id", "stage"], by=["user_id"], retain="created_at", retain_hours=s.state_hours)
 
 
-def messages_before(spark: SparkSession, folder: str, batch_id: int, now: datetime) -> DataFrame:
-    """user_id, created_at of messages of the 24 hours before `now` that were sent or wait for approval."""
-    since = F.lit(now) - F.make_dt_interval(hours=F.lit(24))
-    found = spark.createDataFrame([], "user_id string, created_at timestamp")
-    for name, before in (("nudges", batch_id), ("recoveries", 1 << 62)):
-        rows = read(spark, folder, name)
-        if rows is not None:
-            active = rows.filter((F.col("batch") < before) & F.col("status").isin("sent", "approved", "pending_approval"))
-            found = found.unionByName(active.filter(F.col("created_at") > since).select("user_id", "created_at"))
-    return found
-
-
-def latest(spark: SparkSession, folder: str, name: str, key: str, before: int) -> DataFrame | None:
-    """Newest row per key written by earlier batches."""
-    rows = read(spark, folder, name)
+def packets_table(spark: SparkSession, folder: str) -> CurrentTable:
+    return CurrentTable(spark, f"{folder}/packets", ["packet_id"])
+
+
+def alerts_table(spark: SparkSession, folder: str) -> CurrentTable:
+    return CurrentTable(spark, f"{folder}/alerts", ["packet_id"])
+
+
+LIVE, CLOSED = "in_session", "post_session"
+STEP = 1000  # versions of a batch: its own, its finaliser's, and those of jobs that run before the next one
+ACTIVE = ["sent", "approved", "pending_approval"]
+
+
+def messages_of(spark: SparkSession, folder: str, users: DataFrame, before: int, s: Settings = DEFAULTS) -> DataFrame:
+    """user_id, session_id, stage, status, created_at of the users' messages among the versions below `before`."""
+    rows = messages_table(spark, folder, s).read(before, users)
     if rows is None:
-        return None
-    rows = rows.filter(F.col("batch") < before)
-    cols = [c for c in rows.columns if c not in (key, "batch")]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.col("batch")).alias("_r")).select(key, "_r.*")
+        return spark.createDataFrame([], "user_id string, session_id string, stage string, status string, created_at timestamp")
+    return rows.select("user_id", "session_id", "stage", "status", "created_at")
+
+
+def counted(messages: DataFrame, now: datetime) -> DataFrame:
+    """user_id, created_at of the messages of the 24 hours before `now` that were sent or wait for approval."""
+    since = F.lit(now) - F.make_dt_interval(hours=F.lit(24))
+    return messages.filter(F.col("status").isin(*ACTIVE) & (F.col("created_at") > since)).select("user_id", "created_at")
 
 
 def feed(decisions: DataFrame) -> DataFrame:
@@ -126,79 +129,105 @@ def feed(decisions: DataFrame) -> DataFrame:
         F.col("exit_step").alias("step"))
 
 
-def score_batch(spark: SparkSession, batch_id: int, folder: str, baselines: dict[str, tuple[float, float]],
-                scorer: Scorer = rules_only, s: Settings = DEFAULTS, investigator: Investigator | None = None,
-                now: datetime | None = None) -> None:
-    """Score the touched sessions and write packets, alerts, nudges and feed records.
+def score_batch(events: DataFrame, batch_id: int, folder: str, baselines: dict[str, tuple[float, float]], now: datetime,
+                scorer: Scorer = rules_only, s: Settings = DEFAULTS, investigator: Investigator | None = None) -> None:
+    """Score sessions from all their events and write packets, alerts, messages and feed records.
 
-    Medium packets are investigated, if there is an investigator, and decided again. The daily cap on messages counts what
-    earlier batches and the finaliser have sent; `now` is the time of sending (by default the clock's).
+    Medium packets are investigated, if there is an investigator, and decided again. A session gets one message while it lasts, and
+    the daily cap counts what earlier batches have sent; `now` is the time of sending. Alerts that somebody has acted on stay.
     """
-    now = now or datetime.now(timezone.utc)
-    packets = live_packets(touched_events(spark, folder, batch_id), baselines, scorer, s)
+    spark, version = events.sparkSession, STEP * batch_id
+    packets = live_packets(events, baselines, scorer, s)
     if investigator is None:
-        decided = decide.decide(packets, s, moment="in_session").withColumn("investigated", F.lit(False))
+        decided = decide.decide(packets, s, moment=LIVE).withColumn("investigated", F.lit(False))
     else:
         packets = checkpointed(packets)
-        decided = decide.decide_with_findings(packets, investigator(decide.decide(packets, s, moment="in_session")), s, moment="in_session")
+        decided = decide.decide_with_findings(packets, investigator(decide.decide(packets, s, moment=LIVE)), s, moment=LIVE)
     decided = decided.persist()
     try:
-        planned = actions.recovery_plan(decided, s, earlier=messages_before(spark, folder, batch_id, now), now=F.lit(now)).filter(
-            "status = 'sent'").select("session_id", "user_id", "action_id", "channel", "message", "status", "created_at")
-        done = latest(spark, folder, "nudges", "session_id", batch_id)
-        if done is not None:  # once per session
-            planned = planned.join(done.select("session_id"), "session_id", "left_anti")
-        planned.write.mode("overwrite").parquet(f"{folder}/nudges/batch={batch_id}")
-        nudges = spark.read.parquet(f"{folder}/nudges/batch={batch_id}")
-        told = decided.join(nudges.select("session_id", F.struct("action_id", "channel", "message").alias("nudge")), "session_id", "left")
-        told.drop("findings").write.mode("overwrite").parquet(f"{folder}/packets/batch={batch_id}")
+        before = messages_of(spark, folder, decided.select("user_id"), version, s)
+        told_before = before.filter(F.col("stage") == LIVE).select("user_id", "session_id")
+        open_for = decided.join(told_before, ["user_id", "session_id"], "left_anti")
+        planned = actions.recovery_plan(open_for, s, earlier=counted(before, now), now=F.lit(now)).filter("status = 'sent'")
+        _save_messages(planned, LIVE, version, folder, s)
+        sent = spark.read.parquet(f"{folder}/message_log/version={version}").filter(F.col("stage") == LIVE)
+        told = decided.join(sent.select("session_id", F.struct("action_id", "channel", "message").alias("nudge")), "session_id", "left")
+        packets_table(spark, folder).upsert(told.drop("findings"), version)
         feed(told).write.mode("overwrite").parquet(f"{folder}/feed/batch={batch_id}")
         alerts = actions.alerts(decided).withColumn("source", F.lit("live"))
-        known = latest(spark, folder, "alerts", "packet_id", batch_id)
-        if known is not None:  # alerts somebody has acted on stay as they are
+        known = alerts_table(spark, folder).read(version, alerts.select("packet_id"))
+        if known is not None:
             closed = known.filter(~F.col("status").isin("open", "needs_review")).select("packet_id")
             alerts = alerts.join(closed, "packet_id", "left_anti")
-        alerts.drop("key_evidence").write.mode("overwrite").parquet(f"{folder}/alerts/batch={batch_id}")
+        alerts_table(spark, folder).upsert(alerts.drop("key_evidence"), version)
     finally:
         decided.unpersist()
 
 
-def run(lines: DataFrame, folder: str, checkpoint: str, baselines: dict[str, tuple[float, float]],
-        scorer: Scorer = rules_only, s: Settings = DEFAULTS, investigator: Investigator | None = None) -> StreamingQuery:
-    """Ingest and score every micro-batch."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        store(batch, batch_id, folder)
-        score_batch(batch.sparkSession, batch_id, folder, baselines, scorer, s, investigator)
-
-    return lines.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
+def _save_messages(planned: DataFrame, stage: str, version: int, folder: str, s: Settings) -> None:
+    """Keep the plans in the log, which has everything, and as the newest of their session and stage."""
+    log = f"{folder}/message_log/version={version}"
+    planned.withColumn("stage", F.lit(stage)).write.mode("overwrite").parquet(log)
+    rows = planned.sparkSession.read.parquet(log)
+    messages_table(rows.sparkSession, folder, s).upsert(rows.select("user_id", "session_id", "stage", "packet_id", "status", "action_id", "created_at"), version)
 
 
-def finalise(idle: DataFrame, folder: str, batch_id: int, s: Settings = DEFAULTS, now: datetime | None = None) -> DataFrame | None:
-    """Post-session recovery of idle sessions, once each; converted sessions need none. Messages of the live path count for the cap."""
-    spark = idle.sparkSession
-    now = now or datetime.now(timezone.utc)
-    packets = latest(spark, folder, "packets", "packet_id", 1 << 62)
+def finalise(idle: DataFrame, folder: str, batch_id: int, now: datetime, s: Settings = DEFAULTS) -> DataFrame:
+    """Post-session recovery of quiet sessions (user_id, session_id), once each; converted sessions need none. Runs after the batch's
+    own messages, which count for the cap."""
+    spark, version = idle.sparkSession, STEP * batch_id + 1
+    quiet = idle.select("user_id", "session_id").distinct()
+    packets = packets_table(spark, folder).read(version, quiet.select(F.concat(F.lit("pk_live_"), "session_id").alias("packet_id")))
+    log = f"{folder}/message_log/version={version}"
     if packets is None:
-        return None
-    over = idle.filter("NOT converted").select("session_id").distinct()
+        return spark.createDataFrame([], "session_id string")
+    before = messages_of(spark, folder, quiet.select("user_id"), version, s)
+    done = before.filter(F.col("stage") == CLOSED).select("user_id", "session_id")
     keep = [c for c in packets.columns if c not in ("moment", "customer_action", "team_action", "nudge")]
-    rows = decide.with_actions(packets.select(*keep).join(over, "session_id", "left_semi"), "post_session")
-    earlier = messages_before(spark, folder, 1 << 62, now)
-    planned = actions.recovery_plan(rows, s, earlier=earlier, now=F.lit(now))
-    done = latest(spark, folder, "recoveries", "session_id", batch_id)
-    if done is not None:
-        planned = planned.join(done.select("session_id"), "session_id", "left_anti")
-    planned.write.mode("overwrite").parquet(f"{folder}/recoveries/batch={batch_id}")
-    return spark.read.parquet(f"{folder}/recoveries/batch={batch_id}")
-
-
-def run_finaliser(events: DataFrame, folder: str, checkpoint: str, idle_minutes: float | None = None,
-                  lateness: str = "10 minutes", s: Settings = DEFAULTS) -> StreamingQuery:
-    """Close idle sessions of an event stream."""
-    from waymark.streaming.ingest import idle_sessions
-
-    idle = idle_sessions(events, s.idle_minutes if idle_minutes is None else idle_minutes, lateness)
-    return (
-        idle.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        .foreachBatch(lambda batch, batch_id: finalise(batch, folder, batch_id, s)).start()
-    )
+    over = packets.filter("NOT converted").select(*keep).join(quiet, ["user_id", "session_id"], "left_semi").join(done, ["user_id", "session_id"], "left_anti")
+    planned = actions.recovery_plan(decide.with_actions(over, CLOSED), s, earlier=counted(before, now), now=F.lit(now))
+    _save_messages(planned, CLOSED, version, folder, s)
+    return spark.read.parquet(log)
+
+
+def run(lines: DataFrame, folder: str, checkpoint: str, baselines: dict[str, tuple[float, float]], scorer: Scorer = rules_only,
+        s: Settings = DEFAULTS, investigator: Investigator | None = None, every: str | None = None) -> StreamingQuery:
+    """Store, score and finalise every micro-batch. Without `every` (a trigger interval) what is there is worked off and the query
+    ends; sessions then go quiet in the batch that comes after their time."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            rows = state.as_events(batch.filter("fresh AND kind <> 'idle'"))
+            now = store_rows(rows, batch_id, folder)
+            if now is None:
+                return
+            events = state.as_events(batch.filter("kind = 'event'")).drop("raw", "reject_reason")
+            score_batch(events, batch_id, folder, baselines, now, scorer, s, investigator)
+            finalise(batch.filter("kind = 'idle'"), folder, batch_id, now, s)
+        finally:
+            batch.unpersist()
+
+    writer = state.with_history(validated(parsed(lines)), s).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
+    return state.started(writer.foreachBatch(each), lines.sparkSession, wait_for_timers=every is not None)
+
+
+def close_alerts(spark: SparkSession, folder: str, requests: DataFrame) -> DataFrame:
+    """Workflow requests on live alerts: the alerts' new states, the executions, and the messages that an approval releases are
+    written; returns the executions. One job at a time, between batches."""
+    table = alerts_table(spark, folder)
+    packets = requests.select(F.regexp_replace("alert_id", "^al_", "").alias("packet_id"))
+    rows = table.read(touched=packets)
+    if rows is None:
+        raise ValueError("there are no live alerts yet")
+    executed = actions.workflow(rows, requests)
+    log = CurrentTable(spark, f"{folder}/workflow_executions", ["request_id"])
+    log.upsert(executed, log.next_version())
+    done = log.read(touched=requests.select("request_id"))
+    table.upsert(checkpointed(actions.apply_workflow(rows, done)), table.next_version())
+    messages = messages_table(spark, folder)
+    known = messages.read()
+    if known is not None:
+        released = actions.release_pending(known, done).filter("approved_by IS NOT NULL").select(*known.columns)
+        messages.upsert(checkpointed(released), messages.next_version())
+    return done
