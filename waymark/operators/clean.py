@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark import vocab
+from waymark.config import DEFAULTS, Settings
 from waymark.functions.columns import any_of, lookup, strings
+from waymark.operators.ordered import CHUNK, split_hot
 
 EVENT_COLUMNS = ["session_id", "user_id", "timestamp", "event", "page", "product_id", "order_id", "metadata"]
 
@@ -38,7 +40,8 @@ def dedup(events: DataFrame) -> DataFrame:
     """
     if not isinstance(events.schema["metadata"].dataType, T.StringType):
         events = events.withColumn("metadata", canonical_text(F.col("metadata")))
-    return events.groupBy(*EVENT_COLUMNS).agg(F.min("seq").alias("seq"))
+    placed = [CHUNK] if CHUNK in events.columns else []
+    return events.groupBy(*EVENT_COLUMNS, *placed).agg(F.min("seq").alias("seq"))
 
 
 def valid_vocabulary(events: DataFrame) -> DataFrame:
@@ -57,12 +60,17 @@ def with_step(events: DataFrame) -> DataFrame:
     return events.withColumn("step", lookup(vocab.PAGE_STEP, F.col("page")))
 
 
-def clean_events(raw: DataFrame) -> DataFrame:
+def clean_events(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Raw events to clean ones: no copies, known names only, tidy ids, safe metadata, funnel step.
 
-    The vocabulary filter runs before the dedup: it gives the same rows and shuffles fewer.
+    The vocabulary filter runs before the dedup: it gives the same rows and shuffles fewer. Events are dealt out by user once, a
+    hot user's by stretches of time; copies have one user and one time, so the dedup, the sessions and the features run inside
+    that deal. The probe for hot users reads the raw key columns.
     """
     ev = valid_vocabulary(raw).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    ev = split_hot(ev, ["user_id"], limit=settings.hot_rows, max_chunks=settings.max_chunks)
+    if not ev.isStreaming:
+        ev = ev.repartition("user_id", *([CHUNK] if CHUNK in ev.columns else []))
     ev = parse_metadata(normalise_ids(dedup(ev)))
     return with_step(ev.withColumn("metadata", safe_metadata(F.col("metadata"))))
 

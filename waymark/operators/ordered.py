@@ -29,14 +29,15 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", limit: int = DEFAULTS.hot_rows,
-              max_chunks: int = DEFAULTS.max_chunks) -> DataFrame:
+              max_chunks: int = DEFAULTS.max_chunks, source: DataFrame | None = None) -> DataFrame:
     """Add `chunk` when some key has more than `limit` rows; otherwise return the frame unchanged.
 
-    The probe is one aggregation over the key columns; only the number of hot keys (at most rows / limit) comes back.
+    The probe is one aggregation over the key columns; only the number of hot keys (at most rows / limit) comes back. `source` is
+    a cheaper frame with at least the rows of df, on which the probe then runs.
     """
     if df.isStreaming or CHUNK in df.columns:
         return df
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    sizes = (df if source is None else source).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
     n_hot, largest = sizes.agg(F.count(F.lit(1)), F.max("_n")).first()
     if n_hot == 0:
         return df
@@ -116,5 +117,12 @@ def spread(df: DataFrame, value: str, n: int = 256) -> DataFrame:
     The cuts are approximate quantiles of all rows, so values that lie close together are divided too.
     """
     cuts = df.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>")
-    return df.withColumn(CHUNK, F.size(F.filter(bounds, lambda c: c < F.col(value))))
+    return df.withColumn(CHUNK, _below(sorted(set(cuts)), F.col(value)))
+
+
+def _below(cuts: Sequence[float], value: Column, first: int = 0) -> Column:
+    """How many of the ascending cuts lie below the value, as a tree of comparisons."""
+    if not cuts:
+        return F.lit(first)
+    middle = len(cuts) // 2
+    return F.when(value > cuts[middle], _below(cuts[middle + 1:], value, first + middle + 1)).otherwise(_below(cuts[:middle], value, first))

@@ -13,13 +13,15 @@ from waymark.operators.ordered import CHUNK, ORDER, ordered, split_hot
 SESSION = ("user_id", "session_id")
 
 
-def sessionize(events: DataFrame, gap_minutes: int | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+def sessionize(events: DataFrame, gap_minutes: int | None = None, settings: Settings = DEFAULTS, source: DataFrame | None = None) -> DataFrame:
     """Split every user's events where they pause for more than the gap or the tracker's session id changes.
 
-    The k-th segment (k > 1) of a tracker id is named `<id>_k`, also when several users share the tracker id.
+    The k-th segment (k > 1) of a tracker id is named `<id>_k`, also when several users share the tracker id. `source` may be the
+    raw events that `events` were cleaned from: the probes for hot users and shared trackers then read its key columns instead of
+    running the cleaning again.
     """
     gap = (settings.session_gap_minutes if gap_minutes is None else gap_minutes) * 60_000_000
-    ev = split_hot(events, ["user_id"], limit=settings.hot_rows, max_chunks=settings.max_chunks)
+    ev = split_hot(events, ["user_id"], limit=settings.hot_rows, max_chunks=settings.max_chunks, source=source)
     ev = ordered(ev, ["user_id"], prior={"_before": micros(), "_tracker": F.col("session_id")})
     starts = (
         F.col("_before").isNull()
@@ -29,7 +31,7 @@ def sessionize(events: DataFrame, gap_minutes: int | None = None, settings: Sett
     ev = ev.withColumn("_new", starts.cast("int"))
     # a segment never changes its tracker id, so the k of a row is the number of starts of its tracker id so far
     ev = ordered(ev, SESSION, total={"_k": F.col("_new")})
-    ev = _continue_shared_trackers(ev, events)
+    ev = _continue_shared_trackers(ev, events if source is None else source)
     k = F.col("_k")
     name = F.when(k > 1, F.concat_ws("_", "session_id", k.cast("string"))).otherwise(F.col("session_id"))
     return ev.withColumn("session_id", name).drop("_before", "_tracker", "_new", "_k")

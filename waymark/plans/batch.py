@@ -25,7 +25,7 @@ def ingest(spark: SparkSession, paths: Paths, s: Settings = DEFAULTS) -> dict[st
     """Raw tables to clean events, sessions, features, prefixes, baselines and texts."""
     raw = tables.load(spark, paths.raw)
     out = paths.processed
-    events = sessions.sessionize(clean.clean_events(raw["events"]), settings=s)
+    events = sessions.sessionize(clean.clean_events(raw["events"], s), settings=s, source=raw["events"])
     events = tables.save(events, out, "events_clean", day="timestamp")
     table = tables.save(sessions.with_returning(sessions.session_table(events)), out, "sessions")
     full, prefixes, baselines = features.feature_tables(events, s)

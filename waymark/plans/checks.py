@@ -64,20 +64,26 @@ def cleaned(spark: SparkSession, folder: str) -> DataFrame:
 
 @shared
 def segmented(spark: SparkSession, folder: str, gap: int = SESSION_GAP) -> DataFrame:
-    return sessions.sessionize(cleaned(spark, folder), gap)
+    return sessions.sessionize(cleaned(spark, folder), gap, source=adapters.clickstream(spark, folder))
+
+
+@shared
+def stored_events(spark: SparkSession, folder: str, gap: int = SESSION_GAP) -> DataFrame:
+    """Sessionized events, stored once for the queries that need them more than once."""
+    return checkpointed(segmented(spark, folder, gap))
 
 
 @shared
 def session_rows(spark: SparkSession, folder: str, gap: int = SESSION_GAP) -> DataFrame:
     # the clickstream has no city; the last digit of the user stands in where one is needed
-    return sessions.session_table(segmented(spark, folder, gap)).withColumn(
-        "city", F.concat(F.lit("city_"), F.substring("user_id", -1, 1)))
+    return checkpointed(sessions.session_table(stored_events(spark, folder, gap)).withColumn(
+        "city", F.concat(F.lit("city_"), F.substring("user_id", -1, 1))))
 
 
 @shared
 def fixed_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Detector outputs with made-up probabilities that an oracle can compute too; the rules are real."""
-    f = evaluate_rules(features.session_features(segmented(spark, folder)))
+    f = evaluate_rules(features.session_features(stored_events(spark, folder)))
     i = lambda c: F.col(c).cast("bigint")
     probs = [x for n, name in enumerate(vocab.FRICTIONS) for x in (
         F.lit(name), ((i("n_events") * 7 + i("product_views") * 11 + n * 13) % 100) / 100.0)]
@@ -126,7 +132,7 @@ def payment_units(spark: SparkSession, folder: str) -> DataFrame:
 @shared
 def stream_packets(spark: SparkSession, folder: str):
     """(packets, members, sessions) of anomalies found in the clickstream itself, stored like the batch job does."""
-    ev, table = segmented(spark, folder), session_rows(spark, folder)
+    ev, table = stored_events(spark, folder), session_rows(spark, folder)
     units = anomaly.gateway_units(stream_payments(ev), table)
     packets, members = anomaly.temporal_anomalies(units, anomaly.GATEWAY, [1440], 10 * 1440, SENSITIVE)
     return checkpointed(packets), checkpointed(members), table
@@ -393,7 +399,7 @@ def gateway_units(spark, folder):
 
 @query
 def courier_eta_units(spark, folder):
-    units = anomaly.courier_eta_units(segmented(spark, folder), session_rows(spark, folder))
+    units = anomaly.courier_eta_units(stored_events(spark, folder), session_rows(spark, folder))
     return units.select("session_id", "segment", micros("ts").alias("ts_us"), "bad", "converted", F.round("value", 2).alias("value"))
 
 
@@ -443,7 +449,7 @@ def intraday_anomalies(spark, folder):
 
 @query
 def cross_sectional(spark, folder):
-    ev, table = segmented(spark, folder), session_rows(spark, folder)
+    ev, table = stored_events(spark, folder), session_rows(spark, folder)
     parts = [("device", anomaly.device_error_units(ev, table.withColumn("app_version", F.lit(None).cast("string")))),
              ("product", anomaly.product_size_units(ev, table))]
     return reduce(DataFrame.unionByName, [
@@ -458,7 +464,7 @@ def product_feedback(spark, folder):
     reviews = adapters.table(spark, folder, "labels").select(
         F.lit(None).cast("string").alias("session_id"), F.timestamp_seconds("doc_id").alias("created_at"),
         F.concat(F.lit("p_"), F.col("doc_id") % 10).alias("product_id"), (F.col("quality") * 3 + 1).alias("rating"))
-    units = anomaly.product_feedback_units(segmented(spark, folder), reviews, session_rows(spark, folder))
+    units = anomaly.product_feedback_units(stored_events(spark, folder), reviews, session_rows(spark, folder))
     return anomaly.leave_one_out(units).select("segment", "n", "bad", "n_other", "bad_other")
 
 
@@ -602,7 +608,7 @@ def courier_health(spark, folder):
 
 @query
 def delivery_eta(spark, folder):
-    quotes = investigate.eta_quotes(segmented(spark, folder), session_rows(spark, folder))
+    quotes = investigate.eta_quotes(stored_events(spark, folder), session_rows(spark, folder))
     out = investigate.delivery_eta(quotes)
     return out.select(F.coalesce("city", F.lit("-")).alias("city"), "courier", "quotes",
                       F.round("median_eta_days", 4).alias("median_eta_days"), F.round("p90_eta_days", 4).alias("p90_eta_days"))
@@ -640,7 +646,7 @@ def investigation_findings(spark, folder):
         F.array().cast("array<string>").alias("missing_attributes"), (F.col("p_size") > 5).alias("in_stock"),
         F.create_map(F.lit("S"), F.col("p_size") % 3).alias("stock"))
     orders = adapters.orders(spark, folder).withColumn("refund_status", F.when(F.col("delay_days") == 3, "pending"))
-    out = investigate.findings(decided, stream_payments(segmented(spark, folder)), orders, themed_texts(spark, folder), products, table, members)
+    out = investigate.findings(decided, stream_payments(stored_events(spark, folder)), orders, themed_texts(spark, folder), products, table, members)
     return out.select(F.explode("findings").alias("f")).groupBy("f.tool", "f.evidence_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
