@@ -318,6 +318,69 @@ def prefix_features(spark, folder):
                     F.round("cart_value", 4).alias("cart_value"), F.round("max_eta_days", 4).alias("max_eta_days"))
 
 
+# --- every event name, every metadata field -----------------------------------------------------------------------
+
+@shared
+def behaviour_events(spark, folder):
+    raw = adapters.behaviour(spark, folder)
+    return checkpointed(sessions.sessionize(clean.clean_events(raw), SEQUENCE_GAP, source=raw))
+
+
+@shared
+def behaviour_table(spark, folder):
+    """Features of every session with its payments: a record for each attempt and failure the stream shows."""
+    ev = behaviour_events(spark, folder)
+    pay = stream_payments(ev.withColumn("_debited", meta("debited") == "true")).select("session_id", "gateway", "status")
+    debited = ev.filter("event = 'payment_failed'").select("session_id", meta("gateway").alias("gateway"), F.lit("failed").alias("status"),
+                                                           F.coalesce(meta("debited") == "true", F.lit(False)).alias("amount_debited"))
+    attempts = pay.filter("status <> 'failed'").withColumn("amount_debited", F.lit(True))
+    totals = joins.payment_totals(debited.unionByName(attempts)).select("session_id", "failed_debited_payments")
+    full = features.session_features(ev).join(totals, "session_id", "left")
+    return checkpointed(full.withColumn("failed_debited_payments", F.coalesce("failed_debited_payments", F.lit(0)).cast("double")))
+
+
+SHOWN = [*vocab.BEHAVIOUR_COLUMNS, *vocab.CONTEXT_COLUMNS]
+
+
+@query
+def behaviour_features(spark, folder):
+    """All features of every session."""
+    return behaviour_table(spark, folder).select("session_id", *[F.round(c, 4).alias(c) for c in SHOWN])
+
+
+@query
+def feature_coverage(spark, folder):
+    """In how many sessions each feature is above zero."""
+    wide = behaviour_table(spark, folder).agg(*[F.count_if(F.col(c) > 0).alias(c) for c in SHOWN])
+    return wide.unpivot([], SHOWN, "feature", "sessions")
+
+
+@query
+def rule_hits(spark, folder):
+    """In how many sessions each rule fires."""
+    flags = evaluate_rules(behaviour_table(spark, folder)).select(F.explode("rule_flags").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    names = spark.createDataFrame([(r[0],) for r in vocab.RULES], "rule string")
+    n = F.coalesce("n", F.lit(0))
+    return names.join(F.broadcast(flags), "rule", "left").select("rule", n.alias("sessions"), (n > 0).alias("fires"))
+
+
+@query
+def session_context(spark, folder):
+    """All context keys of every session, and who has been there before or is logged in."""
+    table = sessions.with_returning(sessions.session_table(behaviour_events(spark, folder)))
+    return table.select("session_id", *[F.coalesce(c, F.lit("-")).alias(c) for c in vocab.CONTEXT_KEYS], "is_returning")
+
+
+@query
+def custom_rules(spark, folder):
+    """A user's own rule table over the features."""
+    bought = behaviour_events(spark, folder).groupBy("session_id").agg(F.bool_or(F.col("event") == "order_placed").alias("bought"))
+    rules = [("asked_for_help", "technical_glitch", "chat_opens + help_views >= 2", "asked for help twice"),
+             ("cod_buyer", "price_shock", "cod_selected = 1 AND bought", "bought with cash on delivery")]
+    full = behaviour_table(spark, folder).join(bought, "session_id")
+    return evaluate_rules(full, rules).select("session_id", joined("rule_flags").alias("flags"))
+
+
 # --- joins ------------------------------------------------------------------------------------------------------
 
 def _order_sessions(spark, folder):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from waymark import vocab
-from waymark.sources.adapters import EVENTS_SQL, ORDERS_SQL, PAYMENTS_SQL
+from waymark.sources.adapters import BEHAVIOUR_SQL, EVENTS_SQL, ORDERS_SQL, PAYMENTS_SQL
 
 ORACLE: dict[str, str] = {}
 REPLY_LIMIT = 700  # characters of a reply draft
@@ -19,10 +19,10 @@ STEP_NAME = "[" + ",".join(f"'{s}'" for s in vocab.STEPS) + "]"
 LANGS = "['en','fr','de','es']"
 
 
-def segments(gap: int) -> str:
+def segments(gap: int, source: str = EVENTS_SQL) -> str:
     """CTEs up to `s`: sessionized events with idx (place in the session) and us (microseconds)."""
     return f"""
-ev AS ({EVENTS_SQL}),
+ev AS ({source}),
 cl AS (SELECT *, {_case('page', vocab.PAGE_STEP)} AS step FROM ev WHERE event <> 'not_in_vocabulary'),
 s1 AS (SELECT *, lag(timestamp) OVER w AS pt, lag(session_id) OVER w AS ps FROM cl
        WINDOW w AS (PARTITION BY user_id ORDER BY timestamp, seq)),
@@ -182,6 +182,110 @@ ga AS (SELECT session_id, prefix_len, max(us) - min(us) AS duration_us, coalesce
   """SELECT ga.*, coalesce(unique_products, 0) AS unique_products, coalesce(pdp_loops, 0) AS pdp_loops, checkout_cart_loops, coalesce(method_switches, 0) AS method_switches
 FROM ga LEFT JOIN gv2 USING (session_id, prefix_len) JOIN gp2 USING (session_id, prefix_len) LEFT JOIN gm2 USING (session_id, prefix_len)""")
 
+# --- every event name, every metadata field ------------------------------------------------------------------
+# features and rules of the stream that has them all, written out by hand
+BEHAVIOUR = f"""{segments(2880, BEHAVIOUR_SQL)},
+nx AS (SELECT *, lead(us) OVER (PARTITION BY session_id ORDER BY idx) - us AS delta FROM s),
+bp AS (SELECT session_id, page, lag(page) OVER (PARTITION BY session_id ORDER BY idx) AS ppage FROM s WHERE event <> 'exit'),
+pv AS (SELECT session_id, product_id AS p0, lag(product_id, 1) OVER w AS p1, lag(product_id, 2) OVER w AS p2 FROM s
+       WHERE event = 'product_view' AND product_id IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY idx)),
+pm AS (SELECT session_id, method AS m0, lag(method) OVER (PARTITION BY session_id ORDER BY idx) AS m1 FROM s WHERE event = 'payment_attempt'),
+a1 AS (SELECT session_id, any_value(user_id) AS user_id, greatest(count(*) FILTER (event <> 'exit'), 1) AS n_events, (max(us) - min(us)) / 1e6 AS duration_s,
+  CASE WHEN arg_max(event, idx) = 'exit' AND count(*) > 1 THEN (max(us) - coalesce(max(us) FILTER (event <> 'exit'), min(us))) / 1e6 ELSE 0 END AS exit_dwell_s,
+  coalesce(max(step_idx) FILTER (event <> 'exit'), arg_min(step_idx, idx)) AS furthest_step_idx,
+  coalesce(arg_max(step_idx, CASE WHEN event <> 'exit' THEN idx END), arg_min(step_idx, idx)) AS current_step_idx,
+  coalesce(arg_max(event, CASE WHEN event <> 'exit' THEN idx END), 'exit') AS e,
+  count(*) FILTER (event = 'product_view') AS product_views, count(*) FILTER (event = 'size_chart_open') AS size_chart_opens, count(*) FILTER (event = 'spec_open') AS spec_opens,
+  count(*) FILTER (event = 'review_open') AS review_opens, count(*) FILTER (event = 'pincode_check') AS pincode_checks, count(*) FILTER (event = 'delivery_info_view') AS delivery_info_views,
+  count(*) FILTER (event = 'search') AS searches, count(*) FILTER (event = 'search_zero_results') AS zero_result_searches, count(*) FILTER (event = 'rec_impression') AS rec_impressions,
+  count(*) FILTER (event = 'rec_click') AS rec_clicks, count(*) FILTER (event = 'payment_attempt') AS payment_attempts, count(*) FILTER (event = 'payment_failed') AS payment_failures,
+  count(*) FILTER (event = 'coupon_apply') AS coupon_attempts, count(*) FILTER (event = 'coupon_failed') AS coupon_failures, count(*) FILTER (event = 'coupon_applied') AS coupons_applied,
+  count(*) FILTER (event = 'login_wall') AS login_walls, count(*) FILTER (event = 'otp_sent') AS otp_sends, count(*) FILTER (event = 'otp_resend') AS otp_resends,
+  count(*) FILTER (event = 'otp_failed') AS otp_failures, count(*) FILTER (event = 'login_success') AS login_successes, count(*) FILTER (event = 'rage_click') AS rage_clicks,
+  count(*) FILTER (event = 'dead_click') AS dead_clicks, count(*) FILTER (event = 'js_error') AS js_errors, count(*) FILTER (event = 'slow_load') AS slow_loads,
+  count(*) FILTER (event = 'size_unavailable_click') AS size_unavailable_clicks, count(*) FILTER (event = 'notify_me') AS notify_me, count(*) FILTER (event = 'remove_from_cart') AS cart_removals,
+  count(*) FILTER (event = 'add_to_cart') AS add_to_carts, count(*) FILTER (event = 'total_shown') AS total_shown_count, count(*) FILTER (event = 'chat_open') AS chat_opens,
+  count(*) FILTER (event = 'help_view') AS help_views, count(*) FILTER (event = 'tracking_view') AS tracking_views, count(*) FILTER (event = 'return_initiated') AS returns_initiated,
+  count(*) FILTER (event = 'order_cancelled') AS orders_cancelled, count(*) FILTER (event = 'checkout_start') AS checkout_starts,
+  count(*) FILTER (event = 'size_chart_open' AND available = 'false') AS size_chart_unavailable,
+  coalesce(max(CASE WHEN event = 'review_open' THEN coalesce(CAST(review_page AS DOUBLE), 1) END), 0) AS max_review_page, coalesce(max(CAST(eta_days AS DOUBLE)), 0) AS max_eta_days,
+  coalesce(max(CAST(delivery_fee AS DOUBLE)), 0) AS max_delivery_fee, CAST(coalesce(bool_or(fee_first_shown = 'true'), false) AS INT) AS fee_first_shown,
+  count(*) FILTER (event = 'product_view' AND in_stock = 'false') AS oos_product_views, count(*) FILTER (error LIKE '%timeout%') AS payment_timeouts,
+  count(*) FILTER (event = 'rage_click' AND page LIKE 'checkout%') AS rage_clicks_checkout, coalesce(max(CAST(load_ms AS DOUBLE)), 0) AS max_load_ms,
+  count(*) FILTER (fatal = 'true') AS fatal_errors, count(*) FILTER (event = 'remove_from_cart' AND reason = 'out_of_stock') AS oos_removals, coalesce(max(cart_value), 0) AS cart_value,
+  greatest(coalesce(max(CAST(delta_pct AS DOUBLE)), 0), 0) AS max_total_delta_pct,
+  coalesce(max(coalesce(CAST(packaging_fee AS DOUBLE), 0) + coalesce(CAST(gift_wrap AS DOUBLE), 0)) FILTER (event = 'total_shown'), 0) AS max_extra_fees,
+  CAST(coalesce(bool_or(payment_method = 'COD'), false) AS INT) AS cod_selected, count(*) FILTER (refund_status = 'pending') AS refund_pending_views,
+  count(*) FILTER (status = 'delayed') AS delayed_status_views, coalesce(max(CAST(last_update_hours AS DOUBLE)), 0) AS max_last_update_hours,
+  count(*) FILTER (event = 'return_initiated' AND reason IN ('not_as_described', 'size_mismatch', 'colour_different')) AS info_mismatch_returns,
+  count(*) FILTER (event = 'return_initiated' AND reason IN ('damaged', 'defective', 'poor_quality')) AS quality_returns,
+  arg_min(event, idx) AS first_event, min(device) FILTER (idx = 1) AS device, min(city_tier) FILTER (idx = 1) AS tier, min(source) FILTER (idx = 1) AS src,
+  min(is_logged_in) FILTER (idx = 1) AS logged, min(city) FILTER (idx = 1) AS city, min(app_version) FILTER (idx = 1) AS app_version, min(us) AS start_us,
+  CASE WHEN count(*) FILTER (event <> 'exit') > 0 THEN bool_or(event <> 'exit' AND page IN ('order_tracking', 'returns')) ELSE bool_or(idx = 1 AND page IN ('order_tracking', 'returns')) END AS pp,
+  count(*) FILTER (event = 'payment_failed' AND debited = 'true') AS failed_debited_payments, bool_or(event = 'order_placed') AS converted
+  FROM s GROUP BY session_id),
+a2 AS (SELECT session_id, coalesce(max(delta), 0) / 1e6 AS max_gap_s, {", ".join(f"coalesce(sum(delta) FILTER (step = '{x}'), 0) / 1e6 AS dwell_{x}_s" for x in vocab.STEPS)} FROM nx GROUP BY 1),
+a3 AS (SELECT session_id, count(DISTINCT p0) AS unique_products, count(*) FILTER (p0 = p2 AND p0 <> p1) AS pdp_loops FROM pv GROUP BY 1),
+a4 AS (SELECT session_id, count(*) FILTER (page = 'cart' AND ppage LIKE 'checkout%') AS checkout_cart_loops FROM bp GROUP BY 1),
+a5 AS (SELECT session_id, count(*) FILTER (m0 <> m1) AS method_switches FROM pm GROUP BY 1),
+b AS (SELECT a1.*, a2.* EXCLUDE session_id, coalesce(unique_products, 0) AS unique_products, coalesce(pdp_loops, 0) AS pdp_loops, coalesce(checkout_cart_loops, 0) AS checkout_cart_loops,
+  coalesce(method_switches, 0) AS method_switches, {", ".join(f"CAST(e IN ({','.join(repr(x) for x in es)}) AS INT) AS {g}" for g, es in vocab.EXIT_GROUPS.items())},
+  CASE device WHEN 'mobile_web' THEN 0 WHEN 'android_app' THEN 1 WHEN 'ios_app' THEN 2 WHEN 'desktop' THEN 3 ELSE -1 END AS device_code, CAST(coalesce(device = 'android_app', false) AS INT) AS is_android_app,
+  CASE tier WHEN 'tier_1' THEN 1 WHEN 'tier_2' THEN 2 WHEN 'tier_3' THEN 3 ELSE 0 END AS city_tier_num,
+  CASE src WHEN 'direct' THEN 0 WHEN 'organic_search' THEN 1 WHEN 'paid_ads' THEN 2 WHEN 'social' THEN 3 WHEN 'email' THEN 4 WHEN 'push' THEN 5 ELSE -1 END AS source_code,
+  CAST(coalesce(logged = 'true', false) AS INT) AS logged_in_at_start, hour(make_timestamp(start_us)) AS hour, CAST(isodow(make_timestamp(start_us)) >= 6 AS INT) AS is_weekend,
+  CAST(pp AND add_to_carts = 0 AND checkout_starts = 0 AS INT) AS is_post_purchase
+  FROM a1 JOIN a2 USING (session_id) LEFT JOIN a3 USING (session_id) LEFT JOIN a4 USING (session_id) LEFT JOIN a5 USING (session_id))"""
+RULE_PREDICATES = """
+payment_retry_x2: payment_failures >= 2
+money_deducted_failed_payment: failed_debited_payments >= 1
+exit_after_payment_failure: e = 'payment_failed'
+coupon_retry_x2: coupon_failures >= 2
+exit_after_coupon_failure: e = 'coupon_failed'
+otp_resend_x2: otp_resends >= 2
+otp_failed: otp_failures > 0
+exit_at_login_wall: e IN ('login_wall', 'otp_sent', 'otp_resend', 'otp_failed') AND login_successes = 0
+rage_click_checkout: rage_clicks_checkout > 0
+js_error: js_errors > 0
+slow_load_x2: slow_loads >= 2 OR max_load_ms >= 6000
+dead_click_x3: dead_clicks >= 3
+rage_click_x2: rage_clicks >= 2
+exit_after_total_shown: e = 'total_shown'
+checkout_cart_loop: checkout_cart_loops > 0 AND total_shown_count > 0
+hidden_fees_shown: max_extra_fees > 0
+size_chart_x3: size_chart_opens >= 3
+spec_open_x3: spec_opens >= 3
+pdp_compare_loop_x2: pdp_loops >= 2
+review_scan_x3: review_opens >= 3
+return_not_as_described: info_mismatch_returns > 0
+pincode_check_x3: pincode_checks >= 3
+long_eta_exit: max_eta_days >= 7 AND e IN ('delivery_info_view', 'pincode_check')
+exit_after_delivery_info: e IN ('delivery_info_view', 'pincode_check')
+delivery_fee_revealed_late: fee_first_shown > 0
+zero_result_search_x2: zero_result_searches >= 2
+search_reformulation_x3: searches + zero_result_searches >= 3
+recs_ignored_x4: rec_impressions >= 4 AND rec_clicks = 0
+oos_recs_clicked: oos_product_views >= 2 AND rec_clicks >= 2
+size_unavailable_x2: size_unavailable_clicks >= 2
+notify_me_clicked: notify_me > 0
+cart_item_oos_removed: oos_removals > 0
+tracking_view_x3: tracking_views >= 3
+order_cancelled: orders_cancelled > 0
+refund_pending_check: refund_pending_views > 0
+delayed_order_viewed: delayed_status_views > 0
+return_quality_issue: quality_returns > 0
+"""
+_HITS = [line.split(": ", 1) for line in RULE_PREDICATES.strip().splitlines()]
+q("behaviour_features", BEHAVIOUR, "SELECT session_id, " + ", ".join(
+    f"round(CAST({c} AS DOUBLE), 4) AS {c}" for c in [*vocab.BEHAVIOUR_COLUMNS, *vocab.CONTEXT_COLUMNS]) + " FROM b")
+q("rule_hits", BEHAVIOUR, " UNION ALL ".join(f"SELECT '{name}' AS rule, count(*) FILTER ({p}) AS sessions, count(*) FILTER ({p}) > 0 AS fires FROM b" for name, p in _HITS))
+q("feature_coverage", BEHAVIOUR, " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count(*) FILTER ({c} > 0) AS sessions FROM b" for c in [*vocab.BEHAVIOUR_COLUMNS, *vocab.CONTEXT_COLUMNS]))
+q("session_context", BEHAVIOUR, """SELECT session_id, coalesce(device, '-') AS device, coalesce(app_version, '-') AS app_version, coalesce(city, '-') AS city, coalesce(tier, '-') AS city_tier,
+  coalesce(src, '-') AS source, coalesce(logged, '-') AS is_logged_in,
+  row_number() OVER (PARTITION BY user_id ORDER BY start_us, session_id) > 1 OR coalesce(logged = 'true', false) AS is_returning FROM b""")
+q("custom_rules", BEHAVIOUR, """SELECT session_id, concat_ws('|', CASE WHEN chat_opens + help_views >= 2 THEN 'asked_for_help' END, CASE WHEN cod_selected = 1 AND converted THEN 'cod_buyer' END) AS flags FROM b""")
+
 # --- joins -------------------------------------------------------------------------------------------------
 ORD = f"od AS ({ORDERS_SQL})"
 PAY = f"py AS ({PAYMENTS_SQL})"

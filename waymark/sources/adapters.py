@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.vocab import EVENTS
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -67,6 +69,92 @@ SELECT seq, ts AS timestamp,
 FROM named
 """
 
+# Events of every name with every metadata field. A user's number gives the user a theme, from which most of their events come,
+# so that also rules about several events of one kind are met. The same text runs on Spark and on DuckDB.
+BEHAVIOUR_THEMES = [
+    ["product_view", "product_view", "product_view", "size_chart_open", "spec_open", "review_open"],
+    ["payment_attempt", "payment_failed", "payment_failed", "payment_attempt", "order_placed", "payment_success"],
+    ["coupon_apply", "coupon_failed", "coupon_failed", "coupon_applied", "total_shown", "cart_view"],
+    ["login_wall", "otp_sent", "otp_resend", "otp_resend", "otp_failed", "login_success"],
+    ["rage_click", "rage_click", "js_error", "slow_load", "dead_click", "dead_click"],
+    ["pincode_check", "pincode_check", "delivery_info_view", "delivery_info_view", "checkout_start", "cart_view"],
+    ["search", "search_zero_results", "search_zero_results", "rec_click", "rec_click", "product_view"],
+    ["size_unavailable_click", "size_unavailable_click", "notify_me", "remove_from_cart", "add_to_cart", "product_view"],
+    ["tracking_view", "tracking_view", "return_initiated", "order_cancelled", "help_view", "chat_open"],
+    ["page_view", "exit", "rec_impression", "rec_impression", "rec_impression", "add_to_cart"],
+]
+_THEME_CASE = " ".join(
+    f"WHEN theme = {t} AND pick = {i} THEN '{name}'" for t, names in enumerate(BEHAVIOUR_THEMES) for i, name in enumerate(names))
+_ANY_CASE = " ".join(f"WHEN any_pick = {i} THEN '{name}'" for i, name in enumerate(EVENTS))
+BEHAVIOUR_SQL = f"""
+WITH raw AS (
+  SELECT event_id AS seq, ts, user_id AS uid, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS int) AS k FROM events
+), numbered AS (
+  SELECT *, CASE WHEN k % 5 < 3 THEN CAST(uid % 10 AS int) ELSE -1 END AS theme, CAST((seq * 31 + k) % 6 AS int) AS pick,
+    CAST((seq * 17 + k) % {len(EVENTS)} AS int) AS any_pick, CAST((seq * 13 + k * 7) % 60 AS int) AS v FROM raw
+), named AS (
+  SELECT *, CASE {_THEME_CASE} {_ANY_CASE} END AS event FROM numbered
+)
+SELECT seq, ts AS timestamp, concat('u_', CAST(uid AS string)) AS user_id,
+  concat('b_', CAST(uid AS string), '_', substring(CAST(CAST(ts AS date) AS string), 1, 9)) AS session_id, event,
+  CASE WHEN event IN ('product_view','size_chart_open','spec_open','review_open','size_unavailable_click','notify_me','add_to_cart') THEN 'product'
+       WHEN event IN ('search','search_zero_results') THEN 'search'
+       WHEN event IN ('cart_view','remove_from_cart','checkout_start') THEN 'cart'
+       WHEN event IN ('login_wall','otp_sent','otp_resend','otp_failed','login_success') THEN 'checkout_login'
+       WHEN event = 'pincode_check' THEN 'checkout_address'
+       WHEN event = 'delivery_info_view' THEN 'checkout_delivery'
+       WHEN event IN ('total_shown','coupon_apply','coupon_failed','coupon_applied') THEN 'checkout_summary'
+       WHEN event IN ('payment_attempt','payment_failed','payment_success') THEN 'checkout_payment'
+       WHEN event = 'order_placed' THEN 'order_confirmation'
+       WHEN event = 'tracking_view' THEN 'order_tracking'
+       WHEN event IN ('return_initiated','order_cancelled') THEN 'returns'
+       WHEN event IN ('help_view','chat_open') THEN 'help'
+       WHEN event IN ('rage_click','dead_click','js_error','slow_load') AND v % 3 = 0 THEN 'checkout_payment'
+       WHEN event IN ('rage_click','dead_click','js_error','slow_load') AND v % 3 = 1 THEN 'cart'
+       WHEN v % 2 = 0 THEN 'category' ELSE 'home' END AS page,
+  CASE WHEN event IN ('product_view','size_chart_open','add_to_cart','return_initiated','remove_from_cart') THEN concat('p_', CAST(v % 3 AS string)) END AS product_id,
+  CASE WHEN event IN ('order_placed','tracking_view','return_initiated') THEN concat('o_', CAST(k AS string)) END AS order_id,
+  CASE WHEN event = 'page_view' THEN CASE v % 5 WHEN 0 THEN 'mobile_web' WHEN 1 THEN 'android_app' WHEN 2 THEN 'ios_app' WHEN 3 THEN 'desktop' ELSE 'smart_tv' END END AS device,
+  CASE WHEN event = 'page_view' AND v % 5 IN (1, 2) THEN concat('7.', CAST(v % 3 AS string)) END AS app_version,
+  CASE WHEN event = 'page_view' THEN concat('city_', CAST(v % 4 AS string)) END AS city,
+  CASE WHEN event = 'page_view' AND v % 4 < 3 THEN concat('tier_', CAST(v % 4 + 1 AS string)) END AS city_tier,
+  CASE WHEN event = 'page_view' THEN CASE v % 7 WHEN 0 THEN 'direct' WHEN 1 THEN 'organic_search' WHEN 2 THEN 'paid_ads' WHEN 3 THEN 'social' WHEN 4 THEN 'email'
+       WHEN 5 THEN 'push' ELSE 'unknown' END END AS source,
+  CASE WHEN event = 'page_view' THEN CASE WHEN v % 3 = 0 THEN 'true' ELSE 'false' END END AS is_logged_in,
+  CASE WHEN event = 'size_chart_open' THEN CASE WHEN v % 3 = 0 THEN 'false' ELSE 'true' END END AS available,
+  CASE WHEN event = 'product_view' THEN CASE WHEN v % 2 = 0 THEN 'false' ELSE 'true' END END AS in_stock,
+  CASE WHEN event = 'review_open' AND v % 4 > 0 THEN CAST(v % 9 AS string) END AS review_page,
+  CASE WHEN event IN ('pincode_check','delivery_info_view') THEN CAST(v % 12 AS string) END AS eta_days,
+  CASE WHEN event IN ('pincode_check','delivery_info_view') THEN CAST(v % 80 AS string) END AS delivery_fee,
+  CASE WHEN event = 'delivery_info_view' THEN CASE WHEN v % 4 = 0 THEN 'true' ELSE 'false' END END AS fee_first_shown,
+  CASE WHEN event = 'delivery_info_view' THEN concat('courier_', CAST(uid % 2 AS string)) END AS courier,
+  CASE WHEN event IN ('payment_attempt','payment_failed') THEN substring('ABC', CAST(uid % 3 AS int) + 1, 1) END AS gateway,
+  CASE WHEN event = 'payment_attempt' THEN CASE WHEN v % 3 = 0 THEN 'UPI' ELSE 'card' END END AS method,
+  CASE WHEN event = 'payment_failed' THEN CASE WHEN v % 4 = 0 THEN 'gateway_timeout' ELSE 'declined' END END AS error,
+  CASE WHEN event = 'payment_failed' THEN CASE WHEN v % 3 = 0 THEN 'true' ELSE 'false' END END AS debited,
+  CASE WHEN event = 'slow_load' THEN CAST(v * 150 AS string) END AS load_ms,
+  CASE WHEN event = 'js_error' THEN CASE WHEN v % 3 = 0 THEN 'true' ELSE 'false' END END AS fatal,
+  CASE WHEN event = 'remove_from_cart' THEN CASE WHEN v % 2 = 0 THEN 'out_of_stock' ELSE 'changed_mind' END
+       WHEN event = 'return_initiated' THEN CASE v % 7 WHEN 0 THEN 'not_as_described' WHEN 1 THEN 'size_mismatch' WHEN 2 THEN 'colour_different' WHEN 3 THEN 'damaged'
+       WHEN 4 THEN 'defective' WHEN 5 THEN 'poor_quality' ELSE 'changed_mind' END END AS reason,
+  CASE WHEN event = 'tracking_view' THEN CASE WHEN v % 5 = 0 THEN 'pending' ELSE 'none' END END AS refund_status,
+  CASE WHEN event = 'tracking_view' THEN CASE WHEN v % 4 = 1 THEN 'delayed' ELSE 'in_transit' END END AS status,
+  CASE WHEN event = 'tracking_view' THEN CAST(v * 2 AS string) END AS last_update_hours,
+  CASE WHEN event = 'total_shown' THEN CAST(v * 10 AS string) END AS subtotal,
+  CASE WHEN event = 'total_shown' THEN CAST(v - 20 AS string) END AS delta_pct,
+  CASE WHEN event = 'total_shown' AND v % 3 = 0 THEN CAST(v % 30 AS string) END AS packaging_fee,
+  CASE WHEN event = 'total_shown' AND v % 4 = 0 THEN '15' END AS gift_wrap,
+  CASE WHEN event = 'total_shown' AND v % 5 = 0 THEN 'free of charge' END AS note,
+  CASE WHEN event = 'total_shown' THEN CASE WHEN v % 3 = 1 THEN 'COD' ELSE 'UPI' END END AS payment_method,
+  CASE WHEN event IN ('add_to_cart','checkout_start','cart_view') THEN value END AS cart_value
+FROM named
+"""
+BEHAVIOUR_META = [
+    "device", "app_version", "city", "city_tier", "source", "is_logged_in", "available", "in_stock", "review_page", "eta_days", "delivery_fee", "fee_first_shown",
+    "courier", "gateway", "method", "error", "debited", "load_ms", "fatal", "reason", "refund_status", "status", "last_update_hours", "subtotal", "delta_pct",
+    "packaging_fee", "gift_wrap", "note", "payment_method", "cart_value",
+]
+
 PAYMENTS_SQL = """
 SELECT concat(CAST(l_orderkey AS string), '-', CAST(l_linenumber AS string), '-', CAST(l_partkey AS string))
          AS payment_id,
@@ -95,8 +183,17 @@ _META = ["cart_value", "eta_days", "courier", "gateway", "method", "device"]
 
 def clickstream(spark: SparkSession, folder: str) -> DataFrame:
     """Raw events in the canonical schema, optional fields folded into the metadata map."""
-    flat = spark.sql(EVENTS_SQL.replace("FROM events", "FROM {events}"), events=table(spark, folder, "events"))
-    pairs = [x for k in _META for x in (F.lit(k), F.col(k).cast("string"))]
+    return _raw_events(spark, folder, EVENTS_SQL, _META)
+
+
+def behaviour(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw events of every name, with every metadata field."""
+    return _raw_events(spark, folder, BEHAVIOUR_SQL, BEHAVIOUR_META)
+
+
+def _raw_events(spark: SparkSession, folder: str, sql: str, fields: list[str]) -> DataFrame:
+    flat = spark.sql(sql.replace("FROM events", "FROM {events}"), events=table(spark, folder, "events"))
+    pairs = [x for k in fields for x in (F.lit(k), F.col(k).cast("string"))]
     metadata = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
     return flat.withColumn("metadata", metadata).withColumn("timestamp", F.col("timestamp").cast("timestamp")).select(
         "seq", "timestamp", "user_id", "session_id", "event", "page", "product_id", "order_id", "metadata")
