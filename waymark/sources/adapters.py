@@ -122,7 +122,7 @@ SELECT seq, ts AS timestamp, concat('u_', CAST(uid AS string)) AS user_id,
        WHEN 5 THEN 'push' ELSE 'unknown' END END AS source,
   CASE WHEN event = 'page_view' THEN CASE WHEN v % 3 = 0 THEN 'true' ELSE 'false' END END AS is_logged_in,
   CASE WHEN event = 'size_chart_open' THEN CASE WHEN v % 3 = 0 THEN 'false' ELSE 'true' END END AS available,
-  CASE WHEN event = 'product_view' THEN CASE WHEN v % 2 = 0 THEN 'false' ELSE 'true' END END AS in_stock,
+  CASE WHEN event = 'product_view' THEN CASE WHEN v < 30 THEN 'false' ELSE 'true' END END AS in_stock,
   CASE WHEN event = 'review_open' AND v % 4 > 0 THEN CAST(v % 9 AS string) END AS review_page,
   CASE WHEN event IN ('pincode_check','delivery_info_view') THEN CAST(v % 12 AS string) END AS eta_days,
   CASE WHEN event IN ('pincode_check','delivery_info_view') THEN CAST(v % 80 AS string) END AS delivery_fee,
