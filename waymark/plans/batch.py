@@ -67,7 +67,7 @@ def decide_all(data: dict[str, DataFrame], scores: DataFrame, themes: DataFrame,
                s: Settings = DEFAULTS) -> dict[str, DataFrame]:
     """Packets, decisions with investigation, alerts, recovery plan and audit log."""
     out, table = paths.processed, data["sessions"]
-    found, members = anomaly.detect_anomalies(table, data["events"], data["payments"], data["orders"], data["reviews"], s)
+    found, members = anomaly.detect_anomalies(anomaly.Sources(table, data["events"], data["payments"], data["orders"], data["reviews"]), s)
     found, members = tables.save(found, out, "anomalies"), tables.save(members, out, "anomaly_sessions")
     by_session = tables.save(fusion.session_themes(themes, table), out, "session_themes")
     aggregates = fusion.enrich_aggregates(found, members, scores, by_session, s)

@@ -521,6 +521,40 @@ def cross_sectional(spark, folder):
         for k, u in parts])
 
 
+@shared
+def all_detector_sources(spark, folder):
+    """What the six detectors read: the stream of all events, orders placed in its time, and the label table as reviews."""
+    ev = behaviour_events(spark, folder)
+    table = checkpointed(sessions.session_table(ev).withColumn("city", F.concat(F.lit("city_"), F.substring("user_id", -1, 1))))
+    key = adapters.table(spark, folder, "orders").select(F.concat(F.lit("o_"), "o_orderkey").alias("order_id"), F.col("o_orderkey").alias("k"))
+    late = (F.pmod("k", F.lit(720)) >= 600) & (F.col("k") % 2 == 0) & (F.col("courier") == "1-URGENT") | (F.col("k") % 23 == 0)
+    orders = adapters.orders(spark, folder).join(key, "order_id").withColumns({
+        "placed_at": F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod("k", F.lit(720)) * 3600), "delay_days": F.when(late, 2).otherwise(0)})
+    doc = F.col("doc_id")
+    rating = F.when((F.col("quality") == 0) | (doc % 3 == 1) & (doc % 2 == 0), 1).otherwise(4)
+    reviews = adapters.table(spark, folder, "labels").select(
+        F.lit(None).cast("string").alias("session_id"), F.timestamp_seconds(F.lit(1_704_067_200) + doc).alias("created_at"),
+        F.concat(F.lit("p_"), doc % 3).alias("product_id"), rating.alias("rating"))
+    return anomaly.Sources(table, ev, stream_payments(ev), orders, reviews)
+
+
+LOW = Settings(anomaly_min_count=3, anomaly_z=1.0, anomaly_ratio=1.2)
+
+
+@query
+def detect_anomalies(spark, folder):
+    """Packets of all six detectors, with the original's windows; the random tables need lower thresholds."""
+    packets, _ = anomaly.detect_anomalies(all_detector_sources(spark, folder), LOW)
+    return packets.select("packet_id", "observed", "baseline", "z_score", "multiplier", "affected_sessions", "revenue_at_risk", "trend", "bad_units")
+
+
+@query
+def anomalies_by_detector(spark, folder):
+    """Units of all detectors."""
+    units = anomaly.detector_units(all_detector_sources(spark, folder))
+    return units.groupBy("detector").agg(F.count(F.lit(1)).alias("units"), F.count_if("bad").alias("bad"), F.count_distinct("segment").alias("segments"))
+
+
 @query
 def product_feedback(spark, folder):
     """Reviews of products against all others; ratings come from the label table."""

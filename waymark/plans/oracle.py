@@ -321,7 +321,7 @@ ov AS (SELECT * REPLACE (CASE WHEN gateway = 'G1' AND timestamp BETWEEN TIMESTAM
 un AS (SELECT timestamp AS ts, gateway AS segment, status = 'failed' AS bad, session_id, false AS converted, amount AS value FROM ov)"""
 
 
-def temporal(widths: list[int], baseline: int, min_count: int, z: float, ratio: float, slug: str) -> str:
+def temporal(widths: list[int], baseline: int, min_count: int, z: float, ratio: float, slug: str, kind: str = "gateway") -> str:
     """CTEs from `un` (units) to `an` (measured anomalies) and `mb` (their sessions)."""
     grain = min(widths)
     parts = []
@@ -344,7 +344,7 @@ iv AS (SELECT segment, min(start) AS start, max(stop) AS stop FROM i2 GROUP BY s
 ms AS (SELECT i.segment, i.start, i.stop, sum(n) FILTER (m_at >= i.start) AS n, sum(bad) FILTER (m_at >= i.start) AS bad, sum(lost) FILTER (m_at >= i.start) AS lost,
   sum(n) FILTER (m_at < i.start) AS nb, sum(bad) FILTER (m_at < i.start) AS bb FROM iv i JOIN bins b ON b.segment = i.segment AND m_at >= i.start - {baseline} AND m_at < i.stop GROUP BY ALL),
 m0 AS (SELECT *, bad / n AS p, coalesce(bb / nb, (SELECT sum(bad) / sum(n) FROM bins g WHERE g.segment = ms.segment)) AS p0 FROM ms),
-m1 AS (SELECT *, least(greatest(p0, 1e-3), 0.999) AS pc, 'agg_gateway-' || lower(segment) || '-{slug}_' || strftime(make_timestamp(CAST(start AS BIGINT) * 60000000), '%Y%m%d%H%M') AS packet_id FROM m0),
+m1 AS (SELECT *, least(greatest(p0, 1e-3), 0.999) AS pc, 'agg_{kind}-' || trim(regexp_replace(lower(segment), '[^a-z0-9]+', '-', 'g'), '-') || '-{slug}_' || strftime(make_timestamp(CAST(start AS BIGINT) * 60000000), '%Y%m%d%H%M') AS packet_id FROM m0),
 mb AS (SELECT DISTINCT packet_id, session_id FROM un JOIN m1 ON un.segment = m1.segment AND epoch_us(ts) // 60000000 >= start AND epoch_us(ts) // 60000000 < stop WHERE un.bad AND session_id IS NOT NULL),
 an AS (SELECT packet_id, segment AS segment_value, round(p, 4) AS observed, round(p0, 4) AS baseline, round((p - pc) / sqrt(pc * (1 - pc) / n), 2) AS z_score,
   round(p / greatest(p0, 1e-3), 2) AS multiplier, (SELECT count(*) FROM mb WHERE mb.packet_id = m1.packet_id) AS affected_sessions, round(CAST(lost AS DOUBLE), 2) AS revenue_at_risk,
@@ -385,6 +385,53 @@ GROUP BY session_id, product_id HAVING count(*) FILTER (event = 'size_chart_open
 q("cross_sectional", f"{T720}, x AS (SELECT 'device' AS kind, * FROM ({one_out(DEV_UNITS)}) UNION ALL SELECT 'product', * FROM ({one_out(SIZE_UNITS)}))",
   """SELECT kind, segment, n, bad, round(p, 6) AS p, round(p0, 6) AS p0,
   round((p - least(greatest(p0, 1e-3), 0.999)) / sqrt(least(greatest(p0, 1e-3), 0.999) * (1 - least(greatest(p0, 1e-3), 0.999)) / n), 4) AS z FROM x""")
+CLAMPED = "least(greatest(p0, 1e-3), 0.999)"
+
+
+def across(units: str, kind: str, slug: str, min_count: int, z: float, ratio: float) -> str:
+    """Packets of the segments that are worse than all others; units: ts, segment, bad, session_id, converted, value."""
+    return f"""WITH uu AS ({units}),
+tt AS (SELECT segment, count(*) AS n, count(*) FILTER (bad) AS bad, sum(CASE WHEN bad AND NOT converted THEN CAST(value AS DECIMAL(28, 4)) ELSE 0 END) AS lost, min(ts) AS t0,
+  count(DISTINCT session_id) FILTER (bad) AS touched FROM uu WHERE segment IS NOT NULL GROUP BY 1),
+pp AS (SELECT *, bad / n AS p, ((SELECT sum(bad) FROM tt) - bad) / ((SELECT sum(n) FROM tt) - n) AS p0 FROM tt WHERE (SELECT sum(n) FROM tt) > n)
+SELECT 'agg_{kind}-' || trim(regexp_replace(lower(segment), '[^a-z0-9]+', '-', 'g'), '-') || '-{slug}_' || strftime(t0, '%Y%m%d%H%M') AS packet_id, round(p, 4) AS observed, round(p0, 4) AS baseline,
+  round((p - {CLAMPED}) / sqrt({CLAMPED} * (1 - {CLAMPED}) / n), 2) AS z_score, round(p / greatest(p0, 1e-3), 2) AS multiplier, touched AS affected_sessions,
+  round(CAST(lost AS DOUBLE), 2) AS revenue_at_risk, 'persistent' AS trend, CAST(bad AS BIGINT) AS bad_units FROM pp
+WHERE bad >= {min_count} AND ((p - {CLAMPED}) / sqrt({CLAMPED} * (1 - {CLAMPED}) / n) > {z} OR p / greatest(p0, 1e-3) >= {ratio})"""
+
+
+def over_time(units: str, kind: str, slug: str, widths: list[int], baseline: int, min_count: int, z: float, ratio: float) -> str:
+    return f"""WITH un AS ({units}),{temporal(widths, baseline, min_count, z, ratio, slug, kind)}
+SELECT packet_id, observed, baseline, z_score, multiplier, affected_sessions, revenue_at_risk, trend, bad_units FROM an"""
+
+
+ALL_UNITS = f"""{BEHAVIOUR},
+bt AS (SELECT b.session_id, converted, cart_value, start_us, 'city_' || right(user_id, 1) AS town, device, app_version FROM b),
+oq AS (SELECT o_orderkey AS k, 'o_' || o_orderkey AS order_id, 's_' || o_orderkey AS session_id, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (o_orderkey % 720) AS ts, o_orderpriority || '|' || n_name AS segment,
+  o_totalprice AS value, o_orderkey % 720 >= 600 AND o_orderkey % 2 = 0 AND o_orderpriority = '1-URGENT' OR o_orderkey % 23 = 0 AS bad
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+vs AS (SELECT order_id, min(session_id) AS visit FROM s WHERE page IN ('order_tracking', 'returns') AND order_id IS NOT NULL GROUP BY 1),
+eq AS (SELECT session_id, min(timestamp) AS ts, arg_max(courier, idx) AS courier, max(CAST(eta_days AS INT)) AS eta FROM s WHERE event = 'delivery_info_view' GROUP BY 1),
+eu AS (SELECT eq.*, eq.courier || '|' || town AS segment, converted, cart_value FROM eq JOIN bt USING (session_id)),
+u_gateway AS (SELECT ts, segment, bad, x.session_id, converted, cart_value AS value FROM (SELECT session_id, gateway AS segment, min(timestamp) AS ts, bool_or(event = 'payment_failed') AS bad FROM s
+  WHERE event IN ('payment_attempt', 'payment_failed') GROUP BY 1, 2) x JOIN bt USING (session_id)),
+u_eta AS (SELECT ts, segment, eta >= m + 3 AS bad, session_id, converted, cart_value AS value FROM eu JOIN (SELECT segment, median(eta) AS m FROM eu GROUP BY 1) USING (segment)),
+u_delay AS (SELECT ts, segment, bad, coalesce(visit, oq.session_id) AS session_id, false AS converted, value FROM oq LEFT JOIN vs USING (order_id) WHERE ts >= (SELECT make_timestamp(min(start_us)) FROM bt)),
+u_size AS (SELECT ts, segment, bad, session_id, converted, cart_value AS value FROM (SELECT session_id, product_id AS segment, min(timestamp) FILTER (event = 'size_chart_open') AS ts, NOT bool_or(event = 'add_to_cart') AS bad
+  FROM s WHERE event IN ('size_chart_open', 'add_to_cart') AND product_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) FILTER (event = 'size_chart_open') > 0) JOIN bt USING (session_id)),
+u_feedback AS (SELECT TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * doc_id AS ts, 'p_' || (doc_id % 3) AS segment, quality = 0 OR doc_id % 3 = 1 AND doc_id % 2 = 0 AS bad, CAST(NULL AS VARCHAR) AS session_id, false AS converted, 0.0 AS value FROM labels
+  UNION ALL SELECT timestamp, product_id, reason IN ('not_as_described', 'size_mismatch', 'colour_different'), s.session_id, converted, bt.cart_value FROM s JOIN bt USING (session_id) WHERE event = 'return_initiated'),
+u_device AS (SELECT make_timestamp(start_us) AS ts, device || coalesce(' ' || app_version, '') AS segment, session_id IN (SELECT session_id FROM s WHERE event = 'js_error') AS bad, session_id, converted, cart_value AS value FROM bt)"""
+_LOW = (3, 1.0, 1.2)
+q("detect_anomalies", ALL_UNITS, " UNION ALL ".join(f"SELECT * FROM ({x})" for x in [
+    over_time("SELECT * FROM u_gateway", "gateway", SLUG, [15, 30, 60], 2880, *_LOW),
+    over_time("SELECT * FROM u_eta", "courier-city", "long-eta-share", [1440], 7 * 1440, *_LOW),
+    over_time("SELECT * FROM u_delay", "courier-city", "delayed-order-share", [1440], 7 * 1440, *_LOW),
+    across("SELECT * FROM u_size", "product", "size-chart-no-add-rate", *_LOW), across("SELECT * FROM u_feedback", "product", "negative-feedback-rate", *_LOW),
+    across("SELECT * FROM u_device", "device", "error-session-rate", *_LOW)]))
+q("anomalies_by_detector", ALL_UNITS, "SELECT detector, count(*) AS units, count(*) FILTER (bad) AS bad, count(DISTINCT segment) AS segments FROM (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS detector, segment, bad FROM {u}" for m, u in [("payment_session_failure_rate", "u_gateway"), ("long_eta_share", "u_eta"), ("delayed_order_share", "u_delay"),
+    ("size_chart_no_add_rate", "u_size"), ("negative_feedback_rate", "u_feedback"), ("error_session_rate", "u_device")]) + ") GROUP BY 1")
 q("product_feedback", "", f"SELECT segment, n, bad, n_other, bad_other FROM ({one_out('SELECT concat(chr(112), chr(95), doc_id % 10) AS segment, quality = 0 AS bad FROM labels')})")
 q("incident_overlap", f"""{DAILY},
 ic AS (SELECT 'i_' || s_suppkey AS incident_id, 'G' || (s_suppkey % 5) AS g, TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * (s_suppkey * 20) AS st, TIMESTAMP '1995-03-01' + INTERVAL 1 DAY * (s_suppkey * 20) AS en FROM supplier)""",
