@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from waymark import vocab
 from waymark.config import Settings
-from waymark.operators import actions, drafts, investigate, metrics, models, readmodels
+from waymark.operators import actions, boosting, drafts, investigate, metrics, models, readmodels
 from waymark.operators.ranges import range_sums
 
 NOW = datetime(2026, 9, 20, 10)
@@ -182,29 +182,44 @@ def test_models_learn_and_explain(spark, tmp_path):
     df = spark.range(1500).select(
         F.concat(F.lit("s_"), "id").alias("session_id"), F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("c")).cache()
     frame = df.withColumn("label", (F.col("a") > 0.5).cast("double"))
-    model = models.RiskModel.fit(frame, features=["a", "b", "c"], rounds=8, depth=3)
+    model = models.RiskModel.fit(frame, features=["a", "b", "c"], rounds=8, leaves=6)
     test = model.score(frame.filter(metrics.is_test(F.col("session_id"))))
     assert rows(metrics.ranking_metrics(test, "risk"))[0]["average_precision"] > 0.9
     model.save(str(tmp_path / "risk"))
-    again = models.RiskModel.load(str(tmp_path / "risk"), ["a", "b", "c"])
+    again = models.RiskModel.load(spark, str(tmp_path / "risk"), ["a", "b", "c"])
     assert rows(again.score(frame).select("risk")) == rows(model.score(frame).select("risk"))
-    out = rows(models.attributed(frame, str(tmp_path / "risk/trees"), ["a", "b", "c"]).join(frame, "session_id").filter("a > 0.6"))
-    assert all(r["top_signals"][0]["feature"] == "a" for r in out)
-    # one pass over several models gives what a pass per model gives, for the models a row wants
+    out = rows(models.attributed(frame, model.nodes, ["a", "b", "c"]).join(frame, "session_id").filter("a > 0.6"))
+    assert all(r["signals"]["risk"][0]["feature"] == "a" for r in out)
+    # several models at once: each row has the models it wants, and those say what they say alone
+    labels = frame.select("session_id", F.col("label").cast("int").alias("x"), (F.col("b") > 0.7).cast("int").alias("y"))
+    both = models.FrictionModel.fit(frame, labels, features=["a", "b", "c"], rounds=8, leaves=6, frictions=["x", "y"])
     wanted = frame.withColumn("_top", F.when(F.col("b") > 0.5, F.array(F.lit("x"), F.lit("y"))).when(F.col("b") > 0.2, F.array(F.lit("y"))))
-    folders = {f: str(tmp_path / "risk/trees") for f in ("x", "y", "z")}
-    each = {r["session_id"]: r["signals"] for r in rows(models.attributed_each(wanted, folders, ["a", "b", "c"], "_top"))}
-    alone = {r["session_id"]: r["top_signals"] for r in rows(models.attributed(frame, folders["x"], ["a", "b", "c"]))}
-    assert all(each[r["session_id"]] == {f: alone[r["session_id"]] for f in r["_top"] or []} for r in rows(wanted))
+    each = {r["session_id"]: r["signals"] for r in rows(models.attributed(wanted, both.nodes, ["a", "b", "c"], "_top"))}
+    every = {r["session_id"]: r["signals"] for r in rows(models.attributed(frame, both.nodes, ["a", "b", "c"]))}
+    assert all(each[r["session_id"]] == {f: every[r["session_id"]][f] for f in r["_top"] or []} for r in rows(wanted))
+    probs = rows(both.score(frame))
+    assert sum((r["friction_probs"]["y"] > 0.5) == (r["b"] > 0.7) for r in probs) > 1400
     # contributions add up to the difference between the score and the roots
-    trees = models.flat_trees(spark, str(tmp_path / "risk/trees"))
-    x = np.array([[.2, .3, .4], [.9, .1, .5]])
-    roots = sum(t.weight * t.prediction[0] for t in trees)
-    from pyspark.ml.linalg import Vectors
-    for row, c in zip(x, models.contributions(trees, x)):
-        raw = model.trees.predictRaw(Vectors.dense(row))[1] / 2 if hasattr(model.trees, "predictRaw") else None
-        if raw is not None:
-            assert roots + c.sum() == pytest.approx(raw, rel=1e-6) or roots + c.sum() == pytest.approx(2 * raw, rel=1e-6)
+    found = boosting.ensembles(both.nodes)["y"]
+    x = np.array([[.2, .3, .4], [.9, .9, .5]])
+    assert found.score(x) == pytest.approx(found.base + sum(t.value[0] for t in found.trees) + found.contributions(x).sum(1))
+
+
+def test_boosting_needs_its_interactions_and_any_order_of_rows(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 6))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    nodes = boosting.fitted(x[:2000], y[:2000], boosting.Growth(80))
+    table = spark.createDataFrame([("m", *map(lambda v: v.item() if hasattr(v, "item") else v, n)) for n in nodes], boosting.NODES)
+    odds = boosting.ensembles(table)["m"].score(x[2000:])
+    assert ((odds > 0) == (y[2000:] > 0)).mean() > 0.95
+    assert max(sum(1 for n in nodes if n[0] == t and n[2] < 0) for t in range(80)) <= 31
+    frame = spark.createDataFrame([(f"s{i}", *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x[:400], y[:400]))], "k string, " + ", ".join(f"c{i} double" for i in range(6)) + ", y double")
+    names = [f"c{i}" for i in range(6)]
+    one, two = (sorted(map(tuple, boosting.fit(f, "k", names, ["y"], boosting.Growth(5, 8)).collect())) for f in (frame.repartition(1), frame.repartition(9)))
+    assert one == two
+    flat = boosting.fit(frame.withColumn("y", F.lit(1.0)), "k", names, ["y"], boosting.Growth(3, 8)).collect()
+    assert len(flat) >= 4
 
 
 def test_theme_gate_falls_back(spark):

@@ -1,4 +1,4 @@
-"""Learned detectors on pyspark.ml: journey risk, friction types, text themes, and what drove a score."""
+"""Learned detectors: journey risk and friction types on boosted trees, text themes on pyspark.ml, and what drove a score."""
 
 from __future__ import annotations
 
@@ -8,9 +8,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
-                                       LogisticRegressionModel)
-from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,24 +17,32 @@ from pyspark.sql import functions as F
 
 from waymark import vocab
 from waymark.config import DEFAULTS, Settings
+from waymark.operators import boosting
 from waymark.operators.metrics import is_calibration, is_test
+from waymark.session import checkpointed
 
 RISK_FEATURES = list(vocab.FEATURE_COLUMNS)
 FRICTION_FEATURES = [*vocab.FEATURE_COLUMNS, *vocab.JOIN_COLUMNS]
 
 
-def _assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="keep").transform(df)
+def _vector(features: Sequence[str]) -> Column:
+    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
 
 
-def _trees(label: str, s: Settings, rounds: int, depth: int) -> GBTClassifier:
-    return GBTClassifier(featuresCol="_x", labelCol=label, stepSize=0.05, maxIter=rounds, maxDepth=depth,
-                         subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=30, seed=s.seed)
+def _scored(df: DataFrame, found: dict[str, boosting.Ensemble], features: Sequence[str], name: str) -> DataFrame:
+    """Add `name`: the models' log odds, in the order of `found`. The trees travel to the tasks once."""
+    sent = df.sparkSession.sparkContext.broadcast(list(found.values()))
 
+    @F.pandas_udf("array<double>")
+    def odds(x: pd.Series) -> pd.Series:
+        rows = np.stack(x.to_list()) if len(x) else np.empty((0, len(features)))
+        return pd.Series(list(np.stack([e.score(rows) for e in sent.value], 1)))
 
-def _positive(model: GBTClassificationModel, df: DataFrame, name: str) -> DataFrame:
-    model.setProbabilityCol("_p").setRawPredictionCol("_r").setPredictionCol("_c")
-    return model.transform(df).withColumn(name, vector_to_array("_p")[1]).drop("_p", "_r", "_c")
+    return df.withColumn(name, odds(_vector(features)))
+
+
+def _probability(odds: Column) -> Column:
+    return 1 / (1 + F.exp(-odds))
 
 
 # --- risk ------------------------------------------------------------------------------------------------
@@ -44,75 +51,72 @@ def _positive(model: GBTClassificationModel, df: DataFrame, name: str) -> DataFr
 class RiskModel:
     """Boosted trees on session prefixes with isotonic calibration on sessions of their own."""
 
-    trees: GBTClassificationModel
+    nodes: DataFrame
     calibration: IsotonicRegressionModel
     features: list[str] = field(default_factory=lambda: list(RISK_FEATURES))
 
     @classmethod
     def fit(cls, frame: DataFrame, s: Settings = DEFAULTS, features: Sequence[str] = RISK_FEATURES, rounds: int = 300,
-            depth: int = 5) -> "RiskModel":
-        """frame: session_id, label and the feature columns (see `joins.risk_frame`)."""
-        train = _assembled(frame.filter(~is_test(F.col("session_id"), s)), features)
+            leaves: int = 31, limit: int = boosting.FIT_ROWS) -> "RiskModel":
+        """frame: session_id, label and the feature columns (see `joins.risk_frame`). The trees see at most about `limit` rows."""
+        train = frame.filter(~is_test(F.col("session_id"), s))
         held = is_calibration(F.col("session_id"))
-        trees = _trees("label", s, rounds, depth).fit(train.filter(~held).select("_x", "label"))
-        raw = _positive(trees, train.filter(held).select("_x", "label"), "_raw")
-        calibration = IsotonicRegression(featuresCol="_raw", labelCol="label").fit(raw)
-        return cls(trees, calibration, list(features))
+        named = train.filter(~held).withColumn("risk", F.col("label"))
+        nodes = checkpointed(boosting.fit(named, "session_id", features, ["risk"], boosting.Growth(rounds, leaves, seed=s.seed), limit))
+        raw = cls._raw(train.filter(held), nodes, features).select("_raw", F.col("label").cast("double").alias("label"))
+        return cls(nodes, IsotonicRegression(featuresCol="_raw", labelCol="label").fit(raw), list(features))
+
+    @staticmethod
+    def _raw(df: DataFrame, nodes: DataFrame, features: Sequence[str]) -> DataFrame:
+        return _scored(df, boosting.ensembles(nodes), features, "_raw").withColumn("_raw", _probability(F.get("_raw", 0)))
 
     def score(self, df: DataFrame, name: str = "risk") -> DataFrame:
-        raw = _positive(self.trees, _assembled(df, self.features), "_raw")
-        out = self.calibration.setPredictionCol("_cal").transform(raw)
-        return out.withColumn(name, F.least(F.greatest("_cal", F.lit(0.0)), F.lit(1.0))).drop("_x", "_raw", "_cal")
+        out = self.calibration.setPredictionCol("_cal").transform(self._raw(df, self.nodes, self.features))
+        return out.withColumn(name, F.least(F.greatest("_cal", F.lit(0.0)), F.lit(1.0))).drop("_raw", "_cal")
 
     def save(self, folder: str) -> None:
-        self.trees.write().overwrite().save(f"{folder}/trees")
+        self.nodes.write.mode("overwrite").parquet(f"{folder}/trees")
         self.calibration.write().overwrite().save(f"{folder}/calibration")
 
     @classmethod
-    def load(cls, folder: str, features: Sequence[str] = RISK_FEATURES) -> "RiskModel":
-        return cls(GBTClassificationModel.load(f"{folder}/trees"),
-                   IsotonicRegressionModel.load(f"{folder}/calibration"), list(features))
+    def load(cls, spark: SparkSession, folder: str, features: Sequence[str] = RISK_FEATURES) -> "RiskModel":
+        return cls(spark.read.schema(boosting.NODES).parquet(f"{folder}/trees"), IsotonicRegressionModel.load(f"{folder}/calibration"), list(features))
 
 
 # --- friction types ----------------------------------------------------------------------------------------
 
 @dataclass
 class FrictionModel:
-    """One model per friction, so that the probabilities are independent. They share the assembled vectors."""
+    """One model per friction, so that the probabilities are independent. All are one node table and are fitted at once."""
 
-    models: dict[str, GBTClassificationModel]
+    nodes: DataFrame
     features: list[str]
+    frictions: list[str]
 
     @classmethod
     def fit(cls, frame: DataFrame, labels: DataFrame, s: Settings = DEFAULTS,
-            features: Sequence[str] = FRICTION_FEATURES, rounds: int = 200, depth: int = 5,
-            frictions: Sequence[str] = vocab.FRICTIONS) -> "FrictionModel":
+            features: Sequence[str] = FRICTION_FEATURES, rounds: int = 200, leaves: int = 31,
+            frictions: Sequence[str] = vocab.FRICTIONS, limit: int = boosting.FIT_ROWS) -> "FrictionModel":
         """frame: session_id and features; labels: session_id and one 0/1 column per friction."""
         joined = frame.join(labels.select("session_id", *frictions), "session_id", "left").na.fill(0, list(frictions))
         train = joined.filter(~is_test(F.col("session_id"), s))
-        vectors = _assembled(train, features).select("_x", *[F.col(f).cast("double").alias(f) for f in frictions]).persist()
-        try:
-            models = {f: _trees(f, s, rounds, depth).fit(vectors.select("_x", f)) for f in frictions}
-        finally:
-            vectors.unpersist()
-        return cls(models, list(features))
+        nodes = boosting.fit(train, "session_id", features, list(frictions), boosting.Growth(rounds, leaves, seed=s.seed), limit)
+        return cls(checkpointed(nodes), list(features), list(frictions))
 
     def score(self, df: DataFrame) -> DataFrame:
         """Add friction_probs, rounded to four digits."""
-        out = _assembled(df, self.features)
-        for f, model in self.models.items():
-            out = _positive(model, out, f"_p_{f}")
-        pairs = [x for f in self.models for x in (F.lit(f), F.round(F.col(f"_p_{f}"), 4))]
-        return out.withColumn("friction_probs", F.create_map(*pairs)).drop("_x", *[f"_p_{f}" for f in self.models])
+        found = boosting.ensembles(self.nodes)
+        out = _scored(df, {f: found[f] for f in self.frictions}, self.features, "_odds")
+        pairs = [x for i, f in enumerate(self.frictions) for x in (F.lit(f), F.round(_probability(F.get("_odds", i)), 4))]
+        return out.withColumn("friction_probs", F.create_map(*pairs)).drop("_odds")
 
     def save(self, folder: str) -> None:
-        for f, model in self.models.items():
-            model.write().overwrite().save(f"{folder}/{f}")
+        self.nodes.write.mode("overwrite").parquet(f"{folder}/trees")
 
     @classmethod
-    def load(cls, folder: str, features: Sequence[str] = FRICTION_FEATURES,
+    def load(cls, spark: SparkSession, folder: str, features: Sequence[str] = FRICTION_FEATURES,
              frictions: Sequence[str] = vocab.FRICTIONS) -> "FrictionModel":
-        return cls({f: GBTClassificationModel.load(f"{folder}/{f}") for f in frictions}, list(features))
+        return cls(spark.read.schema(boosting.NODES).parquet(f"{folder}/trees"), list(features), list(frictions))
 
 
 def top_frictions(probs: Column, k: int = 2) -> Column:
@@ -185,98 +189,35 @@ def classify_distinct(model: ThemeModel, texts: DataFrame, s: Settings = DEFAULT
 
 # --- attribution ----------------------------------------------------------------------------------------------
 
-@dataclass(frozen=True)
-class FlatTrees:
-    """All nodes of a tree ensemble as arrays; its size is set by the model, not by the data."""
-
-    weight: np.ndarray
-    prediction: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    feature: np.ndarray
-    threshold: np.ndarray
-
-
-def flat_trees(spark: SparkSession, folder: str) -> list[FlatTrees]:
-    """Trees of a saved ensemble (the folder given to `save`)."""
-    nodes = spark.read.parquet(f"{folder}/data").select("treeID", "nodeData.*").toPandas()
-    weights = spark.read.parquet(f"{folder}/treesMetadata").toDF("treeID", "metadata", "weight") \
-                   .select("treeID", "weight").toPandas().set_index("treeID")["weight"]
-    out = []
-    for tree, rows in nodes.groupby("treeID"):
-        rows = rows.sort_values("id")
-        split = rows["split"].tolist()
-        out.append(FlatTrees(
-            np.array(float(weights[tree])), rows["prediction"].to_numpy(float), rows["leftChild"].to_numpy(int),
-            rows["rightChild"].to_numpy(int), np.array([x["featureIndex"] for x in split]),
-            np.array([(list(x["leftCategoriesOrThreshold"]) or [np.nan])[0] for x in split], dtype=float)))
-    return out
-
-
-def contributions(trees: list[FlatTrees], x: np.ndarray) -> np.ndarray:
-    """How far each feature moved each row's score on its way through the trees."""
-    out = np.zeros_like(x, dtype=float)
-    rows = np.arange(len(x))
-    for t in trees:
-        node = np.zeros(len(x), dtype=int)
-        active = t.left[node] >= 0
-        while active.any():
-            r, n = rows[active], node[active]
-            f = t.feature[n]
-            nxt = np.where(x[r, f] <= t.threshold[n], t.left[n], t.right[n])
-            out[r, f] += t.weight * (t.prediction[nxt] - t.prediction[n])
-            node[active] = nxt
-            active = t.left[node] >= 0
-    return out
-
-
-def attributed(df: DataFrame, folder: str, features: Sequence[str], name: str = "top_signals", k: int = 5) -> DataFrame:
-    """Add the k features that pushed the score of a saved tree model up the most.
-
-    The flattened trees travel to the tasks once, as a broadcast; rows are walked in batches.
-    """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(flat_trees(spark, folder))
-    names = list(features)
-    schema = f"session_id string, {name} array<struct<feature:string,value:double>>"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            c = contributions(shared.value, batch[names].to_numpy(float))
-            best = np.argsort(-c, axis=1, kind="stable")[:, :k]
-            lists = [[{"feature": names[j], "value": round(float(row[j]), 4)} for j in order if row[j] > 0]
-                     for row, order in zip(c, best)]
-            yield pd.DataFrame({"session_id": batch["session_id"], name: lists})
-
-    return df.select("session_id", *names).mapInPandas(run, schema)
+SIGNAL = "array<struct<feature:string,value:double>>"
 
 
-def attributed_each(df: DataFrame, folders: dict[str, str], features: Sequence[str], wanted: str, k: int = 5) -> DataFrame:
-    """session_id, signals: for the models named in the row's `wanted` list, the k features that pushed its score up the most.
+def attributed(df: DataFrame, nodes: DataFrame, features: Sequence[str], wanted: str | None = None, k: int = 5) -> DataFrame:
+    """session_id, signals: for each model of a node table (or those in the row's `wanted` list) the k features that pushed the row's
+    score up the most on its way through the trees.
 
-    All ensembles travel to the tasks once; a batch is walked once per model, by the rows that want it.
+    All ensembles travel to the tasks once, as a broadcast; a batch is walked once per model, by the rows that want it.
     """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast({f: flat_trees(spark, folder) for f, folder in folders.items()})
+    shared = df.sparkSession.sparkContext.broadcast(boosting.ensembles(nodes))
     names = list(features)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = batch[names].to_numpy(float)
-            lists = [list(w) if w is not None else [] for w in batch[wanted]]
+            x = np.stack(batch["_x"].to_list()) if len(batch) else np.empty((0, len(names)))
+            lists = [list(w) if w is not None else [] for w in batch[wanted]] if wanted else [list(shared.value)] * len(batch)
             found: list[dict] = [{} for _ in lists]
-            for f, trees in shared.value.items():
-                rows = np.array([i for i, w in enumerate(lists) if f in w], dtype=int)
+            for model, trees in shared.value.items():
+                rows = np.array([i for i, w in enumerate(lists) if model in w], dtype=int)
                 if not len(rows):
                     continue
-                c = contributions(trees, x[rows])
+                c = trees.contributions(x[rows])
                 best = np.argsort(-c, axis=1, kind="stable")[:, :k]
-                for i, row, order in zip(rows.tolist(), c, best):
-                    found[i][f] = [{"feature": names[j], "value": round(float(row[j]), 4)} for j in order if row[j] > 0]
+                for i, row, order in zip(rows.tolist(), c, best, strict=True):
+                    found[i][model] = [{"feature": names[j], "value": round(float(row[j]), 4)} for j in order if row[j] > 0]
             yield pd.DataFrame({"session_id": batch["session_id"], "signals": found})
 
-    return df.select("session_id", *names, wanted).mapInPandas(
-        run, "session_id string, signals map<string,array<struct<feature:string,value:double>>>")
+    rows = df.select("session_id", _vector(names).alias("_x"), *([wanted] if wanted else []))
+    return rows.mapInPandas(run, f"session_id string, signals map<string,{SIGNAL}>")
 
 
 # --- scoring all sessions ---------------------------------------------------------------------------------------
@@ -297,13 +238,12 @@ def score_sessions(features: DataFrame, prefixes: DataFrame, sessions: DataFrame
     return joined.select("session_id", F.round(own, 4).alias("risk_score"), "friction_probs")
 
 
-def with_signals(scores: DataFrame, features: DataFrame, prefixes: DataFrame, risk: RiskModel, risk_folder: str,
-                 friction: FrictionModel, friction_folder: str) -> DataFrame:
+def with_signals(scores: DataFrame, features: DataFrame, prefixes: DataFrame, risk: RiskModel, friction: FrictionModel) -> DataFrame:
     """Add top_signals (risk) and friction_signals (of the two most probable frictions)."""
     last = features.select("session_id").join(
         prefixes.filter("is_final").select("session_id", *risk.features), "session_id", "left").na.fill(0.0)
-    out = scores.join(attributed(last, f"{risk_folder}/trees", risk.features), "session_id", "left")
-    out = out.withColumn("_top", top_frictions(F.col("friction_probs")))
+    own = attributed(last, risk.nodes, risk.features).select("session_id", F.col("signals")["risk"].alias("top_signals"))
+    out = scores.join(own, "session_id", "left").withColumn("_top", top_frictions(F.col("friction_probs")))
     rows = features.select("session_id", *friction.features).join(out.select("session_id", "_top"), "session_id")
-    lists = attributed_each(rows, {f: f"{friction_folder}/{f}" for f in friction.models}, friction.features, "_top")
+    lists = attributed(rows, friction.nodes, friction.features, "_top")
     return out.join(lists.withColumnRenamed("signals", "friction_signals"), "session_id", "left").drop("_top")

@@ -56,9 +56,9 @@ def label_texts(data: dict[str, DataFrame], paths: Paths, s: Settings = DEFAULTS
 
 def score(spark: SparkSession, data: dict[str, DataFrame], paths: Paths) -> DataFrame:
     """Rules, risk, friction probabilities and what drove them, one row per session."""
-    risk, friction = models.RiskModel.load(f"{paths.models}/risk"), models.FrictionModel.load(f"{paths.models}/friction")
+    risk, friction = models.RiskModel.load(spark, f"{paths.models}/risk"), models.FrictionModel.load(spark, f"{paths.models}/friction")
     scores = models.score_sessions(data["features"], data["prefixes"], data["sessions"], risk, friction)
-    scores = models.with_signals(scores, data["features"], data["prefixes"], risk, f"{paths.models}/risk", friction, f"{paths.models}/friction")
+    scores = models.with_signals(scores, data["features"], data["prefixes"], risk, friction)
     flags = evaluate_rules(data["features"]).select("session_id", "rule_flags")
     return tables.save(scores.join(flags, "session_id"), paths.processed, "session_scores")
 

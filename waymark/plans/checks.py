@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,7 +13,7 @@ from waymark.config import Settings
 from waymark.functions import decision as d
 from waymark.functions.columns import meta, micros
 from waymark.functions.rules import evaluate_rules, rule_frictions
-from waymark.operators import (actions, anomaly, clean, decide, drafts, features, fusion, investigate, joins, metrics, models,
+from waymark.operators import (actions, anomaly, boosting, clean, decide, drafts, features, fusion, investigate, joins, metrics, models,
                                readmodels, sessions)
 from waymark.session import checkpointed, configure
 from waymark.sources import adapters
@@ -1057,29 +1056,75 @@ def _risk_training(spark, folder):
     return joins.risk_frame(prefixes, sessions.session_table(ev)), features.add_dwell_z(full, base)
 
 
+@shared
+def _risk(spark, folder):
+    """(training frame, full features, model with all its rounds)."""
+    frame, full = _risk_training(spark, folder)
+    frame, full = checkpointed(frame), checkpointed(full)
+    return frame, full, models.RiskModel.fit(frame)
+
+
 @query
 def risk_model(spark, folder):
     """Ranking quality of the risk model on its test split."""
-    frame, _ = _risk_training(spark, folder)
-    frame = checkpointed(frame)
-    model = models.RiskModel.fit(frame, rounds=10)
+    frame, _, model = _risk(spark, folder)
     test = model.score(frame.filter(metrics.is_test(F.col("session_id"))))
     early = F.when(F.col("current_step_idx").between(2, 3), "cart_checkout").otherwise("other")
     return metrics.ranking_metrics(test.withColumn("stage", early), "risk", "label", ["stage"])
 
 
+@shared
+def joined_behaviour(spark, folder):
+    """Features of the stream of all events with payments, orders, tickets and reviews joined on; rules give the frictions."""
+    ev = behaviour_events(spark, folder)
+    full = features.session_features(ev)
+    full = features.add_dwell_z(full, features.baseline_values(features.dwell_baselines(full)))
+    pay = ev.filter("event IN ('payment_attempt', 'payment_failed')").select(
+        "session_id", meta("gateway").alias("gateway"), F.when(F.col("event") == "payment_failed", "failed").otherwise("success").alias("status"),
+        F.coalesce(meta("debited") == "true", F.col("event") == "payment_attempt").alias("amount_debited"))
+    first = F.lit("_2024-01-0")
+    tickets = adapters.table(spark, folder, "documents").select(F.concat(F.lit("b_"), F.col("doc_id") % 200, first).alias("session_id"))
+    reviews = adapters.table(spark, folder, "labels").select(F.concat(F.lit("b_"), F.col("doc_id") % 150, first).alias("session_id"),
+                                                             (F.col("quality") * 3 + F.col("toxic") + 1).alias("rating"))
+    orders = adapters.orders(spark, folder).withColumn("refund_status", F.when(F.col("delay_days") == 3, "pending"))
+    more = joins.join_session_data(sessions.session_table(ev), pay, orders, tickets, reviews)
+    return checkpointed(evaluate_rules(full.join(more, "session_id")).withColumn("frictions", rule_frictions(F.col("rule_flags"))))
+
+
+@query
+def features_with_joins(spark, folder):
+    """The frame the friction models see: features and joined numbers of every session."""
+    return joined_behaviour(spark, folder).select("session_id", *[F.col(c).cast("bigint").alias(c) for c in vocab.JOIN_COLUMNS], F.round("cart_value", 4).alias("cart_value"),
+                                                  F.col("n_events").cast("bigint").alias("n_events"))
+
+
+@shared
+def _friction(spark, folder):
+    frame = joined_behaviour(spark, folder)
+    labels = frame.select("session_id", *[F.array_contains("frictions", f).cast("int").alias(f) for f in vocab.FRICTIONS])
+    return frame, labels, models.FrictionModel.fit(frame, labels)
+
+
 @query
 def friction_ovr(spark, folder):
-    """Independent probabilities per friction; rule flags serve as labels on this data."""
-    _, full = _risk_training(spark, folder)
-    joined_ = full.withColumns({c: F.lit(0.0) for c in vocab.JOIN_COLUMNS})
-    flagged = checkpointed(evaluate_rules(joined_).withColumn("frictions", rule_frictions(F.col("rule_flags"))))
-    kinds = ["payment_failure", "technical_glitch", "login_otp_issue"]
-    labels = flagged.select("session_id", *[F.array_contains("frictions", f).cast("int").alias(f) for f in kinds])
-    model = models.FrictionModel.fit(flagged, labels, rounds=5, depth=3, frictions=kinds)
-    scored = model.score(flagged).filter(metrics.is_test(F.col("session_id")))
-    pred = scored.select("session_id", *[(F.col("friction_probs")[f] >= 0.6).alias(f) for f in kinds])
-    return metrics.prf_per_class(metrics.long_form(labels, pred, kinds))
+    """Independent probabilities of all ten frictions; rule flags serve as labels on this data."""
+    frame, labels, model = _friction(spark, folder)
+    scored = model.score(frame).filter(metrics.is_test(F.col("session_id")))
+    pred = scored.select("session_id", *[(F.col("friction_probs")[f] >= 0.6).alias(f) for f in vocab.FRICTIONS])
+    return metrics.prf_per_class(metrics.long_form(labels, pred, vocab.FRICTIONS))
+
+
+@query
+def scored_sessions(spark, folder):
+    """Risk, friction probabilities and what drove them, for every session of the stream of all events."""
+    frame, _, friction = _friction(spark, folder)
+    ev = behaviour_events(spark, folder)
+    table = checkpointed(sessions.session_table(ev))
+    base = features.baseline_values(features.dwell_baselines(frame))
+    prefixes = checkpointed(features.add_dwell_z(features.prefix_features(ev), base))
+    risk = models.RiskModel.fit(joins.risk_frame(prefixes, table))
+    scores = checkpointed(models.score_sessions(frame, prefixes, table, risk, friction))
+    return models.with_signals(scores, frame, prefixes, risk, friction)
 
 
 @query
@@ -1087,7 +1132,7 @@ def theme_classifier(spark, folder):
     """Language of documents as the theme, from hashed text."""
     docs = adapters.texts(spark, folder)
     train = docs.filter(~metrics.is_test(F.col("text_id").cast("string")))
-    model = models.ThemeModel.fit(train, max_iter=20)
+    model = models.ThemeModel.fit(train)
     scored = model.classify(docs.filter(metrics.is_test(F.col("text_id").cast("string"))))
     return metrics.text_quality(scored.select(F.col("theme_label").alias("label"), "predicted", F.col("theme_prob").alias("prob"), "language"), by=["language"])
 
@@ -1095,20 +1140,49 @@ def theme_classifier(spark, folder):
 @query
 def theme_embeddings(spark, folder):
     e = adapters.table(spark, folder, "embeddings").withColumn("theme_label", F.col("label").cast("string"))
-    model = models.ThemeModel.fit(e.filter("vec_id % 5 <> 0"), embedding="embedding", max_iter=50)
+    model = models.ThemeModel.fit(e.filter("vec_id % 5 <> 0"), embedding="embedding")
     scored = model.classify(e.filter("vec_id % 5 = 0"), embedding="embedding")
     return metrics.text_quality(scored.select(F.col("theme_label").alias("label"), "predicted", F.col("theme_prob").alias("prob")))
 
 
+@query
+def distinct_themes(spark, folder):
+    """Every text labelled once per distinct text; the unsure ones fall back."""
+    docs = adapters.texts(spark, folder)
+    labelled = models.classify_distinct(models.ThemeModel.fit(docs.filter(~metrics.is_test(F.col("text_id").cast("string")))), docs.select("text_id", "text"))
+    return labelled.select("text_id", "theme", "theme_prob", "theme_method")
+
+
 @query
 def attribution(spark, folder):
     """Features that drove the risk of every session, counted."""
-    frame, full = _risk_training(spark, folder)
-    model = models.RiskModel.fit(checkpointed(frame), rounds=10)
-    saved = f"{spark.sparkContext.getCheckpointDir()}/risk-{uuid.uuid4().hex}"
-    model.save(saved)
-    signals = models.attributed(full, f"{saved}/trees", model.features)
-    return signals.select(F.explode("top_signals").alias("s")).groupBy("s.feature").agg(F.count(F.lit(1)).alias("sessions"))
+    _, full, model = _risk(spark, folder)
+    signals = models.attributed(full, model.nodes, model.features)
+    return signals.select(F.explode(F.col("signals")["risk"]).alias("s")).groupBy("s.feature").agg(F.count(F.lit(1)).alias("sessions"))
+
+
+#: A small ensemble written out: model, tree, node, left, right, feature, threshold, value.
+WALKED = ["payment_failures", "searches", "product_views", "n_events"]
+SMALL_TREES = [
+    ("m", -1, 0, -1, -1, -1, 0.0, -0.5),
+    ("m", 0, 0, 1, 2, 0, 0.5, 0.0), ("m", 0, 1, 3, 4, 3, 9.5, -0.25), ("m", 0, 2, -1, -1, -1, 0.0, 0.75), ("m", 0, 3, -1, -1, -1, 0.0, -0.5), ("m", 0, 4, -1, -1, -1, 0.0, 0.125),
+    ("m", 1, 0, 1, 2, 2, 1.0, 0.0625), ("m", 1, 1, -1, -1, -1, 0.0, -0.125), ("m", 1, 2, 3, 4, 1, 0.0, 0.25), ("m", 1, 3, -1, -1, -1, 0.0, 0.5), ("m", 1, 4, -1, -1, -1, 0.0, 0.0),
+    ("m", 2, 0, 1, 2, 3, 20.0, 0.0), ("m", 2, 1, 3, 4, 1, 1.0, -0.0625), ("m", 2, 2, -1, -1, -1, 0.0, 0.375), ("m", 2, 3, -1, -1, -1, 0.0, 0.0), ("m", 2, 4, -1, -1, -1, 0.0, 0.25),
+]
+
+
+@query
+def attribution_walk(spark, folder):
+    """Attributions of a fixed ensemble over every session."""
+    nodes = spark.createDataFrame(SMALL_TREES, boosting.NODES)
+    signals = models.attributed(behaviour_table(spark, folder), nodes, WALKED)
+    return signals.select("session_id", F.explode(F.col("signals")["m"]).alias("s")).select("session_id", "s.feature", "s.value")
+
+
+@query
+def top_two_frictions(spark, folder):
+    """The two most probable frictions of made-up probabilities."""
+    return fixed_scores(spark, folder).select("session_id", joined(models.top_frictions(F.col("friction_probs"))).alias("top"))
 
 
 # --- streams -----------------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from waymark import vocab
+from waymark.plans import checks
 from waymark.sources.adapters import BEHAVIOUR_SQL, EVENTS_SQL, ORDERS_SQL, PAYMENTS_SQL
 
 ORACLE: dict[str, str] = {}
@@ -385,6 +386,25 @@ GROUP BY session_id, product_id HAVING count(*) FILTER (event = 'size_chart_open
 q("cross_sectional", f"{T720}, x AS (SELECT 'device' AS kind, * FROM ({one_out(DEV_UNITS)}) UNION ALL SELECT 'product', * FROM ({one_out(SIZE_UNITS)}))",
   """SELECT kind, segment, n, bad, round(p, 6) AS p, round(p0, 6) AS p0,
   round((p - least(greatest(p0, 1e-3), 0.999)) / sqrt(least(greatest(p0, 1e-3), 0.999) * (1 - least(greatest(p0, 1e-3), 0.999)) / n), 4) AS z FROM x""")
+_TREES = "nd AS (SELECT * FROM (VALUES " + ", ".join(f"({t}, {n}, {lo}, {hi}, '{checks.WALKED[f] if f >= 0 else ''}', {th}, {v})" for _, t, n, lo, hi, f, th, v in checks.SMALL_TREES
+                                                      if t >= 0) + ") AS v(tree, node, lo, hi, feature, threshold, value))"
+_AT = "CASE p.feature " + " ".join(f"WHEN '{f}' THEN {f}" for f in checks.WALKED) + " END <= p.threshold"
+q("attribution_walk", f"""RECURSIVE {BEHAVIOUR}, {_TREES},
+wk AS (SELECT session_id, nd.tree, 0 AS node, '' AS feature, CAST(0 AS DOUBLE) AS gain FROM b, nd WHERE nd.node = 0
+  UNION ALL SELECT w.session_id, w.tree, c.node, p.feature, CAST(c.value - p.value AS DOUBLE) FROM wk w JOIN nd p ON p.tree = w.tree AND p.node = w.node AND p.lo >= 0
+  JOIN b ON b.session_id = w.session_id JOIN nd c ON c.tree = w.tree AND c.node = CASE WHEN {_AT} THEN p.lo ELSE p.hi END)""",
+  "SELECT session_id, feature, round(sum(gain), 4) AS value FROM wk WHERE feature <> '' GROUP BY ALL HAVING sum(gain) > 0")
+q("top_two_frictions", F720, "SELECT session_id, array_to_string(list_transform(list_sort([" + ", ".join(
+    f"{{'p': -(((n_body * 7 + product_views * 11 + {i} * 13) % 100) / 100.0), 'i': {i}, 'f': '{f}'}}" for i, f in enumerate(vocab.FRICTIONS)) + "])[1:2], lambda x: x.f), '|') AS top FROM f")
+q("features_with_joins", f"""{BEHAVIOUR}, od AS ({ORDERS_SQL}),
+p AS (SELECT session_id, count(*) AS np, count(*) FILTER (event = 'payment_failed' AND debited = 'true') AS nf, count(DISTINCT gateway) AS ng FROM s WHERE event IN ('payment_attempt', 'payment_failed') GROUP BY 1),
+k AS (SELECT 'b_' || (doc_id % 200) || '_2024-01-0' AS session_id, count(*) AS nt FROM documents GROUP BY 1),
+r AS (SELECT 'b_' || (doc_id % 150) || '_2024-01-0' AS session_id, count(*) AS nr, min(quality * 3 + toxic + 1) AS mr FROM labels GROUP BY 1),
+fo AS (SELECT session_id, arg_min(order_id, idx) AS order_id FROM s WHERE order_id IS NOT NULL GROUP BY 1)""",
+  """SELECT b.session_id, coalesce(np, 0) AS n_payment_records, coalesce(nf, 0) AS failed_debited_payments, coalesce(ng, 0) AS n_gateways, coalesce(nt, 0) AS n_tickets, coalesce(nr, 0) AS n_reviews,
+  CAST(coalesce(mr, 0) AS BIGINT) AS min_review_rating, CAST(coalesce(delay_days, 0) AS BIGINT) AS order_delay_days, CAST(coalesce(status = 'delayed' OR delay_days > 0, false) AS BIGINT) AS order_is_delayed,
+  CAST(coalesce(delay_days = 3, false) AS BIGINT) AS order_refund_pending, CAST(0 AS BIGINT) AS order_return_requested, round(b.cart_value, 4) AS cart_value, CAST(n_events AS BIGINT) AS n_events
+FROM b LEFT JOIN p USING (session_id) LEFT JOIN k USING (session_id) LEFT JOIN r USING (session_id) LEFT JOIN fo USING (session_id) LEFT JOIN od ON od.order_id = fo.order_id""")
 CLAMPED = "least(greatest(p0, 1e-3), 0.999)"
 
 
