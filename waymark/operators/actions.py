@@ -189,6 +189,10 @@ def recovery_stats(recoveries: DataFrame) -> DataFrame:
          .alias("recovered_revenue"))
 
 
+def recovery_by_status(recoveries: DataFrame) -> DataFrame:
+    return recoveries.groupBy("status").agg(F.count(F.lit(1)).alias("messages"))
+
+
 def recovery_by_friction(recoveries: DataFrame) -> DataFrame:
     known = recoveries.filter(F.col("outcome").isin("recovered", "not_recovered"))
     won = F.col("outcome") == "recovered"
@@ -280,15 +284,22 @@ def approve_drafts(drafts: DataFrame, approvals: DataFrame) -> DataFrame:
 # --- audit ---------------------------------------------------------------------------------------------------
 
 def audit_log(decisions: DataFrame, alert_rows: DataFrame | None = None, recoveries: DataFrame | None = None,
-              executed: DataFrame | None = None) -> DataFrame:
-    """event_type, entity_type, entity_id, actor, ts, payload (JSON): one row per thing that happened."""
+              executed: DataFrame | None = None, replies: DataFrame | None = None) -> DataFrame:
+    """event_type, entity_type, entity_id, actor, ts, payload (JSON): one row per thing that happened.
+
+    recoveries may have approved_by (see `release_pending`); replies: draft_id, session_id, status, source, guardrail_failures,
+    created_at, approved_by.
+    """
     def entry(df: DataFrame, event: Column, kind: str, entity: str, ts: Column, payload: Column,
               actor: Column = F.lit("system")) -> DataFrame:
         return df.select(event.alias("event_type"), F.lit(kind).alias("entity_type"), F.col(entity).alias("entity_id"),
                          actor.alias("actor"), ts.alias("ts"), F.to_json(payload).alias("payload"))
 
+    looked = F.col("investigated") if "investigated" in decisions.columns else F.lit(False)
+    breakdown = F.struct("rule_supports", "model_supports", "text_supports", "aggregate_supports")
     parts = [entry(_complete(decisions), F.lit("decision"), "packet", "packet_id", happened_at(), F.struct(
-        "friction_type", "confidence", "gate", "priority", F.col("team_action.id").alias("team_action")))]
+        "friction_type", "confidence", "gate", "priority", F.col("team_action.id").alias("team_action"), breakdown.alias("breakdown"),
+        F.coalesce(looked, F.lit(False)).alias("investigated")))]
     if alert_rows is not None:
         parts.append(entry(alert_rows, F.lit("alert_created"), "alert", "alert_id", F.col("created_at"),
                            F.struct("packet_id", "gate", "priority", F.lit("fallback").alias("explanation_source"))))
@@ -297,6 +308,14 @@ def audit_log(decisions: DataFrame, alert_rows: DataFrame | None = None, recover
         parts.append(entry(recoveries, F.lit("recovery_planned"), "session", "session_id", F.col("created_at"), payload))
         parts.append(entry(recoveries.filter("message IS NOT NULL"), F.lit("recovery_message_drafted"), "session",
                            "session_id", F.col("created_at"), F.struct("action_id", F.lit("fallback").alias("source"))))
+        if "approved_by" in recoveries.columns:
+            parts.append(entry(recoveries.filter("approved_by IS NOT NULL"), F.lit("recovery_approved"), "session", "session_id", F.col("created_at"),
+                               F.struct("action_id", "channel"), F.col("approved_by")))
+    if replies is not None:
+        draft = F.struct("session_id", "status", "source", "guardrail_failures")
+        parts.append(entry(replies, F.lit("cs_reply_drafted"), "cs_draft", "draft_id", F.col("created_at"), draft))
+        parts.append(entry(replies.filter("approved_by IS NOT NULL"), F.lit("cs_reply_approved"), "cs_draft", "draft_id", F.col("created_at"),
+                           F.struct("session_id"), F.col("approved_by")))
     if executed is not None:
         parts.append(entry(executed.filter("rejected IS NULL"), F.concat(F.lit("workflow_"), "action"), "alert",
                            "alert_id", F.col("requested_at"), F.struct("from_status", "to_status", "note"), F.col("actor")))

@@ -12,7 +12,10 @@ from waymark.functions.columns import strings
 from waymark.functions.rules import rule_frictions
 
 SIGNALS = "array<struct<feature:string,value:double>>"
-FINDINGS = "array<struct<tool:string,summary:string,supports:string,evidence_kind:string>>"
+FINDINGS = ("array<struct<tool:string,summary:string,supports:string,evidence_kind:string,args:array<struct<name:string,value:string>>,"
+            "numbers:array<struct<name:string,value:double>>>>")
+_FINDING = {"tool": "string", "summary": "string", "supports": "string", "evidence_kind": "string", "args": "array<struct<name:string,value:string>>",
+            "numbers": "array<struct<name:string,value:double>>"}
 # columns of a packet frame with the value a packet has when it does not say anything
 PACKET = {
     "packet_id": "string", "packet_type": "string", "session_id": "string", "user_id": "string",
@@ -127,6 +130,12 @@ def to_investigate(decisions: DataFrame, limit: int | None = None, s: Settings =
         s.investigate_limit if limit is None else limit).select("packet_id")
 
 
+def _as_findings(findings: DataFrame, column: str) -> Column:
+    """Findings with all fields, by name; those that somebody's findings do not have are null."""
+    have = findings.schema["findings"].dataType.elementType.fieldNames()
+    return F.transform(column, lambda x: F.struct(*[(x[n] if n in have else F.lit(None)).cast(kind).alias(n) for n, kind in _FINDING.items()]))
+
+
 def decide_with_findings(packets: DataFrame, findings: DataFrame, s: Settings = DEFAULTS,
                          limit: int | None = None, moment: str | None = None) -> DataFrame:
     """Two passes: medium packets within the budget get their findings and the same decision again.
@@ -140,7 +149,7 @@ def decide_with_findings(packets: DataFrame, findings: DataFrame, s: Settings =
         .join(findings.select("packet_id", F.col("findings").alias("_found")), "packet_id", "left")
         .withColumn("investigated", F.coalesce("investigated", F.lit(False)))
         .withColumn("findings", F.when(F.col("investigated") & F.col("_found").isNotNull(),
-                                       F.concat("findings", F.col("_found").cast(FINDINGS))).otherwise(F.col("findings")))
+                                       F.concat("findings", _as_findings(findings, "_found"))).otherwise(F.col("findings")))
         .drop("_found")
     )
     return decide(enriched, s, moment)

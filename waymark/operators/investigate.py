@@ -49,16 +49,17 @@ def drop_offs(sessions: DataFrame, segment: str) -> DataFrame:
 
 def converters_vs_abandoners(features: DataFrame, sessions: DataFrame,
                              columns: Sequence[str] = vocab.COMPARED_FEATURES) -> DataFrame:
-    """feature, converters, abandoners, ratio among sessions that reached the cart, largest ratio first."""
+    """feature, n_converters, n_abandoners, converters, abandoners, ratio among sessions that reached the cart, largest ratio first."""
     outcome = sessions.select("user_id", "session_id", "converted", "reached_cart").filter("reached_cart")
     joined = features.select("user_id", "session_id", *columns).join(outcome, ["user_id", "session_id"])
     exact = lambda c: F.col(c).cast("decimal(30,6)")
     sums = joined.agg(*[x for c in columns for x in (
         ratio(F.sum(F.when(F.col("converted"), exact(c))), F.count_if("converted")).alias(f"c_{c}"),
-        ratio(F.sum(F.when(~F.col("converted"), exact(c))), F.count_if(~F.col("converted"))).alias(f"a_{c}"))])
+        ratio(F.sum(F.when(~F.col("converted"), exact(c))), F.count_if(~F.col("converted"))).alias(f"a_{c}"))],
+        F.count_if("converted").alias("n_converters"), F.count_if(~F.col("converted")).alias("n_abandoners"))
     stacked = ", ".join(f"'{c}', c_{c}, a_{c}" for c in columns)
-    long = sums.selectExpr(f"stack({len(columns)}, {stacked}) as (feature, c, a)")
-    return long.select("feature", F.round("c", 3).alias("converters"), F.round("a", 3).alias("abandoners"),
+    long = sums.selectExpr("n_converters", "n_abandoners", f"stack({len(columns)}, {stacked}) as (feature, c, a)")
+    return long.select("feature", "n_converters", "n_abandoners", F.round("c", 3).alias("converters"), F.round("a", 3).alias("abandoners"),
                        F.round(ratio(F.col("a"), F.col("c")), 2).alias("ratio")) \
                .orderBy(F.coalesce(F.when(F.col("ratio") != 0, F.col("ratio")), F.lit(99.0)).desc(), "feature")
 
@@ -199,11 +200,21 @@ def top_frictions(decisions: DataFrame, limit: int = 5) -> DataFrame:
 
 # --- findings for the second pass ---------------------------------------------------------------------------
 
-def _finding(tool: str, supported: Column, kind: str, summary: Column) -> Column:
+#: What an answer must show to count as evidence.
+MULTIPLIER, FAILED_SESSIONS, ORDERS, MISSING_ATTRIBUTES, SEGMENT_FACTOR = 2, 2, 3, 2, 1.5
+
+
+def _finding(tool: str, supported: Column, kind: str, summary: Column, args: dict[str, Column], numbers: dict[str, Column]) -> Column:
+    """What was asked (args), what came back in numbers and words, and which friction it supports."""
+    def listed(values: dict[str, Column], kind: str) -> Column:
+        return F.array(*[F.struct(F.lit(n).alias("name"), v.cast(kind).alias("value")) for n, v in values.items()])
+
+    supported = F.coalesce(supported, F.lit(False))
     return F.struct(
         F.lit(tool).alias("tool"), summary.alias("summary"),
         F.when(supported, F.col("friction_type")).cast("string").alias("supports"),
-        F.when(supported, kind).otherwise("none").alias("evidence_kind")).alias("finding")
+        F.when(supported, kind).otherwise("none").alias("evidence_kind"),
+        F.filter(listed(args, "string"), lambda x: x["value"].isNotNull()).alias("args"), listed(numbers, "double").alias("numbers")).alias("finding")
 
 
 def _themes_by(texts: DataFrame, key: str) -> DataFrame:
@@ -236,7 +247,7 @@ def findings(packets: DataFrame, payments: DataFrame, orders: DataFrame, texts:
               F.coalesce("exit_step", F.lit("payment")).alias("_step"), "_gateway", "_courier", "_city", "_around",
               "_product")
     p = checkpointed(p)  # read by every query below, so it is stored once
-    known = p.select("packet_id", "friction_type")
+    known = p.select("packet_id", "friction_type", "_around", "_city", "session_id")
     found: list[DataFrame] = []
 
     def add(df: DataFrame, finding: Column) -> None:
@@ -245,21 +256,25 @@ def findings(packets: DataFrame, payments: DataFrame, orders: DataFrame, texts:
     asked = p.filter("_gateway IS NOT NULL").select(
         F.col("packet_id").alias("probe_id"), F.col("_gateway").alias("gateway"), F.col("_around").alias("around"))
     health = gateway_health(asked, payments, s=s).withColumnRenamed("probe_id", "packet_id").join(known, "packet_id")
-    add(health, _finding("gateway_health", (F.col("multiplier") >= 2) & (F.col("failed_sessions") >= 2)
+    add(health, _finding("gateway_health", (F.col("multiplier") >= MULTIPLIER) & (F.col("failed_sessions") >= FAILED_SESSIONS)
                          & (f == "payment_failure"), "aggregate",
         F.concat(F.lit("Gateway "), "gateway", F.lit(" failure rate "), percent(F.col("failure_rate")), F.lit(" vs "),
                  percent(F.col("baseline_failure_rate")), F.lit(" baseline ("), F.col("failed_sessions").cast("string"),
-                 F.lit(" failed sessions)"))))
+                 F.lit(" failed sessions)")),
+        {"gateway": F.col("gateway"), "around": F.col("_around")},
+        {c: F.col(c) for c in ("failure_rate", "baseline_failure_rate", "failed_sessions")}))
 
     asked = p.filter("_courier IS NOT NULL").select(
         F.col("packet_id").alias("probe_id"), F.col("_courier").alias("courier"), F.col("_city").alias("city"),
         F.col("_around").alias("around"))
     health = courier_health(asked, orders, s=s).withColumnRenamed("probe_id", "packet_id").join(known, "packet_id")
-    add(health, _finding("courier_health", (F.col("multiplier") >= 2) & (F.col("orders_in_window") >= 3)
+    add(health, _finding("courier_health", (F.col("multiplier") >= MULTIPLIER) & (F.col("orders_in_window") >= ORDERS)
                          & f.isin("delivery_uncertainty", "post_purchase_concern"), "aggregate",
         F.concat("courier", F.lit(" delayed-order share "), percent(F.col("delayed_share")), F.lit(" vs "),
                  percent(F.col("baseline_delayed_share")), F.lit(" baseline ("),
-                 F.col("orders_in_window").cast("string"), F.lit(" orders)"))))
+                 F.col("orders_in_window").cast("string"), F.lit(" orders)")),
+        {"courier": F.col("courier"), "city": F.col("_city"), "around": F.col("_around")},
+        {c: F.col(c) for c in ("delayed_share", "baseline_delayed_share", "orders_in_window")}))
 
     # orders of the session itself, or of all sessions of a courier anomaly
     own = p.filter((F.col("packet_type") == "session") & (f == "post_purchase_concern")).select("packet_id", "order_id")
@@ -272,7 +287,9 @@ def findings(packets: DataFrame, payments: DataFrame, orders: DataFrame, texts:
     add(status, _finding("order_status_for_sessions", (f == "post_purchase_concern")
                          & ((n("delayed") > 0) | (n("refunds_pending") > 0)), "aggregate",
         F.concat(n("orders").cast("string"), F.lit(" orders: "), n("delayed").cast("string"), F.lit(" delayed, "),
-                 n("refunds_pending").cast("string"), F.lit(" refunds pending"))))
+                 n("refunds_pending").cast("string"), F.lit(" refunds pending")),
+        {"session_id": F.col("session_id"), "packet_id": F.when(F.col("session_id").isNull(), F.col("packet_id"))},
+        {c: n(c) for c in ("orders", "delayed", "refunds_pending")}))
 
     catalog = products.select(
         F.col("product_id").alias("_product"), "sizes", "has_size_chart", "missing_attributes", "in_stock", "stock")
@@ -280,26 +297,29 @@ def findings(packets: DataFrame, payments: DataFrame, orders: DataFrame, texts:
     no_chart = (F.size("sizes") > 0) & ~F.coalesce("has_size_chart", F.lit(False))
     missing = F.greatest(F.coalesce(F.size("missing_attributes"), F.lit(0)), F.lit(0))
     add(about.filter((F.col("packet_type") == "aggregate") | (f == "unclear_product_info")),
-        _finding("product_details", (f == "unclear_product_info") & (F.coalesce(no_chart, F.lit(False)) | (missing >= 2)),
+        _finding("product_details", (f == "unclear_product_info") & (F.coalesce(no_chart, F.lit(False)) | (missing >= MISSING_ATTRIBUTES)),
                  "catalog", F.concat(F.lit("Product "), "_product", F.lit(": size chart "),
                                      F.when(no_chart, "missing").otherwise("present"), F.lit(", "),
-                                     missing.cast("string"), F.lit(" missing attributes"))))
+                                     missing.cast("string"), F.lit(" missing attributes")),
+                 {"product_id": F.col("_product")}, {"missing_attributes": missing}))
     sold_out = F.coalesce(F.size(F.map_filter("stock", lambda _, q: q == 0)), F.lit(0))
     add(about.filter((F.col("packet_type") == "session") & (f == "out_of_stock")),
         _finding("stock_check", (f == "out_of_stock") & F.col("in_stock").isNotNull()
                  & ((sold_out > 0) | ~F.col("in_stock")), "catalog",
                  F.concat(F.lit("Product "), "_product", F.lit(": "), sold_out.cast("string"),
-                          F.lit(" sizes out of stock"))))
+                          F.lit(" sizes out of stock")),
+                 {"product_id": F.col("_product")}, {"sizes_out_of_stock": sold_out}))
 
     glitch = p.filter((F.col("packet_type") == "session") & (f == "technical_glitch"))
-    worst = drop_offs(sessions, "device").groupBy("step").agg(
-        F.max("exit_rate").alias("exit_rate"), F.max("overall_exit_rate").alias("overall_exit_rate")
-    ).withColumnRenamed("step", "_step")
+    top = F.min(F.struct((-F.col("exit_rate")).alias("minus"), "segment"))
+    worst = drop_offs(sessions, "device").groupBy("step").agg(top.alias("_top"), F.max("overall_exit_rate").alias("overall_exit_rate")).select(
+        F.col("step").alias("_step"), (-F.col("_top.minus")).alias("exit_rate"), F.col("_top.segment").alias("_segment"), "overall_exit_rate")
     rates = glitch.join(F.broadcast(worst), "_step", "left")  # one row per funnel step
-    add(rates, _finding("drop_off_by_segment", F.col("exit_rate") >= 1.5 * F.greatest(
+    add(rates, _finding("drop_off_by_segment", F.col("exit_rate") >= SEGMENT_FACTOR * F.greatest(
         F.col("overall_exit_rate"), F.lit(1e-3)), "aggregate",
-        F.concat(F.lit("Exit rate at "), "_step", F.lit(": "),
-                 F.coalesce(percent(F.col("overall_exit_rate")), F.lit("0%")), F.lit(" overall"))))
+        F.concat(F.lit("Exit rate at "), "_step", F.lit(": "), F.coalesce(percent(F.col("overall_exit_rate")), F.lit("0%")), F.lit(" overall"),
+                 F.coalesce(F.concat(F.lit(", highest "), "_segment", F.lit(" "), percent(F.col("exit_rate"))), F.lit(""))),
+        {"step": F.col("_step"), "segment": F.lit("device")}, {"overall_exit_rate": F.coalesce("overall_exit_rate", F.lit(0.0))}))
 
     found.append(_feedback(p, texts, members))
     listed = reduce(DataFrame.unionByName, found)
@@ -331,14 +351,17 @@ def _feedback(p: DataFrame, texts: DataFrame, members: DataFrame) -> DataFrame:
     supported = F.array_contains(theme_frictions(F.coalesce("themes", none)), f)
     text = F.concat(F.coalesce("matched", F.lit(0)).cast("string"), F.lit(" customer texts; themes: "),
                     F.when(F.size("themes") > 0, F.array_join("themes", ", ")).otherwise("none"))
-    return rows.select("packet_id", _finding("sample_feedback", supported, "text", text))
+    of_product = F.col("_product").isNotNull() & by_product
+    args = {"product_id": F.when(of_product, F.col("_product")), "session_id": F.when(~of_product, F.col("session_id")), "user_id": F.when(~of_product, F.col("user_id")),
+            "packet_id": F.when(~of_product & F.col("session_id").isNull(), F.col("packet_id"))}
+    return rows.select("packet_id", _finding("sample_feedback", supported, "text", text, args, {"matched_texts": F.coalesce("matched", F.lit(0))}))
 
 
 # --- one customer --------------------------------------------------------------------------------------------
 
 def customer_context(sessions: DataFrame, journeys: DataFrame, payments: DataFrame, orders: DataFrame,
-                     texts: DataFrame | None = None, messages: int = 3) -> DataFrame:
-    """What an agent needs to know per session: journey, payments, order, last messages and themes."""
+                     texts: DataFrame | None = None, messages: int = 3, products: DataFrame | None = None) -> DataFrame:
+    """What an agent needs to know per session: journey, product, payments, order, last messages and the themes of all messages."""
     failed = F.col("status") == "failed"
     paid = payments.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("attempts"), F.count_if(failed).alias("failed"),
@@ -350,6 +373,9 @@ def customer_context(sessions: DataFrame, journeys: DataFrame, payments: DataFra
     placed = orders.select("order_id", F.col("status").alias("order_status"), *have)
     out = sparse_left_join(out, placed, "order_id", "session_id")
     out = out.withColumns({c: zero(c) for c in ("attempts", "failed", "debited_without_order")})
+    if products is not None:
+        named = products.select(F.col("product_id").alias("primary_product_id"), F.col("subcategory").alias("product"))
+        out = sparse_left_join(out, named, "primary_product_id", "session_id")
     if texts is None:
         return out
     # a text counts once for a session even when both the session and the user match
@@ -361,7 +387,13 @@ def customer_context(sessions: DataFrame, journeys: DataFrame, payments: DataFra
         wanted.join(by_session, F.col("session_id") == F.col("_s")).select("session_id", "m")).distinct()
     last = F.slice(F.sort_array(F.collect_list("m"), asc=False), 1, messages)
     told = both.groupBy("session_id").agg(F.transform(last, lambda m: m["text"]).alias("customer_messages"))
-    return out.join(told, "session_id", "left")
+    # the themes of everything written in the session or by its user
+    of_user = mine.filter("_u IS NOT NULL").select("_u", "theme").distinct()
+    of_session = mine.filter("_s IS NOT NULL").select("_s", "theme").distinct()
+    every = wanted.join(of_user, F.col("user_id") == F.col("_u")).select("session_id", "theme").unionByName(
+        wanted.join(of_session, F.col("session_id") == F.col("_s")).select("session_id", "theme"))
+    themes = every.groupBy("session_id").agg(F.array_sort(F.collect_set("theme")).alias("themes"))
+    return out.join(told, "session_id", "left").join(themes, "session_id", "left")
 
 
 def _newest(texts: DataFrame, key: str, n: int) -> DataFrame:

@@ -116,6 +116,16 @@ def decision_quality(decisions: DataFrame, truth: DataFrame) -> DataFrame:
         part(F.col("gate") == "high", alerted).alias("alerts_high_confidence_share"))
 
 
+def gate_counts(decisions: DataFrame) -> DataFrame:
+    """Decisions per gate, sessions and anomalies apart."""
+    return decisions.groupBy("packet_type", "gate").agg(F.count(F.lit(1)).alias("packets"))
+
+
+def aggregate_decisions(decisions: DataFrame) -> DataFrame:
+    """What was decided about every anomaly."""
+    return decisions.filter("packet_type = 'aggregate'").select("packet_id", "friction_type", "gate", "confidence", "priority")
+
+
 def accuracy_by_friction(decisions: DataFrame, truth: DataFrame) -> DataFrame:
     covered = truth.filter("NOT is_clean").join(decisions.select("session_id", "friction_type"), "session_id")
     return covered.groupBy("primary_friction").agg(F.round(ratio(F.count_if(

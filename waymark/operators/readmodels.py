@@ -175,6 +175,22 @@ def best_alerts(alerts: DataFrame, n: int = 6) -> DataFrame:
     return alerts.filter(F.col("status").isin(*ACTIVE)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+def recommended_actions(friction: Column) -> Column:
+    """The playbook's actions for a friction: team (the general one), incident (for anomalies), and all those for customers."""
+    def action(row: tuple) -> Column:
+        return F.struct(F.lit(row[2]).alias("id"), F.lit(row[10]).alias("description"))
+
+    none = F.lit(None).cast("struct<id:string,description:string>")
+    out = F.lit(None)
+    for f in vocab.FRICTIONS:
+        team = [r for r in vocab.PLAYBOOK if r[0] == f and r[1] == "team"]
+        incident = next((r for r in team if r[7] == "packet_type" and "aggregate" in r[8]), None)
+        customer = [action(r) for r in vocab.PLAYBOOK if r[0] == f and r[1] == "customer"]
+        out = F.when(friction == f, F.struct(action(team[-1]).alias("team"), (action(incident) if incident else none).alias("incident"),
+                                             F.array(*customer).alias("customer"))).otherwise(out)
+    return out
+
+
 def team_insights(team: str, packets: DataFrame, alerts: DataFrame) -> DataFrame:
     """One row per friction a team owns: numbers, health, likely cause, top values and best alerts."""
     if team not in vocab.TEAM_VIEWS:
@@ -188,15 +204,17 @@ def team_insights(team: str, packets: DataFrame, alerts: DataFrame) -> DataFrame
         F.count_if(session & (F.col("gate") == "high")).alias("high_confidence"),
         F.count_if(session & (F.col("gate") == "medium")).alias("needs_review"),
         F.count_if(~session).alias("aggregate_anomalies"))
-    values = top_values(packets).groupBy("friction_type").agg(F.map_from_entries(F.collect_list(F.struct(
-        F.concat_ws(":", "dimension", "value"), "sessions"))).alias("top_values"))
+    described = F.when(F.col("dimension") == "flag", lookup({r[0]: r[3] for r in vocab.RULES}, F.col("value")))
+    values = top_values(packets).groupBy("friction_type").agg(F.array_sort(F.collect_list(F.struct(
+        "dimension", "rank", "value", "sessions", described.alias("description")))).alias("top_values"))
     shown = best_alerts(alerts).groupBy("friction_type").agg(F.array_sort(F.collect_list(F.struct(
         "rank", "alert_id", "title", "gate", "priority", "status", "confidence", "alert_type", "revenue_at_risk"))).alias("alerts"))
     out = dim.join(numbers, "friction_type", "left").join(health(packets, alerts), "friction_type", "left") \
              .join(values, "friction_type", "left").join(shown, "friction_type", "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("sessions", "high_confidence", "needs_review", "aggregate_anomalies")}
     zero["revenue_at_risk"] = F.coalesce("revenue_at_risk", F.lit(0.0))
-    out = out.withColumns(zero).withColumn("likely_cause", lookup(vocab.LIKELY_CAUSES, F.col("friction_type")))
+    out = out.withColumns(zero).withColumn("likely_cause", lookup(vocab.LIKELY_CAUSES, F.col("friction_type"))).withColumn(
+        "recommended", recommended_actions(F.col("friction_type")))
     return out.orderBy(F.desc("revenue_at_risk"), "place").drop("place")
 
 

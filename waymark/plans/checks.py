@@ -577,6 +577,48 @@ def incident_overlap(spark, folder):
     return metrics.incident_quality(packets, incidents, matched)
 
 
+def _all_incidents(spark, folder):
+    """Known incidents of all three kinds, by supplier number."""
+    n = F.col("s_suppkey")
+    kind = F.when(n % 3 == 0, "gateway_outage").when(n % 3 == 1, "courier_delay").otherwise("missing_size_info")
+    scope = F.when(n % 3 == 0, F.concat(F.lit('{"gateway": "'), F.substring(F.lit("ABC"), (n % 3 + 1).cast("int"), F.lit(1)), F.lit('"}'))).when(
+        n % 3 == 1, F.concat(F.lit('{"courier": "courier_'), n % 2, F.lit('", "cities": ["city_'), n % 10, F.lit('", "city_'), (n + 5) % 10, F.lit('"]}'))).otherwise(
+        F.concat(F.lit('{"product_ids": ["p_'), n % 4, F.lit('"]}')))
+    begin = F.timestamp_seconds(F.lit(1_704_067_200) + (n % 28) * 86400)
+    return adapters.table(spark, folder, "supplier").select(
+        F.concat(F.lit("i_"), n).alias("incident_id"), kind.alias("kind"), scope.alias("scope"), begin.alias("start"), (begin + F.expr("INTERVAL 3 DAYS")).alias("end"))
+
+
+@shared
+def _all_packets(spark, folder):
+    packets, _ = anomaly.detect_anomalies(all_detector_sources(spark, folder), LOW)
+    return checkpointed(packets)
+
+
+@query
+def incident_matches(spark, folder):
+    """Incidents of all kinds: the packets that name them and overlap them in time (products at any time)."""
+    return anomaly.match_incidents(_all_packets(spark, folder), _all_incidents(spark, folder))
+
+
+@query
+def unmatched_anomalies(spark, folder):
+    packets = _all_packets(spark, folder)
+    return metrics.unmatched_anomalies(packets, anomaly.match_incidents(packets, _all_incidents(spark, folder)))
+
+
+@query
+def planted_products_flagged(spark, folder):
+    packets, incidents = _all_packets(spark, folder), _all_incidents(spark, folder)
+    return metrics.planted_products_flagged(packets, incidents, anomaly.match_incidents(packets, incidents))
+
+
+@query
+def affected_per_incident(spark, folder):
+    truth = _truth(spark, folder).withColumn("incident_id", F.when(~F.col("is_clean"), F.concat(F.lit("i_"), F.right("session_id", F.lit(1)))))
+    return metrics.affected_per_incident(truth)
+
+
 # --- packets and decisions --------------------------------------------------------------------------------------
 
 @query
@@ -641,9 +683,12 @@ def decision_summary(spark, folder):
 def second_pass(spark, folder):
     """Medium packets of the budget get findings and the same decision again."""
     packets = packets_of_sessions(spark, folder)
+    # what is found depends on the packet: support for payments, for delivery, or nothing
+    last = F.pmod(F.ascii(F.right("packet_id", F.lit(1))), F.lit(3))
+    supports = F.when(last == 0, "payment_failure").when(last == 1, "delivery_uncertainty")
     found = packets.select("packet_id", F.array(F.struct(
-        F.lit("gateway_health").alias("tool"), F.lit("").alias("summary"), F.lit("payment_failure").alias("supports"),
-        F.lit("aggregate").alias("evidence_kind"))).alias("findings"))
+        F.lit("gateway_health").alias("tool"), F.lit("").alias("summary"), supports.alias("supports"),
+        F.when(supports.isNotNull(), "aggregate").otherwise("none").alias("evidence_kind"))).alias("findings"))
     out = decide.decide_with_findings(packets, found)
     return out.groupBy("investigated", "gate", "friction_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -661,7 +706,7 @@ def drop_off_by_segment(spark, folder):
 def converters_vs_abandoners(spark, folder):
     ev = segmented(spark, folder, SEQUENCE_GAP)
     return investigate.converters_vs_abandoners(features.session_features(ev), sessions.session_table(ev)).select(
-        "feature", "converters", "abandoners", F.coalesce("ratio", F.lit(-1.0)).alias("ratio"))
+        "feature", "n_converters", "n_abandoners", "converters", "abandoners", F.coalesce("ratio", F.lit(-1.0)).alias("ratio"))
 
 
 @query
@@ -824,11 +869,11 @@ def recovery_by_friction(spark, folder):
 
 
 def _requests(spark, folder):
-    """Click events as workflow requests on one alert per user."""
-    names = F.array(*[F.lit(a) for a in vocab.TRANSITIONS])
-    return adapters.table(spark, folder, "events").filter("event_type <> 'view'").select(
+    """All events as workflow requests on one alert per user; one action is unknown."""
+    names = F.array(*[F.lit(a) for a in vocab.TRANSITIONS], F.lit("escalate"))
+    return adapters.table(spark, folder, "events").select(
         F.col("event_id").alias("request_id"), F.concat(F.lit("al_"), "user_id").alias("alert_id"),
-        F.get(names, (F.regexp_extract("props", "([0-9]+)", 1).cast("int") % 5)).alias("action"), F.lit("agent").alias("actor"),
+        F.get(names, (F.regexp_extract("props", "([0-9]+)", 1).cast("int") % 6)).alias("action"), F.lit("agent").alias("actor"),
         F.lit(None).cast("string").alias("assignee"), F.lit(None).cast("string").alias("note"), F.col("ts").cast("timestamp").alias("requested_at"))
 
 
@@ -853,6 +898,79 @@ def workflow_state(spark, folder):
     return out.select("alert_id", "status", F.coalesce("assigned_to", F.lit("-")).alias("assigned_to"))
 
 
+@query
+def recovery_by_status(spark, folder):
+    return actions.recovery_by_status(_observed(spark, folder))
+
+
+def _pending(spark, folder):
+    """One message per alert, waiting, sent or held out by the user's number."""
+    number = F.regexp_extract("packet_id", "([0-9]+)", 1).cast("int") % 3
+    return _alerts_per_user(spark, folder).select("packet_id", F.when(number == 0, "sent").when(number == 1, "holdout").otherwise("pending_approval").alias("status"))
+
+
+@query
+def release_pending(spark, folder):
+    """Approved alerts release the messages that wait for them."""
+    alerts = _alerts_per_user(spark, folder)
+    out = actions.release_pending(_pending(spark, folder), actions.workflow(alerts, _requests(spark, folder)))
+    return out.select("packet_id", "status", F.coalesce("approved_by", F.lit("-")).alias("approved_by"))
+
+
+@query
+def approve_drafts(spark, folder):
+    """Reply drafts approved once, by the first of several requests."""
+    turns = adapters.table(spark, folder, "conversations").filter("role = 'assistant'")
+    draft = F.concat_ws("-", "conv_id", "turn")
+    replies = turns.select(draft.alias("draft_id"), F.when(F.col("conv_id") % 4 == 0, "sent").otherwise("pending_approval").alias("status"))
+    asked = turns.filter("(conv_id + turn) % 3 = 0").select(draft.alias("draft_id"), "conv_id").select(
+        "draft_id", F.explode(F.array(F.lit(2), F.lit(1))).alias("n"), "conv_id").select(
+        "draft_id", F.concat(F.lit("agent_"), F.col("n") % 2).alias("actor"), F.timestamp_seconds(F.col("conv_id") + F.col("n")).alias("requested_at"), F.col("n").alias("request_id"))
+    return actions.approve_drafts(replies, asked).select("draft_id", "status", F.coalesce("approved_by", F.lit("-")).alias("approved_by"))
+
+
+def _full_log(spark, folder):
+    decisions = decisions_of_sessions(spark, folder)
+    plan = actions.recovery_plan(decisions).withColumn("approved_by", F.when((F.col("status") == "pending_approval") & F.endswith("session_id", F.lit("1")), "ann"))
+    number = F.regexp_extract("draft_id", "([0-9]+)", 1).cast("int")
+    replies = adapters.table(spark, folder, "conversations").filter("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("draft_id")).withColumns({
+        "session_id": F.lit("s"), "status": F.lit("pending_approval"), "source": F.when(number % 2 == 0, "llm").otherwise("fallback"),
+        "guardrail_failures": F.when(number % 3 == 0, F.array(F.lit("schema"))).otherwise(F.array().cast("array<string>")),
+        "created_at": F.timestamp_seconds(number), "approved_by": F.when(number % 5 == 0, "kim")})
+    return actions.audit_log(decisions, actions.alerts(decisions), plan, None, replies)
+
+
+@query
+def audit_events(spark, folder):
+    """Everything that can be in the log, with what the payload says."""
+    log = _full_log(spark, folder)
+    seen = F.from_json("payload", "struct<investigated:boolean,breakdown:struct<rule_supports:boolean>,status:string>")
+    return log.withColumn("p", seen).groupBy("event_type", "entity_type", "actor").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("p.breakdown.rule_supports")).alias("by_rule"), F.count_if(F.col("p.investigated")).alias("investigated"))
+
+
+@query
+def audit_trail(spark, folder):
+    """What happened to one reply draft and to one session, newest first."""
+    log = _full_log(spark, folder)
+    ids = [r[0] for r in log.filter("entity_type = 'cs_draft'").select("entity_id").distinct().orderBy("entity_id").limit(3).collect()]
+    return actions.trail(log, ids, 5).select("event_type", "entity_id", "actor", micros("ts").alias("at_us"))
+
+
+@query
+def draft_pass_rate(spark, folder):
+    replies = _full_log(spark, folder).filter("event_type = 'cs_reply_drafted'").withColumn("event_type", F.lit("explanation_drafted"))
+    return readmodels.draft_pass_rate(replies)
+
+
+@query
+def anomalies_ordered(spark, folder):
+    """Strongest anomalies first; the place of each in the list."""
+    packets, _ = anomaly.temporal_anomalies(payment_units(spark, folder), anomaly.GATEWAY, [1440], 60 * 1440, DAILY)
+    first = anomaly.strongest_first(packets).limit(25)
+    return first.select("packet_id", "z_score")
+
+
 @query
 def audit_counts(spark, folder):
     decisions = decisions_of_sessions(spark, folder)
@@ -927,9 +1045,8 @@ def alert_quality(spark, folder):
 
 @query
 def nonzero_features(spark, folder):
-    out = readmodels.nonzero_features(_features(spark, folder)).select("session_id", F.explode("features").alias("feature", "v"))
-    return out.filter(F.col("feature").isin(*vocab.COUNTERS)).groupBy("feature").agg(
-        F.count(F.lit(1)).alias("sessions"), F.sum("v").cast("bigint").alias("total"))
+    out = readmodels.nonzero_features(behaviour_table(spark, folder)).select("session_id", F.explode("features").alias("feature", "v"))
+    return out.groupBy("feature").agg(F.count(F.lit(1)).alias("sessions"), F.round(F.sum("v"), 2).alias("total"))
 
 
 @query
@@ -1013,6 +1130,33 @@ def decision_quality(spark, folder):
     return metrics.decision_quality(decisions_of_sessions(spark, folder), truth)
 
 
+@query
+def gate_counts(spark, folder):
+    return metrics.gate_counts(decisions_of_sessions(spark, folder))
+
+
+@query
+def clean_sessions_with_rules(spark, folder):
+    """Share of clean sessions in which any rule fires."""
+    flagged = _flags(spark, folder).select("session_id", rule_frictions(F.col("rule_flags")).alias("frictions"))
+    return metrics.rule_quality(flagged, _truth(spark, folder))[1]
+
+
+@query
+def metrics_report(spark, folder):
+    """Several metric tables as one long table."""
+    decisions = decisions_of_sessions(spark, folder)
+    return metrics.report({"gates": metrics.gate_counts(decisions), "risk": decisions.agg(F.count(F.lit(1)).alias("packets"), F.max("risk_score").alias("highest"))})
+
+
+@query
+def recommended_actions(spark, folder):
+    """What the playbook recommends for each friction that sessions have."""
+    seen = decisions_of_sessions(spark, folder).select("friction_type").distinct().withColumn("r", readmodels.recommended_actions(F.col("friction_type")))
+    return seen.select("friction_type", F.col("r.team.id").alias("team"), F.coalesce("r.incident.id", F.lit("-")).alias("incident"),
+                       joined(F.transform("r.customer", lambda c: c["id"])).alias("customer"))
+
+
 # --- drafts -----------------------------------------------------------------------------------------------------
 
 def _documents_as_texts(spark, folder):
@@ -1046,6 +1190,14 @@ def draft_validation(spark, folder):
     return out.select("draft_id", "ok", F.size("failures").cast("bigint").alias("failures"), "source")
 
 
+@query
+def evidence_keys(spark, folder):
+    """Keys a draft cites that its evidence does not have; the raw event properties are the evidence."""
+    cited = F.array(F.lit("k"), F.lit("absent"), F.concat(F.lit("k"), F.col("event_id") % 2))
+    found = drafts.grounding_failures(F.array().cast("array<string>"), F.col("props"), cited)
+    return adapters.table(spark, folder, "events").select("event_id", joined(found).alias("what"))
+
+
 # --- models (no SQL counterpart: learned values) -------------------------------------------------------------
 
 def _risk_training(spark, folder):

@@ -458,6 +458,30 @@ ic AS (SELECT 'i_' || s_suppkey AS incident_id, 'G' || (s_suppkey % 5) AS g, TIM
   """SELECT incident_id, count(m1.packet_id) AS packets, count(m1.packet_id) > 0 AS detected FROM ic LEFT JOIN m1 ON m1.segment = g
 AND make_timestamp(CAST(start AS BIGINT) * 60000000) < en AND make_timestamp(CAST(stop AS BIGINT) * 60000000) > st GROUP BY 1""")
 
+_INCIDENTS = """inc AS (SELECT 'i_' || s_suppkey AS incident_id, s_suppkey % 3 AS kind, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (s_suppkey % 28) AS st, s_suppkey AS n FROM supplier),
+seg AS (SELECT incident_id, kind, st, 'gateway' AS segment_type, 'a' AS segment FROM inc WHERE kind = 0 UNION ALL SELECT incident_id, kind, st, 'courier-city', 'courier-' || (n % 2) || '-city-' || (n % 10) FROM inc WHERE kind = 1
+  UNION ALL SELECT incident_id, kind, st, 'courier-city', 'courier-' || (n % 2) || '-city-' || ((n + 5) % 10) FROM inc WHERE kind = 1 UNION ALL SELECT incident_id, kind, st, 'product', 'p-' || (n % 4) FROM inc WHERE kind = 2)"""
+
+
+def _detected() -> str:
+    """All packets of all detectors with their window: CTE `dt` (packet_id, stem, from_ts, to_ts), found by the id's beginning."""
+    timed = lambda units, kind, slug, widths, base: (
+        f"SELECT packet_id, regexp_replace(packet_id, '^agg_|-{slug}_[0-9]+$', '', 'g') AS stem, make_timestamp(CAST(start AS BIGINT) * 60000000) AS from_ts, make_timestamp(CAST(stop AS BIGINT) * 60000000) AS to_ts "
+        f"FROM (WITH un AS (SELECT * FROM {units}),{temporal(widths, base, *_LOW, slug, kind)} SELECT * FROM m1)")
+    whole = lambda units, kind, slug: (
+        f"SELECT packet_id, regexp_replace(packet_id, '^agg_|-{slug}_[0-9]+$', '', 'g'), NULL, NULL FROM ({across(f'SELECT * FROM {units}', kind, slug, *_LOW)})")
+    return "dt AS (" + " UNION ALL ".join([
+        timed("u_gateway", "gateway", SLUG, [15, 30, 60], 2880), timed("u_eta", "courier-city", "long-eta-share", [1440], 7 * 1440), timed("u_delay", "courier-city", "delayed-order-share", [1440], 7 * 1440),
+        whole("u_size", "product", "size-chart-no-add-rate"), whole("u_feedback", "product", "negative-feedback-rate"), whole("u_device", "device", "error-session-rate")]) + ")"
+
+
+MATCHED = f"""{ALL_UNITS}, {_INCIDENTS}, {_detected()},
+mt AS (SELECT DISTINCT incident_id, packet_id FROM seg JOIN dt ON dt.stem IN (seg.segment_type || '-' || seg.segment) AND (kind = 2 OR from_ts < st + INTERVAL 3 DAY AND to_ts > st))"""
+q("incident_matches", MATCHED, "SELECT * FROM mt")
+q("unmatched_anomalies", MATCHED, "SELECT packet_id FROM dt WHERE packet_id NOT IN (SELECT packet_id FROM mt)")
+q("planted_products_flagged", MATCHED, """SELECT count(*) AS planted, count(*) FILTER (EXISTS (SELECT 1 FROM mt JOIN dt USING (packet_id) WHERE dt.stem = 'product-' || x.segment)) AS flagged
+FROM (SELECT DISTINCT segment FROM seg WHERE kind = 2) x""")
+
 # --- packets and decisions -----------------------------------------------------------------------------------
 THEMES = list(vocab.THEME_FRICTIONS)
 THEME_LIST = "[" + ",".join(f"'{x}'" for x in THEMES) + "]"
@@ -521,7 +545,7 @@ UNION ALL SELECT 'owner_team', owner_team, count(*) FROM d3 GROUP BY 2""")
 q("second_pass", f"""{DECIDED},
 ch AS (SELECT packet_id FROM d3 WHERE gate = 'medium' ORDER BY risk_score DESC, packet_id LIMIT 400),
 e1 AS (SELECT d3.*, ch.packet_id IS NOT NULL AS investigated FROM d3 LEFT JOIN ch USING (packet_id)),
-e2 AS (SELECT *, round(0.3 * rule_supports::INT + 0.3 * model_supports::INT + 0.2 * text_supports::INT + 0.2 * (aggregate_supports OR (investigated AND friction_type = 'payment_failure'))::INT, 4) AS c2 FROM e1)""",
+e2 AS (SELECT *, round(0.3 * rule_supports::INT + 0.3 * model_supports::INT + 0.2 * text_supports::INT + 0.2 * (aggregate_supports OR (investigated AND friction_type = CASE ascii(right(packet_id, 1)) % 3 WHEN 0 THEN 'payment_failure' WHEN 1 THEN 'delivery_uncertainty' ELSE '' END))::INT, 4) AS c2 FROM e1)""",
   "SELECT investigated, CASE WHEN c2 >= 0.8 THEN 'high' WHEN c2 >= 0.5 THEN 'medium' ELSE 'low' END AS gate, friction_type, count(*) AS n FROM e2 GROUP BY ALL")
 ENRICHED = f"""{PACKETS},
 n1 AS (SELECT mb.packet_id, sc.*, ((n_ev * 7 + product_views * 11 + 26) % 100) / 100.0 AS pf FROM mb JOIN sc USING (session_id)),
@@ -555,7 +579,7 @@ _CMP = ["payment_failures", "coupon_failures", "otp_resends", "size_chart_opens"
 q("converters_vs_abandoners", f"""{S2880},{TABLE},{FEATURES},
 x AS (SELECT f.*, 0 AS max_extra_fees, dwell_checkout_us / 1e6 AS dwell_checkout_s, converted FROM f JOIN t USING (session_id) WHERE reached_cart),
 y AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, avg({c}) FILTER (converted) AS c, avg({c}) FILTER (NOT converted) AS a FROM x" for c in _CMP)})""",
-  "SELECT feature, round(c, 3) AS converters, round(a, 3) AS abandoners, coalesce(CASE WHEN c <> 0 THEN round(a / c, 2) END, -1.0) AS ratio FROM y")
+  "SELECT feature, (SELECT count(*) FILTER (converted) FROM x) AS n_converters, (SELECT count(*) FILTER (NOT converted) FROM x) AS n_abandoners, round(c, 3) AS converters, round(a, 3) AS abandoners, coalesce(CASE WHEN c <> 0 THEN round(a / c, 2) END, -1.0) AS ratio FROM y")
 q("sample_feedback", "", f"SELECT {THEME_LIST}[doc_id % {len(THEMES)} + 1] AS theme, count(*) AS texts FROM documents WHERE doc_id % 50 = 7 OR doc_id % 40 = 3 GROUP BY 1")
 q("newest_feedback", "", f"SELECT doc_id AS text_id, 'app_bug' AS theme, lang AS language FROM documents WHERE {THEME_LIST}[doc_id % {len(THEMES)} + 1] = 'app_bug' ORDER BY doc_id DESC LIMIT 20")
 q("order_status", ORD, """SELECT 'pk_' || user_id AS packet_id, count(*) AS orders, count(*) FILTER (delay_days > 0) AS delayed, round(sum(delay_days) / count(*), 2) AS mean_delay_days,
@@ -633,16 +657,34 @@ def _next(st: str) -> str:
     return f"CASE WHEN {_ALLOWED} THEN {_TARGET} ELSE st END".replace("st IN", f"{st} IN").replace("ELSE st END", f"ELSE {st} END")
 
 
-FLOW = f"""RECURSIVE rq AS MATERIALIZED (SELECT event_id AS request_id, 'al_' || user_id AS alert_id, ['approve', 'assign', 'create_ticket', 'dismiss', 'resolve'][CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 5 + 1] AS action, ts,
-  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type <> 'view'),
+FLOW = f"""RECURSIVE rq AS MATERIALIZED (SELECT event_id AS request_id, 'al_' || user_id AS alert_id, ['approve', 'assign', 'create_ticket', 'dismiss', 'resolve', 'escalate'][CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 6 + 1] AS action, ts,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 fl AS (SELECT rn, request_id, alert_id, action, ts, 'open' AS before, {_next("'open'")} AS after FROM rq WHERE rn = 1
   UNION ALL SELECT r.rn, r.request_id, r.alert_id, r.action, r.ts, f.after, {_next("f.after").replace('action', 'r.action')} FROM fl f JOIN rq r ON r.alert_id = f.alert_id AND r.rn = f.rn + 1),
 f2 AS (SELECT *, {_ALLOWED.replace('st IN', 'before IN')} AS ok FROM fl),
 f3 AS (SELECT request_id, row_number() OVER (ORDER BY ts, request_id) AS n FROM f2 WHERE ok AND action = 'create_ticket')"""
-q("workflow_fold", FLOW, """SELECT f2.request_id, alert_id, action, before AS from_status, after AS to_status, CASE WHEN ok THEN '-' ELSE 'cannot ' || action || ' an alert that is ' || before END AS rejected,
+q("workflow_fold", FLOW, """SELECT f2.request_id, alert_id, action, before AS from_status, after AS to_status, CASE WHEN ok THEN '-' WHEN action = 'escalate' THEN 'unknown action escalate' ELSE 'cannot ' || action || ' an alert that is ' || before END AS rejected,
   coalesce('TKT-' || alert_id || '-' || printf('%03d', n), '-') AS ticket_ref FROM f2 LEFT JOIN f3 USING (request_id)""")
 q("workflow_state", FLOW, """SELECT u.alert_id, coalesce(arg_max(after, rn) FILTER (ok), 'open') AS status, CASE WHEN bool_or(ok AND action = 'assign') THEN 'product_queue' ELSE '-' END AS assigned_to
 FROM (SELECT DISTINCT 'al_' || user_id AS alert_id FROM events) u LEFT JOIN f2 USING (alert_id) GROUP BY 1""")
+q("release_pending", FLOW, """SELECT packet_id, CASE WHEN status = 'pending_approval' AND who IS NOT NULL THEN 'approved' ELSE status END AS status, CASE WHEN status = 'pending_approval' AND who IS NOT NULL THEN who ELSE '-' END AS approved_by
+FROM (SELECT DISTINCT 'pk_' || user_id AS packet_id, CASE user_id % 3 WHEN 0 THEN 'sent' WHEN 1 THEN 'holdout' ELSE 'pending_approval' END AS status FROM events)
+LEFT JOIN (SELECT replace(alert_id, 'al_', 'pk_') AS packet_id, 'agent' AS who FROM f2 WHERE ok AND action = 'approve' GROUP BY 1) USING (packet_id)""")
+q("recovery_by_status", OBSERVED, "SELECT status, count(*) AS messages FROM ob GROUP BY 1")
+q("approve_drafts", "", """SELECT conv_id || '-' || turn AS draft_id, CASE WHEN conv_id % 4 = 0 THEN 'sent' WHEN (conv_id + turn) % 3 = 0 THEN 'approved' ELSE 'pending_approval' END AS status,
+  CASE WHEN conv_id % 4 <> 0 AND (conv_id + turn) % 3 = 0 THEN 'agent_1' ELSE '-' END AS approved_by FROM conversations WHERE role = 'assistant'""")
+_REPLIES = "rp AS (SELECT conv_id || '-' || turn AS draft_id, conv_id AS n FROM conversations WHERE role = 'assistant')"
+q("audit_events", f"{RECOVERY}, {_REPLIES}", """SELECT 'decision' AS event_type, 'packet' AS entity_type, 'system' AS actor, count(*) AS n, count(*) FILTER (rule_supports) AS by_rule, CAST(0 AS BIGINT) AS investigated FROM a1
+UNION ALL SELECT 'alert_created', 'alert', 'system', count(*), 0, 0 FROM a1 WHERE gate <> 'low' UNION ALL SELECT 'recovery_planned', 'session', 'system', count(*), 0, 0 FROM r2
+UNION ALL SELECT 'recovery_message_drafted', 'session', 'system', count(*), 0, 0 FROM r2 WHERE ok
+UNION ALL SELECT * FROM (SELECT 'recovery_approved', 'session', 'ann', count(*) AS n, 0, 0 FROM r2 WHERE status = 'pending_approval' AND session_id LIKE '%1') WHERE n > 0
+UNION ALL SELECT 'cs_reply_drafted', 'cs_draft', 'system', count(*), 0, 0 FROM rp UNION ALL SELECT 'cs_reply_approved', 'cs_draft', 'kim', count(*), 0, 0 FROM rp WHERE n % 5 = 0""")
+q("audit_trail", f"{_REPLIES}, ids AS (SELECT DISTINCT draft_id FROM rp ORDER BY 1 LIMIT 3), e AS (SELECT 'cs_reply_drafted' AS event_type, draft_id AS entity_id, 'system' AS actor, n FROM rp UNION ALL SELECT 'cs_reply_approved', draft_id, 'kim', n FROM rp WHERE n % 5 = 0)",
+  "SELECT event_type, entity_id, actor, CAST(n AS BIGINT) * 1000000 AS at_us FROM e WHERE entity_id IN (FROM ids) ORDER BY n DESC, event_type, entity_id LIMIT 5")
+q("draft_pass_rate", _REPLIES, """SELECT count(*) FILTER (n % 2 = 0 OR n % 3 = 0) AS drafted, count(*) FILTER (n % 2 = 0 AND n % 3 <> 0) AS passed,
+  round(count(*) FILTER (n % 2 = 0 AND n % 3 <> 0) / count(*) FILTER (n % 2 = 0 OR n % 3 = 0), 4) AS pass_rate FROM rp""")
+q("anomalies_ordered", DAILY, "SELECT packet_id, z_score FROM an ORDER BY z_score DESC, packet_id LIMIT 25")
+q("gate_counts", DECIDED, "SELECT 'session' AS packet_type, gate, count(*) AS packets FROM d3 GROUP BY ALL")
 q("audit_counts", RECOVERY, """SELECT 'decision' AS event_type, 'packet' AS entity_type, count(*) AS n FROM a1 UNION ALL SELECT 'alert_created', 'alert', count(*) FROM a1 WHERE gate <> 'low'
 UNION ALL SELECT 'recovery_planned', 'session', count(*) FROM r2 UNION ALL SELECT 'recovery_message_drafted', 'session', count(*) FROM r2 WHERE ok""")
 
@@ -679,8 +721,9 @@ q("best_alerts", RISKY, "SELECT friction_type, packet_id, row_number() OVER (PAR
 q("team_insights", RISKY, f"""SELECT CASE team WHEN 'operations_tech' THEN 'operations' ELSE team END AS team, friction AS friction_type, count(k.packet_id) AS sessions, {_MONEY} AS revenue_at_risk,
   count(*) FILTER (gate = 'high') AS high_confidence, count(*) FILTER (gate = 'medium') AS needs_review, CAST(0 AS BIGINT) AS aggregate_anomalies FROM fr LEFT JOIN k ON k.friction_type = fr.friction GROUP BY 1, 2""")
 q("alert_quality", RISKY, "SELECT gate, count(*) AS alerts, round(count(*) / (SELECT count(*) FROM k), 4) AS share FROM k GROUP BY 1")
-q("nonzero_features", f"{F2880}, u AS (UNPIVOT (SELECT session_id, {', '.join(vocab.COUNTERS)} FROM f) ON COLUMNS(* EXCLUDE session_id) INTO NAME feature VALUE v)",
-  "SELECT feature, count(*) AS sessions, CAST(sum(v) AS BIGINT) AS total FROM u WHERE v > 0 GROUP BY 1")
+_NONZERO = [*vocab.BEHAVIOUR_COLUMNS, *(c for c in vocab.CONTEXT_COLUMNS if c not in ("device_code", "source_code", "hour"))]
+q("nonzero_features", f"{BEHAVIOUR}, u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM b" for c in _NONZERO) + ")",
+  "SELECT feature, count(*) AS sessions, round(sum(v), 2) AS total FROM u WHERE v <> 0 GROUP BY 1")
 q("top_n_per_category", "", """SELECT * FROM (SELECT p_type AS category, 'p_' || p_partkey AS product_id, row_number() OVER (PARTITION BY p_type ORDER BY p_size > 5 DESC, p_retailprice DESC, 'p_' || p_partkey) AS rank FROM part
 QUALIFY rank <= 200) ORDER BY category, rank LIMIT 1000""")
 
@@ -715,6 +758,16 @@ c AS (SELECT *, NOT is_clean AND friction_type IS NOT NULL AS cov, coalesce(gate
   round(count(*) FILTER (cov AND (friction_type = pf OR friction_type = 'payment_failure')) / count(*) FILTER (cov), 4) AS cause_accuracy_any_planted,
   round(count(*) FILTER (is_clean AND al) / count(*) FILTER (is_clean), 4) AS clean_sessions_alerted, round(count(*) FILTER (gate = 'high') / count(*) FILTER (al), 4) AS alerts_high_confidence_share FROM c""")
 
+q("affected_per_incident", f"{F2880}, {TRUTH}", "SELECT 'i_' || right(session_id, 1) AS incident_id, count(*) AS affected_sessions FROM tr WHERE NOT is_clean GROUP BY 1")
+q("clean_sessions_with_rules", f"{F2880}, {TRUTH}", f"SELECT round(count(*) FILTER (len({FLAG_FRICTIONS}) > 0) / count(*), 4) AS clean_sessions_with_any_rule FROM f JOIN tr USING (session_id) WHERE is_clean")
+q("metrics_report", DECIDED, """SELECT 'gates' AS section, 'packets' AS metric, 'session|' || gate AS key, CAST(count(*) AS DOUBLE) AS value FROM d3 GROUP BY gate
+UNION ALL SELECT 'risk', 'packets', '', count(*) FROM d3 UNION ALL SELECT 'risk', 'highest', '', max(risk_score) FROM d3""")
+_PLAY = "pl AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{r[0]}', '{r[1]}', '{r[2]}', {str(r[7] == 'packet_type' and 'aggregate' in r[8]).lower()})" for i, r in enumerate(vocab.PLAYBOOK)) + ") AS v(i, friction_type, kind, id, incident))"
+q("recommended_actions", f"{DECIDED}, {_PLAY}", """SELECT friction_type, arg_max(id, i) FILTER (kind = 'team') AS team, coalesce(arg_min(id, i) FILTER (kind = 'team' AND incident), '-') AS incident,
+  string_agg(id, '|' ORDER BY i) FILTER (kind = 'customer') AS customer FROM pl WHERE friction_type IN (SELECT friction_type FROM d3) GROUP BY 1""")
+q("evidence_keys", "", """SELECT event_id, concat_ws('|', 'grounding: evidence key ''absent'' is not in the packet', 'grounding: evidence key ''k' || (event_id % 2) || chr(39) || ' is not in the packet') AS what FROM events""")
+
 # --- drafts --------------------------------------------------------------------------------------------------------
 _OFFERS = ", ".join(f"CASE WHEN contains(low, '{t}') THEN 'policy: offer/money term ''{t}'' is not allowed for this action' END" for t in vocab.OFFER_TERMS if t != "refund")
 _BANNED = ", ".join(f"CASE WHEN contains(low, '{p}') THEN 'policy: banned phrase ''{p}''' END" for p in vocab.BANNED_PHRASES)
