@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from conftest import T0, rows
 from waymark import vocab
 from waymark.config import Settings
-from waymark.operators import actions, drafts, features
+from waymark.operators import actions, drafts, features, investigate
 from waymark.operators.clean import with_step
 from waymark.sources.current import CurrentTable
 from waymark.streaming import ingest, live, state
@@ -214,6 +214,19 @@ def test_current_tables_merge_compact_and_repeat(spark, tmp_path):
     assert sorted(r["k"] for r in rows(aged.read())) == [2, 3]
 
 
+def test_findings_use_the_failures_of_earlier_batches(spark, tmp_path):
+    out, pay = str(tmp_path / "out"), [event(0, "payment_attempt", "checkout_payment", metadata={"gateway": "A"}), event(1, "payment_failed", "checkout_payment", metadata={"gateway": "A"})]
+    events = stored_events(spark, out, [{**e, "session_id": f"s_{k}"} for k in range(4) for e in (pay if k < 3 else pay[:1])])
+    table = live.payments_table(spark, out)
+    table.upsert(live.payment_units(events.filter("session_id IN ('s_0', 's_1')")), 0)
+    table.upsert(live.payment_units(events.filter("session_id IN ('s_2', 's_3')")), live.STEP)
+    known = spark.createDataFrame([(f"p_{i}", T0 - timedelta(days=9), "A", "failed" if i == 0 else "success") for i in range(10)], "session_id string, timestamp timestamp, gateway string, status string")
+    probe = spark.createDataFrame([("x", "A", T0)], "probe_id string, gateway string, around timestamp")
+    alone, both = (rows(investigate.gateway_health(probe, known, live=x))[0] for x in (None, table.read()))
+    assert (alone["sessions_in_window"], alone["multiplier"]) == (0, 0.0)
+    assert (both["sessions_in_window"], both["failed_sessions"], both["failure_rate"], both["baseline_failure_rate"], both["multiplier"]) == (4, 3, 0.75, 0.1, 7.5)
+
+
 def test_medium_packets_are_investigated_and_decided_again(spark, tmp_path):
     def look(decided):
         return decided.filter("gate = 'medium'").select("packet_id", F.array(F.struct(

@@ -224,8 +224,8 @@ def _themes_by(texts: DataFrame, key: str) -> DataFrame:
 
 
 def findings(packets: DataFrame, payments: DataFrame, orders: DataFrame, texts: DataFrame, products: DataFrame,
-             sessions: DataFrame, members: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """packet_id, findings. Each packet is routed to the queries that fit its friction or its segment.
+             sessions: DataFrame, members: DataFrame, s: Settings = DEFAULTS, live: DataFrame | None = None) -> DataFrame:
+    """packet_id, findings. `live`: payment sessions seen on the stream (see gateway_health). Each packet is routed to the queries that fit its friction or its segment.
 
     packets: decided packets with friction_type and, for sessions, session_id, user_id, gateway, courier, city,
     primary_product_id, order_id, exit_step, start; for aggregates segment_type, segment_value, window_start.
@@ -255,7 +255,7 @@ def findings(packets: DataFrame, payments: DataFrame, orders: DataFrame, texts:
 
     asked = p.filter("_gateway IS NOT NULL").select(
         F.col("packet_id").alias("probe_id"), F.col("_gateway").alias("gateway"), F.col("_around").alias("around"))
-    health = gateway_health(asked, payments, s=s).withColumnRenamed("probe_id", "packet_id").join(known, "packet_id")
+    health = gateway_health(asked, payments, live=live, s=s).withColumnRenamed("probe_id", "packet_id").join(known, "packet_id")
     add(health, _finding("gateway_health", (F.col("multiplier") >= MULTIPLIER) & (F.col("failed_sessions") >= FAILED_SESSIONS)
                          & (f == "payment_failure"), "aggregate",
         F.concat(F.lit("Gateway "), "gateway", F.lit(" failure rate "), percent(F.col("failure_rate")), F.lit(" vs "),

@@ -737,6 +737,16 @@ def gateway_health(spark, folder):
         "probe_id", "sessions_in_window", "failed_sessions", "failure_rate", "baseline_failure_rate", "multiplier")
 
 
+@query
+def gateway_health_live(spark, folder):
+    """Stored payments of the first half of the month give the baseline; those of the second half are live."""
+    ev = behaviour_events(spark, folder)
+    middle = F.lit("2024-01-16").cast("timestamp")
+    probes = ev.filter("event = 'payment_failed'").select(F.col("seq").cast("string").alias("probe_id"), meta("gateway").alias("gateway"), F.col("timestamp").alias("around"))
+    out = investigate.gateway_health(probes, stream_payments(ev.filter(F.col("timestamp") < middle)), 600, live.payment_units(ev.filter(F.col("timestamp") >= middle)))
+    return out.select("probe_id", "sessions_in_window", "failed_sessions", "failure_rate", "baseline_failure_rate", "multiplier")
+
+
 @query
 def courier_health(spark, folder):
     orders = adapters.orders(spark, folder)

@@ -101,6 +101,17 @@ def alerts_table(spark: SparkSession, folder: str) -> CurrentTable:
     return CurrentTable(spark, f"{folder}/alerts", ["packet_id"])
 
 
+def payments_table(spark: SparkSession, folder: str, s: Settings = DEFAULTS) -> CurrentTable:
+    """session_id, gateway, ts, failed: payment sessions seen on the stream, for the health of a gateway right now."""
+    return CurrentTable(spark, f"{folder}/live_payments", ["session_id", "gateway"], retain="ts", retain_hours=s.state_hours)
+
+
+def payment_units(events: DataFrame) -> DataFrame:
+    """One row per session and gateway from all events of the sessions: when it first paid, and whether a payment failed."""
+    pay = events.filter(F.col("event").isin("payment_attempt", "payment_failed")).withColumn("gateway", meta("gateway")).filter("gateway IS NOT NULL")
+    return pay.groupBy("session_id", "gateway").agg(F.min("timestamp").alias("ts"), F.bool_or(F.col("event") == "payment_failed").alias("failed"))
+
+
 LIVE, CLOSED = "in_session", "post_session"
 STEP = 1000  # versions of a batch: its own, its finaliser's, and those of jobs that run before the next one
 ACTIVE = ["sent", "approved", "pending_approval"]
@@ -192,9 +203,10 @@ def finalise(idle: DataFrame, folder: str, batch_id: int, now: datetime, s: Sett
 
 def run(lines: DataFrame, folder: str, checkpoint: str, baselines: dict[str, tuple[float, float]], scorer: Scorer = rules_only,
         s: Settings = DEFAULTS, investigator: Investigator | None = None, every: str | None = None) -> StreamingQuery:
-    """Store, score and finalise every micro-batch. Without `every` (a trigger interval) what is there is worked off and the query
+    """Store, score and finalise every micro-batch. Investigators find the stream's payments, this batch's too, in `payments_table`. Without `every` (a trigger interval) what is there is worked off and the query
     ends; sessions then go quiet in the batch that comes after their time."""
     def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         batch = batch.persist()
         try:
             rows = state.as_events(batch.filter("fresh AND kind <> 'idle'"))
@@ -202,6 +214,7 @@ def run(lines: DataFrame, folder: str, checkpoint: str, baselines: dict[str, tup
             if now is None:
                 return
             events = state.as_events(batch.filter("kind = 'event'")).drop("raw", "reject_reason")
+            payments_table(spark, folder, s).upsert(payment_units(events), STEP * batch_id)
             score_batch(events, batch_id, folder, baselines, now, scorer, s, investigator)
             finalise(batch.filter("kind = 'idle'"), folder, batch_id, now, s)
         finally:
