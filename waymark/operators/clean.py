@@ -24,12 +24,26 @@ def canonical_text(metadata: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(metadata))))
 
 
-def parse_metadata(events: DataFrame) -> DataFrame:
-    """JSON text to map; a map stays as it is."""
-    if isinstance(events.schema["metadata"].dataType, T.StringType):
-        parsed = F.from_json("metadata", "map<string,string>")
-        return events.withColumn("metadata", F.coalesce(parsed, F.create_map().cast("map<string,string>")))
-    return events
+NUMBERS = "metadata_numbers"
+_NUMERIC = "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
+
+
+def parse_metadata(events: DataFrame, with_numbers: bool = True) -> DataFrame:
+    """JSON text to a map of texts, and `metadata_numbers`, the values that are numbers in the JSON (true counts 1), so that 100 and
+    "100" stay apart. A map stays as it is and has no such column."""
+    if not isinstance(events.schema["metadata"].dataType, T.StringType):
+        return events
+    texts = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    if not with_numbers:
+        return events.withColumn("metadata", texts)
+    typed = F.from_json("metadata", "map<string,variant>")
+
+    def value(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        return F.when(kind.rlike(_NUMERIC), F.try_variant_get(v, "$", "double")).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
+
+    numbers = F.map_filter(F.transform_values(typed, lambda _, v: value(v)), lambda _, v: v.isNotNull())
+    return events.withColumns({"metadata": texts, NUMBERS: F.coalesce(numbers, F.create_map().cast("map<string,double>"))})
 
 
 def dedup(events: DataFrame) -> DataFrame:
@@ -71,8 +85,10 @@ def clean_events(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     ev = split_hot(ev, ["user_id"], limit=settings.hot_rows, max_chunks=settings.max_chunks)
     if not ev.isStreaming:
         ev = ev.repartition("user_id", *([CHUNK] if CHUNK in ev.columns else []))
-    ev = parse_metadata(normalise_ids(dedup(ev)))
-    return with_step(ev.withColumn("metadata", safe_metadata(F.col("metadata"))))
+    # the dedup writes a map as text, in which all values are texts
+    ev = parse_metadata(normalise_ids(dedup(ev)), isinstance(raw.schema["metadata"].dataType, T.StringType))
+    safe = {c: safe_metadata(F.col(c)) for c in ("metadata", NUMBERS) if c in ev.columns}
+    return with_step(ev.withColumns(safe))
 
 
 # --- live events -----------------------------------------------------------------------------------

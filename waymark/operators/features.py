@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from waymark import vocab
 from waymark.config import DEFAULTS, Settings
 from waymark.functions.columns import any_of, flag, lookup, meta, micros, number, number_or_zero, position, truthy
+from waymark.operators.clean import NUMBERS
 from waymark.operators.ordered import CHUNK, group_max, ordered
 from waymark.operators.sessions import SESSION
 
@@ -27,14 +28,17 @@ _FIRSTS = ["first_page_view", "device_code", "android", "tier", "source_code", "
            "first_cart"]
 
 
-def _extra_fees() -> Column:
-    """Sum of the numeric values of a total whose key is not a standard one."""
-    extra = F.map_filter("metadata", lambda k, v: ~k.isin(*vocab.STANDARD_TOTAL_KEYS))
+def _extra_fees(events: DataFrame) -> Column:
+    """Sum of the numeric values of a total whose key is not a standard one. Metadata that came as JSON tells numbers from texts;
+    in a map of texts a numeric text counts as a number."""
+    extra = lambda c: F.map_filter(c, lambda k, v: ~k.isin(*vocab.STANDARD_TOTAL_KEYS))
+    if NUMBERS in events.columns:
+        return F.aggregate(F.map_values(extra(NUMBERS)), F.lit(0.0), lambda acc, v: acc + v)
 
     def value(v: Column) -> Column:
         return F.when(v == "true", 1.0).otherwise(number_or_zero(v))
 
-    return F.aggregate(F.map_values(extra), F.lit(0.0), lambda acc, v: acc + value(v))
+    return F.aggregate(F.map_values(extra("metadata")), F.lit(0.0), lambda acc, v: acc + value(v))
 
 
 def event_facts(events: DataFrame) -> DataFrame:
@@ -72,7 +76,7 @@ def event_facts(events: DataFrame) -> DataFrame:
         "fee_first": amount(quote, flag(truthy(meta("fee_first_shown"))).cast("double")),
         "load_ms": amount(name == "slow_load", number_or_zero(meta("load_ms"))),
         "delta_pct": amount(name == "total_shown", number_or_zero(meta("delta_pct"))),
-        "extra_fees": amount(name == "total_shown", _extra_fees()),
+        "extra_fees": amount(name == "total_shown", _extra_fees(events)),
         "cod": amount(on("total_shown", meta("payment_method") == "COD"), F.lit(1.0)),
         "update_hours": amount(name == "tracking_view", number_or_zero(meta("last_update_hours"))),
         "cart_value": number(meta("cart_value")),

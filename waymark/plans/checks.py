@@ -363,6 +363,17 @@ def rule_hits(spark, folder):
     return names.join(F.broadcast(flags), "rule", "left").select("rule", n.alias("sessions"), (n > 0).alias("fires"))
 
 
+@query
+def typed_fees(spark, folder):
+    """Metadata as JSON: numbers and true count as fees, numeric texts, nulls and nested values do not."""
+    v = F.pmod(F.col("seq") * 13, F.lit(60))
+    fields = F.struct(v.alias("wrapping"), v.cast("string").alias("label"), (v % 2 == 0).alias("rush"), F.when(v % 3 == 0, v / 4).alias("tip"),
+                      F.struct(v.alias("x")).alias("nested"), F.lit(99).alias("subtotal"), v.alias("Pin"))
+    raw = adapters.behaviour(spark, folder).withColumn("metadata", F.to_json(fields, {"ignoreNullFields": "false"}))
+    ev = sessions.sessionize(clean.clean_events(raw), SEQUENCE_GAP, source=raw)
+    return features.session_features(ev).select("session_id", F.round("max_extra_fees", 4).alias("max_extra_fees"))
+
+
 @query
 def session_context(spark, folder):
     """All context keys of every session, and who has been there before or is logged in."""

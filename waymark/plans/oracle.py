@@ -282,6 +282,8 @@ q("behaviour_features", BEHAVIOUR, "SELECT session_id, " + ", ".join(
 q("rule_hits", BEHAVIOUR, " UNION ALL ".join(f"SELECT '{name}' AS rule, count(*) FILTER ({p}) AS sessions, count(*) FILTER ({p}) > 0 AS fires FROM b" for name, p in _HITS))
 q("feature_coverage", BEHAVIOUR, " UNION ALL ".join(
     f"SELECT '{c}' AS feature, count(*) FILTER ({c} > 0) AS sessions FROM b" for c in [*vocab.BEHAVIOUR_COLUMNS, *vocab.CONTEXT_COLUMNS]))
+q("typed_fees", BEHAVIOUR, """SELECT session_id, round(CAST(coalesce(max(seq * 13 % 60 + CAST(seq * 13 % 60 % 2 = 0 AS INT) + CASE WHEN seq * 13 % 60 % 3 = 0 THEN seq * 13 % 60 / 4 ELSE 0 END) FILTER (event = 'total_shown'), 0) AS DOUBLE), 4) AS max_extra_fees
+FROM s GROUP BY 1""")
 q("session_context", BEHAVIOUR, """SELECT session_id, coalesce(device, '-') AS device, coalesce(app_version, '-') AS app_version, coalesce(city, '-') AS city, coalesce(tier, '-') AS city_tier,
   coalesce(src, '-') AS source, coalesce(logged, '-') AS is_logged_in,
   row_number() OVER (PARTITION BY user_id ORDER BY start_us, session_id) > 1 OR coalesce(logged = 'true', false) AS is_returning FROM b""")
