@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from waymark.llm.common import ragged, shared_folder, slices, stored
+from waymark.llm.common import ragged, released, shared_folder, slices, stored
 
 RADIX_BITS = 6  # 64 radices; a radix's distinct pairs are held by the task that merges it
 ID_BITS, DOC_BITS = 24, 16  # a record is one 64-bit number: A id, B id, document of the run
@@ -328,7 +328,7 @@ def encoded_runs(docs: DataFrame, key: str, text: str, given: Tokenizers, keep_g
         for row in writer.rows():
             yield as_batch([row])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 def _documents(encoders: Encoders, writer: RunWriter, keys: list, texts: list[str | None], keep_groups: bool) -> Iterator[dict]:
@@ -463,7 +463,7 @@ def count_pairs(runs: DataFrame) -> DataFrame:
         if at is not None:
             yield from made(at, levels)
 
-    return dealt.mapInArrow(run, "radix int, pairs binary, counts binary, best binary")
+    return dealt.mapInArrow(released(run), "radix int, pairs binary, counts binary, best binary")
 
 
 def contributions(runs: DataFrame, counts: DataFrame, n_runs: int) -> DataFrame:
@@ -506,7 +506,7 @@ def contributions(runs: DataFrame, counts: DataFrame, n_runs: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"run": pa.array([number]), "best": pa.array([pack(best)], pa.binary()),
                                                   "total": pa.array([pack(total)], pa.binary())}, schema=schema)
 
-    return dealt.mapInArrow(run, "run bigint, best binary, total binary")
+    return dealt.mapInArrow(released(run), "run bigint, best binary, total binary")
 
 
 def document_sums(parts: DataFrame) -> DataFrame:
@@ -533,7 +533,7 @@ def document_sums(parts: DataFrame) -> DataFrame:
         if at is not None:
             yield made(at, *sums)
 
-    return dealt.mapInArrow(run, "run bigint, no int, n_best bigint, count_sum bigint")
+    return dealt.mapInArrow(released(run), "run bigint, no int, n_best bigint, count_sum bigint")
 
 
 @dataclass(frozen=True)
@@ -555,7 +555,7 @@ class Aligned:
                         "a": pa.array(original(keys >> np.uint64(ID_BITS)).astype(np.int64)), "b": pa.array((keys & LOW).astype(np.int64)),
                         "n_docs": pa.array(unpack(counts)), "best": pa.array(unpack(best).astype(bool))})
 
-        return self.packed_pairs.select("pairs", "counts", "best").mapInArrow(run, "a bigint, b bigint, n_docs bigint, best boolean")
+        return self.packed_pairs.select("pairs", "counts", "best").mapInArrow(released(run), "a bigint, b bigint, n_docs bigint, best boolean")
 
 
 def align(docs: DataFrame, given: Tokenizers, key: str = "doc_id", text: str = "text", keep_groups: bool = True) -> Aligned:

@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from waymark.llm.common import ragged, range_hashes, slices, text_buffer, with_arrow_columns
 
 WORDS_A_QUERY = 40_000
-SQUARES_A_QUERY = 4_000_000  # sum of the squared lengths of a query's words: the rows that the recursion can make
+SQUARES_A_QUERY = 1_000_000  # sum of the squared lengths of a query's words: the rows that the recursion can make
 PIECE = 48  # a word of over twice as many bytes is contracted in pieces of this size
 SHIFTS = 4  # attempts to mend a border between pieces before the two become one
-ROWS_A_QUERY = 1_000_000
-TEXT_A_ROUND = 16 << 20
-KEPT_WORDS = 1_500_000  # a task's memory of encoded words; results do not depend on it
+ROWS_A_QUERY = 250_000
+TEXT_A_ROUND = 4 << 20
+KEPT_WORDS = 250_000  # a task's memory of encoded words; results do not depend on it
 LETTER, NUMBER, OTHER, SPACE = range(4)
 
 #: Rows are (word w, position p, token t, next token u, next position n, id m of the merged pair (t, u), round k). Each
@@ -151,7 +151,7 @@ class Coder:
                  if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None]
         table = np.array(pairs, np.int32).reshape(-1, 3)
         # without a folder for spilling: batches are bounded, and nothing may be left on an executor's disk
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self._load("merges", {"l": table[:, 0], "r": table[:, 1], "m": table[:, 2]})
         self._load("vocabulary", {"id": np.array(list(ranks.values()), np.int32), "bytes": [t.decode("latin-1") for t in ranks]})
         self.forget()
@@ -302,6 +302,13 @@ class Coder:
 _CODERS: dict[str, Coder] = {}
 
 
+def forget() -> None:
+    """Close the database of this process and drop its words; the next task makes its own."""
+    for coder in _CODERS.values():
+        coder.db.close()
+    _CODERS.clear()
+
+
 def _shared(df: DataFrame, ranks: dict[bytes, int]):
     """A function that gives the coder of the process it runs in. The vocabulary is broadcast."""
     name = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
@@ -324,13 +331,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text") -> Data
     ids is replaced; repeated rows stay; an empty table gives an empty one.
     """
     here = _shared(docs, ranks)
-    return with_arrow_columns(docs, "ids array<int>", lambda batch: [here().encode(batch.column(text))])
+    return with_arrow_columns(docs, "ids array<int>", lambda batch: [here().encode(batch.column(text))], forget)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
     """encoded with `decoded` (binary): the tokens' bytes in order. Null and empty lists give no bytes."""
     here = _shared(encoded, ranks)
-    return with_arrow_columns(encoded, "decoded binary", lambda batch: [here().decode(batch.column(ids))])
+    return with_arrow_columns(encoded, "decoded binary", lambda batch: [here().decode(batch.column(ids))], forget)
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], text: str = "text") -> DataFrame:
@@ -341,4 +348,4 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], text: str = "text") ->
         made = here().encode(batch.column(text))
         return [made, here().decode(made)]
 
-    return with_arrow_columns(docs, "ids array<int>, decoded binary", both)
+    return with_arrow_columns(docs, "ids array<int>, decoded binary", both, forget)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -95,8 +97,34 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum()), dtype=np.int64) + np.repeat(starts.astype(np.int64) - before, counts)
 
 
-def with_arrow_columns(df: DataFrame, added: str, fill: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
-    """df with columns computed from whole Arrow batches; a column of the same name is replaced."""
+def parts(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `limit` bytes, so that what is computed from one stays small."""
+    rows = max(1, batch.num_rows // max(1, -(-batch.nbytes // limit)))
+    for low in range(0, batch.num_rows, rows):
+        yield batch.slice(low, rows)
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Python workers live on after a task, beside those of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, giving memory back when a task is done."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def with_arrow_columns(df: DataFrame, added: str, fill: Callable[[pa.RecordBatch], list[pa.Array]], close: Callable[[], None] | None = None) -> DataFrame:
+    """df with columns computed from whole Arrow batches; a column of the same name is replaced. `close` runs when a task is done."""
     new = T._parse_datatype_string(added)
     kept = [f for f in df.schema.fields if f.name not in new.fieldNames()]
     schema = T.StructType([*kept, *new.fields])
@@ -104,10 +132,13 @@ def with_arrow_columns(df: DataFrame, added: str, fill: Callable[[pa.RecordBatch
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names] + fill(batch)
             yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, arrow, strict=True)],
                                              schema=arrow)
+        if close:
+            close()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

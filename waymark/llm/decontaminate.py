@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import range_hashes, slices, text_buffer, word_ranges
+from waymark.llm.common import range_hashes, released, slices, text_buffer, word_ranges
 from waymark.session import checkpointed
 
 BLOCK_BYTES = 2 << 20
@@ -48,7 +48,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                      pa.array([np.append(starts, len(ranked)).astype("<u4").tobytes()], pa.binary()),
                      pa.array([order.astype("<u4").tobytes()], pa.binary())], names=["docs", "bounds", "terms", "starts", "postings"])
 
-    made = docs.select(key, text).mapInArrow(run, f"docs array<{kind}>, bounds binary, terms binary, starts binary, postings binary")
+    made = docs.select(key, text).mapInArrow(released(run), f"docs array<{kind}>, bounds binary, terms binary, starts binary, postings binary")
     return made.select(F.monotonically_increasing_id().alias("block"), "*")
 
 
@@ -132,7 +132,7 @@ def term_counts(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"i": pa.array(some), "n": pa.array(total[some])})
 
-    found = index.select("terms", "starts").mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    found = index.select("terms", "starts").mapInArrow(released(run), "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()
     return {int(terms[r["i"]]): r["n"] for r in found}
 
 
@@ -196,7 +196,7 @@ def matches(index: DataFrame, items: DataFrame, item: str = "item_id", text: str
                         names=["block", "place", "doc", "n_words", "n_hit", "items", "spans"])
 
         made = "string" if item_kind == "string" else "bigint"
-        return index.mapInArrow(run, f"block bigint, place bigint, doc {kind}, n_words bigint, n_hit bigint, items array<{made}>, spans array<struct<low:bigint,high:bigint>>")
+        return index.mapInArrow(released(run), f"block bigint, place bigint, doc {kind}, n_words bigint, n_hit bigint, items array<{made}>, spans array<struct<low:bigint,high:bigint>>")
 
     for r in items.select(item, text).where(F.col(text).isNotNull()).toLocalIterator():
         group.append((r[0], r[1]))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import ragged, slices, text_buffer, with_arrow_columns
+from waymark.llm.common import ragged, released, slices, text_buffer, with_arrow_columns
 from waymark.session import checkpointed
 
 ORDER = 5  # bytes; a gram of up to 7 bytes fits a long without hashing
@@ -52,7 +52,7 @@ def _gram_rows(docs: DataFrame, text: str, order: int) -> DataFrame:
         if len(known):
             yield pa.RecordBatch.from_pydict({"gram": pa.array(known), "n": pa.array(total)})
 
-    return docs.select(text).mapInArrow(run, "gram bigint, n bigint")
+    return docs.select(text).mapInArrow(released(run), "gram bigint, n bigint")
 
 
 def count_tables(docs: DataFrame, text: str = "text", order: int = ORDER) -> list[DataFrame]:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import BASE, components, mix, with_arrow_columns
+from waymark.llm.common import BASE, components, mix, released, with_arrow_columns
 from waymark.session import checkpointed
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the perfect binary code of length 23, radius 3
@@ -272,7 +272,7 @@ def shingle_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
                                                      names=["node", "shingles"])
                     nodes, sets, size = [], [], 0
 
-    return docs.select(text).mapInArrow(run, "node bigint, shingles array<bigint>")
+    return docs.select(text).mapInArrow(released(run), "node bigint, shingles array<bigint>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -325,7 +325,7 @@ def compared_in_blocks(members: DataFrame, limit: int) -> DataFrame:
                 group.append((columns[3][k], columns[4][k], columns[5][k], prints[k], flat[offsets[k]:offsets[k + 1]]))
         yield links_of_group(group, at, limit)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(released(run), "a bigint, b bigint")
 
 
 def links_of_group(group: list[tuple], at: tuple | None, limit: int) -> pa.RecordBatch:

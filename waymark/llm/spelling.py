@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import BASE, INVERSE, mix, shared_folder, slices, stored
+from waymark.llm.common import BASE, INVERSE, mix, released, shared_folder, slices, stored
 
 BLOCK_WORDS = 8  # a block is 256 bits: eight words of 32, one bit of each for every member
 PASS_BYTES = 128 << 20  # filter bytes that are broadcast at once; a larger filter takes several passes
@@ -69,7 +69,7 @@ def counted_words(docs: DataFrame, key: str, text: str, letters: str, least: int
 
     # binary lower-casing touches A-Z alone
     given = docs.select(F.col(key).cast("string").alias("own"), F.col(text).cast("string").cast("binary").alias("body"))
-    return given.mapInArrow(run, "word string, n bigint")
+    return given.mapInArrow(released(run), "word string, n bigint")
 
 
 def vocabulary(docs: DataFrame, key: str = "doc_id", text: str = "text", letters: str = "A-Za-zÀ-ÿ", least: int = 7,
@@ -155,7 +155,7 @@ def filter_blocks(words: DataFrame, layout: Layout) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in columns.items()})
 
     names = [f"w{k}" for k in range(BLOCK_WORDS)]
-    made = words.select("word").mapInArrow(run, "block bigint, " + ", ".join(f"{n} bigint" for n in names))
+    made = words.select("word").mapInArrow(released(run), "block bigint, " + ", ".join(f"{n} bigint" for n in names))
     return made.groupBy("block").agg(*[F.bit_or(n).alias(n) for n in names])
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import BASE, Hasher, mix, ragged, slices, text_buffer, with_arrow_columns
+from waymark.llm.common import BASE, Hasher, mix, ragged, released, slices, text_buffer, with_arrow_columns
 from waymark.llm.suffix_array import common_prefixes, suffix_array
 from waymark.session import checkpointed
 
@@ -85,7 +85,7 @@ def segments(docs: DataFrame, length: int) -> DataFrame:
                                                  names=["_id", "_t", "pos", "key", "h"])
 
     kind = dict(docs.dtypes)["_id"]
-    return docs.select("_id", "_t", "text").mapInArrow(run, f"_id {kind}, _t bigint, pos bigint, key bigint, h bigint")
+    return docs.select("_id", "_t", "text").mapInArrow(released(run), f"_id {kind}, _t bigint, pos bigint, key bigint, h bigint")
 
 
 def subdivide(data: np.ndarray, count: int, length: int) -> list[tuple[int, int, int]]:
@@ -141,7 +141,7 @@ def cut(texts: DataFrame, length: int) -> DataFrame:
         if rows:
             yield out()
 
-    return texts.mapInArrow(run, OUT)
+    return texts.mapInArrow(released(run), OUT)
 
 
 def repeated_starts(texts: list[bytes], starts: np.ndarray, length: int) -> list[np.ndarray]:
@@ -209,7 +209,7 @@ def sort_shards(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return dealt.mapInArrow(run, "key bigint, h bigint, cnt bigint, ranges array<int>")
+    return dealt.mapInArrow(released(run), "key bigint, h bigint, cnt bigint, ranges array<int>")
 
 
 def removed(docs: DataFrame, length: int, as_text: bool) -> DataFrame:
