@@ -33,7 +33,7 @@ def sig(name, value=.3):
 
 
 def finding(supports, kind):
-    return ("t", "s", supports, kind)
+    return ("t", "s", supports, kind, [("gateway", "A")], [("failed_sessions", 3.0)])
 
 
 @pytest.fixture(scope="module")

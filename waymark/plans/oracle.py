@@ -598,8 +598,8 @@ gu AS (SELECT session_id, gateway, late, min(timestamp) AS ts, bool_or(event = '
 bs AS (SELECT gateway, count(*) FILTER (bad) / count(*) AS base FROM gu WHERE NOT late GROUP BY 1),
 c AS (SELECT p.seq, p.gateway, count(gu.ts) AS n, count(*) FILTER (gu.bad) AS nf FROM gp p LEFT JOIN gu ON gu.gateway = p.gateway AND gu.ts BETWEEN p.timestamp - INTERVAL 600 MINUTE AND p.timestamp + INTERVAL 600 MINUTE
   WHERE p.event = 'payment_failed' GROUP BY 1, 2)""",
-  """SELECT CAST(seq AS VARCHAR) AS probe_id, n AS sessions_in_window, nf AS failed_sessions, round(CASE WHEN n > 0 THEN nf / n ELSE 0 END, 4) AS failure_rate, round(base, 4) AS baseline_failure_rate,
-  round(CASE WHEN n > 0 THEN nf / n ELSE 0 END / base, 2) AS multiplier FROM c JOIN bs USING (gateway)""")
+  """SELECT CAST(seq AS VARCHAR) AS probe_id, n AS sessions_in_window, nf AS failed_sessions, round(CASE WHEN n > 0 THEN nf / n ELSE 0 END, 4) AS failure_rate, round(coalesce(base, 0), 4) AS baseline_failure_rate,
+  round(CASE WHEN n > 0 THEN nf / n ELSE 0 END / nullif(base, 0), 2) AS multiplier FROM c LEFT JOIN bs USING (gateway)""")
 q("courier_health", f"""{ORD},
 pr AS (SELECT order_id AS pid, courier AS pc, CASE WHEN CAST(right(order_id, 1) AS INT) % 2 = 0 THEN city END AS pcity, placed_at AS pat FROM od),
 b1 AS (SELECT courier, city, count(*) FILTER (delay_days >= 2) / count(*) AS base FROM od GROUP BY 1, 2), b2 AS (SELECT courier, count(*) FILTER (delay_days >= 2) / count(*) AS base FROM od GROUP BY 1),
