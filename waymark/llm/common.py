@@ -189,6 +189,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def drop_unused(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files of frames nobody holds any more. Otherwise they stay until the driver's JVM
+    happens to collect its garbage, and long chains of steps fill the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """df written to a path below `shared_folder` and read again: its lineage ends there, and lost executors don't matter."""
     df.write.parquet(path)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import BASE, components, mix, released, with_arrow_columns
+from waymark.llm.common import BASE, components, drop_unused, mix, released, with_arrow_columns
 from waymark.session import checkpointed
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the perfect binary code of length 23, radius 3
@@ -282,6 +282,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.where(F.size(F.array_intersect("x", "y")) * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b")
 
 
+BROADCAST_KEYS = 500_000  # a key is an id and two hashes
 BLOCK = 512  # classes of a band that are compared with as many others at a time
 
 
@@ -372,7 +373,10 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     ends = rows.groupBy("band").agg(F.min(whole).alias("m"), F.max(whole).alias("g")).where("m.node < g.node")
     met = checkpointed(rows.join(ends, "band"))
     some = classes.join(met.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("_least"))
-    texts = docs.join(some.distinct(), F.col(key) == F.col("_least"), "left_semi")
+    some = checkpointed(some.distinct())
+    if some.count() <= BROADCAST_KEYS:
+        some = F.broadcast(some)  # then the texts stay where they are
+    texts = docs.join(some, F.col(key) == F.col("_least"), "left_semi")
     sets = checkpointed(shingle_sets(texts, text, width).dropDuplicates(["node"]))
 
     def apart(a: list[str], b: list[str]) -> Column:
@@ -380,11 +384,15 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     near = [met.where((F.col(f"{e}.node") != F.col("node")) & (apart(own, [f"{e}.{f}" for f in own]) <= limit))
             .select(F.least(f"{e}.node", "node").alias("a"), F.greatest(f"{e}.node", "node").alias("b")) for e in ("m", "g")]
+    drop_unused(docs.sparkSession)
     early = checkpointed(verified(near[0].unionByName(near[1]).distinct(), sets))
-    joined = components(classes.select("node"), early)
+    joined = checkpointed(components(classes.select("node"), early))
+    drop_unused(docs.sparkSession)
     grouped = met.select("band", "node", *own).join(joined, "node")
     mixed = grouped.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
     late = checkpointed(compared_in_blocks(grouped.join(mixed, "band", "left_semi").join(sets, "node"), limit).distinct())
+    del met, near, sets, grouped, mixed, some, texts, rows, ends
+    drop_unused(docs.sparkSession)
     found = components(classes.select("node"), late.unionByName(early))
     named = checkpointed(found.join(classes.select("node", "least"), "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
