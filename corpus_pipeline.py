@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import bpe, decontaminate, quality, simhash, suffix_dedup
-from waymark.llm.common import shared_folder
+from waymark.llm.common import drop_unused, shared_folder
 from waymark.llm.queries import ranks, table, trusted
 from waymark.session import checkpointed
 
@@ -44,9 +44,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of every group of copies and near copies. Of rows with one id and text one stays. Null and empty texts
-    are copies of each other; a null id counts as the greatest."""
+    are copies of each other; a null id counts as the greatest.
+
+    Fingerprints of 64 bits that differ in two at most are linked, found at the anchors of the covering code. Their groups go on into
+    the comparison of shingle sets, which adds edited copies whose fingerprints are further apart.
+    """
     rows = identified(docs)
-    groups = checkpointed(simhash.similar_documents(rows, "_row"))
+    near = checkpointed(simhash.near_duplicates(rows, "_row"))
+    drop_unused(spark)
+    groups = checkpointed(simhash.similar_documents(rows, "_row", known=near))
     left = without(rows, groups.where("_row <> component_id"))
     twice = groups.groupBy("_row").agg(F.count("*").alias("n")).where("n > 1")
     return (left if twice.isEmpty() else left.dropDuplicates(["_row"])).select(*COLUMNS)

@@ -8,6 +8,7 @@ from corpus_pipeline import COLUMNS, STAGES
 from waymark.llm.queries import QUERIES
 
 from .conftest import sentence
+from .test_other_operators import brute_fingerprint
 from .test_text_operators import brute_contamination, brute_repeats, reference_encoding
 
 
@@ -73,5 +74,14 @@ def test_rows_of_one_id_or_without_one_stand_for_themselves(spark, docs, rng, tm
     assert sorted([(r.doc_id, r.text) for r in left.collect()], key=str) == sorted([(1, a), (None, c), (4, None), (4, "")], key=str)
 
 
+def test_documents_within_two_bits_are_near_copies_whatever_their_shingle_sets(spark, docs, rng, tmp_path):
+    chorus, a, b, c, d = sentence(rng, 31), *(sentence(rng, n) for n in (20, 20, 60, 60))
+    rows = [(5, f"{chorus} " * 20 + a), (2, f"{chorus} " * 20 + b), (3, c), (None, d), (4, c.upper() + " ")]
+    prints = [brute_fingerprint(t) for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 < (prints[0] ^ prints[2]).bit_count()
+    left = corpus_pipeline.simhash_near_dedup(spark, docs(rows), str(tmp_path))
+    assert sorted([r.doc_id for r in left.collect()], key=str) == [2, 3, None]
+
+
 def test_one_query_per_operator():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))

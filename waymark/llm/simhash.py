@@ -190,6 +190,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return marked.join(ids, "fingerprint").select(key, "fingerprint", "component_id")
 
 
+def links_of_groups(marked: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """(a, b): of every group of `known` (key, component_id), its least node with each of its others. A row each, so no pairs."""
+    group = known.select(F.col(key).alias("_key"), F.col("component_id").alias("_group")).dropDuplicates(["_key"])
+    placed = marked.select(key, "node").join(group, F.col(key) == F.col("_key")).select("_group", "node").distinct()
+    least = placed.groupBy("_group").agg(F.min("node").alias("a"))
+    return placed.join(least, "_group").where("a < node").select("a", F.col("node").alias("b")).distinct()
+
+
 SEEDS = 3
 LIMIT = 60  # of 192 bits; shingle sets of similarity 0.8 differ in 29 with a deviation of 5
 BANDS, ROWS = 32, 5  # two sets of similarity s agree in one of the bands with probability 1 - (1 - s^5)^32: 0.999997 at 0.8
@@ -355,8 +363,10 @@ def links_of_group(group: list[tuple], at: tuple | None, limit: int) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
 
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, limit: int = LIMIT) -> DataFrame:
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, limit: int = LIMIT,
+                      known: DataFrame | None = None) -> DataFrame:
     """(key, component_id): documents are linked if their sets of shingles of `width` words have a similarity of 0.8 or more.
+    `known`: key, component_id of groups found before, which are links as well; rows of one key are in one group.
 
     Documents with one set of shingles are one class. Two classes are candidates if they agree in one of the bands, and at most
     `limit` of their 192 fingerprint bits differ; at 0.8 less than one pair in 100,000 is missed. Every link is verified by the
@@ -386,6 +396,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
             .select(F.least(f"{e}.node", "node").alias("a"), F.greatest(f"{e}.node", "node").alias("b")) for e in ("m", "g")]
     drop_unused(docs.sparkSession)
     early = checkpointed(verified(near[0].unionByName(near[1]).distinct(), sets))
+    if known is not None:
+        early = checkpointed(early.unionByName(links_of_groups(marked, known, key)).distinct())
     joined = checkpointed(components(classes.select("node"), early))
     drop_unused(docs.sparkSession)
     grouped = met.select("band", "node", *own).join(joined, "node")
