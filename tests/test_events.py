@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from conftest import ev, rows
 from waymark.config import Settings
 from waymark.operators import clean, features, ordered, sessions
+from waymark.plans import checks
+from waymark.session import configure
+from waymark.sources import adapters
 
 HOT = Settings(hot_rows=20, max_chunks=50)
 
@@ -193,3 +196,33 @@ def test_dwell_scores(frame):
     assert base["order"] == (0.0, 1.0) and base["payment"][1] == 1.0
     z = rows(features.add_dwell_z(f, base), "session_id")
     assert z[0]["dwell_z_order"] == 0.0 and abs(z[0]["dwell_z_browse"] + z[1]["dwell_z_browse"]) < 1e-9
+
+
+@pytest.mark.parametrize("source", [adapters.clickstream, adapters.behaviour])
+def test_filters_on_names_do_not_repeat_how_names_are_made(spark, tmp_path, source):
+    made = spark.range(200).selectExpr(
+        "id AS event_id", "timestamp_seconds(1704067200 + id * 60) AS ts", "id % 7 AS user_id",
+        "element_at(array('view', 'click', 'error', 'signup', 'purchase'), cast(id % 5 + 1 AS int)) AS event_type",
+        "id / 4 AS value", "concat('{\"k\": ', id % 100, '}') AS props")
+    made.write.parquet(str(tmp_path / "events.parquet"))
+    raw = source(spark, str(tmp_path))
+    kept = clean.valid_vocabulary(raw)
+    assert kept.groupBy("user_id").count()._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") <= 1
+    names = {r["event"] for r in kept.select("event").distinct().collect()}
+    assert "product_view" in names and "not_in_vocabulary" not in names
+    assert raw.count() == 200 and kept.count() == raw.filter("event <> 'not_in_vocabulary'").count()
+
+
+def test_shared_frames_are_built_once_for_equal_arguments(spark):
+    built = []
+
+    @checks.shared
+    def frame_of(spark, folder, gap=5):
+        built.append(gap)
+        return gap
+
+    assert [frame_of(spark, "a"), frame_of(spark, "a", 5), frame_of(spark, "a", 6)] == [5, 5, 6] and built == [5, 6]
+
+
+def test_code_too_long_for_the_compiler_is_not_fused(spark):
+    assert int(configure(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
