@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import ev, rows
 from waymark.config import Settings
-from waymark.operators import clean, features, ordered, sessions
+from waymark.operators import clean, features, models, ordered, sessions
 from waymark.plans import checks
 from waymark.session import configure
 from waymark.sources import adapters
@@ -226,3 +226,10 @@ def test_shared_frames_are_built_once_for_equal_arguments(spark):
 
 def test_code_too_long_for_the_compiler_is_not_fused(spark):
     assert int(configure(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_themes_are_fitted_on_rows_dealt_out_evenly(spark):
+    texts = spark.createDataFrame([(w, w) for w in ("one red", "two blue", "two green", "one pink") * 5], "text string, theme_label string").coalesce(1)
+    model = models.ThemeModel.fit(texts)
+    assert model.regression.summary.predictions.rdd.getNumPartitions() >= 4
+    assert {(r["text"], r["predicted"]) for r in model.classify(texts).collect()} == {(c, c) for c in model.classes}
