@@ -185,6 +185,17 @@ def test_a_full_memory_of_words_changes_nothing(monkeypatch, rng):
     assert bpe.Coder(ranks()).encode(pa.array(texts)).to_pylist() == [library.encode_ordinary(t) for t in texts]
 
 
+def test_a_full_memory_keeps_the_words_in_use(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 60)
+    monkeypatch.setattr(bpe, "TEXT_A_ROUND", 400)
+    learnt, learn = [], bpe.Coder.learn
+    monkeypatch.setattr(bpe.Coder, "learn", lambda self, words: (learnt.extend(words), learn(self, words))[1])
+    texts = [f"qzxqzx wkvwkv {' '.join(f'q{i}zx{k}' for k in 'abcdefgh')} qzxqzx" for i in range(80)]
+    library, coder = reference_encoding(), bpe.Coder(ranks())
+    assert coder.encode(pa.array(texts)).to_pylist() == [library.encode_ordinary(t) for t in texts]
+    assert learnt.count(b" wkvwkv") == 1 and len(coder.index) <= 60 + 100
+
+
 # --- quality --------------------------------------------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from functools import lru_cache
 
 import duckdb
@@ -158,7 +159,19 @@ class Coder:
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.at, self.counts, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.at, self.counts, self.uses, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def forget_rare(self) -> None:
+        """Keep the words that came up in more than one slice, the most used ones up to half of KEPT_WORDS; their uses count half from now on."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > KEPT_WORDS // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[:KEPT_WORDS // 2]])
+        mask = np.zeros(len(self.uses), bool)
+        mask[kept] = True
+        self.index = {w: i for i, w in enumerate(itertools.compress(self.index, mask.tolist()))}
+        counts = self.counts[kept]
+        self.flat = self.flat[ragged(self.at[kept], counts)]
+        self.at, self.counts, self.uses = np.cumsum(counts) - counts, counts, (self.uses[kept] + 1) // 2
 
     def _load(self, name: str, columns: dict) -> None:
         given = pa.table({k: pa.array(v) for k, v in columns.items()})
@@ -190,9 +203,9 @@ class Coder:
             self._load("start", {"w": w, "p": p, "t": data, "u": np.where(end, -1, np.append(data[1:], -1)).astype(np.int32),
                                  "n": np.where(end, -1, p + 1).astype(np.int32)})
             done = self.db.sql(MERGE).to_arrow_table()
-            counts = np.bincount(done.column("w").to_numpy(), minlength=len(texts))
-            for i, ids in zip(todo[low:high], np.split(done.column("t").to_numpy(), np.cumsum(counts)[:-1]), strict=True):
-                made[i] = ids
+            ids, ends = done.column("t").to_numpy(), np.cumsum(np.bincount(done.column("w").to_numpy(), minlength=len(texts))).tolist()
+            for i, a, b in zip(todo[low:high], [0, *ends[:-1]], ends, strict=True):
+                made[i] = ids[a:b]
             low = high
         return made
 
@@ -242,14 +255,13 @@ class Coder:
         return made
 
     def learn(self, words: list[bytes]) -> None:
-        """Encode words and keep them for later batches; beyond KEPT_WORDS only the new ones stay."""
-        if len(self.index) + len(words) > KEPT_WORDS:
-            self.forget()
+        """Encode words that are not known and keep them for later batches."""
         made = self.encode_words(words)
         counts = np.fromiter(map(len, made), np.int64, len(made))
         at = np.cumsum(counts) - counts + len(self.flat)
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
         self.at, self.counts = np.concatenate([self.at, at]), np.concatenate([self.counts, counts])
+        self.uses = np.concatenate([self.uses, np.zeros(len(made), np.int64)])
         self.flat = np.concatenate([self.flat, *made])
 
     def encode(self, column: pa.Array) -> pa.ListArray:
@@ -267,11 +279,14 @@ class Coder:
                 pieces.append((words, inverse, np.searchsorted(starts, bound[first:last + 1] - bound[first])))
             new = [w for w in seen if w not in self.index]
             if len(self.index) + len(new) > KEPT_WORDS:
-                new = list(seen)
+                self.forget_rare()
+                new = [w for w in seen if w not in self.index]
             if new:
                 self.learn(new)
             for words, inverse, cut in pieces:
-                token = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))[inverse]
+                known = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+                self.uses[known] += 1
+                token = known[inverse]
                 number = self.counts[token]
                 ids.append(self.flat[ragged(self.at[token], number)])
                 lengths.append(np.diff(np.append(0, np.cumsum(number))[cut]))
