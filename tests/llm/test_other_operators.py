@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from waymark.llm import chat, embed_dedup, sharding, simhash, url_filter
+from waymark.llm import chat, common, embed_dedup, sharding, simhash, url_filter
 from waymark.llm.common import components
 from waymark.llm.queries import EXTRA_TURNS, URL_RULES
 
@@ -32,6 +32,16 @@ class Union:
         self.up[max(a, b)] = min(a, b)
 
 
+def test_components_drop_the_files_of_every_round(spark, monkeypatch):
+    calls, drop = [], common.drop_unused
+    monkeypatch.setattr(common, "drop_unused", lambda s: (calls.append("drop"), drop(s)))
+    monkeypatch.setattr(common, "checkpointed", lambda df, keep=common.checkpointed: (calls.append("round"), keep(df))[1])
+    nodes = spark.range(12).withColumnRenamed("id", "node")
+    found = components(nodes, nodes.selectExpr("node AS a", "node + 1 AS b").where("b < 12"))
+    assert {r.component for r in found.collect()} == {0}
+    assert calls.count("drop") == calls.count("round") - 1 > 1
+
+
 def test_components_of_chains_hubs_and_lone_nodes(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 60)] + [(500, 500), (None, 3), (160, 7)]
