@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from waymark import vocab
 from waymark.config import Settings
-from waymark.operators import actions, boosting, drafts, investigate, metrics, models, readmodels
+from waymark.operators import actions, boosting, drafts, fusion, investigate, metrics, models, readmodels
 from waymark.operators.ranges import range_sums
 
 NOW = datetime(2026, 9, 20, 10)
@@ -240,3 +240,32 @@ def test_health_and_products(spark):
     out = {r["friction_type"]: r for r in rows(readmodels.health(packets, alerts))}
     assert out["price_shock"]["status"] == "rising" and out["price_shock"]["recent_per_day"] == 1.0
     assert out["coupon_failure"]["status"] == "normal" and set(out) == set(vocab.FRICTIONS)
+
+
+def test_recent_messages_read_their_input_once(spark):
+    sent = spark.range(40).selectExpr("concat('pk_', id) packet_id", "concat('u_', id % 3) user_id", "timestamp_seconds(id * 7200) created_at")
+    out = actions.recent_messages(sent)
+    assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
+    times = {i: i * 7200 for i in range(40)}
+    expected = {f"pk_{i}": sum(j % 3 == i % 3 and t - 86400 <= times[j] <= t for j in times) for i, t in times.items()}
+    assert {r.packet_id: r.recent for r in out.collect()} == expected
+
+
+def test_themes_of_few_orders_go_to_the_sessions(spark):
+    texts = spark.sql("SELECT id AS text_id, cast(null AS string) AS session_id, concat('o_', id % 4) AS order_id, concat('t', id % 2) AS theme, "
+                      "timestamp_seconds(id) AS ts FROM range(12)")
+    table = spark.sql("SELECT concat('s_', id) AS session_id, CASE WHEN id % 3 > 0 THEN concat('o_', id % 5) END AS order_id FROM range(30)")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = fusion.session_themes(texts, table)
+        assert "strategy=broadcast" in out._jdf.queryExecution().optimizedPlan().toString()
+        found = {r.session_id: r.themes for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == {f"s_{i}": [f"t{i % 5 % 2}"] for i in range(30) if i % 3 and i % 5 < 4}
+
+
+def test_tasks_are_cut_by_bytes_however_few_partitions_a_session_has(spark):
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
