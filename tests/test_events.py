@@ -233,3 +233,11 @@ def test_themes_are_fitted_on_rows_dealt_out_evenly(spark):
     model = models.ThemeModel.fit(texts)
     assert model.regression.summary.predictions.rdd.getNumPartitions() >= 4
     assert {(r["text"], r["predicted"]) for r in model.classify(texts).collect()} == {(c, c) for c in model.classes}
+
+
+def test_message_cap_reads_sessions_that_are_stored(spark, tmp_path):
+    spark.range(60).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id * 3600) AS ts", "id % 4 AS user_id", "'view' AS event_type",
+                               "id / 4 AS value", "concat('{\"k\": ', id % 100, '}') AS props").write.parquet(str(tmp_path / "events.parquet"))
+    out = checks.QUERIES["message_cap"](spark, str(tmp_path))
+    assert "Relation [" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == checks._bare_sessions(spark, str(tmp_path)).count() > 0
