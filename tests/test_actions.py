@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -269,3 +270,65 @@ def test_themes_of_few_orders_go_to_the_sessions(spark):
 def test_tasks_are_cut_by_bytes_however_few_partitions_a_session_has(spark):
     assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
+def _forest(rng, trees, leaves, features):
+    """Random trees as rows of a node table."""
+    out = [("m", -1, 0, -1, -1, -1, 0.0, 0.25)]
+    for tree in range(trees):
+        nodes = [[-1, -1, -1, 0.0, float(rng.normal())]]
+        ends = [0]
+        while len(ends) < leaves:
+            node = ends.pop(int(rng.integers(len(ends))))
+            nodes[node][:4] = [len(nodes), len(nodes) + 1, int(rng.integers(features)), float(rng.integers(40)) / 4]
+            ends += [len(nodes), len(nodes) + 1]
+            nodes += [[-1, -1, -1, 0.0, float(rng.normal())] for _ in range(2)]
+        out += [("m", tree, n, *node) for n, node in enumerate(nodes)]
+    return out
+
+
+def _walked(table, x):
+    """Scores and contributions, node by node."""
+    score, moved = np.full(len(x), 0.25), np.zeros(x.shape)
+    trees = {}
+    for _, tree, *node in table[1:]:
+        trees.setdefault(tree, []).append(node[1:])
+    for nodes in trees.values():
+        at = np.zeros(len(x), int)
+        left, right, feature, threshold, value = (np.array(c) for c in zip(*nodes))
+        while (r := np.flatnonzero(left[at] >= 0)).size:
+            n = at[r]
+            at[r] = np.where(x[r, feature[n]] <= threshold[n], left[n], right[n])
+            np.add.at(moved, (r, feature[n]), value[at[r]] - value[n])
+        score += value[at]
+    return score, moved
+
+
+@pytest.mark.parametrize("leaves", [1, 5, 31, 32, 33, 64, 90])
+def test_leaf_tables_equal_a_walk(spark, leaves):
+    rng = np.random.default_rng(leaves)
+    table = _forest(rng, 6, leaves, 5)
+    x = rng.integers(-4, 50, (700, 5)) / 4  # many values lie on a threshold
+    x[::50, 2], x[1::50, 3] = np.nan, np.inf
+    found = boosting.ensembles(spark.createDataFrame(table, boosting.NODES))["m"]
+    score, moved = _walked(table, x)
+    assert np.allclose(found.score(x), score, atol=1e-12)
+    assert np.allclose(found.contributions(x), moved, atol=1e-12)
+    assert found.score(x[:0]).shape == (0,) and found.contributions(x[:0]).shape == (0, 5)
+
+
+def test_scoring_takes_no_step_per_level_of_a_tree(spark):
+    rng = np.random.default_rng(3)
+    table = _forest(rng, 60, 31, 20)
+    x = rng.integers(-4, 50, (10_000, 20)) / 4
+    found = boosting.ensembles(spark.createDataFrame(table, boosting.NODES))["m"]
+
+    def best(fn):
+        took = []
+        for _ in range(3):
+            start = time.perf_counter()
+            fn(x)
+            took.append(time.perf_counter() - start)
+        return min(took)
+
+    assert best(found.score) * 2 < best(lambda rows_: _walked(table, rows_))
