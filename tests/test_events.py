@@ -241,3 +241,17 @@ def test_message_cap_reads_sessions_that_are_stored(spark, tmp_path):
     out = checks.QUERIES["message_cap"](spark, str(tmp_path))
     assert "Relation [" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.count() == checks._bare_sessions(spark, str(tmp_path)).count() > 0
+
+
+def test_rule_and_risk_queries_clean_their_events_once(spark, tmp_path):
+    spark.sql("SELECT id AS event_id, timestamp_seconds(1704067200 + id * 5000) AS ts, id % 7 AS user_id, element_at(array('view', 'click', 'error', 'purchase'), "
+              "cast(id % 4 AS int) + 1) AS event_type, cast(id AS double) AS value, concat('{\"k\": ', id * 7 % 100, '}') AS props FROM range(600)") \
+         .write.parquet(str(tmp_path / "events.parquet"))
+    folder = str(tmp_path)
+    checks.forget()
+    frames = [checks.QUERIES["rule_quality"](spark, folder), checks.QUERIES["clean_sessions_with_rules"](spark, folder), *checks._risk_training(spark, folder)]
+    assert not any("Relation" in f._jdf.queryExecution().optimizedPlan().toString() for f in frames)
+    assert sorted(map(tuple, checks._stored_flags(spark, folder).collect())) == sorted(map(tuple, checks._flags(spark, folder).collect()))
+    wide = checks.session_rows(spark, folder, checks.SEQUENCE_GAP)
+    assert {r.session_id: r.is_clean for r in checks._truth(spark, folder).collect()} == {r.session_id: r.n_events % 3 == 0 for r in wide.collect()}
+    checks.forget()
