@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import bpe, decontaminate, quality, simhash, suffix_dedup
-from waymark.llm.common import drop_unused, shared_folder
+from waymark.llm.common import drop_unused, shared_folder, small_batches
 from waymark.llm.queries import ranks, table, trusted
 from waymark.session import checkpointed
 
@@ -39,6 +39,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents whose perplexity under the model of trusted text is within their language's threshold. Of a null or empty
     text only its end is scored; a null language is one of its own; a language with few trusted documents takes the threshold of all.
     Rows are judged one by one."""
+    small_batches(spark)
     return quality.classify(docs, trusted(spark, sf_dir)).where("keep").select(*COLUMNS)
 
 
@@ -49,6 +50,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Fingerprints of 64 bits that differ in two at most are linked, found at the anchors of the covering code. Their groups go on into
     the comparison of shingle sets, which adds edited copies whose fingerprints are further apart.
     """
+    small_batches(spark)
     rows = identified(docs)
     near = checkpointed(simhash.near_duplicates(rows, "_row"))
     drop_unused(spark)
@@ -61,6 +63,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings of 200 that occur more than once; one of which nothing is left goes. Texts without such
     strings, null and empty ones among them, stay as they are; n_chars is counted anew where something goes."""
+    small_batches(spark)
     done = suffix_dedup.remove_repeats(docs.select(*COLUMNS), as_text=True)
     left = done.where("n_removed = 0 or length(kept) > 0")
     changed = F.col("n_removed") > 0
@@ -71,6 +74,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of ten words of a benchmark item occurs. Null and empty texts and items have no words and hit
     nothing."""
+    small_batches(spark)
     rows = identified(docs)
     found = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), "_row")
     return without(rows, found.where("n_hit > 0")).select(*COLUMNS)
@@ -78,6 +82,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's token ids, and its text as they decode. A null or empty text has no ids and an empty text."""
+    small_batches(spark)
     done = bpe.round_trip(docs.select(*COLUMNS), ranks())
     return done.select("doc_id", F.decode("decoded", "UTF-8").alias("text"), "lang", "source", "n_chars",
                        F.size("ids").cast("bigint").alias("n_tokens"), "ids")

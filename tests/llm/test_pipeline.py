@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import pyarrow as pa
 from corpus_pipeline import COLUMNS, STAGES
 
+from waymark.llm.common import BATCH_BYTES
 from waymark.llm.queries import QUERIES
 
 from .conftest import sentence
@@ -83,5 +85,26 @@ def test_documents_within_two_bits_are_near_copies_whatever_their_shingle_sets(s
     assert sorted([r.doc_id for r in left.collect()], key=str) == [2, 3, None]
 
 
+def test_arrow_batches_of_every_stage_are_cut_by_bytes(spark, docs, tmp_path):
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "item")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    long = spark.range(0, 6000, 1, 1).selectExpr("repeat('a', 2000) text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        for _, stage in STAGES:
+            spark.conf.unset(setting)
+            stage(spark, docs([]), str(tmp_path))
+            found = [r.n for r in long.mapInArrow(sizes, "n bigint").collect()]
+            assert sum(found) >= 12_000_000 and max(found) <= BATCH_BYTES + 10_000
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_one_query_per_operator():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))

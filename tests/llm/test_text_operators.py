@@ -196,6 +196,21 @@ def test_a_full_memory_keeps_the_words_in_use(monkeypatch):
     assert learnt.count(b" wkvwkv") == 1 and len(coder.index) <= 60 + 100
 
 
+def test_a_task_that_is_done_leaves_no_coder_in_its_process(docs):
+    frame = docs([(1, "some text")])
+    here = bpe._shared(frame, ranks())
+
+    def run(batches):
+        for batch in batches:
+            here().encode(batch.column("text"))
+            made = len(bpe._CODERS)
+            bpe.forget()
+            yield pa.RecordBatch.from_pydict({"made": [made], "left": [len(bpe._CODERS)], "words": [len(here().index)]})
+            bpe.forget()
+
+    assert [tuple(r) for r in frame.coalesce(1).where("doc_id = 1").mapInArrow(run, "made bigint, left bigint, words bigint").collect()] == [(1, 0, 0)]
+
+
 # --- quality --------------------------------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from waymark.llm.common import ragged, range_hashes, slices, text_buffer, with_arrow_columns
@@ -21,6 +22,7 @@ PIECE = 48  # a word of over twice as many bytes is contracted in pieces of this
 SHIFTS = 4  # attempts to mend a border between pieces before the two become one
 ROWS_A_QUERY = 250_000
 TEXT_A_ROUND = 4 << 20
+TEXT_A_SLICE = 512 << 10  # bytes that are split into words at a time: sums, hashes and masks take some fifty times as many
 KEPT_WORDS = 250_000  # a task's memory of encoded words; results do not depend on it
 LETTER, NUMBER, OTHER, SPACE = range(4)
 
@@ -271,7 +273,7 @@ class Coder:
             part = data[offsets[low]:offsets[high]]
             bound = offsets[low:high + 1] - offsets[low]
             pieces, seen = [], {}
-            for first, last in slices(bound):
+            for first, last in slices(bound, TEXT_A_SLICE):
                 some = part[bound[first]:bound[last]]
                 starts = pretokens(some, bound[first:last + 1] - bound[first])
                 words, inverse = distinct_ranges(some, starts, np.append(starts[1:], len(some)))
@@ -321,21 +323,24 @@ def forget() -> None:
     """Close the database of this process and drop its words; the next task makes its own."""
     for coder in _CODERS.values():
         coder.db.close()
+        coder.forget()
     _CODERS.clear()
 
 
+def _coder(name: str, sent: Broadcast) -> Coder:
+    """The coder of the process. A function of the module, since a nested one is sent to the workers with a copy of the dictionary
+    it uses, and what lies in such a copy `forget` does not reach."""
+    if name not in _CODERS:
+        forget()
+        _CODERS[name] = Coder(sent.value)
+    return _CODERS[name]
+
+
 def _shared(df: DataFrame, ranks: dict[bytes, int]):
     """A function that gives the coder of the process it runs in. The vocabulary is broadcast."""
     name = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
     sent = df.sparkSession.sparkContext.broadcast(ranks)
-
-    def here() -> Coder:
-        if name not in _CODERS:
-            _CODERS.clear()
-            _CODERS[name] = Coder(sent.value)
-        return _CODERS[name]
-
-    return here
+    return lambda: _coder(name, sent)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text") -> DataFrame:
