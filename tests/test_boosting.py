@@ -34,6 +34,15 @@ def test_the_risk_model_sees_every_row(spark):
     assert _base(model.nodes, "risk") == pytest.approx(_odds(seen, "label"), abs=1e-12)
 
 
+def test_the_models_of_scored_sessions_see_every_row(spark):
+    frame = _numbered(spark, MANY * 6 // 5)
+    labels = frame.select("session_id", F.col("label").alias("x"), F.col("other").alias("y"))
+    model = models.FrictionModel.fit(frame, labels, features=["a", "b"], rounds=1, leaves=2, frictions=["x", "y"])
+    seen = frame.filter(~metrics.is_test(F.col("session_id"))).cache()
+    assert seen.count() > 50_000
+    assert [_base(model.nodes, f) for f in ("x", "y")] == pytest.approx([_odds(seen, "label"), _odds(seen, "other")], abs=1e-12)
+
+
 def test_every_tree_counts_all_rows_that_it_draws(spark):
     # the first leaf has 40 of 60,000 rows: a part of them would not be allowed to have a leaf of their own
     frame = spark.range(MANY).select(F.concat(F.lit("s_"), "id").alias("k"), (F.col("id") < 40).cast("int").alias("a"), ((F.col("id") < 40) | (F.col("id") % 50 == 3)).cast("int").alias("y"))
